@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import folds
 from .anomaly import counts
 from .positions import BLOCK_ROWS, block_window, own_rows, with_halo, with_running
@@ -43,8 +44,23 @@ def _steps(cfg: ForecastConfig, at) -> Column:
     return F.array(*[at(j) for j in range(1, cfg.horizon + 1)])
 
 
+def with_future(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
+    """Add ``ahead``: the next ``horizon`` values, NULL where the series ends before."""
+    haloed = with_halo(indexed.select(*keys, "idx", "value"), after=cfg.horizon, block_rows=cfg.block_rows)
+    w = block_window(keys)
+    ahead = _steps(cfg, lambda j: F.lead("value", j).over(w))
+    return own_rows(haloed.withColumn("ahead", ahead)).withColumn(
+        "ahead", F.when(F.col("ahead")[cfg.horizon - 1].isNotNull(), F.col("ahead"))
+    )
+
+
+def _kept(indexed: DataFrame) -> list[str]:
+    """The columns a trace passes on: the future values, where the caller added them."""
+    return ["ahead"] if "ahead" in indexed.columns else []
+
+
 def naive_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
-    return indexed.select(*keys, "idx", "value", _steps(cfg, lambda j: F.col("value")).alias("path"))
+    return indexed.select(*keys, "idx", "value", *_kept(indexed), _steps(cfg, lambda j: F.col("value")).alias("path"))
 
 
 def seasonal_naive_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
@@ -54,14 +70,14 @@ def seasonal_naive_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastC
     w = block_window(keys)
     path = _steps(cfg, lambda j: F.lag("value", p - 1 - ((j - 1) % p)).over(w))
     traced = own_rows(haloed.withColumn("path", path))
-    return traced.where(F.col("idx") >= p - 1).select(*keys, "idx", "value", "path")
+    return traced.where(F.col("idx") >= p - 1).select(*keys, "idx", "value", *_kept(indexed), "path")
 
 
 def drift_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
     first = indexed.where("idx = 0").select(*keys, F.col("value").alias("__y0"))
     slope = F.when(F.col("idx") == 0, 0.0).otherwise((F.col("value") - F.col("__y0")) / F.greatest("idx", F.lit(1)))
     return indexed.join(first, list(keys)).select(
-        *keys, "idx", "value", _steps(cfg, lambda j: F.col("value") + slope * j).alias("path")
+        *keys, "idx", "value", *_kept(indexed), _steps(cfg, lambda j: F.col("value") + slope * j).alias("path")
     )
 
 
@@ -84,10 +100,10 @@ def ses_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> D
         start,
         1,
         ["level"],
-        carry=(),
+        carry=_kept(indexed),
         block=cfg.fold_block,
     )
-    return folded.select(*keys, "idx", "value", "level", _steps(cfg, lambda j: F.col("level")).alias("path"))
+    return folded.select(*keys, "idx", "value", *_kept(indexed), "level", _steps(cfg, lambda j: F.col("level")).alias("path"))
 
 
 def holt_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
@@ -107,11 +123,11 @@ def holt_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) ->
         start,
         2,
         ["level", "trend"],
-        carry=(),
+        carry=_kept(indexed),
         block=cfg.fold_block,
     )
     return folded.select(
-        *keys, "idx", "value", "level", "trend", _steps(cfg, lambda j: F.col("level") + j * F.col("trend")).alias("path")
+        *keys, "idx", "value", *_kept(indexed), "level", "trend", _steps(cfg, lambda j: F.col("level") + j * F.col("trend")).alias("path")
     )
 
 
@@ -138,11 +154,13 @@ def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastCon
         start,
         p + 2,
         ["level", "trend", *ahead],
-        carry=(),
+        carry=_kept(indexed),
         block=cfg.fold_block,
     )
     path = _steps(cfg, lambda j: F.col("level") + j * F.col("trend") + F.col(f"s{j}"))
-    return folded.where(F.col("idx") >= 2 * p - 1).select(*keys, "idx", "value", "level", "trend", path.alias("path"))
+    return folded.where(F.col("idx") >= 2 * p - 1).select(
+        *keys, "idx", "value", *_kept(indexed), "level", "trend", path.alias("path")
+    )
 
 
 def ridge_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
@@ -165,7 +183,8 @@ def ridge_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) ->
     # a single row has no slope: its path is flat, as for drift
     path = _steps(cfg, lambda j: F.when(solvable, F.col("__a") + F.col("__b") * (x + j)).otherwise(F.col("value")))
     safe = lambda c: F.when(solvable, c)
-    return fitted.withColumn("__a", safe(a)).withColumn("__b", safe(b)).select(*keys, "idx", "value", path.alias("path"))
+    solved = fitted.withColumn("__a", safe(a)).withColumn("__b", safe(b))
+    return solved.select(*keys, "idx", "value", *_kept(indexed), path.alias("path"))
 
 
 TRACES = {
@@ -184,8 +203,8 @@ def trace(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConf
         raise ValueError("unknown model")
     if model in ("seasonal_naive", "holt_winters_add") and cfg.season_length <= 0:
         empty = indexed.limit(0)
-        return empty.select(*keys, "idx", "value", F.array(F.col("value")).alias("path"))
-    return TRACES[model](indexed, keys, cfg).select(*keys, "idx", "value", "path")
+        return empty.select(*keys, "idx", "value", *_kept(indexed), F.array(F.col("value")).alias("path"))
+    return TRACES[model](indexed, keys, cfg).select(*keys, "idx", "value", *_kept(indexed), "path")
 
 
 def forecast(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConfig) -> DataFrame:
@@ -201,72 +220,80 @@ def last_path(indexed: DataFrame, traced: DataFrame, keys: Sequence[str]) -> Dat
     )
 
 
-def backtest(traced: DataFrame, indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
+def with_errors(traced: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Errors of every origin (a row with a full future and enough history), NULL on other rows."""
+    pairs = F.arrays_zip("ahead", "path")
+    origin = (F.col("idx") >= cfg.origin_floor - 1) & F.col("ahead").isNotNull()
+    total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda s, p: s + f(p))
+    off = lambda p: p["ahead"] - p["path"]
+    sized = F.filter(pairs, lambda p: F.abs(p["ahead"]) >= 1e-9)
+    share = total(sized, lambda p: F.abs(off(p) / p["ahead"]))
+    return traced.withColumns(
+        {
+            "mae": F.when(origin, total(pairs, lambda p: F.abs(off(p))) / cfg.horizon),
+            "rmse": F.when(origin, F.sqrt(total(pairs, lambda p: off(p) * off(p)) / cfg.horizon)),
+            "mape": F.when(origin & (F.size(sized) > 0), share / F.size(sized) * 100.0),
+        }
+    )
+
+
+def backtest(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConfig) -> DataFrame:
     """Error of every origin: mean absolute, root mean square and mean percentage error.
 
     The percentage error skips actual values near zero and is NULL when all are.
     """
-    h = cfg.horizon
-    # the actual values come from the full series, so an origin keeps its future even where the
-    # model has no path for the later rows
-    haloed = with_halo(indexed, after=h, block_rows=cfg.block_rows)
-    w = block_window(keys)
-    actual = own_rows(haloed.withColumn("__act", F.array(*[F.lead("value", j).over(w) for j in range(1, h + 1)])))
-    origins = actual.where((F.col("idx") >= cfg.origin_floor - 1) & F.col("__act")[h - 1].isNotNull())
-    both = traced.select(*keys, "idx", "path").join(origins.select(*keys, "idx", "__act"), [*keys, "idx"])
-    pairs = F.arrays_zip("__act", "path")
-    total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda s, x: s + x)
-    off = lambda p: p["__act"] - p["path"]
-    big = F.filter(pairs, lambda p: F.abs(p["__act"]) >= 1e-9)
-    share = F.aggregate(F.transform(big, lambda p: F.abs(off(p) / p["__act"])), F.lit(0.0), lambda s, x: s + x)
-    return both.select(
-        *keys,
-        (F.col("idx") + 1).alias("train_rows"),
-        (total(lambda p: F.abs(off(p))) / h).alias("mae"),
-        F.sqrt(total(lambda p: off(p) * off(p)) / h).alias("rmse"),
-        F.when(F.size(big) > 0, share / F.size(big) * 100.0).alias("mape"),
+    traced = with_errors(trace(with_future(indexed, keys, cfg), keys, model, cfg), cfg)
+    return traced.where(F.col("mae").isNotNull()).select(
+        *keys, (F.col("idx") + 1).alias("train_rows"), "mae", "rmse", "mape"
     )
 
 
+def averages():
+    return (F.count("mae").alias("origins"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape"))
+
+
 def score(origins: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Average the errors over the origins."""
-    return origins.groupBy(*keys).agg(
-        F.count("*").alias("origins"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape")
-    )
+    return origins.groupBy(*keys).agg(*averages())
 
 
 def forecast_auto(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
-    """All models with forecast, errors and rank; models without an error (skipped, short) rank last."""
+    """All models with forecast, errors and rank; models without an error (skipped, short) rank last.
+
+    Each model is one pass: the trace rows carry their own future, so errors and the last path come
+    out of a single aggregation per model.
+    """
     keys = list(keys)
-    sizes = counts(indexed, keys)
+    ready = materialize(with_future(indexed, keys, cfg))
     parts = []
     for model in MODELS:
-        traced = trace(indexed, keys, model, cfg)
-        path = traced.join(sizes.select(*keys, (F.col("n_points") - 1).alias("idx")), [*keys, "idx"])
-        errors = score(backtest(traced, indexed, keys, cfg), keys)
+        traced = with_errors(trace(ready, keys, model, cfg), cfg)
         parts.append(
-            sizes.join(path.select(*keys, "path"), keys, "left")
-            .join(errors, keys, "left")
+            traced.groupBy(*keys)
+            .agg(*averages(), F.max("idx").alias("__last"), F.max_by("path", "idx").alias("path"))
             .withColumn("model", F.lit(model))
         )
-    joined = parts[0]
+    done = parts[0]
     for part in parts[1:]:
-        joined = joined.unionByName(part)
+        done = done.unionByName(part)
+    wanted = counts(ready, keys).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
+    joined = wanted.join(done, [*keys, "model"], "left").withColumn(
+        "path", F.when(F.col("__last") == F.col("n_points") - 1, F.col("path"))
+    )
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("mae"), "model")
-    season = F.lit(cfg.season_length)
     note = (
         F.when(F.col("path").isNotNull(), F.lit(""))
-        .when(season <= 0, F.lit("season_length<=0"))
+        .when(F.lit(cfg.season_length) <= 0, F.lit("season_length<=0"))
         .when(F.col("model") == "seasonal_naive", F.lit("insufficient season length"))
         .otherwise(F.lit("insufficient points for holt-winters"))
     )
-    # at most one row per model and series reaches this window
+    # one row per model and series reaches this window
     return joined.select(
         *keys,
         "model",
         F.row_number().over(order).cast("bigint").alias("rank"),
         "n_points",
-        "origins",
+        F.coalesce("origins", F.lit(0)).cast("bigint").alias("origins"),
         "mae",
         "rmse",
         "mape",

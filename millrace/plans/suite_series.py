@@ -11,8 +11,8 @@ KEYS = ["series"]
 WINDOW = 30
 CFG = anomaly.AnomalyConfig(window=WINDOW, season_length=7)
 
-PTS = """pts as (select event_type as series, ts, avg(value) as value from events group by 1, 2),
-s as (select series, ts, value, row_number() over (partition by series order by ts) - 1 as idx from pts)"""
+PTS = """pts as materialized (select event_type as series, ts, avg(value) as value from events group by 1, 2),
+s as materialized (select series, ts, value, row_number() over (partition by series order by ts) - 1 as idx from pts)"""
 PRIOR = f"(partition by series order by idx rows between {WINDOW} preceding and 1 preceding)"
 
 
