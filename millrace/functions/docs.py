@@ -1,0 +1,227 @@
+"""Edits of untyped JSON documents: small per-document helpers behind Arrow UDFs.
+
+Documents whose fields are known are handled with column expressions (``operators.documents``);
+these helpers serve the edits that must walk documents of any shape and depth.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import NULL_WORDS
+
+WORDS = frozenset(NULL_WORDS)
+MISSING = object()
+
+
+def _apply(fn: Callable, returns: str):
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            try:
+                doc = json.loads(text)
+            except ValueError:
+                return None
+            return fn(doc)
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, returns)
+
+
+def dump(doc) -> str:
+    return json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def walk_clean(v, lower_keys: bool, drop_empty: bool):
+    if isinstance(v, dict):
+        out = {}
+        for k in sorted(v):
+            name = k.strip().lower() if lower_keys else k.strip()
+            c = walk_clean(v[k], lower_keys, drop_empty)
+            if name and not (drop_empty and c == ""):
+                out[name] = c
+        return out
+    if isinstance(v, list):
+        items = [walk_clean(x, lower_keys, drop_empty) for x in v]
+        return [x for x in items if not (drop_empty and x == "")]
+    if isinstance(v, str):
+        text = " ".join(v.split())
+        return None if text.lower() in WORDS or (drop_empty and text == "") else text
+    return v
+
+
+def clean_document(doc: Column, lower_keys: bool = True, drop_empty: bool = True) -> Column:
+    """Trimmed (lower-case) keys, collapsed text, "no value" words as null."""
+    return _apply(lambda d: dump(walk_clean(d, lower_keys, drop_empty)), "string")(doc)
+
+
+def walk_nulls(v, prefix: str, dropped: list, compact: bool):
+    if isinstance(v, dict):
+        for k in sorted(v):
+            path = f"{prefix}.{k}" if prefix else k
+            if v[k] is None:
+                del v[k]
+                dropped.append(path)
+            else:
+                walk_nulls(v[k], path, dropped, compact)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            if x is not None:
+                walk_nulls(x, f"{prefix}[{i}]", dropped, compact)
+            elif compact:
+                dropped.append(f"{prefix}[{i}]")
+        if compact:
+            v[:] = [x for x in v if x is not None]
+
+
+def drop_nulls(doc: Column, compact_arrays: bool = False) -> Column:
+    """Struct of the document without null fields and the dropped paths.
+
+    Null array elements stay in place, and are not reported, unless ``compact_arrays``.
+    """
+
+    def one(d):
+        dropped: list = []
+        walk_nulls(d, "", dropped, compact_arrays)
+        return {"doc": dump(d), "dropped": dropped}
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [one(json.loads(t)) if t is not None else {"doc": None, "dropped": []} for t in texts]
+        return pd.DataFrame(rows, columns=["doc", "dropped"])
+
+    return F.pandas_udf(run, "struct<doc:string,dropped:array<string>>")(doc)
+
+
+def parse_path(path: str) -> list:
+    """``a.b[0].c`` as a list of names and positions."""
+    return [int(x) if x.isdigit() else x for x in re.sub(r"\[(\d+)\]", r".\1", path.strip()).split(".") if x]
+
+
+def find(doc, steps: list):
+    for s in steps:
+        if isinstance(doc, dict):
+            doc = doc.get(str(s), MISSING)
+        elif isinstance(doc, list) and isinstance(s, int) and s < len(doc):
+            doc = doc[s]
+        else:
+            return MISSING
+        if doc is MISSING:
+            return MISSING
+    return doc
+
+
+def put(doc, steps: list, value) -> None:
+    """Set a value, building the objects and array slots on the way."""
+    for s, following in zip(steps, [*steps[1:], None], strict=True):
+        last = following is None
+        fresh = value if last else ([] if isinstance(following, int) else {})
+        if isinstance(doc, list) and isinstance(s, int):
+            doc.extend([None] * (s + 1 - len(doc)))
+            if last or not isinstance(doc[s], (dict, list)):
+                doc[s] = fresh
+            doc = doc[s]
+        elif isinstance(doc, dict):
+            if last or not isinstance(doc.get(str(s)), (dict, list)):
+                doc[str(s)] = fresh
+            doc = doc[str(s)]
+        else:
+            return
+
+
+def remove(doc, steps: list) -> None:
+    parent = find(doc, steps[:-1])
+    if isinstance(parent, dict):
+        parent.pop(str(steps[-1]), None)
+    elif isinstance(parent, list) and isinstance(steps[-1], int) and steps[-1] < len(parent):
+        del parent[steps[-1]]
+
+
+def edit_document(doc: Column, edits: Sequence[dict]) -> Column:
+    """Apply ``set`` (to, value), ``delete`` (from), ``rename`` and ``copy`` (from, to) in order.
+
+    A missing source changes nothing.
+    """
+    plan = []
+    for e in edits:
+        kind = e["kind"].strip().lower()
+        if kind not in ("set", "delete", "rename", "copy"):
+            raise ValueError("unknown edit kind")
+        plan.append((kind, parse_path(e.get("from", "")), parse_path(e.get("to", "")), json.dumps(e.get("value"))))
+
+    def one(d):
+        for kind, src, dst, value in plan:
+            if kind == "set":
+                put(d, dst, json.loads(value))
+                continue
+            found = find(d, src)
+            if found is MISSING:
+                continue
+            if kind in ("delete", "rename"):
+                remove(d, src)
+            if kind in ("rename", "copy"):
+                put(d, dst, json.loads(json.dumps(found)))
+        return dump(d)
+
+    return _apply(one, "string")(doc)
+
+
+def kind_of(v) -> str:
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, (int, float)):
+        return "number"
+    if isinstance(v, str):
+        return "string"
+    return "null" if v is None else "array"
+
+
+def walk_paths(v, prefix: str, out: list) -> None:
+    if isinstance(v, dict):
+        for k in sorted(v):
+            walk_paths(v[k], f"{prefix}.{k}" if prefix else k, out)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            walk_paths(x, f"{prefix}[{i}]", out)
+    elif prefix:
+        text = None if v is None else v if isinstance(v, str) else json.dumps(v)
+        out.append((prefix, kind_of(v), text))
+
+
+def paths_of(doc: Column) -> Column:
+    """All leaf paths of a document with their type and value as text, whatever the depth."""
+
+    def one(d):
+        out: list = []
+        walk_paths(d, "", out)
+        return [{"path": p, "type": t, "value": v} for p, t, v in out]
+
+    return _apply(one, "array<struct<path:string,type:string,value:string>>")(doc)
+
+
+NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+
+
+def walk_numbers(v):
+    if isinstance(v, dict):
+        return {k: walk_numbers(x) for k, x in v.items()}
+    if isinstance(v, list):
+        return [walk_numbers(x) for x in v]
+    if isinstance(v, str):
+        text = v.strip()
+        padded = len(text) > 1 and text[0] == "0" and text[1].isdigit()
+        if not padded and NUMBER.fullmatch(text):
+            return float(text)
+    return v
+
+
+def coerce_numbers(doc: Column) -> Column:
+    """Texts that look like numbers become numbers; a leading zero keeps them text."""
+    return _apply(lambda d: dump(walk_numbers(d)), "string")(doc)

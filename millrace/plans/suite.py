@@ -1,6 +1,6 @@
 """Loads every query module so that the registry is complete."""
 
-from . import suite_forecast, suite_series, suite_tables  # noqa: F401
+from . import suite_docs, suite_forecast, suite_series, suite_tables  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
