@@ -33,6 +33,10 @@ PERSONAL_DAYS = 90
 CONTROL_DAYS = 7 * 365
 
 
+def _mask_entry(entries: Column, name: str, replacement: str) -> Column:
+    return F.transform_values(entries, lambda k, v: F.when(k == name, F.lit(replacement)).otherwise(v))
+
+
 def redact(df: DataFrame, paths: Sequence[str] = REDACT_PATHS, replacement: str = REDACTED) -> DataFrame:
     """Replace the values at ``column.field`` or ``column`` paths; ``redacted_paths`` lists the hits.
 
@@ -48,7 +52,7 @@ def redact(df: DataFrame, paths: Sequence[str] = REDACT_PATHS, replacement: str
             present, masked = F.col(column).isNotNull(), F.lit(replacement)
         elif types[column].startswith("map<"):
             present = F.map_contains_key(F.col(column), F.lit(field))
-            masked = F.transform_values(column, lambda k, v, f=field: F.when(k == f, F.lit(replacement)).otherwise(v))
+            masked = _mask_entry(F.col(column), field, replacement)
         elif types[column].startswith("struct<") and field in df.select(f"{column}.*").columns:
             present = F.col(path).isNotNull()
             masked = F.col(column).withField(field, F.lit(replacement))

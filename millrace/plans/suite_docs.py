@@ -148,7 +148,7 @@ def payloads(spark, sf):
         "results": F.to_json(F.struct(objects.alias("Results"))),
         "pairs": F.to_json(F.struct(pairs.alias("prices"), pairs.alias("total_volumes"))),
         "keyed": F.to_json(keyed),
-        "hourly": F.to_json(F.struct(F.struct(key.alias("time"), price.alias("p")).alias("hourly"))),
+        "hourly": F.to_json(F.struct(F.lit(1.5).alias("latitude"), F.struct(key.alias("time"), price.alias("p")).alias("hourly"))),
         "header": F.to_json(F.concat(F.array(F.array(F.lit("k"), F.lit("p"))), cells)),
         "single": F.to_json(F.struct(F.size("o").alias("k"), F.array_max(price).alias("p"))),
     }
@@ -211,11 +211,13 @@ def _(spark, sf):
 
 @query(
     "fill_time_dims",
-    "select event_id, ts::date as date, case when event_type = 'view' then 1999 else year(ts)::int end as year, month(ts)::int as month from events",
+    "select event_id, strftime(ts, '%Y-%m-%d') as date, case when event_type = 'view' then 1999 else year(ts)::int end as year, month(ts)::int as month from events",
 )
 def _(spark, sf):
     rows = table(spark, sf, "events").withColumn("year", F.when(F.col("event_type") == "view", 1999))
-    return documents.fill_time_dims(rows, "ts").select("event_id", "date", "year", "month")
+    return documents.fill_time_dims(rows, "ts").select(
+        "event_id", F.col("date").cast("string").alias("date"), "year", "month"
+    )
 
 
 @query("coerce_measures", "select event_id, value as value, 1::bigint as kept from events")

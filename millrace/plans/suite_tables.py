@@ -421,9 +421,9 @@ query(
 )
 
 
-@query("anti_seen", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("anti_seen", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def _(spark, sf):
-    seen = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.anti_seen(table(spark, sf, "customer"), seen, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -515,9 +515,11 @@ def _(spark, sf):
     return c.intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("except_seen", "select c_custkey from customer except select o_custkey from orders")
+@query("except_seen", "select c_custkey from customer except select o_custkey from orders where o_orderpriority = '5-LOW'")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").exceptAll(table(spark, sf, "orders").select("o_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").exceptAll(
+        table(spark, sf, "orders").where("o_orderpriority = '5-LOW'").select("o_custkey").distinct()
+    )
 
 
 @query(
