@@ -208,7 +208,7 @@ def health_rollup(df: DataFrame, keys: Sequence[str], name: str, status: str) ->
 
 def label_key(labels: Column) -> Column:
     """``name=value`` pairs of a label map sorted by name."""
-    pairs = F.array_sort(F.map_entries(labels))
+    pairs = F.sort_array(F.map_entries(labels))
     return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,26 +48,8 @@ def _sign(x: Column) -> Column:
     return F.when(x > 0, "high").when(x < 0, "low").otherwise("change")
 
 
-def _middle(ordered: Column, skip: Column, size: Column) -> Column:
-    """Median of ``size`` elements of a sorted array after skipping ``skip``."""
-    lower = F.get(ordered, (skip + F.floor((size - 1) / 2)).cast("int"))
-    upper = F.get(ordered, (skip + F.floor(size / 2)).cast("int"))
-    return (lower + upper) / 2
-
-
-def median_of(ordered: Column) -> Column:
-    return _middle(ordered, F.lit(0), F.size(ordered))
-
-
-def halves_of(ordered: Column) -> tuple[Column, Column]:
-    """Tukey quartiles of a sorted array: the medians of its lower and upper half."""
-    n = F.size(ordered)
-    half = F.floor(n / 2)
-    return _middle(ordered, F.lit(0), half), _middle(ordered, n - half, half)
-
-
 def prior_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    """Statistics of the ``window`` rows before each row; one sort serves all rolling detectors."""
+    """Count, mean and deviation of the ``window`` rows before each row."""
     haloed = with_halo(indexed, before=cfg.window, block_rows=cfg.block_rows)
     w = block_window(keys).rowsBetween(-cfg.window, -1)
     stats = haloed.select(
@@ -73,9 +57,8 @@ def prior_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
         F.count("value").over(w).alias("__n"),
         F.avg("value").over(w).alias("__mean"),
         F.stddev_pop("value").over(w).alias("__std"),
-        F.collect_list("value").over(w).alias("__list"),
     )
-    return own_rows(stats).withColumn("__sorted", F.array_sort("__list"))
+    return own_rows(stats)
 
 
 def _findings(df: DataFrame, keys: Sequence[str], method: str, score: Column, direction: Column) -> DataFrame:
@@ -90,25 +73,73 @@ def zscore(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFra
     return _findings(hit, keys, "rolling_zscore", F.abs(z), _sign(z))
 
 
-def mad(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    ready = stats.where(F.col("__n") >= 5).withColumn("__med", median_of(F.col("__sorted")))
-    ready = ready.withColumn(
-        "__mad", median_of(F.array_sort(F.transform("__sorted", lambda x: F.abs(x - F.col("__med")))))
+def medians(ordered: np.ndarray, low: int, n: int) -> np.ndarray:
+    """Median of ``n`` columns from ``low`` on, per row of sorted windows."""
+    return (ordered[:, low + (n - 1) // 2] + ordered[:, low + n // 2]) / 2
+
+
+def order_statistics(v: np.ndarray, own: int, window: int) -> np.ndarray:
+    """Count, median, MAD and Tukey quartiles of the window before each of the last ``own`` values."""
+    out = np.full((5, own), np.nan)
+    out[0] = 0
+    offset = len(v) - own
+
+    def fill(windows: np.ndarray, at: slice) -> None:
+        n = windows.shape[1]
+        ordered = np.sort(windows, axis=1)
+        med = medians(ordered, 0, n)
+        gaps = np.sort(np.abs(windows - med[:, None]), axis=1)
+        half = n // 2
+        low, high = (medians(ordered, 0, half), medians(ordered, n - half, half)) if half else (med, med)
+        out[:, at] = [np.full(len(med), n), med, medians(gaps, 0, n), low, high]
+
+    # only the head of a series has shorter windows
+    head = min(max(window - offset, 0), own)
+    for i in range(head):
+        if offset + i:
+            fill(v[None, : offset + i], slice(i, i + 1))
+    if own > head:
+        begin = offset + head - window
+        fill(np.lib.stride_tricks.sliding_window_view(v[begin : len(v) - 1], window), slice(head, own))
+    return out
+
+
+def robust_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    """Order statistics of the ``window`` rows before each row, sorted block-wise with numpy.
+
+    A block is one row with its values and the ``window`` values before it.
+    """
+    window = cfg.window
+    haloed = with_halo(indexed, before=window, block_rows=cfg.fold_block)
+    rows = F.sort_array(F.collect_list(F.struct("idx", "value", "ts", "__own")))
+    packed = haloed.groupBy(*keys, "__blk").agg(rows.alias("r"))
+    own = F.filter("r", lambda x: x["__own"])
+    blocks = packed.select(*keys, F.col("r.value").alias("v"), own.alias("own")).where(F.size("own") > 0)
+
+    def run(v: pd.Series, n: pd.Series) -> pd.DataFrame:
+        stats = [order_statistics(np.asarray(a, dtype=float), int(k), window) for a, k in zip(v, n, strict=True)]
+        return pd.DataFrame({c: [s[i] for s in stats] for i, c in enumerate(("n", "med", "mad", "q1", "q3"))})
+
+    kind = "struct<n:array<double>,med:array<double>,mad:array<double>,q1:array<double>,q3:array<double>>"
+    done = blocks.withColumn("s", F.pandas_udf(run, kind)("v", F.size("own")))
+    zipped = F.arrays_zip("own", *[F.col(f"s.{c}").alias(c) for c in ("n", "med", "mad", "q1", "q3")])
+    return done.select(*keys, F.explode(zipped).alias("z")).select(
+        *keys, "z.own.idx", "z.own.ts", "z.own.value", *[F.col(f"z.{c}").alias(f"__{c}") for c in ("n", "med", "mad", "q1", "q3")]
     )
+
+
+def mad(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
     # 0.6745 is the normal quantile that makes the MAD comparable to a deviation
     z = F.lit(0.6745) * (F.col("value") - F.col("__med")) / F.col("__mad")
-    hit = ready.where(F.col("__mad") > TINY).where(F.abs(z) >= cfg.threshold)
+    hit = stats.where((F.col("__n") >= 5) & (F.col("__mad") > TINY)).where(F.abs(z) >= cfg.threshold)
     return _findings(hit, keys, "rolling_mad", F.abs(z), _sign(z))
 
 
 def iqr(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    q1, q3 = halves_of(F.col("__sorted"))
-    ready = stats.where(F.col("__n") >= 8).withColumn("__q1", q1).withColumn("__q3", q3)
-    spread = F.col("__q3") - F.col("__q1")
+    spread, x = F.col("__q3") - F.col("__q1"), F.col("value")
     low, high = F.col("__q1") - 1.5 * spread, F.col("__q3") + 1.5 * spread
     unit = F.greatest(F.lit(TINY), spread)
-    x = F.col("value")
-    hit = ready.where((x < low) | (x > high))
+    hit = stats.where(F.col("__n") >= 8).where((x < low) | (x > high))
     score = F.when(x < low, (low - x) / unit).otherwise((x - high) / unit)
     return _findings(hit, keys, "rolling_iqr", score, F.when(x < low, "low").otherwise("high"))
 
@@ -221,10 +252,12 @@ def page_hinkley(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
 
 
 def detect(indexed: DataFrame, keys: Sequence[str], method: str, cfg: AnomalyConfig) -> DataFrame:
-    rolling = {"rolling_zscore": zscore, "rolling_mad": mad, "rolling_iqr": iqr}
+    robust = {"rolling_mad": mad, "rolling_iqr": iqr}
     others = {"seasonal_residual": seasonal, "cusum": cusum, "ewma_control": ewma_control, "page_hinkley": page_hinkley}
-    if method in rolling:
-        return rolling[method](prior_window(indexed, keys, cfg), keys, cfg)
+    if method == "rolling_zscore":
+        return zscore(prior_window(indexed, keys, cfg), keys, cfg)
+    if method in robust:
+        return robust[method](robust_window(indexed, keys, cfg), keys, cfg)
     if method in others:
         return others[method](indexed, keys, cfg)
     if method == "auto":
@@ -249,8 +282,8 @@ def detect_auto(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
     Equal scores keep the detector that comes first in ``AUTO_ORDER``.
     """
     keys = list(keys)
-    stats = prior_window(indexed, keys, cfg)
-    found = [f(stats, keys, cfg) for f in (zscore, mad, iqr)]
+    robust = robust_window(indexed, keys, cfg)
+    found = [zscore(prior_window(indexed, keys, cfg), keys, cfg), mad(robust, keys, cfg), iqr(robust, keys, cfg)]
     found += [cusum(indexed, keys, cfg), ewma_control(indexed, keys, cfg), page_hinkley(indexed, keys, cfg)]
     if cfg.season_length > 1:
         found.append(seasonal(indexed, keys, cfg))
@@ -263,7 +296,7 @@ def detect_auto(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
         F.max_by("ts", best).alias("ts"),
         F.max_by("value", best).alias("value"),
         F.max("score").alias("score"),
-        F.array_join(F.array_sort(F.collect_set("method")), ",").alias("method"),
+        F.array_join(F.sort_array(F.collect_set("method")), ",").alias("method"),
         F.max_by("direction", best).alias("direction"),
     )
 

@@ -54,7 +54,7 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
     rows = materialize(rows)
     blocked = rows.withColumn("blk", F.floor(F.col("idx") / F.lit(block)).cast("bigint"))
     packed = materialize(
-        blocked.groupBy(*keys, "blk").agg(F.array_sort(F.collect_list(F.struct("idx", "__text"))).alias("rows"))
+        blocked.groupBy(*keys, "blk").agg(F.sort_array(F.collect_list(F.struct("idx", "__text"))).alias("rows"))
     )
 
     def run(texts: pd.Series, entry: pd.Series) -> pd.Series:
@@ -107,5 +107,5 @@ def verify_envelope(df: DataFrame, columns: Sequence[str], stored: str, previous
 
 def observation_id(fields: Sequence[Column], meta: Column) -> Column:
     """SHA-256 over the fields and the sorted ``name=value`` pairs of the metadata map."""
-    pairs = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.sha2(F.array_join(F.concat(F.array(*fields), F.coalesce(pairs, F.array().cast("array<string>"))), "|"), 256)

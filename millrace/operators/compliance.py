@@ -108,5 +108,5 @@ def attest(doc: Column) -> Column:
 
 def change_records(df: DataFrame, detail: str) -> DataFrame:
     """Sorted names of the fields present in the detail document, as ``fields``."""
-    names = F.array_sort(F.map_keys(F.from_json(detail, "map<string,string>")))
+    names = F.sort_array(F.map_keys(F.from_json(detail, "map<string,string>")))
     return df.withColumn("fields", F.coalesce(names, F.array().cast("array<string>")))

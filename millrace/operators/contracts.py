@@ -40,7 +40,7 @@ def validate_rules(doc: Column, rules: Sequence[tuple[str, str, bool]]) -> Colum
                 wrong, F.concat(F.lit(f"type_mismatch:{path}:{want}:"), got)
             )
         )
-    return F.array_sort(_list(*found))
+    return F.sort_array(_list(*found))
 
 
 # --- JSON Schema contracts --------------------------------------------------------------------

@@ -98,4 +98,4 @@ def merge_labels(base: Column, extra: Column) -> Column:
     """Both maps in one; ``extra`` wins, names are lower-case and sorted."""
     tidy = lambda m: F.transform_keys(m, lambda k, v: F.lower(F.trim(k)))
     kept = F.map_filter(tidy(base), lambda k, v: ~F.map_contains_key(tidy(extra), k))
-    return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, tidy(extra)))))
+    return F.map_from_entries(F.sort_array(F.map_entries(F.map_concat(kept, tidy(extra)))))

@@ -118,7 +118,7 @@ def expand_records(df: DataFrame, payload: str) -> DataFrame:
     )
     entries = F.map_entries(m)
     by_id = F.transform(
-        F.array_sort(F.map_keys(m)),
+        F.sort_array(F.map_keys(m)),
         lambda k: F.to_variant_object(
             F.map_concat(
                 F.create_map(F.lit("crypto_id"), F.parse_json(F.to_json(F.array(k))).cast("array<variant>")[0]),

@@ -69,7 +69,7 @@ def lttb(indexed: DataFrame, keys: Sequence[str], points: int, piece: int = PIEC
     )
 
     def reduce_hull(frame: DataFrame, group: list[str]) -> DataFrame:
-        fields = F.array_sort(F.collect_list(F.struct("idx", "x", "value", "ts")))
+        fields = F.sort_array(F.collect_list(F.struct("idx", "x", "value", "ts")))
         packed = frame.groupBy(*group).agg(fields.alias("p"))
 
         def pick(idx: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 
 BLOCK = 4096
 FAN = 4096
@@ -43,7 +43,7 @@ def pack_blocks(indexed: DataFrame, keys: Sequence[str], carry: Sequence[str] =
     packed = (
         indexed.withColumn("blk", F.floor(F.col("idx") / F.lit(block)).cast("bigint"))
         .groupBy(*keys, "blk")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
     )
     return packed.select(
         *keys,
@@ -80,7 +80,7 @@ def _unpack(folded: DataFrame, keys: Sequence[str], carry: Sequence[str], output
     )
 
 
-def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.ndarray], fan: int) -> DataFrame:
+def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.ndarray], fan: int, longest: int) -> DataFrame:
     """Entry state of every span from the spans' (start, n, b); spans of one key are numbered by ``blk``."""
     schema = f"{_ddl(spans, keys)}, blk bigint, entry array<double>"
 
@@ -96,8 +96,7 @@ def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.nd
         out["entry"] = entries
         return out
 
-    longest = spans.agg(F.max("blk")).first()[0]
-    if longest is None or longest < fan:
+    if longest < fan:
         return spans.groupBy(*keys).applyInPandas(scan, schema)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,10 +110,11 @@ def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.nd
         out["start"], out["n"], out["b"] = int(head["start"].iloc[0]), int(pdf["n"].sum()), [b.tolist()]
         return out
 
-    grouped = spans.withColumn("__g", F.floor(F.col("blk") / F.lit(fan)).cast("bigint"))
+    # the levels read the spans twice, so they are written once
+    grouped = materialize(spans).withColumn("__g", F.floor(F.col("blk") / F.lit(fan)).cast("bigint"))
     wide = f"{_ddl(spans, keys)}, blk bigint, start bigint, n bigint, b array<double>"
-    upper = materialize(grouped.groupBy(*keys, "__g").applyInPandas(combine, wide))
-    above = _chain(upper, keys, matrix, fan).withColumnsRenamed({"blk": "__g", "entry": "given"})
+    upper = grouped.groupBy(*keys, "__g").applyInPandas(combine, wide)
+    above = _chain(upper, keys, matrix, fan, longest // fan).withColumnsRenamed({"blk": "__g", "entry": "given"})
     return grouped.join(above, [*keys, "__g"]).groupBy(*keys, "__g").applyInPandas(scan, schema)
 
 
@@ -123,6 +123,20 @@ def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
+def _started(indexed: DataFrame, keys: list[str], initial: DataFrame, carry: Sequence[str], block: int) -> DataFrame:
+    """Packed blocks with their start state; rows before ``first`` are cut off the opening block.
+
+    The start states meet the blocks, not the rows, so the join moves one row per block.
+    """
+    packed = pack_blocks(indexed, keys, carry, block).join(initial, keys)
+    skip = F.greatest(F.col("first") - F.col("start"), F.lit(0)).cast("int")
+    cut = lambda c: F.when(skip > 0, F.slice(c, skip + 1, F.greatest(F.size(c) - skip, F.lit(0)))).otherwise(F.col(c))
+    kept = packed.where(F.col("start") + F.col("n") > F.col("first"))
+    return kept.withColumns(
+        {c: cut(c) for c in ("v", *carry)} | {"start": F.col("start") + skip, "n": F.col("n") - skip}
+    )
+
+
 def linear_fold(
     indexed: DataFrame,
     keys: Sequence[str],
@@ -140,18 +154,17 @@ def linear_fold(
     ``first`` is the position the fold starts at; earlier rows are left out.
     """
     keys = list(keys)
-    initial = broadcast_if_small(materialize(initial))
-    rows = indexed.join(initial, keys).where(F.col("idx") >= F.col("first")).drop("state", "params", "first")
-    packed = materialize(pack_blocks(rows, keys, carry, block).join(initial, keys))
+    packed = materialize(_started(indexed, keys, initial, carry, block))
     opening = F.col("start") == F.col("first")
     fold = _fold_udf(step)
     zero = F.array_repeat(F.lit(0.0), width)
-    if packed.where(~opening).limit(1).count() == 0:
+    longest, followers = packed.agg(F.max("blk"), F.count_if(~opening)).first()
+    if not followers:
         entered = packed.withColumn("entry", F.col("state"))
     else:
         local = packed.withColumn("__r", fold("v", "start", F.when(opening, F.col("state")).otherwise(zero), "params"))
-        spans = materialize(local.select(*keys, "blk", "start", "n", F.col("__r.state").alias("b")))
-        entered = packed.join(_chain(spans, keys, matrix, fan), [*keys, "blk"]).withColumn(
+        spans = local.select(*keys, "blk", "start", "n", F.col("__r.state").alias("b"))
+        entered = packed.join(_chain(spans, keys, matrix, fan, longest), [*keys, "blk"]).withColumn(
             "entry", F.when(opening, F.col("state")).otherwise(F.col("entry"))
         )
     return _unpack(entered.withColumn("__r", fold("v", "start", "entry", "params")), keys, carry, outputs)
@@ -202,9 +215,7 @@ def reset_fold(
 ) -> DataFrame:
     """Fold with resets; ``guess`` is the entry state tried first for blocks after the opening one."""
     keys = list(keys)
-    initial = broadcast_if_small(materialize(initial))
-    rows = indexed.join(initial, keys).where(F.col("idx") >= F.col("first")).drop("state", "params", "first")
-    packed = materialize(pack_blocks(rows, keys, carry, block).join(initial, keys))
+    packed = materialize(_started(indexed, keys, initial, carry, block))
     opening = F.col("start") == F.col("first")
     guessed = F.col("state") if guess is None else F.when(opening, F.col("state")).otherwise(guess)
     entries = packed.select(*keys, "blk", guessed.alias("entry"))

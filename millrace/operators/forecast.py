@@ -84,7 +84,7 @@ def drift_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) ->
 def _first_values(indexed: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` values of every series as an array, for series that have that many."""
     head = indexed.where(F.col("idx") < n).groupBy(*keys)
-    rows = head.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("__h"))
+    rows = head.agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("__h"))
     return rows.where(F.size("__h") == n).select(*keys, F.col("__h.value").alias("h"))
 
 

@@ -56,7 +56,7 @@ def rules_join(df: DataFrame, action: str, rules: Sequence[tuple[str, Sequence[s
             ]
         )
     )
-    found = F.array_sort(F.array_distinct(hits))
+    found = F.sort_array(F.array_distinct(hits))
     return df.withColumn("controls", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback))))
 
 

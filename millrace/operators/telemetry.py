@@ -18,7 +18,7 @@ def normalize_labels(labels: Column) -> Column:
     Blank, oversized and ill-formed names are left out. When two names become equal the one that
     sorts last wins.
     """
-    entries = F.array_sort(F.map_entries(labels))
+    entries = F.sort_array(F.map_entries(labels))
     tidy = F.transform(
         entries,
         lambda e: F.struct(
@@ -26,14 +26,14 @@ def normalize_labels(labels: Column) -> Column:
         ),
     )
     good = F.filter(tidy, lambda e: (F.length(e["key"]) <= MAX_NAME) & e["key"].rlike(NAME))
-    names = F.slice(F.array_sort(F.array_distinct(F.transform(good, lambda e: e["key"]))), 1, MAX_PAIRS)
+    names = F.slice(F.sort_array(F.array_distinct(F.transform(good, lambda e: e["key"]))), 1, MAX_PAIRS)
     last = lambda n: F.element_at(F.filter(good, lambda e: e["key"] == n), -1)["value"]
     return F.map_from_arrays(names, F.transform(names, last))
 
 
 def fingerprint(labels: Column) -> Column:
     """SHA-256 over the sorted names and values, each ended by NUL; empty for no labels."""
-    pairs = F.array_sort(F.map_entries(labels))
+    pairs = F.sort_array(F.map_entries(labels))
     text = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\0"), e["value"], F.lit("\0"))), "")
     return F.when(F.size(labels) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
 

@@ -62,7 +62,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = sinks.scratch(spark, "json-batch")
     docs = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice")))).alias("value")
+        F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))).alias("value")
     )
     docs.select("value").write.option("lineSep", "\n").text(path)
     lines = spark.read.text(path)
@@ -109,7 +109,7 @@ def _(spark, sf):
         F.lit("<item><title> order "), F.col("o_orderkey").cast("string"), F.lit("</title><link>http://shop.example/"),
         F.col("o_orderkey").cast("string"), F.lit("</link></item>"),
     )
-    feeds = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("x")))).alias("i"))
+    feeds = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", item.alias("x")))).alias("i"))
     xml = F.concat(F.lit("<rss><channel><title>orders</title>"), F.array_join("i.x", ""), F.lit("</channel></rss>"))
     return readers.read_feeds(feeds.select("o_custkey", xml.alias("xml")), "xml", 20)
 
@@ -301,7 +301,7 @@ def _(spark, sf):
         )
     )
     rows = table(spark, sf, "events").withColumn("v", F.parse_json(doc))
-    problems = F.array_sort(contracts.validate_contract(SCHEMA, F.col("v")))
+    problems = F.sort_array(contracts.validate_contract(SCHEMA, F.col("v")))
     return rows.select("event_id", F.array_join(problems, ",").alias("problems"))
 
 

@@ -338,7 +338,7 @@ def _(spark, sf):
     count(distinct o_orderpriority) as n from orders group by 1""",
 )
 def _(spark, sf):
-    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"))
+    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("s"))
     return sets.select("o_custkey", F.array_join("s", ",").alias("priorities"), F.size("s").cast("bigint").alias("n"))
 
 
