@@ -68,9 +68,16 @@ def main() -> None:
         taken = []
         for attempt in range(runs + 1):
             begin = time.perf_counter()
-            fn(spark, sf).write.format("noop").mode("overwrite").save()
+            try:
+                fn(spark, sf).write.format("noop").mode("overwrite").save()
+            except Exception as error:  # noqa: BLE001
+                print(f"{name} failed: {error}", file=sys.stderr, flush=True)
+                taken = []
+                break
             if attempt or runs == 0:
                 taken.append(time.perf_counter() - begin)
+        if not taken:
+            continue
         times[name] = round(statistics.median(taken), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))

@@ -101,11 +101,17 @@ def outliers_iqr(df: DataFrame, keys: Sequence[str], value: str, k: float = 1.5)
 # --- correlation ------------------------------------------------------------------------------
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson r over the pairs without NULL; 0 where it is undefined (``corr`` would fail there)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
+
+
 def pearson(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Pair count and Pearson r; r is 0 for fewer than two pairs or without variance."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    r = F.coalesce(F.nanvl(F.corr(F.col(a), F.col(b)), F.lit(0.0)), F.lit(0.0))
-    return df.where(both).groupBy(*keys).agg(F.count("*").alias("n"), r.alias("r"))
+    return df.where(both).groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
 
 
 def with_pvalue(stats: DataFrame) -> DataFrame:
@@ -134,13 +140,13 @@ def corr_matrix(df: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()
     """Pearson r of every pair of measures in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(measures) for b in measures[i + 1 :]]
     wide = df.groupBy(*keys).agg(
-        *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+        *[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
         *[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)],
     )
     cells = [
         F.struct(
             F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"),
-            F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0)).alias("r"),
+            F.col(f"r{i}").alias("r"),
         )
         for i, (a, b) in enumerate(pairs)
     ]

@@ -20,7 +20,6 @@ A block is one row with an array of values, bounded by ``BLOCK``; Python sees on
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -285,20 +284,25 @@ def seasonal_step(alpha: float, beta: float, gamma: float, p: int, horizon: int)
     return step
 
 
-def seasonal_matrix(alpha: float, beta: float, gamma: float, p: int):
+class SeasonalMatrix:
     """The matrix of ``n`` steps from phase ``start % p``: unit states folded over zero inputs."""
-    step = seasonal_step(alpha, beta, gamma, p, 0)
-
-    @lru_cache(maxsize=4096)
-    def from_phase(phase: int, n: int) -> np.ndarray:
-        if n > 2 * p:
-            whole, rest = divmod(n, p)
-            season = from_phase(phase, p)
-            return from_phase(phase, rest) @ np.linalg.matrix_power(season, whole)
-        columns = [step(np.zeros(n), phase, row.tolist(), [])[0] for row in np.eye(p + 2)]
-        return np.array(columns).T
 
-    return lambda start, n: from_phase(start % p, n)
+    def __init__(self, alpha: float, beta: float, gamma: float, p: int):
+        self.step = seasonal_step(alpha, beta, gamma, p, 0)
+        self.p = p
+        self.known: dict = {}
+
+    def __call__(self, start: int, n: int) -> np.ndarray:
+        at = (start % self.p, n)
+        if at not in self.known:
+            seasons, rest = divmod(n, self.p)
+            whole = np.linalg.matrix_power(self._fold(at[0], self.p), seasons)
+            self.known[at] = self._fold(at[0], rest) @ whole
+        return self.known[at]
+
+    def _fold(self, phase: int, n: int) -> np.ndarray:
+        columns = [self.step(np.zeros(n), phase, unit.tolist(), [])[0] for unit in np.eye(self.p + 2)]
+        return np.array(columns).T
 
 
 def cusum_step(v, start, state, params):

@@ -150,7 +150,7 @@ def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastCon
         indexed,
         keys,
         folds.seasonal_step(cfg.alpha, cfg.beta, cfg.gamma, p, cfg.horizon),
-        folds.seasonal_matrix(cfg.alpha, cfg.beta, cfg.gamma, p),
+        folds.SeasonalMatrix(cfg.alpha, cfg.beta, cfg.gamma, p),
         start,
         p + 2,
         ["level", "trend", *ahead],

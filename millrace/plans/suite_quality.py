@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compliance, contracts, features, quarantine
 from ..functions.hashing import record_id
-from ..session import materialize
+from ..session import materialize, scratch
 from ..sources import readers, sinks
 from .registry import query, table
 from .suite_tables import RUNS_SQL, runs, stamp
@@ -60,7 +60,7 @@ def _(spark, sf):
 
 @query("src_json_batch", "select count(*) as documents, sum(o_orderkey)::bigint as keys from orders")
 def _(spark, sf):
-    path = sinks.scratch(spark, "json-batch")
+    path = scratch(spark, "json-batch")
     docs = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))).alias("value")
     )
@@ -76,7 +76,7 @@ def _(spark, sf):
     from events group by 2, 3""",
 )
 def _(spark, sf):
-    path = sinks.scratch(spark, "ts-payload")
+    path = scratch(spark, "ts-payload")
     e = table(spark, sf, "events")
     point = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.col("value"))
     key = F.struct(
@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("sink_results", "select event_type as profile_id, count(*) * 2 as n, 2::bigint as runs from events group by 1")
 def _(spark, sf):
-    path = sinks.scratch(spark, "results")
+    path = scratch(spark, "results")
     for run in ("run-1", "run-2"):
         sinks.append_results(results(spark, sf), path, run)
     return spark.read.parquet(path).groupBy("profile_id").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
@@ -135,7 +135,7 @@ def _(spark, sf):
       (select count(*) from events) - (select count(*) from records where profile_id = 'view')""",
 )
 def _(spark, sf):
-    path = sinks.scratch(spark, "records")
+    path = scratch(spark, "records")
     rows = records(spark, sf)
     first = sinks.insert_records(rows.where("profile_id <> 'view'"), path, ["timestamp", "id"]).withColumn("step", F.lit(1).cast("bigint"))
     first = materialize(first)  # counted before the second insert adds to the table
@@ -158,7 +158,7 @@ def _(spark, sf):
 
 @query("sink_series", "select event_type as metric, strftime(ts, '%Y-%m-%d') as day, count(*) as points from events group by 1, 2")
 def _(spark, sf):
-    path = sinks.scratch(spark, "series")
+    path = scratch(spark, "series")
     points = table(spark, sf, "events").select(
         F.lit("t1").alias("tenant_id"), F.lit("app").alias("namespace"), F.col("event_type").alias("metric"), "ts", "value"
     )
@@ -169,7 +169,7 @@ def _(spark, sf):
 
 @query("sink_csv", "select c_custkey, c_name, c_acctbal from customer")
 def _(spark, sf):
-    path = sinks.scratch(spark, "csv")
+    path = scratch(spark, "csv")
     sinks.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
     return spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").option("header", True).csv(path)
 
@@ -187,7 +187,7 @@ def feature_points(spark, sf):
 
 @query("export_tenant", "select tenant_id, count(*) as points, round(sum(value), 4) as total from (select event_type as tenant_id, value from events where event_type = 'click') group by 1")
 def _(spark, sf):
-    path = sinks.scratch(spark, "tenant")
+    path = scratch(spark, "tenant")
     points = feature_points(spark, sf)
     sinks.export_tenant(points, "click", path)
     back = spark.read.schema(points.schema).json(path)
@@ -196,7 +196,7 @@ def _(spark, sf):
 
 @query("import_tenant", "select event_type as tenant_id, count(*) as added from events where event_type = 'click' and value >= 50 group by 1")
 def _(spark, sf):
-    path = sinks.scratch(spark, "tenant")
+    path = scratch(spark, "tenant")
     points = feature_points(spark, sf)
     sinks.export_tenant(points, "click", path)
     stored = points.where("tenant_id <> 'click' or value < 50")

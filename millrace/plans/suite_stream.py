@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.sinks import scratch
+from ..session import scratch
 from ..streaming import jobs
 from .registry import query, table
 from .suite_series import ALL_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +46,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, on storage that all executors share; gone with the session."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+    """Write ``df`` as a table in the shared checkpoint folder and go on from the written copy.
 
     Used where a later step must see the very same rows twice (positions taken from a range
-    shuffle, the rounds of an iterative fold): the copy survives the loss of executors.
+    shuffle, the rounds of an iterative fold): the copy survives the loss of executors. A written
+    table, unlike ``checkpoint``, also gives the planner its true size, so joins of small results
+    are broadcast, and later readers prune its columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets
 from ..operators.dedupe import first_per_key
-from ..session import ensure_checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints, on storage that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
