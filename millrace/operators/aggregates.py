@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import with_scalar
 from .positions import with_position
 
 
@@ -285,5 +286,4 @@ def heat_grid(df: DataFrame, x: str, y: str, value: str, order: Sequence[str], m
         F.max_by(value, F.struct(*order)).alias("value"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
     )
     scale = grid.agg(F.min("__lo").alias("min"), F.max("__hi").alias("max"))
-    # one row: the scale of at most max_x * max_y cells
-    return grid.drop("__lo", "__hi").crossJoin(F.broadcast(scale))
+    return with_scalar(grid.drop("__lo", "__hi"), scale)

@@ -123,7 +123,8 @@ def robust_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -
     kind = "struct<n:array<double>,med:array<double>,mad:array<double>,q1:array<double>,q3:array<double>>"
     done = blocks.withColumn("s", F.pandas_udf(run, kind)("v", F.size("own")))
     zipped = F.arrays_zip("own", *[F.col(f"s.{c}").alias(c) for c in ("n", "med", "mad", "q1", "q3")])
-    return done.select(*keys, F.explode(zipped).alias("z")).select(
+    # the outer form keeps the planner from sorting once more to filter empty blocks
+    return done.select(*keys, F.explode_outer(zipped).alias("z")).where("z is not null").select(
         *keys, "z.own.idx", "z.own.ts", "z.own.value", *[F.col(f"z.{c}").alias(f"__{c}") for c in ("n", "med", "mad", "q1", "q3")]
     )
 

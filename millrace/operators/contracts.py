@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .documents import get_path
+from .positions import with_position, with_previous
 
 
 def _list(*tokens: Column) -> Column:
@@ -225,10 +226,11 @@ def validate_metric() -> Column:
 def case_transitions(history: DataFrame, keys: Sequence[str], order: Sequence[str], status: str = "status") -> DataFrame:
     """Status changes the transition table does not allow.
 
-    A case's history is bounded by its status changes; repeated states are no change.
+    Repeated states are no change. The previous state is looked up block by block, so a case with
+    very many rows is spread over tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    moved = history.withColumn("from_status", F.lag(status).over(w)).where(F.col("from_status") != F.col(status))
+    placed = with_previous(with_position(history, keys, order), keys, [status]).drop("idx")
+    moved = placed.withColumnRenamed(f"prev_{status}", "from_status").where(F.col("from_status") != F.col(status))
     allowed = F.lit(False)
     for state, following in CASE_MOVES.items():
         if following:

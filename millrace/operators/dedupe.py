@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .positions import with_position
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
     """The first (or last) row per key in a total order, as an aggregation with partial merging.
@@ -70,11 +72,9 @@ def compact_series(
 def cap_series(points: DataFrame, series: Sequence[str], ts: str, max_points: int) -> DataFrame:
     """The first ``max_points`` points of every series: a limit the stored chunk format has.
 
-    A ``row_number`` filter this small is applied before the shuffle as well, so hot series are cut
-    where they are read.
+    Points are numbered from a range shuffle, so a hot series is cut without passing one task.
     """
-    w = Window.partitionBy(*series).orderBy(ts)
-    return points.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_points).drop("__r")
+    return with_position(points, series, [ts], "__r").where(F.col("__r") < max_points).drop("__r")
 
 
 def upsert_points(stored: DataFrame, incoming: DataFrame, key: Sequence[str], seq: str) -> DataFrame:

@@ -74,7 +74,9 @@ def match_profile(df: DataFrame, rules: Sequence[tuple[str, Mapping[str, str]]])
 
 def flatten_paths(df: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
     """One row per leaf of every document: ``path``, ``type``, ``value``."""
-    return df.select(*keys, F.explode(docs.paths_of(F.col(doc))).alias("leaf")).select(*keys, "leaf.*")
+    # the outer form keeps the planner from computing the leaves once more as a filter
+    leaves = df.select(*keys, F.explode_outer(docs.paths_of(F.col(doc))).alias("leaf"))
+    return leaves.where(F.col("leaf").isNotNull()).select(*keys, "leaf.*")
 
 
 # --- expansion --------------------------------------------------------------------------------
@@ -93,20 +95,53 @@ def expand_records(df: DataFrame, payload: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c != payload]
     v = F.try_parse_json(payload)
-    top = df.select(*rest, v.alias("__v"), F.from_json(payload, "map<string,variant>").alias("__m")).where("__v is not null")
-    array_of = lambda c: F.when(_is(c, "ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
-    obj = F.when(_is(F.col("__v"), "OBJECT"), F.col("__m"))
-    top = top.withColumn("__m", obj).withColumn("__a", array_of(F.col("__v")))
-    m, a = F.col("__m"), F.col("__a")
-    field = lambda name: F.try_element_at(m, F.lit(name))
-    pair = lambda c, i: F.try_variant_get(c, f"$[{i}]", "variant")
+    fields = F.when(_is(v, "OBJECT"), F.from_json(payload, "map<string,variant>"))
+    parsed = F.struct(v.alias("v"), fields.alias("m"), _array_of(v).alias("a"))
+    records = let(parsed, lambda p: _records(p["v"], p["m"], p["a"]))
+    # the outer form keeps the planner from computing the records once more as a filter
+    rows = df.where(v.isNotNull()).select(*rest, F.posexplode_outer(records).alias("pos", "record"))
+    return rows.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that loops over array elements do not compute it again per element."""
+    return F.transform(F.array(value), body)[0]
 
-    prices, caps, vols = (array_of(field(n)) for n in ("prices", "market_caps", "total_volumes"))
-    length = F.least(
-        F.size(prices), F.nullif(F.greatest(F.size(caps), F.lit(0)), F.lit(0)), F.nullif(F.greatest(F.size(vols), F.lit(0)), F.lit(0))
+
+def _array_of(c: Column) -> Column:
+    return F.when(_is(c, "ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
+
+
+def _records(v: Column, m: Column, a: Column) -> Column:
+    """Records of one parsed payload: ``m`` its fields if an object, ``a`` its elements if an array."""
+    field = lambda name: F.try_element_at(m, F.lit(name))
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    lists = F.struct(*[_array_of(field(n)).alias(n) for n in ("prices", "market_caps", "total_volumes")])
+    hourly = F.try_variant_get(field("hourly"), "$", "map<string,variant>")
+    clock = _array_of(F.try_element_at(hourly, F.lit("time")))
+    objects = (F.size(m) > 0) & F.forall(F.map_values(m), lambda x: _is(x, "OBJECT"))
+    header = F.try_variant_get(F.get(a, F.lit(0)), "$", "array<string>")
+    result_key = F.get(F.filter(F.map_keys(m), lambda k: F.lower(k) == "results"), F.lit(0))
+    results = _array_of(F.try_element_at(m, result_key))
+    return (
+        F.when(has(_array_of(field("prices"))), let(lists, _quotes))
+        .when(F.coalesce(objects, F.lit(False)), _by_id(m))
+        .when(has(clock), let(hourly, _by_hour))
+        .when(has(a) & _is(F.get(a, F.lit(0)), "ARRAY") & _is(F.get(a, F.lit(1)), "ARRAY"), let(header, lambda h: _named(h, a)))
+        .when(a.isNotNull(), a)
+        .when(results.isNotNull(), results)
+        .otherwise(F.array(v))
     )
-    quotes = F.transform(
-        F.slice(prices, 1, F.coalesce(length, F.lit(0))),
+
+
+def _quotes(lists: Column) -> Column:
+    """Time, price, cap and volume from parallel lists of pairs; the shortest filled list decides."""
+    prices, caps, vols = lists["prices"], lists["market_caps"], lists["total_volumes"]
+    filled = lambda c: F.nullif(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    length = F.least(F.size(prices), filled(caps), filled(vols))
+    pair = lambda c, i: F.try_variant_get(c, f"$[{i}]", "variant")
+    return F.transform(
+        F.slice(prices, 1, length),
         lambda p, i: F.to_variant_object(
             F.struct(
                 pair(p, 0).alias("timestamp"),
@@ -116,44 +151,39 @@ def expand_records(df: DataFrame, payload: str) -> DataFrame:
             )
         ),
     )
-    entries = F.map_entries(m)
-    by_id = F.transform(
-        F.sort_array(F.map_keys(m)),
-        lambda k: F.to_variant_object(
+
+
+def _by_id(m: Column) -> Column:
+    """One record per key, in key order, with the key as ``crypto_id``."""
+    text = lambda k: F.try_variant_get(F.parse_json(F.to_json(F.array(k))), "$[0]", "variant")
+    entries = F.sort_array(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
+    return F.transform(
+        entries,
+        lambda e: F.to_variant_object(
             F.map_concat(
-                F.create_map(F.lit("crypto_id"), F.parse_json(F.to_json(F.array(k))).cast("array<variant>")[0]),
-                F.map_filter(F.try_variant_get(m[k], "$", "map<string,variant>"), lambda n, _: n != "crypto_id"),
+                F.create_map(F.lit("crypto_id"), text(e["key"])),
+                F.map_filter(F.from_json(e["value"], "map<string,variant>"), lambda n, _: n != "crypto_id"),
             )
         ),
     )
-    hourly = F.try_variant_get(field("hourly"), "$", "map<string,variant>")
-    steps = F.size(array_of(F.try_element_at(hourly, F.lit("time"))))
-    lists = F.map_filter(
-        F.transform_values(hourly, lambda _, x: array_of(x)), lambda _, x: F.coalesce(F.size(x) == steps, F.lit(False))
-    )
-    by_hour = F.transform(
-        F.sequence(F.lit(0), steps - 1), lambda i: F.to_variant_object(F.transform_values(lists, lambda _, x: F.get(x, i)))
-    )
-    header = F.try_variant_get(F.get(a, F.lit(0)), "$", "array<string>")
-    named = F.transform(
-        F.filter(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x: _is(x, "ARRAY")),
-        lambda x: F.to_variant_object(_row_map(header, F.try_variant_get(x, "$", "array<variant>"))),
-    )
-    result_key = F.get(F.filter(F.map_keys(m), lambda k: F.lower(k) == "results"), F.lit(0))
-    results = array_of(F.try_element_at(m, result_key))
 
-    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    all_objects = (F.size(entries) > 0) & F.forall(F.map_values(m), lambda x: _is(x, "OBJECT"))
-    records = (
-        F.when(has(prices), quotes)
-        .when(F.coalesce(all_objects, F.lit(False)), by_id)
-        .when(F.coalesce(steps > 0, F.lit(False)), by_hour)
-        .when(has(a) & _is(F.get(a, F.lit(0)), "ARRAY") & _is(F.get(a, F.lit(1)), "ARRAY"), named)
-        .when(a.isNotNull(), a)
-        .when(results.isNotNull(), results)
-        .otherwise(F.array("__v"))
+
+def _by_hour(hourly: Column) -> Column:
+    """One record per position of the ``time`` list, from all lists of that length."""
+    arrays = F.transform_values(hourly, lambda _, x: _array_of(x))
+    steps = lambda ls: F.size(F.try_element_at(ls, F.lit("time")))
+    same = lambda ls: F.map_filter(ls, lambda _, x: F.coalesce(F.size(x) == steps(ls), F.lit(False)))
+    rows = lambda ls: F.transform(
+        F.sequence(F.lit(0), steps(ls) - 1), lambda i: F.to_variant_object(F.transform_values(ls, lambda _, x: F.get(x, i)))
     )
-    return top.select(*rest, F.posexplode(records).alias("pos", "record")).withColumn("pos", F.col("pos").cast("bigint"))
+    return let(arrays, lambda ls: let(same(ls), rows))
+
+
+def _named(header: Column, rows: Column) -> Column:
+    """Array rows after a header row as objects."""
+    body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: _is(x, "ARRAY"))
+    cells = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    return F.transform(body, lambda x: F.to_variant_object(_row_map(header, cells(x))))
 
 
 def _row_map(header: Column, cells: Column) -> Column:

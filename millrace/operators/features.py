@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_scalar
+
 
 def range_scan(points: DataFrame, where: Column, ts: str, start: Column, end: Column, tie: Sequence[str], limit: int = 1000, asc: bool = True) -> DataFrame:
     """Points in ``[start, end)`` up to ``limit`` (1..50000), with ``truncated`` telling of more.
@@ -17,7 +19,7 @@ def range_scan(points: DataFrame, where: Column, ts: str, start: Column, end: Co
     order = [F.asc(c) if asc else F.desc(c) for c in (ts, *tie)]
     top = points.where(where & (F.col(ts) >= start) & (F.col(ts) < end)).orderBy(*order).limit(limit + 1)
     size = top.agg(F.count("*").alias("__n"))
-    page = top.orderBy(*order).limit(limit).crossJoin(F.broadcast(size))  # one row
+    page = with_scalar(top.orderBy(*order).limit(limit), size)
     return page.withColumn("truncated", F.col("__n") > limit).drop("__n")
 
 

@@ -69,7 +69,8 @@ def _fold_udf(step: Step):
 def _unpack(folded: DataFrame, keys: Sequence[str], carry: Sequence[str], outputs: Sequence[str]) -> DataFrame:
     """Back to one row per point, with the fold's output columns."""
     zipped = F.arrays_zip(*[F.col(c) for c in ("v", *carry)], *[F.col("__r.out")[i].alias(o) for i, o in enumerate(outputs)])
-    rows = folded.select(*keys, "start", F.posexplode(zipped).alias("__p", "__row"))
+    # the outer form keeps the planner from folding once more to filter empty blocks
+    rows = folded.select(*keys, "start", F.posexplode_outer(zipped).alias("__p", "__row")).where("__p is not null")
     return rows.select(
         *keys,
         (F.col("start") + F.col("__p")).alias("idx"),

@@ -77,3 +77,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row."""
+    key = "__one"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.limit(1).withColumn(key, F.lit(1))), key).drop(key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets
 from ..operators.dedupe import first_per_key
+from ..session import with_scalar
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,8 +50,7 @@ def insert_records(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
     fresh.write.mode("append").parquet(path)
     inserted = spark.read.parquet(path).where(F.col("batch") == batch).agg(F.count("*").alias("inserted"))
     total = df.agg(F.count("*").alias("__n"))
-    # two one-row frames
-    return inserted.crossJoin(total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"))
+    return with_scalar(inserted, total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"))
 
 
 def upsert_runs(stored: DataFrame, incoming: DataFrame, seq: str) -> DataFrame:

@@ -85,7 +85,6 @@ def test_numeric_keys_do_not_collapse(spark):
 
 
 def test_dedupe_is_idempotent_and_compaction_clips(spark):
-    key = "series string, ts timestamp_ntz, value double, seq int"
     mk = lambda rows: spark.createDataFrame(rows, "series string, ts string, value double, seq int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     a = mk([("x", "2024-01-01 00:00:00", 1.0, 1), ("x", "2024-01-01 00:01:00", 2.0, 2), ("y", "2024-01-01 00:00:00", 9.0, 3)])
     b = mk([("x", "2024-01-01 00:00:00", 5.0, 4), ("y", "2024-01-02 00:00:00", 7.0, 5)])
@@ -95,7 +94,8 @@ def test_dedupe_is_idempotent_and_compaction_clips(spark):
     assert {r["series"]: (r["input_points"], r["duplicates"], r["outside"]) for r in info.collect()} == {"x": (3, 1, 0), "y": (2, 0, 1)}
     once = dedupe.dedupe_points(a.unionByName(b), ["series"], "ts", ["seq"])
     assert once.exceptAll(dedupe.dedupe_points(once, ["series"], "ts", ["seq"])).count() == 0
-    assert key
+    capped = dedupe.cap_series(once, ["series"], "ts", 1)
+    assert sorted(r["series"] for r in capped.collect()) == ["x", "y"]
 
 
 def test_join_keys_with_bars_and_newest_wins(spark):
