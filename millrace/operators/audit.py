@@ -69,7 +69,8 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
 
     entries = packed.where("blk = 0").select(*keys, "blk", F.lit(GENESIS).alias("entry"))
     hashed = F.pandas_udf(run, "array<string>")(F.col("rows.__text"), F.col("entry"))
-    done = settle(packed, keys, entries, hashed, F.element_at("__r", -1), {"hashes": F.col("__r")})
+    settled = settle(packed, keys, entries, hashed, F.element_at("__r", -1))
+    done = packed.join(settled, [*keys, "blk"]).withColumn("hashes", hashed)
     links = done.select(*keys, "blk", "entry", F.posexplode("hashes").alias("__p", "hash"), "hashes").select(
         *keys,
         (F.col("blk") * block + F.col("__p")).alias("idx"),

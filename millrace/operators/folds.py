@@ -171,20 +171,21 @@ def linear_fold(
 
 
 def settle(
-    packed: DataFrame, keys: Sequence[str], entries: DataFrame, run: Column, exit_state: Column, keep: dict[str, Column]
+    packed: DataFrame, keys: Sequence[str], entries: DataFrame, run: Column, exit_state: Column
 ) -> DataFrame:
     """Fold blocks until every block's entry state is the state its predecessor ended in.
 
     ``packed`` has keys and ``blk``; ``entries`` has keys, ``blk`` and the guessed ``entry``.
-    ``run`` computes the result column ``__r`` from a packed row and its entry, ``exit_state`` and
-    ``keep`` are read from it. Blocks without an entry yet wait for their predecessor.
+    ``run`` computes the result column ``__r`` from a packed row and its entry, ``exit_state`` is
+    read from it. Blocks without an entry yet wait for their predecessor. The rounds keep states
+    only, one row per block; the caller folds once more from the settled ``entry`` for the output.
     """
     keys = list(keys)
     at = [*keys, "blk"]
 
     def fold(todo: DataFrame) -> DataFrame:
         folded = packed.join(todo, at).withColumn("__r", run)
-        return materialize(folded.select(*at, "entry", exit_state.alias("exit"), *[c.alias(n) for n, c in keep.items()]))
+        return materialize(folded.select(*at, "entry", exit_state.alias("exit")))
 
     waiting = packed.select(*at)
     done = fold(entries)
@@ -198,7 +199,7 @@ def settle(
             .select(*at, F.col("__new").alias("entry"))
         )
         if todo.limit(1).count() == 0:
-            return done
+            return done.select(*at, "entry")
         again = fold(todo)
         done = materialize(done.join(todo.select(*at), at, "left_anti").unionByName(again))
 
@@ -220,11 +221,9 @@ def reset_fold(
     guessed = F.col("state") if guess is None else F.when(opening, F.col("state")).otherwise(guess)
     entries = packed.select(*keys, "blk", guessed.alias("entry"))
     fold = _fold_udf(step)
-    settled = settle(
-        packed, keys, entries, fold("v", "start", "entry", "params"), F.col("__r.state"), {"out": F.col("__r.out")}
-    )
-    joined = packed.join(settled.select(*keys, "blk", F.struct("out").alias("__r")), [*keys, "blk"])
-    return _unpack(joined, keys, carry, outputs)
+    run = fold("v", "start", "entry", "params")
+    settled = settle(packed, keys, entries, run, F.col("__r.state"))
+    return _unpack(packed.join(settled, [*keys, "blk"]).withColumn("__r", run), keys, carry, outputs)
 
 
 # --- the recurrences -------------------------------------------------------------------------
