@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE = {
+    "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
 }
