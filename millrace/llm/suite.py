@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, tokens, warc
 
 QUERIES = {
+    "op3_tokens": tokens.op3_tokens,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
 }
