@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens, warc
+from . import langid, mixing, tokens, warc
 
 QUERIES = {
     "op3_tokens": tokens.op3_tokens,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op9_langid": langid.op9_langid,
 }
 
 ORACLE = {
