@@ -35,6 +35,7 @@ BLOCK = r"(?i)</?(?:" + BLOCK_TAGS.replace(" ", "|") + r")(?:[\x20\t\r\n/][^>]*)
 TAG = r"</?[A-Za-z!?][^>]*>"
 REFERENCE = r"^(#[0-9]{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8});"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
+ODD_SPACE = r"[\x20\t\r\n\x0B\x0C]{2,}|[\t\r\n\x0B\x0C]"
 LINK = r'(?i)<a[\x20\t\r\n][^>]*?href="([^"]*)"'
 
 METADATA_ID, CONVERSION_ID = "metadata:", "conversion:"
@@ -64,16 +65,18 @@ def _reference(piece: Column) -> Column:
     return F.when(valid, F.concat(char, rest)).when(named[name].isNotNull(), F.concat(named[name], rest)).otherwise(F.concat(F.lit("&"), piece))
 
 
-def text_of(html: Column) -> Column:
-    """Visible text: hidden parts removed, one line per block, references decoded, white space collapsed."""
-    text = F.regexp_replace(html, HIDDEN, "")
-    text = F.regexp_replace(text, r"[\x20\t\r\n\x0B\x0C]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
-    pieces = F.split(text, "&")
-    decoded = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _reference), ""))
-    text = F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
-    text = F.regexp_replace(F.regexp_replace(text, r"\x20*\n[\x20\n]*", "\n"), r"\x20+", " ")
-    return F.trim(text, F.lit(" \n"))
+def with_text(df: DataFrame, html: str, name: str) -> DataFrame:
+    """Add the visible text: hidden parts removed, one line per block, references decoded, white space collapsed.
+
+    The steps are columns of their own, so that none is evaluated more than once.
+    """
+    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), ODD_SPACE, " ")
+    out = df.withColumn(name, F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, ""))
+    out = out.withColumn("__pieces", F.when(F.contains(name, F.lit("&")), F.split(name, "&")))
+    references = F.transform(F.slice("__pieces", 2, F.size("__pieces")), _reference)
+    out = out.withColumn(name, F.coalesce(F.concat(F.element_at("__pieces", 1), F.array_join(references, "")), F.col(name)))
+    text = F.regexp_replace(F.regexp_replace(name, r"\x20*\n[\x20\n]*", "\n"), r"\x20{2,}", " ")
+    return out.withColumn(name, F.trim(text, F.lit(" \n"))).drop("__pieces")
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -100,9 +103,9 @@ def _record(kind: str, content_type: str) -> Column:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two rows per response record, metadata and conversion, each with its whole record as text."""
-    one_line = lambda c: F.regexp_replace(c, r"[\x20\t\r\n\x0B\x0C]+", " ")
+    one_line = lambda c: F.regexp_replace(c, ODD_SPACE, " ")
     status, headers = F.substring_index("http_header", "\r\n", 1), F.expr("slice(split(http_header, '\\r\\n'), 2, size(split(http_header, '\\r\\n')))")
-    base = records.withColumn("text", text_of(F.col("payload"))).withColumn("source_digest", digest(F.col("payload")))
+    base = with_text(records, "payload", "text").withColumn("source_digest", digest(F.col("payload")))
     base = base.withColumn("text_digest", digest(F.col("text")))
     metadata_id, conversion_id = (_urn(F.concat(F.lit(x), F.col("record_id"))) for x in (METADATA_ID, CONVERSION_ID))
     lines = F.concat(
@@ -148,7 +151,7 @@ def _sql() -> str:
     crlf = "chr(13) || chr(10)"
     point = "(case when n like '#x%' or n like '#X%' then ('0x' || n[3:])::bigint when n like '#%' then n[2:]::bigint else 0 end)"
     fixed = f"(case when {point} between 32 and 55295 or {point} between 57344 and 65535 then chr({point}::int) || p[length(n) + 2:] when {named}[n] is not null then {named}[n] || p[length(n) + 2:] else '&' || p end)"
-    space = r"'[\x20\t\r\n\x0B\x0C]+'"
+    space = q(ODD_SPACE)
     record = " || ".join(
         f"'{n}: ' || {v} || {crlf}"
         for n, v in (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", q(DATE)), ("WARC-Block-Digest", "block_digest"),
@@ -162,7 +165,7 @@ source as (select *, {urn("'response:' || page || ':' || target_uri")} as refers
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, {q(HIDDEN)}, '', 'g'), {space}, ' ', 'g'), {q(BLOCK)}, chr(10), 'g'), {q(TAG)}, '', 'g') as t0 from page),
 pieces as (select *, string_split(t0, '&') as ps from source),
 decoded as (select *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: list_transform([regexp_extract(p, {q(REFERENCE)}, 1)], lambda n: {fixed})[1]), '') as t1 from pieces),
-texts as (select *, trim(regexp_replace(regexp_replace(t1, '\\x20*\\n[\\x20\\n]*', chr(10), 'g'), '\\x20+', ' ', 'g'), ' ' || chr(10)) as text from decoded),
+texts as (select *, trim(regexp_replace(regexp_replace(t1, '\\x20*\\n[\\x20\\n]*', chr(10), 'g'), '\\x20{{2,}}', ' ', 'g'), ' ' || chr(10)) as text from decoded),
 ids as (select *, {urn("'metadata:' || refers_to")} as mid, {urn("'conversion:' || refers_to")} as cid from texts),
 two as (
   select page_id, refers_to, target_uri, source_digest, 'metadata' as warc_type, mid as record_id,
