@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, tokens, warc
+from . import decontaminate, embeddings, langid, mixing, tokens, warc
 
 QUERIES = {
     "op3_tokens": tokens.op3_tokens,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_langid": langid.op9_langid,
 }
 
