@@ -31,19 +31,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
 from .common import documents, whole
 
 END_ID = 1
-BLOCK = 1 << 14
+BLOCK = 1 << 16
 MAGIC = b"MTP1"
 #: Words that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
-#: Rows that are encoded at a time.
-BATCH_CHARS = 4_000_000
+CACHE_WORDS = 800_000
+#: Bytes of text that are encoded at a time, unless one text is longer.
+BATCH_CHARS = 2_000_000
 
 CHUNK_SCHEMA = (
     "shard int, chunk long, n_ids long, chunk_bytes binary, "
@@ -91,32 +91,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the shortcut for letters holds for tokenizers that lower their text and cut it between letters and signs
         self.lowers = all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids for x, y in (("Aa,B;", "aa , b ;"), ("it's (X)", "it 's ( x )")))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.piece_end = None
+        if self.lowers and suffix:
+            self.piece_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.piece_end[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         # texts that hold the name of a special token keep it whole
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self._forget()
 
+    @staticmethod
+    def of(path: str) -> "WordEncoder":
+        """The worker's encoder: tasks that follow each other in one Python worker share its words."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_word_encoders", {})
+        if path not in kept:
+            kept[path] = WordEncoder(path)
+        return kept[path]
+
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.ids, self.length = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32), np.zeros(0, np.int32)
-        self.first = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
 
-    def _codes(self, words: list[str]) -> np.ndarray:
-        """The cache's number of each word, which may be no longer than a batch's words after ``CACHE_WORDS`` is passed."""
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the cache, which starts anew when it would hold more than ``CACHE_WORDS``."""
         if len(self.code) + len(words) > CACHE_WORDS:
             self._forget()
         code = self.code
         new = [w for w in words if w not in code]
-        found = []
-        for i in range(0, len(new), 50_000):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 50_000], add_special_tokens=False)]
+        found = self._encode(new)
         if new:
             code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
             length = np.fromiter(map(len, found), np.int32, len(found))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length, dtype=np.int32) - length])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.ids.dtype, int(length.sum()))])
             self.length = np.concatenate([self.length, length])
         return np.fromiter(map(code.__getitem__, words), np.int64, len(words))
 
+    def _encode(self, new: list[bytes]) -> list[list[int]]:
+        """Ids of each word. Words of letters are one piece each, so a text of many of them is cut after its piece ends."""
+        found: list[list[int]] = [[]] * len(new)
+        text = [w.decode() for w in new]
+        plain = [i for i, w in enumerate(text) if w.isalpha()] if self.piece_end is not None else []
+        other = set(range(len(new))).difference(plain) if plain else range(len(new))
+        for i in range(0, len(plain), 2_000):
+            part = plain[i : i + 2_000]
+            ids = self.tokenizer.encode(" ".join([text[k] for k in part]), add_special_tokens=False).ids
+            ends = np.flatnonzero(self.piece_end[ids]) + 1
+            if len(ends) != len(part):  # some letter is none to the tokenizer
+                other = [*other, *part]
+                continue
+            at = 0
+            for k, end in zip(part, ends.tolist(), strict=True):
+                found[k] = ids[at:end]
+                at = end
+        rest = list(other)
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([text[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = e.ids
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, with ``END_ID`` after each text, and the number of ids per text.
 
@@ -127,19 +165,21 @@ class WordEncoder:
         if self.lowers:
             split = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-/:-@\[-`{-~])", r"\1 \2")
             apart = pc.if_else(pc.match_substring_regex(texts, self.special, ignore_case=True), texts, split) if self.special else split
-        words = pc.split_pattern_regex(apart, r"[\x20\x09-\x0D]+")
+        words = pc.ascii_split_whitespace(apart)
         of_text = pc.list_parent_indices(words).to_numpy()
         coded = pc.list_flatten(words).dictionary_encode()
-        code = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        code = self._codes(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.length[code]
         per_text = np.bincount(of_text, weights=n, minlength=len(texts)).astype(np.int64) + 1
-        ends = np.cumsum(n, dtype=np.int64)
+        total = int(n.sum())
         # each id's place in the cache: its word's first place, and how far the id is into the word
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[code] - (ends - n), n)
-        out = np.full(per_text.sum(), END_ID, np.uint32)
+        source = np.arange(total, dtype=np.int32)
+        source += np.repeat(self.first[code] - (np.cumsum(n, dtype=np.int32) - n), n)
+        out = np.full(total + len(texts), END_ID, np.uint32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(per_text) - 1] = False
         out[keep] = self.ids[source]
+        pa.default_memory_pool().release_unused()
         return out, per_text
 
 
@@ -170,7 +210,7 @@ def chunks(docs: DataFrame, tokenizer: str, bits: bool = False, partitions: int
         from pyspark import TaskContext
 
         shard, chunk, number = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of(tokenizer)
         left, pieces = np.zeros(0, np.uint32), []  # ids and piece rows that don't fill a block yet
 
         def put(ids: np.ndarray, pieces: list[tuple]) -> pa.RecordBatch:
@@ -215,9 +255,9 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, at, out = unpack(row["chunk_bytes"]), 0, []
+                ids, at, out = unpack(row["chunk_bytes"]).astype("<u4").tobytes(), 0, []
                 for d in row["docs"]:
-                    part = ids[at : at + d["ids"]].astype("<u4").tobytes()
+                    part = ids[4 * at : 4 * (at + d["ids"])]
                     out.append({"shard": row["shard"], "place": row["chunk"] * BLOCK + at, "ids_bytes": part} | d)
                     at += d["ids"]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -227,30 +267,31 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(split, "shard int, place long, ids_bytes binary, number long, doc_id bigint, offset long, ids long, of long")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of chunk files: doc_id, start (ids of all documents before it), n_tokens, ids_bytes.
+def read_ids(spark: SparkSession, path: str, whole_column: Column | None = None) -> DataFrame:
+    """The documents of chunk files: doc_id, start (ids of all documents before it), n_tokens and ``whole_column``.
 
-    All chunks of a shard but its last are full, so a chunk's number gives its place. Only documents that cross a
-    block border are put together again in a shuffle.
+    ``whole_column`` is made of ids_bytes, the default. It is taken at once where a document lies in one chunk; only documents
+    that cross a block border are put together again in a shuffle. All chunks of a shard but its last are full, so
+    a chunk's number gives its place.
     """
+    made = F.col("ids_bytes") if whole_column is None else whole_column
     index = spark.read.schema(CHUNK_SCHEMA).parquet(path).select("shard", "n_ids")
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     totals = index.groupBy("shard").agg(F.sum("n_ids").alias("__n"))
     bases = materialize(totals.select("shard", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__base")))
-    pieces = read_pieces(spark, path)
-    done = pieces.filter("ids = of").select("shard", "doc_id", "place", "of", "ids_bytes")
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids_bytes")))
-    crossing = pieces.filter("ids < of").groupBy("shard", "number", "doc_id", "of").agg(F.min("place").alias("place"), parts.alias("__parts"))
-    joined = F.aggregate("__parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids_bytes"]))
-    crossing = crossing.select("shard", "doc_id", "place", "of", joined.alias("ids_bytes"))
-    return done.unionByName(crossing).join(bases, "shard").select("doc_id", (F.col("__base") + F.col("place")).alias("start"), F.col("of").alias("n_tokens"), "ids_bytes")
+    cut = F.col("ids") < F.col("of")
+    pieces = read_pieces(spark, path).select("shard", "number", "doc_id", "of", "place", F.when(cut, F.struct("offset", "ids_bytes")).alias("part"), F.when(~cut, made).alias("made"))
+    docs = pieces.groupBy("shard", "number", "doc_id", "of").agg(F.min("place").alias("place"), F.array_sort(F.collect_list("part")).alias("parts"), F.first("made", ignorenulls=True).alias("made"))
+    joined = docs.withColumn("ids_bytes", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids_bytes"])))
+    out = joined.join(bases, "shard").withColumn("start", F.col("__base") + F.col("place"))
+    return out.select("doc_id", "start", F.col("of").alias("n_tokens"), F.when(F.size("parts") == 0, F.col("made")).otherwise(made).alias("made"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the ids of ``docs`` next to the checkpoints, read the files back and digest each document's ids."""
     path = scratch(spark, "token-ids")
     write_ids(docs, path, tokenizer, **options)
-    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_bytes").alias("ids_crc32"))
+    return read_ids(spark, path, F.crc32("ids_bytes")).withColumnRenamed("made", "ids_crc32")
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
