@@ -28,3 +28,12 @@ def n_words(text: str | Column = "text") -> Column:
 def widened(df: DataFrame) -> DataFrame:
     """Parquet of ``df`` can be read in fewer, larger tasks; this deals its rows over all cores evenly."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that have been written and are no longer referenced.
+
+    The cleaner acts on what the driver's collector finds; between the large steps of one job this keeps the
+    disk at the size of a step, not of the job.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, tokens, warc
+from . import decontaminate, embeddings, langid, mixing, substrings, tokens, warc
 
 QUERIES = {
+    "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokens.op3_tokens,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
