@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, substrings, tokens, warc
+from . import decontaminate, embeddings, jaccard, langid, mixing, substrings, tokens, warc
 
 QUERIES = {
     "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokens.op3_tokens,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
