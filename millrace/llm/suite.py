@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, langid, mixing, substrings, tokens, warc
+from . import decontaminate, embeddings, jaccard, langid, mixing, pii, substrings, tokens, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokens.op3_tokens,
     "op4_jaccard": jaccard.op4_jaccard,
