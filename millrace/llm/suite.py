@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, langid, mixing, pii, substrings, tokens, warc
+from . import decontaminate, embeddings, jaccard, langid, mixing, pii, secrets, substrings, tokens, warc
 
 QUERIES = {
+    "op10_secrets": secrets.op10_secrets,
     "op1_pii": pii.op1_pii,
     "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokens.op3_tokens,
