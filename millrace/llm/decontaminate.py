@@ -102,6 +102,7 @@ class Items:
 
 
 def search(items: Items, batch: pa.RecordBatch) -> list[dict]:
+    """Matches of a batch of documents; ``at`` is the row."""
     w = words(plain(batch.column("text")))
     places, text = in_one_text(w.first, items.probe)
     maybe, keys = items.hits(w.hashes, places)
@@ -129,7 +130,7 @@ def search(items: Items, batch: pa.RecordBatch) -> list[dict]:
             if least <= items.budget[k] and (best is None or least < best[0]):
                 best = (least, begin + scores.index(least) + 1 - int(w.first[doc]))
         if best:
-            out.append({"doc_id": ids[doc], "item_id": items.ids[k], "distance": best[0], "budget": items.budget[k], "end_word": best[1], "n_words": len(items.words[k])})
+            out.append({"at": doc, "doc_id": ids[doc], "item_id": items.ids[k], "distance": best[0], "budget": items.budget[k], "end_word": best[1], "n_words": len(items.words[k])})
     return out
 
 
@@ -166,5 +167,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that no test item matches, with all their columns."""
+    for ids, texts in _blocks(benchmark, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value, rate, min_words)
+            for batch in slices(batches):
+                stay = np.ones(batch.num_rows, bool)
+                stay[[hit["at"] for hit in search(items, batch)]] = False
+                yield batch.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

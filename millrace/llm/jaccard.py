@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, release, whole
+from .common import WORD, documents, release, whole
 from .graph import components
 from .substrings import LEAST_ID, ODD_SPACE
 from .wordhash import in_one_text, mixed, slices, windows, words
@@ -154,9 +154,10 @@ def _verify(similarity: float):
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text) to doc_id, text_id, class_id and n_links, one row per input row.
+    """(doc_id, text) to doc_id, text_id, class_id, n_links and kept, one row per input row.
 
-    ``class_id`` is the smallest doc_id that is reached by links, ``n_links`` the number of other rows that are linked directly.
+    ``class_id`` is the smallest doc_id that is reached by links, ``n_links`` the number of other rows that are linked directly,
+    ``kept`` is true for the document and text that stand for their class.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.xxhash64(whole()).alias("text_id"), whole().alias("text"))
@@ -194,12 +195,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     # components and numbers of links, back to the rows
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    least = roots.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    linked = roots.join(least, "root").join(counts, "node").select("node", "class_id", "n_links")
-    of_class = classes.join(linked, "node", "left").select("same", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n_links", zero) + F.col("n") - 1).alias("n_links"))
+    least = roots.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("text_id", "doc_id").alias("class_text"))
+    linked = roots.join(least, "root").join(counts, "node").select("node", "class_id", "class_text", "n_links")
+    of_class = classes.join(linked, "node", "left").select("same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_text", "text_id").alias("class_text"), (F.coalesce("n_links", zero) + F.col("n") - 1).alias("n_links"))
     out = slim.join(of_class, "same", "left")
     null = lambda c: F.nullif(c, F.lit(LEAST_ID))
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "text_id", null(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", zero).cast("long").alias("n_links"))
+    kept = F.col("same").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("text_id") == F.col("class_text")))
+    links = F.coalesce("n_links", zero).cast("long").alias("n_links")
+    return out.select(null(F.col("doc_id")).alias("doc_id"), "text_id", null(F.coalesce("class_id", "doc_id")).alias("class_id"), links, kept.alias("kept"))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns; rows without words all stay.
+
+    The rows are found by doc_id and text; where such a row repeats, one of them stays.
+    """
+    keep = near_duplicates(docs, **options).filter("kept").select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("__doc"), F.col("text_id").alias("__text"))
+    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))).withColumn("__text", F.xxhash64(whole()))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    once = keyed.filter(worded).join(materialize(keep.distinct()), ["__doc", "__text"]).dropDuplicates(["__doc", "__text"])
+    return once.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

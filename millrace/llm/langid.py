@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import documents
+from .wordhash import slices
 
 SIZES = (3, 5)
 SLOT_BITS = 20
 HASHES = 2
 UNKNOWN = "und"
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bytes of text that are looked up at a time.
-BATCH_BYTES = 2_000_000
 
 
 @dataclass
@@ -83,19 +82,9 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
     return [((code * np.uint64(m)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in MULTIPLIERS[:HASHES]]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(sizes) - sizes) // BATCH_BYTES
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to the n-gram counts of a slice of rows."""
-    for batch in _slices(batches):
+    for batch in slices(batches):
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         for lang in sorted(set(langs)):
             raw, ends = _cut(batch.column("text").filter(pa.array(langs == lang)))
@@ -167,16 +156,16 @@ def score(model: Filter, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(lettered, share.max(axis=0), 0.0)
 
 
-def identify(docs: DataFrame, model: Filter) -> DataFrame:
-    """``docs`` with lang_pred and score; only the text is looked at."""
-    rows = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Filter, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with language and score under ``names``; only the text is looked at."""
+    rows = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            names, value = score(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(value)], [*batch.schema.names, "lang_pred", "score"])
+        for batch in slices(batches):
+            found, value = score(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(value)], [*batch.schema.names, *names])
 
     return rows.mapInArrow(predict, schema)
 

@@ -57,12 +57,11 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs:
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies, one row per input row."""
-    docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", n_words()).withColumn("__h", _hash(seed))
+def _planned(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __copies, one row per input row."""
+    sized = docs.withColumn("__size", n_words()).withColumn("__h", _hash(seed))
     sized = sized.withColumn("__bin", F.substring("__h", 1, BINS_HEX))
-    bins = materialize(sized.groupBy("source", "__bin").agg(F.sum("size").alias("__words")))
+    bins = materialize(sized.groupBy("source", "__bin").agg(F.sum("__size").alias("__words")))
     goals = targets(bins.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, max_epochs)
     goals = goals.withColumn("__whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)))
     goals = goals.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
@@ -76,23 +75,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
         .groupBy("source").agg(F.min_by(F.struct("__bin", "__before"), "__bin").alias("__cut"))
     )
     plan = goals.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-    plan = materialize(plan.select(F.col("g.source").alias("__s"), "source_size", "target", "__whole", "__rest", F.col("__cut.__bin").alias("__at"), F.col("__cut.__before").alias("__before")))
+    plan = materialize(plan.select(F.col("g.source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__whole", "__rest", F.col("__cut.__bin").alias("__at"), F.col("__cut.__before").alias("__before")))
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("__s")))
     inside = F.coalesce(F.col("__bin") == F.col("__at"), F.lit(False))
-    clear = placed.filter(~inside).withColumn("copies", F.col("__whole") + (F.col("__at").isNull() | (F.col("__bin") < F.col("__at"))).cast("long"))
-    order = Window.partitionBy("source").orderBy("__h", "doc_id", "size")
-    total = F.col("__before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    clear = placed.filter(~inside).withColumn("__copies", F.col("__whole") + (F.col("__at").isNull() | (F.col("__bin") < F.col("__at"))).cast("long"))
+    order = Window.partitionBy("source").orderBy("__h", "doc_id", "__size")
+    total = F.col("__before") + F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # a document at the edge is taken if the total then is nearer to the target than without it
-    edge = placed.filter(inside).withColumn("copies", F.col("__whole") + (total - F.col("size") / 2 <= F.col("__rest")).cast("long"))
+    edge = placed.filter(inside).withColumn("__copies", F.col("__whole") + (total - F.col("__size") / 2 <= F.col("__rest")).cast("long"))
     out = clear.unionByName(edge)
-    out = out.withColumn("copies", F.when(F.col("__rest") > 0, F.col("copies")).otherwise(F.col("__whole")))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies")
+    out = out.withColumn("__copies", F.when(F.col("__rest") > 0, F.col("__copies")).otherwise(F.col("__whole")))
+    return out.select(*docs.columns, "__size", "__source_size", "__target", "__copies")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies, one row per input row."""
+    made = ("size", "source_size", "target", "copies")
+    return _planned(docs, **options).select(*[c for c in docs.columns if c not in made], *[F.col(f"__{c}").alias(c) for c in made])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    repeats = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))  # no copies, no row
-    return mix(docs, **options).withColumn("__copy", repeats).select(*docs.columns)
+    repeats = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))  # no copies, no row
+    return _planned(docs, **options).withColumn("__copy", repeats).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
