@@ -83,21 +83,26 @@ def walk_nulls(v, prefix: str, dropped: list, compact: bool):
 
 
 def drop_nulls(doc: Column, compact_arrays: bool = False) -> Column:
-    """Struct of the document without null fields and the dropped paths.
+    """Struct of the document without null fields, the dropped paths, and a problem if it can't be read.
 
     Null array elements stay in place, and are not reported, unless ``compact_arrays``.
     """
 
-    def one(d):
+    def one(text):
         dropped: list = []
+        if text is None:
+            return {"doc": None, "dropped": dropped, "problem": None}
+        try:
+            d = json.loads(text)
+        except ValueError:
+            return {"doc": None, "dropped": dropped, "problem": "parse_error"}
         walk_nulls(d, "", dropped, compact_arrays)
-        return {"doc": dump(d), "dropped": dropped}
+        return {"doc": dump(d), "dropped": dropped, "problem": None}
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [one(json.loads(t)) if t is not None else {"doc": None, "dropped": []} for t in texts]
-        return pd.DataFrame(rows, columns=["doc", "dropped"])
+        return pd.DataFrame([one(t) for t in texts], columns=["doc", "dropped", "problem"])
 
-    return F.pandas_udf(run, "struct<doc:string,dropped:array<string>>")(doc)
+    return F.pandas_udf(run, "struct<doc:string,dropped:array<string>,problem:string>")(doc)
 
 
 def parse_path(path: str) -> list:

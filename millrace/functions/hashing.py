@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Stands for a NULL part of an identifier: no text part contains it, so a NULL never equals or shifts another part.
+ABSENT = "\0"
+
+
 def canonical_json(doc: Column) -> Column:
     """JSON text with the keys sorted at every depth. ``doc`` is JSON text."""
     return F.to_json(F.try_parse_json(doc))
@@ -21,18 +25,46 @@ def record_id(doc: Column) -> Column:
 
 def event_id(tenant: Column, kind: Column, when: Column, payload: Column) -> Column:
     """First eight bytes (16 hex digits) of the hash over tenant, type, time and payload."""
-    seed = F.concat_ws("|", F.trim(tenant), F.trim(kind), when, F.coalesce(payload, F.lit("null")))
+    seed = F.concat_ws("|", *[F.coalesce(part, F.lit(ABSENT)) for part in (F.trim(tenant), F.trim(kind), when)], F.coalesce(payload, F.lit("null")))
     return F.substring(F.sha2(seed, 256), 1, 16)
 
 
 def idempotency_key(tenant: Column, scope: Column, parts: Sequence[Column]) -> Column:
     """``v1:tenant:scope:hash``; every part is measured so that joined parts cannot collide."""
-    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
-    return F.concat_ws(":", F.lit("v1"), tenant, scope, F.sha2(F.concat_ws("|", *sized), 256))
+    sized = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit(ABSENT)) for p in parts]
+    heads = [F.coalesce(c, F.lit(ABSENT)) for c in (tenant, scope)]
+    return F.concat_ws(":", F.lit("v1"), *heads, F.sha2(F.concat_ws("|", *sized), 256))
+
+
+# fixed values: offset and prime of the 64-bit FNV-1a hash
+FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
+
+
+def fnv1a_64(text: Column) -> Column:
+    """The unsigned 64-bit FNV-1a hash of the text's bytes, as a decimal.
+
+    The product takes up to 104 bits. The prime is 2**40 + 435, so it is made of two products whose high parts
+    are cut off at 64 bits before they grow beyond 38 digits.
+    """
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(text), 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    whole = 1 << 64
+
+    def step(h: Column, b: Column) -> Column:
+        low = (h % big(256)).cast("int")
+        mixed = (h - low.cast("decimal(38,0)") + low.bitwiseXOR(b).cast("decimal(38,0)")).cast("decimal(38,0)")
+        high = ((mixed % big(1 << 24)).cast("decimal(8,0)") * F.lit(str(1 << 40)).cast("decimal(13,0)")).cast("decimal(38,0)")
+        rest = (mixed.cast("decimal(20,0)") * F.lit("435").cast("decimal(3,0)")).cast("decimal(38,0)")
+        return ((high + rest).cast("decimal(38,0)") % big(whole)).cast("decimal(38,0)")
+
+    hashed = F.aggregate(bytes_, big(FNV_OFFSET), step)
+    return F.when(F.octet_length(text) > 0, hashed).otherwise(big(FNV_OFFSET))
 
 
-def shard_for(parts: Sequence[Column], shards: int) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(shards)).cast("bigint")
+def shard_for(tenant: Column, job: Column, shards: int) -> Column:
+    """Shard of a job: FNV-1a over the trimmed lower-case tenant and job; a NULL part counts as empty."""
+    tidy = [F.coalesce(F.lower(F.trim(c)), F.lit("")) for c in (tenant, job)]
+    return (fnv1a_64(F.concat_ws("|", *tidy)) % F.lit(shards)).cast("bigint")
 
 
 def hmac_sha256(secret: bytes, message: Column) -> Column:

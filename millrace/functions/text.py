@@ -76,9 +76,9 @@ def safe_token(c: Column) -> Column:
 SECRET_MARKS = r"(?i)(bearer\s+|token=|api_key=|apikey=|password=|secret=)\S+"
 
 
-def redact_secrets(c: Column, limit: int = 2048) -> Column:
-    """Mask the value after a secret marker and cut the text to its column width."""
-    return F.left(F.regexp_replace(c, SECRET_MARKS, "$1[REDACTED]"), F.lit(limit))
+def redact_secrets(c: Column) -> Column:
+    """Mask the value after a secret marker."""
+    return F.regexp_replace(c, SECRET_MARKS, "$1[REDACTED]")
 
 
 def to_number(c: Column) -> Column:

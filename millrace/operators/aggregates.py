@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import with_scalar
-from .positions import with_position
+from ..session import join_small, materialize, on_same, with_scalar
+from .positions import with_position, with_running
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -27,66 +27,77 @@ def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def percentile_nearest(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
-    """Nearest-rank percentiles, ``percents`` clamped to 0..100.
+def _through(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values ``v`` per key with their count ``c`` and the rows up to and with them, ``through``.
 
-    Ranks come from a range shuffle, so a hot group is never sorted in one task.
+    Equal values combine before the shuffle and are one row afterwards, so neither a hot key nor a
+    hot value fills one task; the running counts go over blocks.
     """
+    counted = df.select(*keys, F.col(value).alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    return with_running(with_position(counted, keys, ["v"]), keys, {"through": F.col("c")}).drop("idx")
+
+
+def _covers(at: Column) -> Column:
+    """Is the row at this position one of the rows with this value?"""
+    return (F.col("through") - F.col("c") <= at) & (at < F.col("through"))
+
+
+def percentile_nearest(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
+    """Nearest-rank percentiles, ``percents`` clamped to 0..100."""
     keys = list(keys)
-    ranked = with_position(df.select(*keys, F.col(value).alias("v")).where("v is not null"), keys, ["v"])
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
+    values = materialize(_through(df, keys, value))
+    sizes = values.groupBy(*keys).agg(F.sum("c").alias("n"))
     wanted = [(p, min(max(p, 0.0), 100.0) / 100.0) for p in percents]
     spots = F.array(
         *[
             F.struct(
                 F.lit(float(p)).alias("p"),
-                F.greatest(F.ceil(F.lit(q) * F.col("n")) - 1, F.lit(0)).cast("bigint").alias("idx"),
+                F.greatest(F.ceil(F.lit(q) * F.col("n")) - 1, F.lit(0)).cast("bigint").alias("at"),
             )
             for p, q in wanted
         ]
     )
-    picks = sizes.select(*keys, F.explode(spots).alias("s")).select(*keys, "s.p", "s.idx")
-    return ranked.join(picks, [*keys, "idx"]).select(*keys, F.col("p").alias("percent"), F.col("v").alias("percentile"))
+    picked = join_small(values, sizes.select(*keys, spots.alias("spots")), keys)
+    hits = picked.select(*keys, "v", F.explode(F.filter("spots", lambda s: _covers(s["at"]))).alias("s"))
+    return hits.select(*keys, F.col("s.p").alias("percent"), F.col("v").alias("percentile"))
 
 
 def dist_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, deviation, extremes, median and Tukey quartiles (medians of the two halves).
 
-    The middle positions of the whole and of both halves are averaged by row number: no group is
-    ever gathered into an array.
+    The middle positions of the whole and of both halves are looked up in the running counts of the
+    distinct values: no group is ever gathered into an array.
     """
     keys = list(keys)
-    ranked = with_position(df.select(*keys, F.col(value).alias("v")).where("v is not null"), keys, ["v"])
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
-    n, i = F.col("n"), F.col("idx")
+    rows = df.select(*keys, F.col(value).alias("v")).where("v is not null")
+    plain = materialize(
+        rows.groupBy(*keys).agg(
+            F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max")
+        )
+    )
+    n = F.col("count")
     half = F.floor(n / 2)
 
     def middle(skip: Column, size: Column) -> Column:
-        at = (i == skip + F.floor((size - 1) / 2)) | (i == skip + F.floor(size / 2))
-        return F.avg(F.when(at, F.col("v")))
+        at = [skip + F.floor((size - 1) / 2), skip + F.floor(size / 2)]
+        return sum(F.sum(F.when(_covers(p), F.col("v"))) for p in at) / 2
 
     single = n == 1
-    return (
-        ranked.join(sizes, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_pop("v").alias("stddev"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-            middle(F.lit(0), n).alias("median"),
-            F.coalesce(middle(F.lit(0), F.when(~single, half)), F.min("v")).alias("q1"),
-            F.coalesce(middle(n - half, F.when(~single, half)), F.min("v")).alias("q3"),
-        )
+    placed = on_same(_through(df, keys, value), plain.select(*keys, "count"), keys)
+    middles = placed.groupBy(*keys).agg(
+        middle(F.lit(0), n).alias("median"),
+        middle(F.lit(0), F.when(~single, half)).alias("q1"),
+        middle(n - half, F.when(~single, half)).alias("q3"),
     )
+    out = on_same(plain, middles, keys)
+    return out.withColumns({q: F.coalesce(q, "min") for q in ("q1", "q3")})
 
 
 def outliers_z(df: DataFrame, keys: Sequence[str], value: str, threshold: float = 3.0) -> DataFrame:
     """Rows whose z-score against their whole group reaches the threshold."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     z = (F.col(value) - F.col("__m")) / F.col("__s")
-    hit = df.join(stats, list(keys)).where(F.col("__s") > 0).withColumn("score", F.abs(z))
+    hit = join_small(df, stats, list(keys)).where(F.col("__s") > 0).withColumn("score", F.abs(z))
     return hit.where(F.col("score") >= threshold).drop("__m", "__s")
 
 
@@ -95,7 +106,7 @@ def outliers_iqr(df: DataFrame, keys: Sequence[str], value: str, k: float = 1.5)
     stats = dist_stats(df, keys, value).select(*keys, F.col("q1").alias("__q1"), F.col("q3").alias("__q3"))
     spread = F.col("__q3") - F.col("__q1")
     low, high = F.col("__q1") - k * spread, F.col("__q3") + k * spread
-    hit = df.join(stats, list(keys)).where((F.col(value) < low) | (F.col(value) > high))
+    hit = join_small(df, stats, list(keys)).where((F.col(value) < low) | (F.col(value) > high))
     return hit.withColumn("side", F.when(F.col(value) < low, "low").otherwise("high")).drop("__q1", "__q3")
 
 
@@ -214,19 +225,25 @@ def health_rollup(df: DataFrame, keys: Sequence[str], name: str, status: str) ->
 
 
 def label_key(labels: Column) -> Column:
-    """``name=value`` pairs of a label map sorted by name."""
+    """``name=value`` pairs of a label map sorted by name, for display."""
     pairs = F.sort_array(F.map_entries(labels))
     return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 
+def _by_labels(df: DataFrame, labels: Column, total: Column) -> DataFrame:
+    """``total`` per label set. Sets are compared as sorted pairs and written out afterwards, so their texts can't collide."""
+    grouped = df.groupBy(F.sort_array(F.map_entries(labels)).alias("__set")).agg(total)
+    return grouped.withColumn("labels", label_key(F.map_from_entries("__set"))).drop("__set")
+
+
 def counter_sum(df: DataFrame, labels: Column, value: str) -> DataFrame:
     """Sum of the positive increments per label set."""
-    return df.where(F.col(value) > 0).groupBy(label_key(labels).alias("labels")).agg(F.sum(value).alias("total"))
+    return _by_labels(df.where(F.col(value) > 0), labels, F.sum(value).alias("total"))
 
 
 def gauge_last(df: DataFrame, labels: Column, value: str, order: Sequence[str]) -> DataFrame:
     """Value of the newest row per label set."""
-    return df.groupBy(label_key(labels).alias("labels")).agg(F.max_by(value, F.struct(*order)).alias("last"))
+    return _by_labels(df, labels, F.max_by(value, F.struct(*order)).alias("last"))
 
 
 def histogram_cumulative(df: DataFrame, keys: Sequence[str], value: str, bounds: Sequence[float]) -> DataFrame:
@@ -271,19 +288,18 @@ def run_rollup(runs: DataFrame, profile: str) -> DataFrame:
         F.avg("duration_ms").alias("mean_ms"),
     )
     p95 = percentile_nearest(runs, [profile], "duration_ms", [95]).select(profile, F.col("percentile").alias("p95_ms"))
-    return base.join(p95, profile, "left")
+    return on_same(base, p95, [profile], "left")
 
 
-def heat_grid(df: DataFrame, x: str, y: str, value: str, order: Sequence[str], max_x: int = 60, max_y: int = 40) -> DataFrame:
-    """Last value per cell over the first ``max_x`` by ``max_y`` sorted axis values, with the scale."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(value).isNotNull())
-    xs = cells.select(F.col(x).alias("x")).distinct().orderBy("x").limit(max_x)
-    ys = cells.select(F.col(y).alias("y")).distinct().orderBy("y").limit(max_y)
-    kept = cells.withColumnsRenamed({x: "x", y: "y"}).join(F.broadcast(xs), "x", "left_semi").join(
-        F.broadcast(ys), "y", "left_semi"
-    )
-    grid = kept.groupBy("x", "y").agg(
-        F.max_by(value, F.struct(*order)).alias("value"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
-    )
+def heat_grid(df: DataFrame, x: str, y: str, value: str, order: Sequence[str], max_x: int | None = None, max_y: int | None = None) -> DataFrame:
+    """Last value per cell, with the scale over all cells.
+
+    For drawing, ``max_x`` and ``max_y`` keep the first sorted values of an axis; without them every cell is returned.
+    """
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(value).isNotNull()).withColumnsRenamed({x: "x", y: "y"})
+    grid = cells.groupBy("x", "y").agg(F.max_by(value, F.struct(*order)).alias("value"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    for axis, most in (("x", max_x), ("y", max_y)):
+        if most is not None:
+            grid = join_small(grid, grid.select(axis).distinct().orderBy(axis).limit(most), [axis], "left_semi")
     scale = grid.agg(F.min("__lo").alias("min"), F.max("__hi").alias("max"))
     return with_scalar(grid.drop("__lo", "__hi"), scale)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_small, on_same
+
 from . import folds
 from .positions import BLOCK_ROWS, block_window, own_rows, with_halo, with_running
 
@@ -25,7 +27,6 @@ class AnomalyConfig:
     min_points: int = 12
     warmup: int | None = None
     season_length: int = 0
-    max_anomalies: int = 500
     ewma_alpha: float = 0.2
     control_l: float = 3.0
     ph_delta: float = 0.005
@@ -155,7 +156,7 @@ def seasonal(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> Dat
     if p <= 1:
         return _findings(indexed.limit(0), keys, "seasonal_residual", F.col("value"), F.lit("change"))
     long_enough = counts(indexed, keys).where(F.col("n_points") >= 2 * p).select(*keys)
-    phased = indexed.join(long_enough, keys, "left_semi").withColumn("__phase", F.pmod("idx", F.lit(p)))
+    phased = join_small(indexed, long_enough, keys, "left_semi").withColumn("__phase", F.pmod("idx", F.lit(p)))
     based = with_running(
         phased,
         [*keys, "__phase"],
@@ -179,7 +180,7 @@ def warmup_stats(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
     """Mean, deviation and last value of the first rows of each series (a bounded number of rows)."""
     keys = list(keys)
     warm = F.least(F.lit(cfg.warm), F.col("n_points") - 1)
-    head = indexed.where(F.col("idx") < cfg.warm).join(counts(indexed, keys), keys)
+    head = join_small(indexed.where(F.col("idx") < cfg.warm), counts(indexed, keys), keys)
     return (
         head.withColumn("warm", warm)
         .where(F.col("idx") < F.col("warm"))
@@ -232,7 +233,7 @@ def ewma_control(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) ->
     )
     limit = cfg.control_l * F.col("sd") * (alpha / (2.0 - alpha)) ** 0.5
     off = F.col("level") - F.col("mu")
-    hit = folded.join(warm, list(keys)).where(F.abs(off) > limit)
+    hit = join_small(folded, warm, list(keys)).where(F.abs(off) > limit)
     return _findings(hit, keys, "ewma_control", F.abs(off) / limit, F.when(off > 0, "high").otherwise("low"))
 
 
@@ -320,10 +321,9 @@ def summary(indexed: DataFrame, found: DataFrame, keys: Sequence[str], cfg: Anom
     start = F.when(F.coalesce("warm", F.lit(0)) < 3, F.lit("warmup<3")).when(
         F.col("sd") < TINY, F.lit("warmup stddev ~ 0")
     )
+    counted = on_same(counts(indexed, keys), hits, keys, "left")
     return (
-        counts(indexed, keys)
-        .join(hits, keys, "left")
-        .join(warm.select(*keys, "warm", "sd"), keys, "left")
+        on_same(counted, warm.select(*keys, "warm", "sd"), keys, "left")
         .select(
             *keys,
             "n_points",

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..functions.hashing import ABSENT
+from ..session import materialize, on_same
 from .dedupe import first_per_key
 from .folds import settle
 from .positions import with_position, with_previous
@@ -70,14 +71,14 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
     entries = packed.where("blk = 0").select(*keys, "blk", F.lit(GENESIS).alias("entry"))
     hashed = F.pandas_udf(run, "array<string>")(F.col("rows.__text"), F.col("entry"))
     settled = settle(packed, keys, entries, hashed, F.element_at("__r", -1))
-    done = packed.join(settled, [*keys, "blk"]).withColumn("hashes", hashed)
+    done = on_same(packed, settled, [*keys, "blk"]).withColumn("hashes", hashed)
     links = done.select(*keys, "blk", "entry", F.posexplode("hashes").alias("__p", "hash"), "hashes").select(
         *keys,
         (F.col("blk") * block + F.col("__p")).alias("idx"),
         F.when(F.col("__p") == 0, F.col("entry")).otherwise(F.get("hashes", F.col("__p") - 1)).alias("prev_hash"),
         "hash",
     )
-    return rows.join(links, [*keys, "idx"]).drop("__text")
+    return on_same(rows, links, [*keys, "idx"]).drop("__text")
 
 
 def chain_verify(df: DataFrame, keys: Sequence[str], order: Sequence[str], canonical: Column) -> DataFrame:
@@ -109,4 +110,5 @@ def verify_envelope(df: DataFrame, columns: Sequence[str], stored: str, previous
 def observation_id(fields: Sequence[Column], meta: Column) -> Column:
     """SHA-256 over the fields and the sorted ``name=value`` pairs of the metadata map."""
     pairs = F.transform(F.sort_array(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return F.sha2(F.array_join(F.concat(F.array(*fields), F.coalesce(pairs, F.array().cast("array<string>"))), "|"), 256)
+    parts = F.array(*[F.coalesce(f, F.lit(ABSENT)) for f in fields])
+    return F.sha2(F.array_join(F.concat(parts, F.coalesce(pairs, F.array().cast("array<string>"))), "|", ABSENT), 256)

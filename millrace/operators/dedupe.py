@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import with_position
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
     """The first (or last) row per key in a total order, as an aggregation with partial merging.
@@ -69,14 +67,6 @@ def compact_series(
     return points, report
 
 
-def cap_series(points: DataFrame, series: Sequence[str], ts: str, max_points: int) -> DataFrame:
-    """The first ``max_points`` points of every series: a limit the stored chunk format has.
-
-    Points are numbered from a range shuffle, so a hot series is cut without passing one task.
-    """
-    return with_position(points, series, [ts], "__r").where(F.col("__r") < max_points).drop("__r")
-
-
 def upsert_points(stored: DataFrame, incoming: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """Stored points with the incoming ones written over them; the highest ``seq`` wins."""
     return first_per_key(stored.unionByName(incoming), key, [seq], last=True)

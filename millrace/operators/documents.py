@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import docs
-from ..functions.hashing import canonical_json, record_id
+from ..functions.hashing import ABSENT, canonical_json, record_id
 
 
 def json_path(path: str) -> str:
@@ -191,17 +191,12 @@ def _row_map(header: Column, cells: Column) -> Column:
     return F.map_from_arrays(F.slice(header, 1, n), F.slice(cells, 1, n))
 
 
-def rows_to_table(df: DataFrame, doc: str, keys: Sequence[str], max_columns: int = 5000) -> DataFrame:
-    """Ragged objects as a rectangular table: sorted union of the columns, NULL where absent.
-
-    Only the distinct column names come to the driver, and only up to ``max_columns`` of them.
-    """
-    rows = df.select(*keys, F.from_json(doc, "map<string,string>").alias("__m"))
-    names = rows.select(F.explode(F.map_keys("__m")).alias("k")).distinct().limit(max_columns + 1).collect()
-    if len(names) > max_columns:
-        raise ValueError("too many distinct columns for a table")
-    columns = sorted(r[0] for r in names)
-    return rows.select(*keys, *[F.try_element_at("__m", F.lit(c)).alias(c) for c in columns])
+def rows_to_table(df: DataFrame, doc: str, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Ragged objects as a table: the given columns, NULL where absent; without a list, all fields as the map ``fields``."""
+    rows = df.select(*keys, F.from_json(doc, "map<string,string>").alias("fields"))
+    if columns is None:
+        return rows
+    return rows.select(*keys, *[F.try_element_at("fields", F.lit(c)).alias(c) for c in columns])
 
 
 # --- enrichment -------------------------------------------------------------------------------
@@ -261,4 +256,4 @@ def with_record_id(df: DataFrame, doc: str) -> DataFrame:
 
 
 def partition_key(tenant: Column, name: Column, ts: Column) -> Column:
-    return F.concat_ws("/", tenant, name, F.date_format(ts, "yyyy-MM-dd"))
+    return F.concat_ws("/", *[F.coalesce(part, F.lit(ABSENT)) for part in (tenant, name, F.date_format(ts, "yyyy-MM-dd"))])

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import join_small, on_same
+
 from .anomaly import counts
 
 PIECE = 8192
@@ -17,7 +19,7 @@ def _bucketed(indexed: DataFrame, keys: Sequence[str], points: int) -> DataFrame
     """Bucket number of every row: ends are alone in bucket -1 and ``points - 2``."""
     n = F.col("n_points")
     every = (n - 2).cast("double") / F.lit(float(points - 2))
-    sized = indexed.join(counts(indexed, keys), list(keys))
+    sized = join_small(indexed, counts(indexed, keys), list(keys))
     guess = F.floor((F.col("idx") - 1) / every)
     edge = lambda b: F.floor(b * every) + 1
     # the guess can be one off through rounding of the bucket edges
@@ -56,13 +58,13 @@ def lttb(indexed: DataFrame, keys: Sequence[str], points: int, piece: int = PIEC
     """
     keys = list(keys)
     if points < 3:
-        ends = indexed.join(counts(indexed, keys), keys)
+        ends = join_small(indexed, counts(indexed, keys), keys)
         return ends.where((F.col("idx") == 0) | (F.col("idx") == F.col("n_points") - 1)).select(
             *keys, "idx", "ts", "value"
         )
     sized = counts(indexed, keys)
-    short = indexed.join(sized.where(F.col("n_points") <= points), keys).select(*keys, "idx", "ts", "value")
-    rows = _bucketed(indexed.join(sized.where(F.col("n_points") > points).select(*keys), keys, "left_semi"), keys, points)
+    short = join_small(indexed, sized.where(F.col("n_points") <= points), keys).select(*keys, "idx", "ts", "value")
+    rows = _bucketed(join_small(indexed, sized.where(F.col("n_points") > points).select(*keys), keys, "left_semi"), keys, points)
     rows = rows.withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     means = rows.where("bucket >= 0").groupBy(*keys, (F.col("bucket") - 1).alias("bucket")).agg(
         F.avg("x").alias("cx"), F.avg("value").alias("cy")
@@ -90,7 +92,7 @@ def lttb(indexed: DataFrame, keys: Sequence[str], points: int, piece: int = PIEC
         if span * (points - 2) >= widest:
             break
         span *= 64
-    hulls = reduce_hull(hulls, [*keys, "bucket"]).join(means, [*keys, "bucket"], "left")
+    hulls = on_same(reduce_hull(hulls, [*keys, "bucket"]), means, [*keys, "bucket"], "left")
     ddl = ", ".join(f"`{k}` {dict(indexed.dtypes)[k]}" for k in keys)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +115,7 @@ def lttb(indexed: DataFrame, keys: Sequence[str], points: int, piece: int = PIEC
 def stride_sample(indexed: DataFrame, keys: Sequence[str], points: int) -> DataFrame:
     """``points`` evenly spaced rows, ends kept, computed from the row number alone."""
     need = max(points - 2, 0)
-    sized = indexed.join(counts(indexed, keys), list(keys))
+    sized = join_small(indexed, counts(indexed, keys), list(keys))
     n, i = F.col("n_points"), F.col("idx")
     step = (n - 2).cast("double") / F.lit(float(need + 1))
     nth = F.ceil((i - 1) / step)

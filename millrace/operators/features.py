@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import with_scalar
+from ..session import join_small, with_scalar
 
 
-def range_scan(points: DataFrame, where: Column, ts: str, start: Column, end: Column, tie: Sequence[str], limit: int = 1000, asc: bool = True) -> DataFrame:
-    """Points in ``[start, end)`` up to ``limit`` (1..50000), with ``truncated`` telling of more.
+def range_scan(points: DataFrame, where: Column, ts: str, start: Column, end: Column, tie: Sequence[str], limit: int | None = 1000, asc: bool = True) -> DataFrame:
+    """Points in ``[start, end)`` up to ``limit``, all of them for None, with ``truncated`` telling of more.
 
     One row more than asked is read, by a top-k that never sorts the whole range.
     """
-    limit = min(max(limit, 1), 50_000)
     order = [F.asc(c) if asc else F.desc(c) for c in (ts, *tie)]
-    top = points.where(where & (F.col(ts) >= start) & (F.col(ts) < end)).orderBy(*order).limit(limit + 1)
+    inside = points.where(where & (F.col(ts) >= start) & (F.col(ts) < end))
+    if limit is None:
+        return inside.withColumn("truncated", F.lit(False))
+    top = inside.orderBy(*order).limit(limit + 1)
     size = top.agg(F.count("*").alias("__n"))
     page = with_scalar(top.orderBy(*order).limit(limit), size)
     return page.withColumn("truncated", F.col("__n") > limit).drop("__n")
@@ -29,12 +31,12 @@ def keyset_page(points: DataFrame, where: Column, ts: str, tie: str, after_ts: C
     return points.where(where & (F.col(ts) >= after_ts) & later).orderBy(ts, tie).limit(limit)
 
 
-def filter_since(df: DataFrame, tenant: Column, ts: str, since: Column, tie: str, limit: int = 100, service: Column | None = None) -> DataFrame:
-    """Rows of a tenant (and service) strictly after ``since``, newest first, limit 1..1000."""
+def filter_since(df: DataFrame, tenant: Column, ts: str, since: Column, tie: str, limit: int | None = 100, service: Column | None = None) -> DataFrame:
+    """Rows of a tenant (and service) strictly after ``since``, newest first; all of them for a limit of None."""
     rows = df.where(tenant & (F.col(ts) > since))
     if service is not None:
         rows = rows.where(service)
-    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(min(max(limit, 1), 1000))
+    return rows if limit is None else rows.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
 
 
 def ttl_evict(points: DataFrame, definitions: DataFrame, name: str, ts: str, now: Column) -> DataFrame:
@@ -42,7 +44,7 @@ def ttl_evict(points: DataFrame, definitions: DataFrame, name: str, ts: str, now
 
     ``definitions`` has the feature name and ``ttl_seconds``.
     """
-    joined = points.join(definitions, name, "left")
+    joined = join_small(points, definitions, [name], "left")
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     ttl = F.col("ttl_seconds")
     return joined.where(ttl.isNull() | (ttl <= 0) | (age <= ttl * 1_000_000)).drop("ttl_seconds")

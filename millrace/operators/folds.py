@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_small, materialize, on_same
 
 BLOCK = 4096
 FAN = 4096
@@ -115,7 +115,7 @@ def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.nd
     wide = f"{_ddl(spans, keys)}, blk bigint, start bigint, n bigint, b array<double>"
     upper = grouped.groupBy(*keys, "__g").applyInPandas(combine, wide)
     above = _chain(upper, keys, matrix, fan, longest // fan).withColumnsRenamed({"blk": "__g", "entry": "given"})
-    return grouped.join(above, [*keys, "__g"]).groupBy(*keys, "__g").applyInPandas(scan, schema)
+    return on_same(grouped, above, [*keys, "__g"]).groupBy(*keys, "__g").applyInPandas(scan, schema)
 
 
 def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
@@ -128,7 +128,7 @@ def _started(indexed: DataFrame, keys: list[str], initial: DataFrame, carry: Seq
 
     The start states meet the blocks, not the rows, so the join moves one row per block.
     """
-    packed = pack_blocks(indexed, keys, carry, block).join(initial, keys)
+    packed = join_small(pack_blocks(indexed, keys, carry, block), initial, keys)
     skip = F.greatest(F.col("first") - F.col("start"), F.lit(0)).cast("int")
     cut = lambda c: F.when(skip > 0, F.slice(c, skip + 1, F.greatest(F.size(c) - skip, F.lit(0)))).otherwise(F.col(c))
     kept = packed.where(F.col("start") + F.col("n") > F.col("first"))
@@ -164,7 +164,7 @@ def linear_fold(
     else:
         local = packed.withColumn("__r", fold("v", "start", F.when(opening, F.col("state")).otherwise(zero), "params"))
         spans = local.select(*keys, "blk", "start", "n", F.col("__r.state").alias("b"))
-        entered = packed.join(_chain(spans, keys, matrix, fan, longest), [*keys, "blk"]).withColumn(
+        entered = on_same(packed, _chain(spans, keys, matrix, fan, longest), [*keys, "blk"]).withColumn(
             "entry", F.when(opening, F.col("state")).otherwise(F.col("entry"))
         )
     return _unpack(entered.withColumn("__r", fold("v", "start", "entry", "params")), keys, carry, outputs)
@@ -184,7 +184,7 @@ def settle(
     at = [*keys, "blk"]
 
     def fold(todo: DataFrame) -> DataFrame:
-        folded = packed.join(todo, at).withColumn("__r", run)
+        folded = on_same(packed, todo, at).withColumn("__r", run)
         return materialize(folded.select(*at, "entry", exit_state.alias("exit")))
 
     waiting = packed.select(*at)
@@ -193,15 +193,14 @@ def settle(
         passed = done.select(*keys, (F.col("blk") + 1).alias("blk"), F.col("exit").alias("__new"))
         known = done.select(*at, "entry")
         todo = materialize(
-            passed.join(waiting, at)
-            .join(known, at, "left")
+            on_same(on_same(passed, waiting, at), known, at, "left")
             .where(~F.col("__new").eqNullSafe(F.col("entry")))
             .select(*at, F.col("__new").alias("entry"))
         )
         if todo.limit(1).count() == 0:
             return done.select(*at, "entry")
         again = fold(todo)
-        done = materialize(done.join(todo.select(*at), at, "left_anti").unionByName(again))
+        done = materialize(on_same(done, todo.select(*at), at, "left_anti").unionByName(again))
 
 
 def reset_fold(
@@ -223,7 +222,7 @@ def reset_fold(
     fold = _fold_udf(step)
     run = fold("v", "start", "entry", "params")
     settled = settle(packed, keys, entries, run, F.col("__r.state"))
-    return _unpack(packed.join(settled, [*keys, "blk"]).withColumn("__r", run), keys, carry, outputs)
+    return _unpack(on_same(packed, settled, [*keys, "blk"]).withColumn("__r", run), keys, carry, outputs)
 
 
 # --- the recurrences -------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_small, materialize, on_same
 from . import folds
 from .anomaly import counts
 from .positions import BLOCK_ROWS, block_window, own_rows, with_halo, with_running
@@ -76,7 +76,7 @@ def seasonal_naive_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastC
 def drift_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
     first = indexed.where("idx = 0").select(*keys, F.col("value").alias("__y0"))
     slope = F.when(F.col("idx") == 0, 0.0).otherwise((F.col("value") - F.col("__y0")) / F.greatest("idx", F.lit(1)))
-    return indexed.join(first, list(keys)).select(
+    return join_small(indexed, first, list(keys)).select(
         *keys, "idx", "value", *_kept(indexed), _steps(cfg, lambda j: F.col("value") + slope * j).alias("path")
     )
 
@@ -214,7 +214,7 @@ def forecast(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastC
 
 def last_path(indexed: DataFrame, traced: DataFrame, keys: Sequence[str]) -> DataFrame:
     ends = counts(indexed, keys).select(*keys, (F.col("n_points") - 1).alias("idx"))
-    last = traced.join(ends, [*keys, "idx"])
+    last = join_small(traced, ends, [*keys, "idx"])
     return last.select(*keys, F.posexplode("path").alias("__p", "forecast")).select(
         *keys, (F.col("__p") + 1).cast("bigint").alias("step"), "forecast"
     )
@@ -277,7 +277,7 @@ def forecast_auto(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig)
     for part in parts[1:]:
         done = done.unionByName(part)
     wanted = counts(ready, keys).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    joined = wanted.join(done, [*keys, "model"], "left").withColumn(
+    joined = on_same(wanted, done, [*keys, "model"], "left").withColumn(
         "path", F.when(F.col("__last") == F.col("n_points") - 1, F.col("path"))
     )
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("mae"), "model")

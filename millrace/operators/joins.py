@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_small, on_same
 from .dedupe import first_per_key
 from .positions import BLOCK_ROWS, with_position
 
@@ -88,11 +89,11 @@ def join_asof(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, val
     blocked = placed.withColumn("__blk", F.floor(F.col("idx") / F.lit(block_rows)).cast("bigint"))
     ends = blocked.where("__side = 0").groupBy(*by, "__blk").agg(F.max_by("__v", "idx").alias("__carry"))
     # pass the last value of each block on to the next ones: one row per block
-    blocks = blocked.select(*by, "__blk").distinct().join(ends, [*by, "__blk"], "left")
+    blocks = on_same(blocked.select(*by, "__blk").distinct(), ends, [*by, "__blk"], "left")
     w = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*by, "__blk", F.last("__carry", ignorenulls=True).over(w).alias("__before"))
     inside = Window.partitionBy(*by, "__blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__before"))
-    out = blocked.join(carried, [*by, "__blk"]).withColumn(value, latest).where("__side = 1")
+    known = blocked.withColumn("__inside", F.last("__v", ignorenulls=True).over(inside)).where("__side = 1")
+    out = join_small(known, carried, [*by, "__blk"]).withColumn(value, F.coalesce("__inside", "__before"))
     return out.select(*by, ts, "__row.*", value)
 

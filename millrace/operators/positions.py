@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import join_small, materialize
 
 BLOCK_ROWS = 1 << 18
 
@@ -27,7 +27,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     """Add the zero-based position of each row inside its key under a total ``order``.
 
     ``monotonically_increasing_id`` over the sorted range partitions gives (partition, offset); the
-    first id and the row count of each (key, partition) turn that into a position. The sorted rows
+    first id and the row count of each (key, partition) turn that into a position. Rows with a NULL key are a key of their own. The sorted rows
     are written once, so both readings see the same partitions.
     """
     keys = list(keys)
@@ -45,7 +45,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
         *keys, "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")
     )
     return (
-        placed.join(broadcast_if_small(offsets), [*keys, "__part"])
+        join_small(placed, offsets, [*keys, "__part"])
         .withColumn(name, F.col("__slot") + F.col("__shift"))
         .drop("__slot", "__part", "__shift")
     )
@@ -98,10 +98,9 @@ def with_running(
     )
     inside = Window.partitionBy(*keys, "__blk").orderBy(idx)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    out = blocked.join(carried, [*keys, "__blk"])
-    sums = [
-        (F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) + F.col(f"__{n}_0")).alias(n) for n in names
-    ]
+    summed = blocked.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) for n in names})
+    out = join_small(summed, carried, [*keys, "__blk"])
+    sums = [(F.col(f"__{n}") + F.col(f"__{n}_0")).alias(n) for n in names]
     return out.select(*[c for c in df.columns if c not in names], *sums)
 
 

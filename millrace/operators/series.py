@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import join_small
+
 from .positions import BLOCK_ROWS, block_window, own_rows, with_halo, with_position
 
 TS = "timestamp_ntz"
@@ -34,7 +36,7 @@ def clean_series(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str
     )
     floor = max(3, min_points)
     enough = points.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= floor).select(*keys)
-    return points.join(enough, keys, "left_semi")
+    return join_small(points, enough, keys, "left_semi")
 
 
 def short_series(df: DataFrame, keys: Sequence[str], ts: str = "ts", min_points: int = 3) -> DataFrame:

@@ -7,30 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_token
 
-# fixed values: bounds of label sets
+# fixed values: lengths that a label set should not exceed, and the form of a name
 MAX_PAIRS, MAX_NAME, MAX_VALUE = 32, 64, 256
 NAME = r"^[a-z_][a-z0-9_.\-]*$"
 
 
+def _tidy(labels: Column) -> Column:
+    return F.transform(
+        F.sort_array(F.map_entries(labels)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), F.trim(e["value"]).alias("value"))
+    )
+
+
 def normalize_labels(labels: Column) -> Column:
-    """Lower-case trimmed names, values cut to their bound, at most ``MAX_PAIRS`` by name.
+    """Lower-case trimmed names and trimmed values, sorted by name.
 
-    Blank, oversized and ill-formed names are left out. When two names become equal the one that
-    sorts last wins.
+    Blank and ill-formed names are left out; ``label_problems`` tells which. When two names become equal the
+    one that sorts last wins.
     """
-    entries = F.sort_array(F.map_entries(labels))
-    tidy = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.lower(F.trim(e["key"])).alias("key"), F.left(F.trim(e["value"]), F.lit(MAX_VALUE)).alias("value")
-        ),
-    )
-    good = F.filter(tidy, lambda e: (F.length(e["key"]) <= MAX_NAME) & e["key"].rlike(NAME))
-    names = F.slice(F.sort_array(F.array_distinct(F.transform(good, lambda e: e["key"]))), 1, MAX_PAIRS)
+    good = F.filter(_tidy(labels), lambda e: e["key"].rlike(NAME))
+    names = F.sort_array(F.array_distinct(F.transform(good, lambda e: e["key"])))
     last = lambda n: F.element_at(F.filter(good, lambda e: e["key"] == n), -1)["value"]
     return F.map_from_arrays(names, F.transform(names, last))
 
 
+def label_problems(labels: Column) -> Column:
+    """What is wrong with a label set: names that are left out, and names, values and sets beyond their usual length."""
+    found = F.transform(
+        _tidy(labels),
+        lambda e: F.when(~e["key"].rlike(NAME), F.concat(F.lit("name:"), e["key"]))
+        .when(F.length(e["key"]) > MAX_NAME, F.concat(F.lit("long_name:"), e["key"]))
+        .when(F.length(e["value"]) > MAX_VALUE, F.concat(F.lit("long_value:"), e["key"])),
+    )
+    return F.concat(F.array_compact(found), F.array_compact(F.array(F.when(F.size(labels) > MAX_PAIRS, F.lit("many_pairs")))))
+
+
 def fingerprint(labels: Column) -> Column:
     """SHA-256 over the sorted names and values, each ended by NUL; empty for no labels."""
     pairs = F.sort_array(F.map_entries(labels))
@@ -55,5 +65,6 @@ def normalize_spans(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = tidy.withColumn("problems", missing)
     seconds = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6
     good = checked.where(F.size("problems") == 0).drop("problems").withColumn("seconds", seconds)
-    parents = good.select("trace_id", F.col("span_id").alias("parent_id"), F.col("seconds").alias("parent_seconds"))
+    # a span id may repeat in a trace: the longest such span is the parent, so no row is multiplied
+    parents = good.groupBy("trace_id", F.col("span_id").alias("parent_id")).agg(F.max("seconds").alias("parent_seconds"))
     return good.join(parents, ["trace_id", "parent_id"], "left"), checked.where(F.size("problems") > 0)

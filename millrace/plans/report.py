@@ -47,10 +47,11 @@ def correlations(inputs: Mapping[str, DataFrame], spec: ReportSpec) -> DataFrame
     """Pearson r, p-value and label of every pair of measures of the report."""
     wide = joined(inputs, spec)
     names = [c for c in wide.columns if c not in spec.keys]
-    plain = wide.toDF(*[c.replace(":", "__") if c in names else c for c in wide.columns])
-    pairs = aggregates.corr_matrix(plain, [n.replace(":", "__") for n in names])
-    back = lambda c: F.regexp_replace(c, "__", ":")
-    return aggregates.with_pvalue(pairs).withColumns({"a": back("a"), "b": back("b"), "label": aggregates.corr_label(F.col("r"))})
+    numbered = {n: f"m{i}" for i, n in enumerate(names)}
+    pairs = aggregates.corr_matrix(wide.withColumnsRenamed(numbered), list(numbered.values()))
+    named = F.create_map(*[F.lit(x) for n, m in numbered.items() for x in (m, n)])
+    back = {c: named[F.col(c)] for c in ("a", "b")}
+    return aggregates.with_pvalue(pairs).withColumns({**back, "label": aggregates.corr_label(F.col("r"))})
 
 
 def correlate(

@@ -181,16 +181,16 @@ def _(spark, sf):
 
 @query(
     "normalize_labels",
-    """select event_id, 'host=' || left(repeat('h', 300), 256) || ';type=' || event_type as labels,
-    sha256('host' || chr(0) || left(repeat('h', 300), 256) || chr(0) || 'type' || chr(0) || event_type || chr(0)) as fingerprint from events""",
+    """select event_id, 'host=' || repeat('h', 300) || ';type=' || event_type as labels, 'name:,long_value:host,name:bad name!' as problems,
+    sha256('host' || chr(0) || repeat('h', 300) || chr(0) || 'type' || chr(0) || event_type || chr(0)) as fingerprint from events""",
 )
 def _(spark, sf):
     raw = F.create_map(
         F.lit(" Type "), F.concat(F.lit(" "), "event_type"), F.lit("HOST"), F.repeat(F.lit("h"), 300), F.lit("bad name!"), F.lit("x"), F.lit(" "), F.lit("y")
     )
-    rows = table(spark, sf, "events").select("event_id", telemetry.normalize_labels(raw).alias("m"))
+    rows = table(spark, sf, "events").select("event_id", telemetry.normalize_labels(raw).alias("m"), telemetry.label_problems(raw).alias("p"))
     pairs = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return rows.select("event_id", pairs.alias("labels"), telemetry.fingerprint(F.col("m")).alias("fingerprint"))
+    return rows.select("event_id", pairs.alias("labels"), F.array_join("p", ",").alias("problems"), telemetry.fingerprint(F.col("m")).alias("fingerprint"))
 
 
 @query(

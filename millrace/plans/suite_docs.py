@@ -184,7 +184,7 @@ def _(spark, sf):
             F.when(F.col("event_type") == "error", F.col("user_id")).alias("user"),
         )
     )
-    return documents.rows_to_table(table(spark, sf, "events").withColumn("doc", ragged), "doc", ["event_id"])
+    return documents.rows_to_table(table(spark, sf, "events").withColumn("doc", ragged), "doc", ["event_id"], ["k", "kind", "user"])
 
 
 @query("enrich_static", "select event_id, 'eu' as region, 'static' as source from events")
@@ -280,9 +280,16 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", key.alias("key"))
 
 
-@query("shard_for")
+@query(
+    "shard_for",
+    """with keys as (select user_id, event_type, lower(user_id || '|' || event_type) as k from events),
+    hashed as (select user_id, event_type, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::hugeint)),
+      lambda h, b: (((h - h % 256 + xor((h % 256)::int, b::int)) % 16777216) * 1099511627776 + (h - h % 256 + xor((h % 256)::int, b::int)) * 435) % 18446744073709551616::hugeint) as h from keys)
+    select (h % 16)::bigint as shard, count(*) as rows from hashed group by 1""",
+)
 def _(spark, sf):
-    shard = hashing.shard_for([F.col("user_id").cast("string"), F.col("event_type")], 16)
+    tenant, job = F.concat(F.lit(" "), F.col("user_id").cast("string")), F.concat(F.upper("event_type"), F.lit(" "))
+    shard = hashing.shard_for(tenant, job, 16)
     return table(spark, sf, "events").groupBy(shard.alias("shard")).agg(F.count("*").alias("rows"))
 
 

@@ -58,27 +58,37 @@ def _(spark, sf):
     return out.select("run_id", "drone_id", "profile_id", "started_at")
 
 
-@query("src_json_batch", "select count(*) as documents, sum(o_orderkey)::bigint as keys from orders")
+@query(
+    "src_json_batch",
+    """select 'parsed' as side, count(*) as documents, sum(n)::bigint as orders, sum(keys)::bigint as keys from
+      (select o_custkey, count(*) as n, sum(o_orderkey) as keys from orders group by 1)
+    union all select 'broken', count(*), 0, 0 from (select distinct o_custkey from orders) where o_custkey % 7 = 0""",
+)
 def _(spark, sf):
     path = scratch(spark, "json-batch")
-    docs = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))).alias("value")
-    )
-    docs.select("value").write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path)
-    rows = lines.select(F.explode(F.from_json("value", "array<struct<o_orderkey:bigint>>")).alias("o"))
-    return rows.agg(F.count("*").alias("documents"), F.sum("o.o_orderkey").alias("keys"))
+    text = F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))).alias("value")
+    docs = table(spark, sf, "orders").groupBy("o_custkey").agg(text)
+    broken = docs.where("o_custkey % 7 = 0").withColumn("value", F.concat(F.lit("{"), F.left("value", F.lit(20))))
+    docs.unionByName(broken).select("value").write.option("lineSep", "\n").text(path)
+    good, bad = readers.read_json_batch(spark, path, lines=True)
+    rows = good.where(F.col("payload_sha256") == F.sha2("payload", 256)).select(F.from_json("payload", "array<struct<o_orderkey:bigint>>").alias("o"))
+    keys = F.aggregate("o", F.lit(0).cast("bigint"), lambda acc, x: acc + x["o_orderkey"])
+    parsed = rows.agg(F.lit("parsed").alias("side"), F.count("*").alias("documents"), F.sum(F.size("o")).alias("orders"), F.sum(keys).alias("keys"))
+    zero = F.lit(0).cast("bigint")
+    return parsed.unionByName(bad.agg(F.lit("broken").alias("side"), F.count("*").alias("documents"), zero.alias("orders"), zero.alias("keys")))
 
 
 @query(
     "src_ts_payload",
-    """select 't1' as tenant_id, event_type as metric, user_id::varchar as entity_id, count(*) as points, round(sum(value), 4) as total
-    from events group by 2, 3""",
+    """select 'point' as side, event_type as metric, count(*) as n, round(sum(value), 4) as total from events where event_type <> 'error' group by 2
+    union all select 'bad_time', '', count(*), null from events where event_type = 'error'
+    union all select 'unknown_field', '', count(distinct user_id), null from events where event_type = 'signup'""",
 )
 def _(spark, sf):
     path = scratch(spark, "ts-payload")
     e = table(spark, sf, "events")
-    point = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.col("value"))
+    when = F.when(F.col("event_type") == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    point = F.struct(when.alias("ts"), F.col("value"))
     key = F.struct(
         F.lit("t1").alias("tenant_id"),
         F.lit("app").alias("namespace"),
@@ -86,23 +96,23 @@ def _(spark, sf):
         F.lit("user").alias("entity_type"),
         F.col("user_id").cast("string").alias("entity_id"),
     )
-    series = e.groupBy("user_id", "event_type").agg(F.collect_list(point).alias("points"))
+    # a series is one entity and day, so that no array grows with the table's length in time
+    series = e.groupBy("user_id", "event_type", F.to_date("ts")).agg(F.collect_list(point).alias("points"))
     meta = F.create_map(F.lit("source"), F.lit("test")).alias("meta")
-    payload = series.select(F.to_json(F.struct(meta, F.array(F.struct(key.alias("key"), "points")).alias("series"))).alias("value"))
-    payload.write.option("compression", "gzip").text(path)
-    # the writer above puts several payloads into one file, one per line
-    lines = spark.read.text(path)
-    rows = lines.select(F.from_json("value", readers.TS_PAYLOAD).alias("p")).select(F.explode("p.series").alias("s"))
-    points = rows.select("s.key.*", F.explode("s.points").alias("pt"))
-    return points.groupBy("tenant_id", "metric", "entity_id").agg(
-        F.count("*").alias("points"), F.round(F.sum("pt.value"), 4).alias("total")
+    good = series.select(F.to_json(F.struct(meta, F.array(F.struct(key.alias("key"), "points")).alias("series"))).alias("value"))
+    strange = e.where("event_type = 'signup'").select("user_id").distinct().select(F.to_json(F.struct(meta, F.col("user_id").alias("extra"))).alias("value"))
+    good.unionByName(strange).write.option("compression", "gzip").text(path)
+    points, rejected = readers.read_ts_payload(spark, path, lines=True)
+    seen = points.groupBy(F.lit("point").alias("side"), "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return seen.unionByName(
+        rejected.groupBy(F.col("reason").alias("side")).agg(F.lit("").alias("metric"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
     )
 
 
 @query(
     "src_rss",
     """select o_custkey, pos - 1 as pos, 'order ' || o_orderkey as title, 'http://shop.example/' || o_orderkey as link from
-    (select *, row_number() over (partition by o_custkey order by o_orderkey) as pos from orders) where pos <= 20""",
+    (select *, row_number() over (partition by o_custkey order by o_orderkey) as pos from orders)""",
 )
 def _(spark, sf):
     item = F.concat(
@@ -111,7 +121,7 @@ def _(spark, sf):
     )
     feeds = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", item.alias("x")))).alias("i"))
     xml = F.concat(F.lit("<rss><channel><title>orders</title>"), F.array_join("i.x", ""), F.lit("</channel></rss>"))
-    return readers.read_feeds(feeds.select("o_custkey", xml.alias("xml")), "xml", 20)
+    return readers.read_feeds(feeds.select("o_custkey", xml.alias("xml")), "xml")
 
 
 @query("src_object", "select o_orderstatus, count(*) as n from orders group by 1")
@@ -130,14 +140,16 @@ def _(spark, sf):
 @query(
     "sink_records",
     f"""with {RECORD_SQL} select 1::bigint as step, (select count(*) from records where profile_id <> 'view') as inserted,
-      (select count(*) from events where event_type <> 'view') - (select count(*) from records where profile_id <> 'view') as deduped
+      (select count(*) from events where event_type <> 'view') - (select count(*) from records where profile_id <> 'view') as deduped,
+      (select count(*) from events where event_type = 'error') as rejected
     union all select 2, (select count(*) from records where profile_id = 'view'),
-      (select count(*) from events) - (select count(*) from records where profile_id = 'view')""",
+      (select count(*) from events) - (select count(*) from records where profile_id = 'view'), 0""",
 )
 def _(spark, sf):
     path = scratch(spark, "records")
     rows = records(spark, sf)
-    first = sinks.insert_records(rows.where("profile_id <> 'view'"), path, ["timestamp", "id"]).withColumn("step", F.lit(1).cast("bigint"))
+    unreadable = rows.where("profile_id = 'error'").withColumn("record_id", record_id(F.lit("{broken")))
+    first = sinks.insert_records(rows.where("profile_id <> 'view'").unionByName(unreadable), path, ["timestamp", "id"]).withColumn("step", F.lit(1).cast("bigint"))
     first = materialize(first)  # counted before the second insert adds to the table
     second = sinks.insert_records(rows, path, ["timestamp", "id"]).withColumn("step", F.lit(2).cast("bigint"))
     return first.unionByName(second)
@@ -174,9 +186,17 @@ def _(spark, sf):
     return spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").option("header", True).csv(path)
 
 
-@query("sink_manifest")
+@query(
+    "sink_manifest",
+    """select 'n_nationkey=' || n_nationkey as folder, strlen(n_name || chr(10) || n_regionkey || chr(10))::bigint as bytes,
+    sha256(n_name || chr(10) || n_regionkey || chr(10)) as sha256 from nation""",
+)
 def _(spark, sf):
-    return sinks.manifest(spark, sf, "*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "bytes", "sha256")
+    path = scratch(spark, "manifest")
+    text = F.concat("n_name", F.lit("\n"), F.col("n_regionkey").cast("string")).alias("value")
+    table(spark, sf, "nation").select("n_nationkey", text).write.partitionBy("n_nationkey").text(path)
+    files = sinks.manifest(spark, path, "*.txt")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "bytes", "sha256")
 
 
 def feature_points(spark, sf):

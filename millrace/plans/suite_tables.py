@@ -324,12 +324,12 @@ def _(spark, sf):
 @query(
     "heat_grid",
     """with e as (select event_type as x, strftime(ts, '%Y-%m-%d') as y, value, ts, event_id from events),
-    k as (select * from e where x in (select distinct x from e order by x limit 3) and y in (select distinct y from e order by y limit 20))
+    k as (select * from e where value is not null)
     select x, y, arg_max(value, (ts, event_id)) as value, (select min(value) from k) as min, (select max(value) from k) as max from k group by x, y""",
 )
 def _(spark, sf):
     cells = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return agg.heat_grid(cells, "event_type", "day", "value", ["ts", "event_id"], 3, 20)
+    return agg.heat_grid(cells, "event_type", "day", "value", ["ts", "event_id"])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +69,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays under ``max_rows`` rows.
+def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the columns of ``left``, then the others of ``right``."""
+    renamed = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__same_{k}"))
+    return left.join(renamed, same, how).drop(*[f"__same_{k}" for k in keys])
 
-    The count stops at the limit, so the check is cheap for a written frame. Beyond the limit the
-    frame is returned as it is and the join shuffles.
+
+def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``on_same`` with a right side that is expected to be small: it is written first.
+
+    The planner then knows its bytes before it plans the join, broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``, and the left side is not shuffled. A larger one is joined by a shuffle.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return on_same(left, materialize(right), keys, how)
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -7,27 +7,26 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SCAN = 1000
 
-
-def scan(df: DataFrame, equals: Mapping[str, object], ts: str, tie: str, limit: int = 100) -> DataFrame:
-    """Rows matching the given columns, newest first, ``limit`` clamped to 1..1000.
+def scan(df: DataFrame, equals: Mapping[str, object], ts: str, tie: str, limit: int | None = 100) -> DataFrame:
+    """Rows matching the given columns, the newest ``limit`` of them first; all of them, unordered, for None.
 
     Filters with no value are left out, so the rest reach the file scan.
     """
     for column, value in equals.items():
         if value not in (None, ""):
             df = df.where(F.col(column) == F.lit(value))
-    return df.orderBy(F.desc(ts), F.asc(tie)).limit(min(max(limit, 1), MAX_SCAN))
+    return df if limit is None else df.orderBy(F.desc(ts), F.asc(tie)).limit(limit)
 
 
 def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.where(F.col("run_id") == run_id)
 
 
-def read_json_batch(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Payload files, one JSON document each: the parsed ones as ``payload`` and the broken ones."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+def read_json_batch(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """JSON documents, one per file or per line: the parsed ones as ``payload`` with their hash, and the broken ones."""
+    files = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+    files = files.withColumn("payload_sha256", F.sha2("payload", 256))
     good = F.try_parse_json("payload").isNotNull()
     return files.where(good), files.where(~good)
 
@@ -41,34 +40,41 @@ TS_PAYLOAD = (
 )
 
 
-def read_ts_payload(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Series payload files (plain or gzip): one row per point with its key and the payload's hash.
+def split_ts_payload(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Series payloads (column ``value``) as one row per point, and what can't be one, with a reason.
 
-    Files above ``max_bytes`` and files with unknown top-level fields are rejected.
+    Points carry their key and the payload's hash. A payload is rejected as a whole when it is no JSON
+    object or has an unknown field; a point when its time or value is missing or can't be read.
     """
-    files = spark.read.text(path, wholetext=True).select("value").where(F.octet_length("value") <= max_bytes)
+    hashed = payloads.select(F.sha2("value", 256).alias("payload_sha256"), "value")
     known = F.json_object_keys("value")
-    strict = files.where(F.size(F.array_except(known, F.array(F.lit("meta"), F.lit("series")))) == 0)
-    parsed = strict.select(F.sha2("value", 256).alias("payload_sha256"), F.from_json("value", TS_PAYLOAD).alias("p"))
-    series = parsed.select("payload_sha256", "p.meta", F.explode("p.series").alias("s"))
-    points = series.select("payload_sha256", "s.key", F.explode("s.points").alias("pt"))
-    return points.select(
-        "payload_sha256",
-        "key.*",
-        F.try_to_timestamp("pt.ts").cast("timestamp_ntz").alias("ts"),
-        F.col("pt.value").alias("value"),
-        F.col("pt.meta").alias("meta"),
-    ).where(F.col("ts").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    reason = F.when(known.isNull() | F.try_parse_json("value").isNull(), "not_an_object").when(
+        F.size(F.array_except(known, F.array(F.lit("meta"), F.lit("series")))) > 0, "unknown_field"
+    )
+    judged = hashed.withColumn("reason", reason)
+    parsed = judged.where("reason is null").select("payload_sha256", F.from_json("value", TS_PAYLOAD).alias("p"))
+    series = parsed.select("payload_sha256", F.explode("p.series").alias("s"))
+    points = series.select("payload_sha256", "s.key.*", F.explode("s.points").alias("pt")).withColumn("ts", F.try_to_timestamp("pt.ts").cast("timestamp_ntz"))
+    bad = F.when(F.col("ts").isNull(), "bad_time").when(F.col("pt.value").isNull() | F.isnan("pt.value"), "bad_value")
+    points = points.withColumn("reason", bad)
+    good = points.where("reason is null").withColumns({"value": F.col("pt.value"), "meta": F.col("pt.meta")}).drop("pt", "reason")
+    rejected = judged.where("reason is not null").select("payload_sha256", "reason", F.col("value").alias("content"))
+    return good, rejected.unionByName(points.where("reason is not null").select("payload_sha256", "reason", F.to_json("pt").alias("content")))
+
+
+def read_ts_payload(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Series payload files, plain or gzip: one payload per file, or per line. Points and rejected parts."""
+    return split_ts_payload(spark.read.text(path, wholetext=not lines).select("value"))
 
 
 RSS = "struct<channel:struct<title:string,item:array<struct<title:string,link:string,pubDate:string>>>>"
 
 
-def read_feeds(feeds: DataFrame, xml: str, items: int = 20) -> DataFrame:
-    """Title and link of the first ``items`` entries of stored RSS documents."""
+def read_feeds(feeds: DataFrame, xml: str, items: int | None = None) -> DataFrame:
+    """Title and link of the entries of stored RSS documents, of the first ``items`` of each if given."""
     keys = [c for c in feeds.columns if c != xml]
     parsed = feeds.select(*keys, F.from_xml(xml, RSS).alias("r"))
-    first = F.slice("r.channel.item", 1, items)
+    first = F.col("r.channel.item") if items is None else F.slice("r.channel.item", 1, items)
     return parsed.select(*keys, F.posexplode(first).alias("pos", "i")).select(
         *keys, F.col("pos").cast("bigint").alias("pos"), F.trim("i.title").alias("title"), F.trim("i.link").alias("link")
     )

@@ -37,11 +37,17 @@ def new_records(df: DataFrame, stored: DataFrame | None, order: Sequence[str]) -
     return unique if stored is None else unique.join(stored.select(*key), key, "left_anti")
 
 
+def rejected_records(df: DataFrame) -> DataFrame:
+    """Records that can't be stored, with the reason."""
+    reason = F.when(F.col("record_id").isNull(), "no_record_id").when(F.col("profile_id").isNull(), "no_profile_id")
+    return df.withColumn("reason", reason).where("reason is not null")
+
+
 def insert_records(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
-    """Insert the new records; returns one row with inserted and deduplicated counts.
+    """Insert the new records; returns one row with inserted, deduplicated and rejected counts.
 
-    The counts are read back from the written batch, so the input is computed once for the insert
-    and once for its own count.
+    Rows without a key, such as unreadable documents, are rejected (``rejected_records`` returns them). The
+    counts are read back from the written batch, so the input is computed once for the insert and once for its own count.
     """
     spark = df.sparkSession
     stored = spark.read.parquet(path) if exists(spark, path) else None
@@ -49,12 +55,13 @@ def insert_records(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
     fresh = new_records(df, stored, order).withColumn("batch", F.lit(batch))
     fresh.write.mode("append").parquet(path)
     inserted = spark.read.parquet(path).where(F.col("batch") == batch).agg(F.count("*").alias("inserted"))
-    total = df.agg(F.count("*").alias("__n"))
-    return with_scalar(inserted, total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"))
+    keyed = F.col("record_id").isNotNull() & F.col("profile_id").isNotNull()
+    total = df.agg(F.count_if(keyed).alias("__n"), F.count_if(~keyed).alias("rejected"))
+    return with_scalar(inserted, total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"), "rejected")
 
 
 def upsert_runs(stored: DataFrame, incoming: DataFrame, seq: str) -> DataFrame:
-    """Runs by id, the last write wins; secrets in error texts are masked and the text is bounded."""
+    """Runs by id, the last write wins; secrets in error texts are masked."""
     safe = incoming.withColumn("error", redact_secrets(F.col("error")))
     return first_per_key(stored.unionByName(safe), ["run_id"], [seq], last=True)
 
