@@ -252,3 +252,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e, vec_id is not null and label is not null and coalesce(len(embedding), 0) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+pairs as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id < b.vec_id
+  where a.ok and b.ok and list_cosine_similarity(a.e, b.e) >= 0.93),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as component_id from reach group by 1)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from v join least on a = vec_id
+"""

@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 TREES = 32
 DEEPEST = 10
 RECALL = 0.9999
-BLOCK = 256
+BLOCK = 512
 
 
 def depth_for(similarity: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
@@ -219,3 +219,15 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+shingles as (select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ')) as s from w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) where len(ws) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c / (x.n + y.n - c)::double >= 0.8),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, (select min(b) from reach where a = doc_id) as class_id, (select count(*) from links where a = doc_id) as n_links from documents
+"""

@@ -172,3 +172,15 @@ def deduplicate(docs: DataFrame, size: int = SIZE, of: Callable[[Column], Column
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(documents(spark, sf_dir), of=lambda text: F.sha2(text, 256))
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (select doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) as k from w, unnest(range(1, len(ws) - 18)) t(i)),
+firsts as (select k, min((doc_id, i)) as f from windows group by k having count(*) > 1),
+gone as (select doc_id, list(distinct j) as js from windows join firsts using (k), unnest(range(i, i + 20)) u(j) where (doc_id, i) > f group by doc_id),
+kept as (select doc_id, len(ws)::bigint as n_words,
+    case when js is null then ws else list_filter(ws, lambda x, n: not list_contains(js, n)) end as ks
+  from w left join gone using (doc_id))
+select doc_id, n_words, n_words - len(ks)::bigint as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept
+"""

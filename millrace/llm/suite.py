@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_substrings": substrings.SQL,
+    "op4_jaccard": jaccard.SQL,
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_embeddings": embeddings.SQL,
 }
