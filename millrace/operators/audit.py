@@ -52,7 +52,6 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
     """
     keys = list(keys)
     rows = with_position(df.withColumn("__text", canonical), keys, order)
-    rows = materialize(rows)
     blocked = rows.withColumn("blk", F.floor(F.col("idx") / F.lit(block)).cast("bigint"))
     packed = materialize(
         blocked.groupBy(*keys, "blk").agg(F.sort_array(F.collect_list(F.struct("idx", "__text"))).alias("rows"))
@@ -96,6 +95,31 @@ def chain_verify(df: DataFrame, keys: Sequence[str], order: Sequence[str], canon
     return checked.drop("prev_hash", "__text").withColumnRenamed("__stored", "prev_hash")
 
 
+def chain_heads(chained: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What to keep of a chain elsewhere: number of links and hash of the last one, per key."""
+    return chained.groupBy(*keys).agg(F.count("*").alias("links"), F.max_by("hash", F.struct(*order)).alias("head"))
+
+
+def verify_heads(df: DataFrame, keys: Sequence[str], order: Sequence[str], heads: DataFrame) -> DataFrame:
+    """Chains that are not the ones whose heads were kept, with the problems.
+
+    A log that is cut at its end or chained anew holds link by link; only its number of links and its
+    head tell. ``chain_verify`` checks the links themselves.
+    """
+    now = chain_heads(df, keys, order).withColumnsRenamed({"links": "__links", "head": "__head"})
+    marked = on_same(heads.withColumn("__kept", F.lit(True)), now.withColumn("__found", F.lit(True)), keys, "left")
+    extra = on_same(now, heads.select(*keys), keys, "left_anti").select(*keys, F.array(F.lit("unknown")).alias("problems"))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("__found").isNull(), F.lit("missing")),
+            F.when(F.col("__links") < F.col("links"), F.lit("cut")),
+            F.when(F.col("__links") > F.col("links"), F.lit("longer")),
+            F.when((F.col("__links") == F.col("links")) & (F.col("__head") != F.col("head")), F.lit("head")),
+        )
+    )
+    return marked.select(*keys, problems.alias("problems")).where(F.size("problems") > 0).unionByName(extra)
+
+
 def envelope_hash(columns: Sequence[str], previous: str | None = None) -> Column:
     """SHA-256 of the row's canonical JSON, the previous hash included."""
     fields = sorted([*columns, *([previous] if previous else [])])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions.hashing import canonical_json, hmac_sha256
 from ..functions.text import norm_token
@@ -37,35 +39,59 @@ def _mask_entry(entries: Column, name: str, replacement: str) -> Column:
     return F.transform_values(entries, lambda k, v: F.when(k == name, F.lit(replacement)).otherwise(v))
 
 
-def redact(df: DataFrame, paths: Sequence[str] = REDACT_PATHS, replacement: str = REDACTED) -> DataFrame:
-    """Replace the values at ``column.field`` or ``column`` paths; ``redacted_paths`` lists the hits.
+@dataclass(frozen=True)
+class Redaction:
+    """What stands in place of the value at a path: ``column``, ``column.field``, ``column.inner.field`` or ``column[].field``."""
 
-    Columns are structs or maps of strings. A path that is absent or NULL is no hit and stays.
+    path: str
+    replacement: str = REDACTED
+    enabled: bool = True
+
+
+def redact(df: DataFrame, rules: Sequence[Redaction | str] = REDACT_PATHS, replacement: str = REDACTED) -> DataFrame:
+    """Replace the values at the rules' paths; ``redacted_paths`` lists the hits.
+
+    Columns are texts, structs at any depth that may end in a map of texts, or arrays of structs. A path that is
+    absent or NULL is no hit and stays. Plain paths take the common ``replacement``.
     """
-    types = dict(df.dtypes)
+    rules = [rule if isinstance(rule, Redaction) else Redaction(rule, replacement) for rule in rules]
     hits = []
-    for path in sorted(set(paths)):
-        column, _, field = path.partition(".")
-        if column not in types:
-            continue
-        if not field:
-            present, masked = F.col(column).isNotNull(), F.lit(replacement)
-        elif types[column].startswith("map<"):
-            present = F.map_contains_key(F.col(column), F.lit(field))
-            masked = _mask_entry(F.col(column), field, replacement)
-        elif types[column].startswith("struct<") and field in df.select(f"{column}.*").columns:
-            present = F.col(path).isNotNull()
-            masked = F.col(column).withField(field, F.lit(replacement))
-        else:
-            continue
-        # the hit is decided on the untouched document, so order of the paths does not matter
-        hits.append((path, column, F.coalesce(present, F.lit(False)), masked))
+    for rule in sorted((r for r in rules if r.enabled), key=lambda r: r.path):
+        column, *steps = rule.path.replace("[]", ".[]").split(".")
+        kind = next((f.dataType for f in df.schema.fields if f.name == column), None)
+        found = kind is not None and _masked(F.col(column), kind, steps, rule.replacement)
+        if found:
+            # the hit is decided on the untouched document, so order of the paths does not matter
+            hits.append((rule.path, column, F.coalesce(found[0], F.lit(False)), found[1]))
     out = df.withColumn("redacted_paths", F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, _, p, _ in hits])))
     for _, column, present, masked in hits:
         out = out.withColumn(column, F.when(present, masked).otherwise(F.col(column)))
     return out
 
 
+def _masked(value: Column, kind: DataType, steps: Sequence[str], replacement: str) -> tuple[Column, Column] | None:
+    """Is there something at the steps, and the value with it replaced; None if the type has no such path."""
+    if not steps:
+        return value.isNotNull(), F.lit(replacement)
+    head, *rest = steps
+    if head == "[]" and isinstance(kind, ArrayType):
+        inner = _masked(F.col("x"), kind.elementType, rest, replacement)
+        if inner is None:
+            return None
+        hit = lambda x: F.coalesce(_masked(x, kind.elementType, rest, replacement)[0], F.lit(False))
+        mask = lambda x: F.when(hit(x), _masked(x, kind.elementType, rest, replacement)[1]).otherwise(x)
+        return F.exists(value, hit), F.transform(value, mask)
+    if isinstance(kind, MapType) and not rest:
+        return F.map_contains_key(value, F.lit(head)), _mask_entry(value, head, replacement)
+    if isinstance(kind, StructType) and head in kind.fieldNames():
+        inner = _masked(value[head], kind[head].dataType, rest, replacement)
+        if inner is None:
+            return None
+        present, masked = inner
+        return present, value.withField(head, F.when(present, masked).otherwise(value[head]))
+    return None
+
+
 def pseudonymize(subject: Column, secret: bytes) -> Column:
     """HMAC-SHA256 of the collapsed subject; NULL for a blank one."""
     if not secret:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +47,32 @@ def validate_rules(doc: Column, rules: Sequence[tuple[str, str, bool]]) -> Colum
 # --- JSON Schema contracts --------------------------------------------------------------------
 
 
+# fixed values: the keywords that are checked, and those that check nothing
+KEYWORDS = (
+    "type const enum minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf items minItems maxItems "
+    "required properties additionalProperties minProperties maxProperties propertyNames allOf anyOf oneOf not"
+).split()
+ANNOTATIONS = "$schema $id $comment title description default examples format deprecated readOnly writeOnly".split()
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def validate_contract(schema: Mapping, doc: Column, at: str = "$") -> Column:
     """Problems of a variant document against a JSON Schema, compiled once into one expression.
 
-    Covers type, const, enum, minLength, maxLength, pattern, minimum, maximum, exclusiveMinimum,
-    exclusiveMaximum, multipleOf, items, minItems, maxItems, required, properties,
-    additionalProperties, allOf, anyOf, oneOf and not.
+    Covers the keywords in ``KEYWORDS``. Any other keyword that is no annotation raises: a rule that
+    is not checked must not look like one that holds. Every node of the document is read once.
     """
+    unknown = set(schema) - set(KEYWORDS) - set(ANNOTATIONS)
+    if unknown:
+        raise ValueError(f"{at}: schema keywords without a check: {sorted(unknown)}")
+    return bound(doc, lambda d: _validate_node(schema, d, at))
+
+
+def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
     t = F.schema_of_variant(doc)
     is_object, is_array, is_text = t.startswith("OBJECT"), t.startswith("ARRAY"), t == "STRING"
     number = F.when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(doc, "$", "double"))
@@ -99,6 +118,14 @@ def validate_contract(schema: Mapping, doc: Column, at: str = "$") -> Column:
     present = lambda name: F.try_variant_get(doc, f"$['{name}']", "variant")
     for name in schema.get("required", []):
         tokens.append(F.when(is_object & present(name).isNull(), F.lit(f"{at}.{name}:required")))
+    keys = F.when(is_object, F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>")))
+    for word, bad in (("minProperties", lambda n: F.size(keys) < n), ("maxProperties", lambda n: F.size(keys) > n)):
+        if word in schema:
+            tokens.append(flag(is_object & bad(schema[word]), word))
+    if "propertyNames" in schema:
+        names = {"type": "array", "items": schema["propertyNames"]}
+        wrong = F.filter(keys, lambda k: F.size(validate_contract(names, F.parse_json(F.to_json(F.array(k))), at)) > 0)
+        tokens.append(flag(is_object & (F.size(wrong) > 0), "propertyNames"))
     known = schema.get("properties", {})
     for name, sub in known.items():
         child = present(name)
@@ -132,6 +159,13 @@ def validate_contract(schema: Mapping, doc: Column, at: str = "$") -> Column:
 OPAQUE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 EVENT_TYPE = r"^[a-z][a-z0-9._-]{0,95}$"
 SHA256 = r"^[0-9a-f]{64}$"
+ANY_CASE_SHA256 = r"^[0-9a-fA-F]{64}$"
+SOURCE_KIND = r"^[a-z][a-z0-9._-]{0,63}$"
+SOURCE_STATES = ("active", "paused", "error", "disabled")
+SOURCE_HEALTH = ("healthy", "degraded", "unhealthy")
+SOURCE_TEXTS = {"name": 128, "owner_id": 128, "team": 128, "oncall_rotation": 128, "schema_ref": 256, "notes": 2048}
+SOURCE_LIMITS = {"rate_limit_rps": 100_000, "max_concurrency": 100_000, "daily_quota": 1_000_000_000}
+MAX_SOURCE_LABELS, MAX_EXTERNAL_REF, MAX_FAILURES = 32, 1024, 1_000_000
 CASE_STATES = ("open", "investigate", "mitigated", "resolved", "closed", "rejected")
 CASE_SEVERITIES = ("low", "medium", "high", "critical")
 CASE_PRIORITIES = ("p3", "p2", "p1", "p0")
@@ -162,13 +196,39 @@ def _needed(*names: str) -> list[Column]:
 
 
 def validate_event() -> Column:
-    """Problems of event envelope rows (id, tenant, type, times, hashes)."""
+    """Problems of event envelope rows: identifiers, type, times, the ids it refers to, and its hashes in either case."""
+    links = ("trace_id", "span_id", "parent_event_id", "correlation_id")
     return _list(
         _text_rule("id", OPAQUE_ID),
         _text_rule("tenant", OPAQUE_ID),
         _text_rule("type", EVENT_TYPE),
         *_needed("occurred", "emitted"),
-        _text_rule("hash", SHA256, required=False),
+        *[_text_rule(name, OPAQUE_ID, required=False) for name in links],
+        _text_rule("prev_hash", ANY_CASE_SHA256, required=False),
+        _text_rule("hash", ANY_CASE_SHA256, required=False),
+    )
+
+
+def validate_source() -> Column:
+    """Problems of source rows: identity, state, bounded texts and limits, schema and configuration hashes."""
+    ref = F.trim("external_ref")
+    return _list(
+        _text_rule("id", OPAQUE_ID),
+        _text_rule("tenant", OPAQUE_ID),
+        _text_rule("kind", SOURCE_KIND),
+        F.when(F.coalesce(ref == "", F.lit(True)), F.lit("external_ref:required")).when(
+            (F.octet_length(ref) > MAX_EXTERNAL_REF) | ref.rlike(r"[\n\r\t]"), F.lit("external_ref:invalid")
+        ),
+        _choice_rule("status", SOURCE_STATES),
+        _choice_rule("health", SOURCE_HEALTH),
+        *_needed("created", "updated"),
+        F.when(F.col("updated") < F.col("created"), F.lit("updated:before_created")),
+        *[F.when(F.octet_length(name) > most, F.lit(f"{name}:too_long")) for name, most in SOURCE_TEXTS.items()],
+        *[F.when(~F.col(name).between(0, most), F.lit(f"{name}:invalid")) for name, most in SOURCE_LIMITS.items()],
+        F.when(F.col("consecutive_failures") > MAX_FAILURES, F.lit("consecutive_failures:invalid")),
+        F.when(F.col("config_version") < 0, F.lit("config_version:invalid")),
+        F.when(F.size("labels") > MAX_SOURCE_LABELS, F.lit("labels:too_many")),
+        *[_text_rule(name, SHA256, required=False) for name in ("schema_hash", "config_hash", "prev_hash", "hash")],
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import base64
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,23 @@ def keyset_page(points: DataFrame, where: Column, ts: str, tie: str, after_ts: C
     return points.where(where & (F.col(ts) >= after_ts) & later).orderBy(ts, tie).limit(limit)
 
 
+def make_cursor(query: Mapping[str, object], after_ts: str, after_tie: object) -> str:
+    """An opaque text that continues this query after a row: its place, and a hash of the query."""
+    asked = hashlib.sha256(json.dumps(query, sort_keys=True, default=str).encode()).hexdigest()
+    return base64.urlsafe_b64encode(json.dumps([asked, after_ts, after_tie]).encode()).decode()
+
+
+def read_cursor(cursor: str, query: Mapping[str, object]) -> tuple[str, object]:
+    """The place of a cursor; raises if it was made for another query or is none."""
+    try:
+        asked, after_ts, after_tie = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+    except ValueError as error:
+        raise ValueError("not a cursor") from error
+    if asked != hashlib.sha256(json.dumps(query, sort_keys=True, default=str).encode()).hexdigest():
+        raise ValueError("the cursor belongs to another query")
+    return after_ts, after_tie
+
+
 def filter_since(df: DataFrame, tenant: Column, ts: str, since: Column, tie: str, limit: int | None = 100, service: Column | None = None) -> DataFrame:
     """Rows of a tenant (and service) strictly after ``since``, newest first; all of them for a limit of None."""
     rows = df.where(tenant & (F.col(ts) > since))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small, materialize, on_same
+from ..session import join_small, materialize, on_same, scratch
 
 BLOCK = 4096
 FAN = 4096
@@ -183,24 +183,35 @@ def settle(
     keys = list(keys)
     at = [*keys, "blk"]
 
+    spark, path, rounds = packed.sparkSession, scratch(packed.sparkSession, "rounds"), 0
+
     def fold(todo: DataFrame) -> DataFrame:
-        folded = on_same(packed, todo, at).withColumn("__r", run)
-        return materialize(folded.select(*at, "entry", exit_state.alias("exit")))
+        """Fold some blocks and append their states as the next round; returns that round alone."""
+        nonlocal rounds
+        folded = on_same(packed, todo, at).withColumn("__r", run).select(*at, "entry", exit_state.alias("exit"))
+        folded.write.parquet(f"{path}/round={rounds}")
+        rounds += 1
+        return spark.read.schema(folded.schema).parquet(f"{path}/round={rounds - 1}")
+
+    def settled() -> DataFrame:
+        """The state of the last round that folded each block."""
+        every = spark.read.option("basePath", path).parquet(path)
+        return every.groupBy(*at).agg(F.max_by("entry", "round").alias("entry"))
 
     waiting = packed.select(*at)
     done = fold(entries)
     while True:
+        # only what was folded in the last round can pass on something new
         passed = done.select(*keys, (F.col("blk") + 1).alias("blk"), F.col("exit").alias("__new"))
-        known = done.select(*at, "entry")
+        known = settled()
         todo = materialize(
             on_same(on_same(passed, waiting, at), known, at, "left")
             .where(~F.col("__new").eqNullSafe(F.col("entry")))
             .select(*at, F.col("__new").alias("entry"))
         )
         if todo.limit(1).count() == 0:
-            return done.select(*at, "entry")
-        again = fold(todo)
-        done = materialize(on_same(done, todo.select(*at), at, "left_anti").unionByName(again))
+            return settled()
+        done = fold(todo)
 
 
 def reset_fold(

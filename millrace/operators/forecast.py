@@ -8,7 +8,7 @@ series once, whatever the number of back-test origins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -198,7 +198,13 @@ TRACES = {
 }
 
 
-def trace(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConfig) -> DataFrame:
+Model = Callable[[DataFrame, Sequence[str], ForecastConfig], DataFrame]
+
+
+def trace(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig) -> DataFrame:
+    """The path that a model forecasts from every row. ``model`` is a name in ``TRACES`` or a function that adds ``path``."""
+    if callable(model):
+        return model(indexed, keys, cfg).select(*keys, "idx", "value", *_kept(indexed), "path")
     if model not in TRACES:
         raise ValueError("unknown model")
     if model in ("seasonal_naive", "holt_winters_add") and cfg.season_length <= 0:
@@ -207,7 +213,7 @@ def trace(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConf
     return TRACES[model](indexed, keys, cfg).select(*keys, "idx", "value", *_kept(indexed), "path")
 
 
-def forecast(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConfig) -> DataFrame:
+def forecast(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig) -> DataFrame:
     """One row per series and step ahead."""
     return last_path(indexed, trace(indexed, keys, model, cfg), keys)
 
@@ -237,7 +243,7 @@ def with_errors(traced: DataFrame, cfg: ForecastConfig) -> DataFrame:
     )
 
 
-def backtest(indexed: DataFrame, keys: Sequence[str], model: str, cfg: ForecastConfig) -> DataFrame:
+def backtest(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig) -> DataFrame:
     """Error of every origin: mean absolute, root mean square and mean percentage error.
 
     The percentage error skips actual values near zero and is NULL when all are.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,17 +44,33 @@ def join_multi_full(inputs: dict[str, tuple[DataFrame, Sequence[str]]], keys: Se
     return wide.groupBy(*keys).agg(*latest)
 
 
-def rules_join(df: DataFrame, action: str, rules: Sequence[tuple[str, Sequence[str]]], fallback: str = "unknown") -> DataFrame:
-    """Sorted set of the controls whose substring rule matches the action; ``fallback`` if none does.
+@dataclass(frozen=True)
+class ControlRule:
+    """Controls of the actions that contain ``part``; with ``outcomes`` only of those that ended so."""
+
+    part: str
+    controls: Sequence[str]
+    outcomes: Sequence[str] = ()
+    enabled: bool = True
+
+
+def rules_join(df: DataFrame, action: str, rules: Sequence[ControlRule | tuple[str, Sequence[str]]], fallback: str = "unknown", outcome: str | None = None) -> DataFrame:
+    """Sorted set of the controls whose rule matches the action (and outcome); ``fallback`` if none does.
 
     The rules are a fixed handful, so they become one expression per row and nothing is joined.
     """
+    rules = [rule if isinstance(rule, ControlRule) else ControlRule(*rule) for rule in rules]
+    if outcome is None and any(rule.enabled and rule.outcomes for rule in rules):
+        raise ValueError("rules with outcomes need the outcome column")
+    ended = F.lower(F.trim(outcome)) if outcome else None
+    applies = lambda rule: F.lit(True) if not rule.outcomes else F.coalesce(ended.isin(*[o.lower() for o in rule.outcomes]), F.lit(False))
     low = F.lower(F.trim(F.regexp_replace(action, r"\s+", " ")))
     hits = F.flatten(
         F.array(
             *[
-                F.when(low.contains(part), F.array(*map(F.lit, controls))).otherwise(F.array().cast("array<string>"))
-                for part, controls in rules
+                F.when(low.contains(rule.part) & applies(rule), F.array(*map(F.lit, rule.controls))).otherwise(F.array().cast("array<string>"))
+                for rule in rules
+                if rule.enabled
             ]
         )
     )

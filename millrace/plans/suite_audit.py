@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, profiler, telemetry
+from ..session import materialize
 from .registry import query, table
 from .suite_docs import event_docs
 from .suite_tables import audited
@@ -76,6 +77,25 @@ def _(spark, sf):
     return out.select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
+@query(
+    "chain_heads",
+    """select user_id, case when user_id % 4 = 3 then 'missing' when user_id % 4 = 1 then case when n = 1 then 'missing' else 'cut' end else 'head' end as problems
+    from (select user_id, count(*) as n, arg_max(event_type, (ts, event_id)) as last from events group by 1) where user_id % 4 <> 0""",
+)
+def _(spark, sf):
+    keys, order = ["user_id"], ["ts", "event_id"]
+    log = chained(spark, sf).drop("idx")
+    heads = materialize(audit.chain_heads(log, keys, order))
+    kind = F.col("user_id") % 4
+    last = log.groupBy("user_id").agg(F.max_by("event_id", F.struct(*order)).alias("last_id"))
+    cut = log.where(kind == 1).join(last, "user_id").where("event_id <> last_id").drop("last_id")
+    altered = log.where(kind == 2).drop("prev_hash", "hash").withColumn("props", F.lit('{"k": -1}'))
+    again = audit.chain_build(altered, keys, order, canonical()).drop("idx")
+    forged = log.where(kind == 0).unionByName(cut).unionByName(again)
+    out = audit.verify_heads(forged, keys, order, heads)
+    return out.select("user_id", F.array_join("problems", ",").alias("problems"))
+
+
 ENVELOPE = ["c_custkey", "c_name", "c_mktsegment"]
 ENVELOPE_SQL = """sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}')"""
 

@@ -291,6 +291,8 @@ def _(spark, sf):
 SCHEMA = {
     "type": "object",
     "required": ["id", "kind", "value"],
+    "maxProperties": 5,
+    "propertyNames": {"pattern": "^[a-w]+$"},
     "additionalProperties": False,
     "properties": {
         "id": {"type": "integer", "minimum": 0},
@@ -307,7 +309,8 @@ SCHEMA = {
     """select event_id, array_to_string(list_sort(list_filter([case when event_type = 'error' then '$.kind:enum' end,
       case when value >= 200 then '$.value:exclusiveMaximum' end, case when value <= 0.05 then '$.value:not' end,
       case when user_id > 99 then '$.user:anyOf' end, case when event_type = 'signup' then '$.tags[]:oneOf' end,
-      case when event_type = 'click' then '$.extra:additional' end], lambda x: x is not null)), ',') as problems from events""",
+      case when event_type = 'click' then '$.extra:additional' end, case when event_type = 'click' then '$:propertyNames' end,
+      case when event_type = 'click' then '$:maxProperties' end], lambda x: x is not null)), ',') as problems from events""",
 )
 def _(spark, sf):
     doc = F.to_json(
@@ -350,6 +353,7 @@ def _(spark, sf):
     "validate_envelope",
     """select event_id, array_to_string(list_filter([case event_type when 'view' then 'tenant:required' when 'click' then 'tenant:invalid' end,
       case when event_type = 'error' then 'type:invalid' end, case when event_type = 'signup' then 'emitted:required' end,
+      case when event_id % 5 = 0 then 'span_id:invalid' end, case when event_id % 7 = 0 then 'prev_hash:invalid' end,
       case when event_type = 'purchase' then 'hash:invalid' end], lambda x: x is not null), ',') as problems from events""",
 )
 def _(spark, sf):
@@ -361,11 +365,92 @@ def _(spark, sf):
         F.when(kind == "error", "9error").otherwise(kind).alias("type"),
         F.col("ts").alias("occurred"),
         F.when(kind != "signup", F.col("ts")).alias("emitted"),
+        F.concat(F.lit("trace-"), F.col("user_id").cast("string")).alias("trace_id"),
+        F.when(F.col("event_id") % 5 == 0, "no good").otherwise("").alias("span_id"),
+        F.lit(None).cast("string").alias("parent_event_id"),
+        F.lit(" c.1 ").alias("correlation_id"),
+        F.when(F.col("event_id") % 7 == 0, "f00").otherwise(F.upper(F.sha2("props", 256))).alias("prev_hash"),
         F.when(kind == "purchase", "xyz").otherwise(F.sha2("props", 256)).alias("hash"),
     )
     return rows.select("event_id", F.array_join(contracts.validate_event(), ",").alias("problems"))
 
 
+@query(
+    "validate_source",
+    """select s_suppkey, array_to_string(list_filter([case when s_suppkey % 11 = 0 then 'id:required' end, case when s_nationkey = 3 then 'kind:invalid' end,
+      case when s_suppkey % 4 = 0 then 'external_ref:invalid' end, case when s_acctbal < 0 then 'status:invalid' end,
+      case when s_nationkey = 7 then 'updated:before_created' end, case when s_suppkey % 5 = 0 then 'notes:too_long' end,
+      case when s_acctbal < 0 then 'daily_quota:invalid' end, case when s_suppkey % 3 = 0 then 'schema_hash:invalid' end],
+      lambda x: x is not null), ',') as problems from supplier""",
+)
+def _(spark, sf):
+    key = F.col("s_suppkey")
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    rows = table(spark, sf, "supplier").select(
+        "s_suppkey",
+        F.when(key % 11 == 0, " ").otherwise(F.concat(F.lit("s-"), key.cast("string"))).alias("id"),
+        F.lit("t1").alias("tenant"),
+        F.when(F.col("s_nationkey") == 3, "Api").otherwise("api").alias("kind"),
+        F.when(key % 4 == 0, "https://x.example/\ta").otherwise("https://x.example/a").alias("external_ref"),
+        F.when(F.col("s_acctbal") < 0, "gone").otherwise("active").alias("status"),
+        F.lit("healthy").alias("health"),
+        day(2).alias("created"),
+        F.when(F.col("s_nationkey") == 7, day(1)).otherwise(day(3)).alias("updated"),
+        *[F.col("s_name").alias(n) for n in ("name", "owner_id", "team", "oncall_rotation", "schema_ref")],
+        F.repeat(F.lit("n"), F.when(key % 5 == 0, 2049).otherwise(2048)).alias("notes"),
+        F.lit(10).alias("rate_limit_rps"),
+        F.lit(0).alias("max_concurrency"),
+        F.when(F.col("s_acctbal") < 0, -1).otherwise(1_000_000_000).alias("daily_quota"),
+        F.lit(0).alias("consecutive_failures"),
+        F.lit(1).alias("config_version"),
+        F.create_map(F.lit("region"), F.lit("eu")).alias("labels"),
+        F.when(key % 3 == 0, "short").otherwise(F.sha2("s_name", 256)).alias("schema_hash"),
+        *[F.lit(None).cast("string").alias(n) for n in ("config_hash", "prev_hash", "hash")],
+    )
+    return rows.select("s_suppkey", F.array_join(contracts.validate_source(), ",").alias("problems"))
+
+
+@query(
+    "validate_case",
+    """select o_orderkey, array_to_string(list_filter([case when o_custkey % 13 = 0 then 'title:required' end, case when o_orderstatus = 'P' then 'status:invalid' end,
+      case when o_orderpriority = '5-LOW' then 'priority:invalid' end, case when o_orderkey % 6 = 0 then 'updated:before_created' end,
+      case when o_orderkey % 10 = 0 then 'related_events:invalid' end], lambda x: x is not null), ',') as problems from orders""",
+)
+def _(spark, sf):
+    o = table(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("timestamp")
+    rows = o.select(
+        "o_orderkey",
+        F.concat(F.lit("case-"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.lit("t1").alias("tenant"),
+        F.when(F.col("o_custkey") % 13 == 0, "  ").otherwise("late").alias("title"),
+        F.when(F.col("o_orderstatus") == "P", "waiting").otherwise(" Open ").alias("status"),
+        F.lit("HIGH").alias("severity"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "p9").otherwise("p1").alias("priority"),
+        day.alias("created"),
+        (day - F.make_dt_interval(days=F.when(F.col("o_orderkey") % 6 == 0, 1).otherwise(0))).alias("updated"),
+        F.array(F.lit("e1"), F.when(F.col("o_orderkey") % 10 == 0, "bad id").otherwise("e2")).alias("related_events"),
+    )
+    return rows.select("o_orderkey", F.array_join(contracts.validate_case(), ",").alias("problems"))
+
+
+@query(
+    "validate_artifact",
+    """select doc_id, array_to_string(list_filter([case when source = 'src3' then 'tenant:invalid' end, case when lang = 'fr' then 'sha256:invalid' end,
+      case when doc_id % 9 = 0 then 'size_bytes:invalid' end, case when doc_id % 8 = 0 then 'captured_at:required' end], lambda x: x is not null), ',') as problems from documents""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
+        F.when(F.col("source") == "src3", "src 3").otherwise(F.col("source")).alias("tenant"),
+        F.when(F.col("lang") == "fr", F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("sha256"),
+        F.when(F.col("doc_id") % 9 == 0, -1).otherwise(F.octet_length("text")).alias("size_bytes"),
+        F.when(F.col("doc_id") % 8 != 0, F.lit("2024-01-01").cast("timestamp")).alias("captured_at"),
+    )
+    return d.select("doc_id", F.array_join(contracts.validate_artifact(), ",").alias("problems"))
+
+
 MOVES_SQL = """h as (select o_custkey, o_orderkey, case o_orderpriority when '1-URGENT' then 'open' when '2-HIGH' then 'investigate'
     when '3-MEDIUM' then 'mitigated' when '4-NOT SPECIFIED' then 'resolved' else 'closed' end as status from orders),
   l as (select *, lag(status) over (partition by o_custkey order by o_orderkey) as from_status from h)"""
@@ -466,8 +551,8 @@ def _(spark, sf):
 
 @query(
     "redact",
-    """select c_custkey, '[REDACTED]' as name, c_mktsegment as segment, case when c_nationkey % 2 = 0 then '[REDACTED]' end as email,
-    case when c_nationkey % 2 = 0 then 'detail.name,meta.email' else 'detail.name' end as paths from customer""",
+    """select c_custkey, '[REDACTED]' as name, c_mktsegment as segment, case when c_nationkey % 2 = 0 then 'hidden' end as email, '#' as street, '***,***' as calls,
+    case when c_nationkey % 2 = 0 then 'calls[].number,detail.name,home.at.street,meta.email' else 'calls[].number,detail.name,home.at.street' end as paths from customer""",
 )
 def _(spark, sf):
     even = F.col("c_nationkey") % 2 == 0
@@ -476,10 +561,20 @@ def _(spark, sf):
         F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("detail"),
         F.when(even, F.create_map(F.lit("email"), F.lit("x@example.com"))).otherwise(F.create_map(F.lit("k"), F.lit("v"))).alias("meta"),
     )
-    out = compliance.redact(rows)
+    call = lambda n: F.struct(F.lit(n).alias("number"), F.lit("ok").alias("note"))
+    rows = rows.withColumns({"home": F.struct(F.struct(F.lit("Main 1").alias("street")).alias("at")), "calls": F.array(call("1"), call("2"))})
+    rules = [
+        *[path for path in compliance.REDACT_PATHS if path != "meta.email"],
+        compliance.Redaction("meta.email", "hidden"),
+        compliance.Redaction("home.at.street", "#"),
+        compliance.Redaction("calls[].number", "***"),
+        compliance.Redaction("detail.segment", "gone", enabled=False),
+    ]
+    out = compliance.redact(rows, rules)
     return out.select(
-        "c_custkey", "detail.name", "detail.segment", F.col("meta")["email"].alias("email"), F.array_join("redacted_paths", ",").alias("paths")
-    )
+        "c_custkey", "detail.name", "detail.segment", F.col("meta")["email"].alias("email"), F.col("home.at.street").alias("street"),
+        F.array_join("calls.number", ",").alias("calls"), F.array_join("redacted_paths", ",").alias("paths"),
+    )
 
 
 SECRET = b"per-tenant secret"

@@ -389,15 +389,25 @@ def _controls(spark, sf):
 
 
 query("join_rules_broadcast", CONTROL_SQL)(_controls)
-query(
+OUTCOME_RULES = [
+    *compliance.CONTROL_RULES,
+    joins.ControlRule("crash", ("availability",), outcomes=("failure",)),
+    joins.ControlRule("payment", ("fraud",), outcomes=("failure", "denied")),
+    joins.ControlRule("login", ("never",), enabled=False),
+]
+
+
+@query(
     "map_controls",
-    f"select control, count(*) as events from (select unnest(string_split(controls, ',')) as control from ({CONTROL_SQL})) group by 1",
-)(
-    lambda spark, sf: joins.rules_join(audited(spark, sf), "action", compliance.CONTROL_RULES)
-    .select(F.explode("controls").alias("control"))
-    .groupBy("control")
-    .agg(F.count("*").alias("events"))
+    f"""select control, count(*) as events from (select unnest(string_split(controls, ',')) as control from ({CONTROL_SQL}) join events using (event_id)
+      where not (event_type = 'error' and value > 50)
+      union all select 'availability' from events where event_type = 'error' and value > 50
+      union all select 'fraud' from events where event_type = 'purchase' and value > 50) group by 1""",
 )
+def _(spark, sf):
+    rows = audited(spark, sf).withColumn("outcome", F.when(F.col("value") > 50, " Failure").otherwise("success"))
+    mapped = joins.rules_join(rows, "action", OUTCOME_RULES, outcome="outcome")
+    return mapped.select(F.explode("controls").alias("control")).groupBy("control").agg(F.count("*").alias("events"))
 
 
 def _watched(spark, sf):

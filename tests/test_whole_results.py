@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import docs, hashing, text
-from millrace.operators import aggregates, audit, documents, features, joins, positions, telemetry
+from millrace.operators import aggregates, audit, compliance, contracts, documents, features, forecast, joins, positions, telemetry
 from millrace.plans import report
 from millrace.sources import readers, sinks
 
@@ -141,3 +141,56 @@ def test_repeated_span_ids_multiply_nothing(spark):
     good, bad = telemetry.normalize_spans(spans)
     assert good.count() == 3 and bad.count() == 0
     assert good.where("span_id = '2'").first()["parent_seconds"] == 6.0
+
+
+def test_heads_tell_cut_and_rechained_logs(spark):
+    log = spark.createDataFrame([(t, n, f"{t}{n}") for t in "abcd" for n in range(3)] + [(None, 0, "x")], "tenant string, n int, body string")
+    build = lambda df: audit.chain_build(df, ["tenant"], ["n"], F.col("body")).drop("idx")
+    chained = build(log)
+    heads = audit.chain_heads(chained, ["tenant"], ["n"])
+    again = build(log.where("tenant = 'b'").withColumn("body", F.concat("body", F.lit("!"))))
+    now = chained.where("tenant = 'a' and n < 2").unionByName(again).unionByName(chained.where("tenant = 'd' or tenant is null"))
+    now = now.unionByName(build(log.where("tenant = 'd'").withColumn("tenant", F.lit("new"))))
+    assert audit.chain_verify(now, ["tenant"], ["n"], F.col("body")).where("tenant = 'a'").count() == 0
+    found = {r["tenant"]: r["problems"] for r in audit.verify_heads(now, ["tenant"], ["n"], heads).collect()}
+    assert found == {"a": ["cut"], "b": ["head"], "c": ["missing"], "new": ["unknown"]}
+
+
+def test_schema_keywords_are_checked_or_raise(spark):
+    docs_ = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 1, "B": 2}'), (3, "{}"), (4, "[1]")], "n int, doc string").withColumn("v", F.try_parse_json("doc"))
+    schema = {"title": "t", "minProperties": 1, "maxProperties": 1, "propertyNames": {"pattern": "^[a-z]+$"}}
+    got = {r["n"]: r["p"] for r in docs_.select("n", F.sort_array(contracts.validate_contract(schema, F.col("v"))).alias("p")).collect()}
+    assert got == {1: [], 2: ["$:maxProperties", "$:propertyNames"], 3: ["$:minProperties"], 4: []}
+    with pytest.raises(ValueError, match="uniqueItems"):
+        contracts.validate_contract({"properties": {"x": {"uniqueItems": True}}}, F.col("v"))
+
+
+def test_rules_with_outcomes_and_switches(spark):
+    rows = spark.createDataFrame([("Pay  now", "FAILURE"), ("pay", "ok"), ("pay", None)], "action string, outcome string")
+    rules = [joins.ControlRule("pay", ("fraud",), ("failure",)), ("pay", ("money",)), joins.ControlRule("now", ("off",), enabled=False)]
+    assert [r["controls"] for r in joins.rules_join(rows, "action", rules, outcome="outcome").collect()] == [["fraud", "money"], ["money"], ["money"]]
+    with pytest.raises(ValueError):
+        joins.rules_join(rows, "action", rules)
+
+
+def test_redaction_rules(spark):
+    rows = spark.createDataFrame([(("x", ("y",)), [("1", "a"), (None, "b")], "m")], "s struct<a:string,i:struct<b:string>>, l array<struct<n:string,k:string>>, t string")
+    rules = [compliance.Redaction("s.i.b", "<b>"), compliance.Redaction("l[].n", "#"), compliance.Redaction("t", "?", enabled=False), "s.a", "s.none", "absent"]
+    out = compliance.redact(rows, rules).first()
+    assert out["s"]["i"]["b"] == "<b>" and out["s"]["a"] == "[REDACTED]" and out["t"] == "m"
+    assert [tuple(x) for x in out["l"]] == [("#", "a"), (None, "b")] and out["redacted_paths"] == ["l[].n", "s.a", "s.i.b"]
+
+
+def test_cursors_belong_to_their_query():
+    cursor = features.make_cursor({"tenant": "a"}, "2024-01-01", 7)
+    assert features.read_cursor(cursor, {"tenant": "a"}) == ("2024-01-01", 7)
+    for wrong, query in ((cursor, {"tenant": "b"}), ("bm90IGpzb24=", {}), ("%%%", {})):
+        with pytest.raises(ValueError):
+            features.read_cursor(wrong, query)
+
+
+def test_backtest_takes_a_model_function(spark):
+    points = spark.createDataFrame([("k", i, float(i)) for i in range(20)], "k string, idx long, value double")
+    cfg = forecast.ForecastConfig(horizon=1)
+    last = lambda df, keys, c: df.withColumn("path", F.array("value"))
+    assert {r["mae"] for r in forecast.backtest(points, ["k"], last, cfg).collect()} == {1.0}
