@@ -254,16 +254,6 @@ def _(spark, sf):
     return features.keyset_page(e, F.col("event_type") == "view", "ts", "event_id", cursor, F.lit(2**62), 250).select("event_id", "ts")
 
 
-st_since = query(
-    "st_since", "select event_type, count(*) as n, min(event_id) as first_id from events where ts > timestamp '2024-01-20' group by 1"
-)(
-    lambda spark, sf: table(spark, sf, "events")
-    .where(F.col("ts") > stamp("2024-01-20"))
-    .groupBy("event_type")
-    .agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-)
-
-
 @query(
     "ttl_evict",
     """select event_id, event_type from events where not (event_type = 'view' and ts < timestamp '2024-01-31' - interval 5 days)

@@ -420,16 +420,6 @@ query(
     "watchlist_filter",
     "select c_custkey, c_nationkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
 )(lambda spark, sf: _watched(spark, sf).select("c_custkey", "c_nationkey"))
-query(
-    "join_static_stream",
-    """select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from customer
-    where c_nationkey in (select n_nationkey from nation where n_regionkey = 1) group by 1""",
-)(
-    lambda spark, sf: _watched(spark, sf)
-    .groupBy("c_nationkey")
-    .agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
-)
-
 
 @query("anti_seen", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def _(spark, sf):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -61,6 +61,11 @@ def microbatch(stream: DataFrame, path: str, checkpoint: str, every: str | None
     return start(stream, checkpoint, batch_writer(path), every=every)
 
 
+def since(stream: DataFrame, ts: str, start: Column) -> DataFrame:
+    """Rows after a time; what was delivered before a restart is not read again, its checkpoint knows."""
+    return stream.where(F.col(ts) > start)
+
+
 def dedupe(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark. State is bounded by time."""
     return event_time(stream, ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -100,17 +105,15 @@ def late_split(stream: DataFrame, ts: str, delay_seconds: int, path: str, checkp
     """Rows older than the newest time of earlier batches minus the delay go to ``late``, the rest to ``on_time``."""
 
     def each(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        newest = None
-        if exists(spark, f"{path}/newest"):
-            seen = spark.read.schema("newest timestamp_ntz, batch bigint").parquet(f"{path}/newest")
-            newest = seen.where(F.col("batch") < batch).agg(F.max("newest")).first()[0]
+        # one maximum goes from batch to batch; a batch that is run again reads its predecessor's
+        spark, before = df.sparkSession, f"{path}/newest/batch={batch - 1}"
+        newest = spark.read.schema("newest timestamp_ntz").parquet(before).first()[0] if exists(spark, before) else None
         df = df.persist()
         limit = F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(delay_seconds))
         late = F.coalesce(F.col(ts).cast("timestamp_ntz") < limit, F.lit(False))
         df.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
         df.where(~late).write.mode("overwrite").parquet(f"{path}/on_time/batch={batch}")
-        top = df.agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("newest"))
+        top = df.agg(F.greatest(F.max(F.col(ts).cast("timestamp_ntz")), F.lit(newest).cast("timestamp_ntz")).alias("newest"))
         top.write.mode("overwrite").parquet(f"{path}/newest/batch={batch}")
         df.unpersist()
 
@@ -182,41 +185,41 @@ class OnlineDetectors(StatefulProcessor):
         self.state = handle.getValueState("folds", "n bigint, head array<double>, warm array<double>, acc array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # a micro-batch's rows of a series come in any order; its size is set on the source
         batch = pd.concat(list(rows)).sort_values("us")
         if self.state.exists():
             n, head, warm, acc = self.state.get()
             head, warm, acc = list(head), list(warm), list(acc)
         else:
             n, head, warm, acc = 0, [], [], []
-        found = []
         xs, us = batch["value"].to_numpy(dtype=float), batch["us"].to_numpy()
-        for x, at in zip(xs, us, strict=True):
-            one = xs[:1] * 0 + x
-            if n == 0:
-                acc = [x, 0.0, 0.0, 0.0, 0.0]
-            else:
-                (mean, excess), (score,) = self.drift(one, n, acc[:2], [])
-                acc[0], acc[1] = mean, excess
-                if score[0] > 0:
-                    found.append((n, at, x, "page_hinkley", score[0], "change"))
-            if n < self.warm:
-                head.append(x)
-                if n == self.warm - 1:
-                    mu = sum(head) / self.warm
-                    sd = (sum((h - mu) ** 2 for h in head) / self.warm) ** 0.5
-                    warm, acc[4], head = [mu, sd], x, []
-            elif warm[1] >= 1e-12:
-                mu, sd = warm
-                (high, low), (up, down) = self.cusum(one, n, acc[2:4], [mu, 0.5 * sd, 5.0 * sd])
-                acc[2], acc[3] = high, low
-                found += [(n, at, x, "cusum", s[0], d) for s, d in ((up, "high"), (down, "low")) if s[0] > 0]
-                (z,), _ = self.level(one, n, acc[4:], [])
-                acc[4] = z
-                limit = self.control * sd * (self.alpha / (2.0 - self.alpha)) ** 0.5
-                if abs(z - mu) > limit:
-                    found.append((n, at, x, "ewma_control", abs(z - mu) / limit, "high" if z > mu else "low"))
-            n += 1
-        self.state.update((n, [float(h) for h in head], [float(w) for w in warm], [float(a) for a in acc]))
+        found = []
+
+        def keep(method, first, scores, direction):
+            found.extend((n + first + i, us[first + i], xs[first + i], method, score, direction) for i, score in enumerate(scores) if score > 0)
+
+        opening = 1 if n == 0 else 0
+        if opening:
+            acc = [float(xs[0]), 0.0, 0.0, 0.0, 0.0]
+        (acc[0], acc[1]), (scores,) = self.drift(xs[opening:], n + opening, acc[:2], [])
+        keep("page_hinkley", opening, scores, "change")
+        waiting = max(self.warm - n, 0)
+        if waiting:
+            head += xs[:waiting].tolist()
+            if len(head) == self.warm:
+                mu = sum(head) / self.warm
+                warm, acc[4], head = [mu, (sum((h - mu) ** 2 for h in head) / self.warm) ** 0.5], head[-1], []
+        if warm and warm[1] >= 1e-12 and waiting < len(xs):
+            mu, sd = warm
+            later = xs[waiting:]
+            (acc[2], acc[3]), (ups, downs) = self.cusum(later, n + waiting, acc[2:4], [mu, 0.5 * sd, 5.0 * sd])
+            keep("cusum", waiting, ups, "high")
+            keep("cusum", waiting, downs, "low")
+            (acc[4],), (levels,) = self.level(later, n + waiting, acc[4:], [])
+            limit = self.control * sd * (self.alpha / (2.0 - self.alpha)) ** 0.5
+            keep("ewma_control", waiting, [(z - mu) / limit if z - mu > limit else 0.0 for z in levels], "high")
+            keep("ewma_control", waiting, [(mu - z) / limit if mu - z > limit else 0.0 for z in levels], "low")
+        self.state.update((n + len(xs), [float(h) for h in head], [float(w) for w in warm], [float(a) for a in acc]))
         out = pd.DataFrame(found, columns=["idx", "us", "value", "method", "score", "direction"])
         out.insert(0, "series", key[0])
         yield out.astype({"idx": "int64", "us": "int64", "value": "float64", "score": "float64"})
