@@ -176,7 +176,9 @@ def test_series_payload_is_strict(spark, tmp_path):
     doc = {"meta": {"s": "x"}, "series": [{"key": {"tenant_id": "t", "metric": "m"}, "points": [{"ts": "2024-01-01T00:00:00.000001Z", "value": 1.5}, {"ts": "bad", "value": 1}]}]}
     (tmp_path / "a.json").write_text(json.dumps(doc))
     (tmp_path / "b.json").write_text(json.dumps({**doc, "surprise": 1}))
-    rows = readers.read_ts_payload(spark, str(tmp_path)).collect()
+    points, rejected = readers.read_ts_payload(spark, str(tmp_path))
+    rows = points.collect()
+    assert sorted(r["reason"] for r in rejected.collect()) == ["bad_time", "unknown_field"]
     assert len(rows) == 1 and rows[0]["metric"] == "m" and rows[0]["ts"].microsecond == 1
 
 
@@ -192,8 +194,8 @@ def test_database_and_object_options(spark):
 def test_second_insert_adds_nothing(spark, tmp_path):
     df = spark.createDataFrame([("r1", "p", 1), ("r1", "p", 2), ("r2", "p", 3)], "record_id string, profile_id string, n int")
     path = str(tmp_path / "records")
-    assert tuple(sinks.insert_records(df, path, ["n"]).first()) == (2, 1)
-    assert tuple(sinks.insert_records(df, path, ["n"]).first()) == (0, 3)
+    assert tuple(sinks.insert_records(df, path, ["n"]).first()) == (2, 1, 0)
+    assert tuple(sinks.insert_records(df, path, ["n"]).first()) == (0, 3, 0)
 
 
 def test_stream_restart_has_no_repeats(spark, tmp_path):
