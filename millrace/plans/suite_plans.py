@@ -21,17 +21,21 @@ ORDERS = ingest.Profile(
 
 @query(
     "ingest_profile",
-    """select 'record' as side, count(*) as n, count(distinct o_orderkey) as ids, round(sum(o_totalprice), 2) as total from orders where o_totalprice <= 400000
-    union all select 'quarantine', count(*), 0, round(sum(o_totalprice), 2) from orders where o_totalprice > 400000""",
+    """with per as (select o_custkey, o_orderkey as k, o_totalprice as p from orders),
+    shaped as (select shape, k, p, p <= 400000 as good from per, (values ('array'), ('results'), ('keyed')) s(shape)
+      union all select 'single', count(*), max(p), max(p) <= 400000 from per group by o_custkey
+      union all select shape, k, p, false from per, (values ('header'), ('hourly')) s(shape)
+      union all select 'pairs', k, null, false from per)
+    select shape, case when good then 'record' else 'quarantine' end as side, count(*) as n,
+      case when good then count(distinct (k, p)) else 0 end as ids, round(sum(p), 2) as total from shaped group by shape, good""",
 )
 def _(spark, sf):
-    rows = payloads(spark, sf).where("shape = 'array'")
-    good, bad = ingest.run(rows, "payload", ORDERS)
+    good, bad = ingest.run(payloads(spark, sf), "payload", ORDERS)
     price = F.get_json_object("payload", "$.p").cast("double")
-    sides = good.select(F.lit("record").alias("side"), "record_id", F.col("data.measures.price").alias("p")).unionByName(
-        bad.select(F.lit("quarantine").alias("side"), F.lit(None).cast("string").alias("record_id"), price.alias("p"))
+    sides = good.select("shape", F.lit("record").alias("side"), "record_id", F.col("data.measures.price").alias("p")).unionByName(
+        bad.select("shape", F.lit("quarantine").alias("side"), F.lit(None).cast("string").alias("record_id"), price.alias("p"))
     )
-    return sides.groupBy("side").agg(
+    return sides.groupBy("shape", "side").agg(
         F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"), F.round(F.sum("p"), 2).alias("total")
     )
 
