@@ -109,7 +109,7 @@ def lttb(indexed: DataFrame, keys: Sequence[str], points: int, piece: int = PIEC
         return pd.DataFrame(picks)[[*keys, "idx"]].astype({"idx": "int64"})
 
     picked = hulls.drop("ts").groupBy(*keys).applyInPandas(walk, f"{ddl}, idx bigint")
-    return short.unionByName(indexed.join(picked, [*keys, "idx"], "left_semi").select(*keys, "idx", "ts", "value"))
+    return short.unionByName(on_same(indexed, picked, [*keys, "idx"], "left_semi").select(*keys, "idx", "ts", "value"))
 
 
 def stride_sample(indexed: DataFrame, keys: Sequence[str], points: int) -> DataFrame:

@@ -245,7 +245,21 @@ def _(spark, sf):
 LTTB_N = 100
 
 
-@query("lttb")
+@query(
+    "lttb",
+    f"""with recursive {PTS}, n as (select series, count(*) as n from s group by 1),
+    g as (select s.*, n, epoch_us(ts) / 1e6 as x, (n - 2) / {LTTB_N - 2}::double as every from s join n using (series) where n > {LTTB_N}),
+    h as (select *, floor((idx - 1) / every) as k from g),
+    b as (select series, idx, x, value, (case when idx = 0 then -1 when idx = n - 1 then {LTTB_N - 2} when idx < floor(k * every) + 1 then k - 1
+      when idx >= floor((k + 1) * every) + 1 then k + 1 else k end)::bigint as bucket from h),
+    m as (select series, bucket - 1 as bucket, avg(x) as cx, avg(value) as cy from b where bucket >= 0 group by 1, 2),
+    c as (select series, bucket, idx, x, value from b where bucket = -1 union all
+      select series, bucket, w.i, w.x, w.v from (
+        select b.series, b.bucket, arg_max({{'i': b.idx, 'x': b.x, 'v': b.value}}, coalesce(abs((c.x - cx) * (b.value - c.value) - (c.x - b.x) * (cy - c.value)), 0)) as w
+        from c join b on b.series = c.series and b.bucket = c.bucket + 1 left join m on m.series = b.series and m.bucket = b.bucket group by 1, 2))
+    select series, idx, ts, value from s join n using (series) where n <= {LTTB_N} union all
+    select series, idx, ts, s.value from c join s using (series, idx)""",
+)
 def _(spark, sf):
     return downsample.lttb(event_points(spark, sf), KEYS, LTTB_N)
 
