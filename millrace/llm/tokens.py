@@ -41,9 +41,9 @@ END_ID = 1
 BLOCK = 1 << 16
 MAGIC = b"MTP1"
 #: Words that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: Bytes of text that are encoded at a time, unless one text is longer.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_500_000
 
 CHUNK_SCHEMA = (
     "shard int, chunk long, n_ids long, chunk_bytes binary, "

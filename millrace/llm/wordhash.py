@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 5
 #: Bytes of text that are hashed at a time, unless one text is longer.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 @dataclass
@@ -51,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+                pa.default_memory_pool().release_unused()  # workers live on and share the executor's memory
 
 
 def words(texts: pa.Array) -> Words:
