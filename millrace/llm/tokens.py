@@ -23,6 +23,7 @@ come, in an order fixed by doc_id and text; a null doc_id comes first; an empty
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -86,6 +87,7 @@ class WordEncoder:
     """Encodes batches of texts; each different word goes through the tokenizer once while it is in the cache."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
