@@ -72,6 +72,22 @@ def validate_contract(schema: Mapping, doc: Column, at: str = "$") -> Column:
     return bound(doc, lambda d: _validate_node(schema, d, at))
 
 
+def _bad_name(schema: Mapping, name: Column) -> Column:
+    """Does a property's name break the schema for names? The usual rules for texts need no document of the name."""
+    tests = {
+        "pattern": lambda x: ~name.rlike(x),
+        "minLength": lambda x: F.length(name) < x,
+        "maxLength": lambda x: F.length(name) > x,
+        "enum": lambda x: ~name.isin(*[n for n in x if isinstance(n, str)]),
+    }
+    if set(schema) <= set(tests):
+        bad = F.lit(False)
+        for word, value in schema.items():
+            bad = bad | tests[word](value)
+        return bad
+    return F.size(validate_contract({"items": schema}, F.parse_json(F.to_json(F.array(name))))) > 0
+
+
 def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
     t = F.schema_of_variant(doc)
     is_object, is_array, is_text = t.startswith("OBJECT"), t.startswith("ARRAY"), t == "STRING"
@@ -123,8 +139,7 @@ def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
         if word in schema:
             tokens.append(flag(is_object & bad(schema[word]), word))
     if "propertyNames" in schema:
-        names = {"type": "array", "items": schema["propertyNames"]}
-        wrong = F.filter(keys, lambda k: F.size(validate_contract(names, F.parse_json(F.to_json(F.array(k))), at)) > 0)
+        wrong = F.filter(keys, lambda k: _bad_name(schema["propertyNames"], k))
         tokens.append(flag(is_object & (F.size(wrong) > 0), "propertyNames"))
     known = schema.get("properties", {})
     for name, sub in known.items():
