@@ -1,19 +1,20 @@
 """Embedding near-duplicates over an inverted multi-index.
 
 Vectors are cut into halves, each half has its own codebook, and a pair of codes is a cell of the product grid. Every
-vector is a member of the cell of its two nearest codes, and visits cells in the order of its distance to their
-centres (the multi-sequence order) to meet their members. ``fit`` sets how many cells are visited: the fewest that
-find ``recall`` of the true links of a sample of vectors, which are compared with all rows by brute force, and as many again for safety. Cells
-that can't hold a partner, because the vector's distance to the cell's border alone is too large, are left out.
+vector is a member of the cell of its two nearest codes, and meets the members of all cells that can hold a partner.
+A cell can't hold one where the vector's distance to the cell's border alone is too large: a code's region lies beyond the planes half-way
+between it and every other code, and the two halves' distances add up. That bound is exact, so no link is lost.
 What is met is verified with the exact cosine in double precision.
 
-Equal vectors with one label are one class with a number of copies and are compared once. A cell's members and
+Cells that follow each other form a range, so many that a label has about ``BLOCK`` vectors in each; a label with fewer
+has a single range. A vector visits a range once for all cells in it, and only ranges from its own one on, so a pair of two ranges is met once.
+
+Equal vectors with one label are one class with a number of copies and are compared once. A range's members and
 visitors are cut into blocks of about ``BLOCK``, and each pair of blocks is one group: a dense cell becomes many tasks,
-and no pair is ever a row. A group returns how many vectors each class links with and the links' components as stars. A pair may be
-met twice, when each vector visits the other's cell. Rows carry the cells that they visit, so a group can tell and
-counts such a pair for the visitor only.
+and no pair is ever a row. A group returns how many vectors each class links with and the links' components as stars. A pair within
+one range is met twice, once from either side, and counts for the visitor only.
 
-Only the codebooks' sample, the sample for the recall and the codebooks are bounded and broadcast.
+Only the codebooks and their sample are bounded. Broadcast are the codebooks, a number per cell and one per label of more than ``BLOCK`` vectors.
 
 Defined cases: a vector links with nothing if its label or vec_id is null, or if it is null, empty, zero, or holds a
 null or non-finite component; vectors of different lengths never link; rows that repeat count as
@@ -35,19 +36,17 @@ from .graph import components
 COSINE = 0.93
 RECALL = 0.999
 TRAIN_ROWS = 10_000
-SAMPLE_QUERIES = 200
-MOST_VISITS = 64
 BLOCK = 1024
+#: So many pairs of a vector and a cell are tested at a time.
+TESTS = 4_000_000
 
 
 @dataclass
 class Index:
-    """Two codebooks, the distances between their codes, and how many cells a vector visits at most."""
+    """Two codebooks and the distances between their codes."""
 
     books: list[np.ndarray]
     apart: list[np.ndarray]
-    visits: int
-    recall: float
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -72,31 +71,45 @@ def _squared(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ book.T + (book**2).sum(axis=1), 0)
 
 
-def cells(index: Index, x: np.ndarray, visits: int, radius2: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each unit vector's own cell, and the cells that it visits in multi-sequence order, its own first.
+def _borders(d: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """At least the squared distance to each code's region, from the squared distances to the codes.
 
-    ``radius2`` is the largest squared distance of a partner: cells whose borders are farther are left out.
+    A region lies behind the planes half-way between its code and each other one; the farthest of them counts.
     """
+    out = np.zeros_like(d)
+    for c in range(d.shape[1]):
+        # equal codes have no plane between them
+        plane = np.divide(d - d[:, c, None], 2 * apart[c], out=np.zeros_like(d), where=apart[c] > 1e-6)
+        np.maximum(out, plane, out=out)
+    return out**2
+
+
+def _distances(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each unit vector's squared distances to the codes of either half, and its own cell."""
     half = index.books[0].shape[1]
-    d = [_squared(x[:, :half], index.books[0]), _squared(x[:, half:], index.books[1])]
-    codes = [a.argmin(axis=1) for a in d]
-    k = len(index.books[1])
-    # the squared distance to a code's region is at least that to the plane half-way between it and the own code
-    rows = np.arange(len(x))
-    border = [((a - a[rows, c][:, None]) / np.maximum(2 * apart[c], 1e-12)) ** 2 for a, c, apart in zip(d, codes, index.apart, strict=True)]
-    own = codes[0] * k + codes[1]
-    # the nearest cells lie among the pairs of the ``visits`` nearest codes of either half
-    few = [np.argsort(a, axis=1, kind="stable")[:, :visits] for a in d]
-    out = []
-    for i in rows:
-        f, g = few[0][i], few[1][i]
-        far = (d[0][i, f][:, None] + d[1][i, g]).ravel()
-        reach = (border[0][i, f][:, None] + border[1][i, g]).ravel() <= radius2 * (1 + 1e-9)
-        names = (f[:, None] * k + g).ravel()
-        order = np.argsort(far, kind="stable")[:visits]
-        chosen = names[order][reach[order]]
-        out.append(np.concatenate([[own[i]], chosen[chosen != own[i]]]).astype(np.int64))
-    return own, out
+    a, b = _squared(x[:, :half], index.books[0]), _squared(x[:, half:], index.books[1])
+    return a, b, a.argmin(axis=1) * b.shape[1] + b.argmin(axis=1)
+
+
+def visited(index: Index, x: np.ndarray, ranges: np.ndarray, radius2: float) -> tuple[np.ndarray, list[list[int]]]:
+    """Each unit vector's own range, and the ranges from its own one on with a cell that can hold a partner.
+
+    ``ranges`` has the range of each cell, ascending; ``radius2`` is the largest squared distance of a partner.
+    """
+    names, starts = np.unique(ranges, return_index=True)
+    own, out = [], []
+    step = max(TESTS // len(ranges), 1)
+    for at in range(0, len(x), step):
+        a, b, cell = _distances(index, x[at : at + step])
+        mine = ranges[cell]
+        own += mine.tolist()
+        if len(names) == 1:
+            out += [[n] for n in mine.tolist()]
+            continue
+        far = _borders(a, index.apart[0])[:, :, None] + _borders(b, index.apart[1])[:, None, :]
+        reach = np.logical_or.reduceat((far <= radius2 + 1e-9).reshape(len(cell), -1), starts, axis=1) & (names > mine[:, None])
+        out += [[n, *names[there].tolist()] for n, there in zip(mine.tolist(), reach, strict=True)]
+    return np.array(own, np.int64), out
 
 
 def _valid() -> Column:
@@ -104,51 +117,16 @@ def _valid() -> Column:
     return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & numbers & F.exists("embedding", lambda x: x != 0)
 
 
-def fit(classes: DataFrame, cosine: float, recall: float, train_rows: int = TRAIN_ROWS, queries: int = SAMPLE_QUERIES) -> Index | None:
-    """Codebooks from at most ``train_rows`` vectors, and the visits that reach ``recall`` for at most ``queries`` vectors."""
+def fit(classes: DataFrame, train_rows: int = TRAIN_ROWS) -> Index | None:
+    """Codebooks from at most ``train_rows`` vectors."""
     total = classes.count()
     if not total:
         return None
-    pick = lambda n, seed: classes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(n).select("node", "label", "embedding").collect()
-    x = unit(np.array([r.embedding for r in pick(train_rows, 1)]))
+    sample = classes.orderBy(F.xxhash64(F.lit(1), "node")).limit(train_rows).select("embedding").collect()
+    x = unit(np.array([r.embedding for r in sample]))
     half, k = max(x.shape[1] // 2, 1), int(min(512, max(4, 2 * total**0.25)))
     books = [_means(part, min(k, len(part))) for part in (x[:, :half], x[:, half:])]
-    apart = [np.sqrt(_squared(b, b)) for b in books]
-    index, radius2 = Index(books, apart, 1, 1.0), 2 - 2 * cosine
-    sample = pick(queries, 2)
-    q, labels = unit(np.array([r.embedding for r in sample])), np.array([r.label for r in sample])
-    shared = classes.sparkSession.sparkContext.broadcast((index, q, labels, np.array([r.node for r in sample])))
-
-    def ranks(batches):
-        index, q, labels, nodes = shared.value
-        _, visits = cells(index, q, MOST_VISITS, radius2)
-        at = [{c: n for n, c in enumerate(v.tolist())} for v in visits]
-        own_q, _ = cells(index, q, 1, radius2)
-        for batch in batches:
-            for size in range(0, batch.num_rows, 4096):
-                part = batch.slice(size, 4096)
-                label, v = part.column("label").to_numpy(), unit(_matrix(part.column("embedding")))
-                other = nodes[:, None] != part.column("node").to_numpy()
-                i, j = np.nonzero(other & (labels[:, None] == label) & (q @ v.T >= cosine))
-                if not len(i):
-                    continue
-                own, back = cells(index, v[np.unique(j)], MOST_VISITS, radius2)
-                place = {jj: n for n, jj in enumerate(np.unique(j).tolist())}
-                found = []
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    there = back[place[b]].tolist()
-                    found.append(min(at[a].get(int(own[place[b]]), MOST_VISITS), there.index(own_q[a]) if own_q[a] in there else MOST_VISITS))
-                n = np.bincount(found, minlength=MOST_VISITS + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST_VISITS + 1)), pa.array(n)], ["rank", "n"])
-
-    found = classes.select("node", "label", "embedding").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    n = np.zeros(MOST_VISITS + 1)
-    for r in found:
-        n[r.rank] = r.n
-    reached = np.cumsum(n) / n.sum() if n.sum() else np.ones(MOST_VISITS + 1)
-    # twice the cells that the sample needs, and two: links of other vectors may lie farther apart
-    visits = min(2 * (int(np.argmax(reached >= recall)) + 1) + 2, MOST_VISITS)
-    return Index(books, apart, visits, float(reached[visits - 1]))
+    return Index(books, [np.sqrt(_squared(b, b)) for b in books])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,35 +147,58 @@ def _stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _shares(classes: DataFrame, index: Index) -> np.ndarray:
+    """For each cell the share of the vectors that lie in cells before it."""
+    shared = classes.sparkSession.sparkContext.broadcast(index)
+
+    def own(batches):
+        for batch in batches:
+            cell = [_distances(shared.value, unit(_matrix(batch.slice(at, 2048).column("embedding"))))[2] for at in range(0, batch.num_rows, 2048)]
+            if cell:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).astype(np.int64))], ["cell"])
+
+    n = np.zeros(len(index.books[0]) * len(index.books[1]))
+    for r in classes.select("embedding").mapInArrow(own, "cell long").groupBy("cell").count().collect():
+        n[r["cell"]] = r["count"]
+    return (np.cumsum(n) - n) / n.sum()
+
+
 def links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
     """(node, n_links, root): for each class and group the copies that it links with there, and a star of the links."""
-    shared = classes.sparkSession.sparkContext.broadcast(index)
-    radius2 = 2 - 2 * cosine
+    radius2, share = 2 - 2 * cosine, _shares(classes, index)
+    n_ranges = {r.label: -(-r.n // BLOCK) for r in classes.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).collect()}
+    shared = classes.sparkSession.sparkContext.broadcast((index, share, n_ranges))
 
     def place(batches):
+        index, share, n_ranges = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                own, visits = cells(shared.value, unit(_matrix(part.column("embedding"))), shared.value.visits, radius2)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array([v.tolist() for v in visits], pa.list_(pa.int64()))], [*part.schema.names, "own", "visits"])
+                x, n = unit(_matrix(part.column("embedding"))), np.array([n_ranges.get(v, 1) for v in part.column("label").to_pylist()])
+                own, visits = np.zeros(len(x), np.int64), [[0]] * len(x)
+                for some in np.unique(n[n > 1]).tolist():
+                    rows = np.flatnonzero(n == some)
+                    own[rows], found = visited(index, x[rows], (share * some).astype(np.int64), radius2)
+                    for row, there in zip(rows.tolist(), found, strict=True):
+                        visits[row] = there
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array(visits, pa.list_(pa.int64()))], [*part.schema.names, "own", "visits"])
 
     placed = materialize(classes.mapInArrow(place, "node long, label int, embedding array<float>, n long, least long, own long, visits array<long>".replace("label int", f"label {dict(classes.dtypes)['label']}")))
-    members = placed.groupBy("label", F.col("own").alias("cell")).agg(F.count("*").alias("m"))
-    visitors = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("v"))
-    # one row per cell that has members
-    grid = materialize(members.join(visitors, ["label", "cell"]).select("label", "cell", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(F.col("v") / BLOCK).alias("vb")))
-    row = ["node", "embedding", "n", "own", "visits"]
+    members = placed.groupBy("label", F.col("own").alias("range")).agg(F.count("*").alias("m"))
+    visitors = placed.select("label", F.explode("visits").alias("range")).groupBy("label", "range").agg(F.count("*").alias("v"))
+    # one row per range that has members
+    grid = materialize(members.join(visitors, ["label", "range"]).select("label", "range", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(F.col("v") / BLOCK).alias("vb")))
+    row = ["node", "embedding", "n", "own"]
     spread = lambda c, n: F.pmod(F.xxhash64("node"), F.col(n)).alias(c)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    there = placed.withColumn("cell", F.col("own")).join(grid, ["label", "cell"]).select("label", "cell", F.lit(True).alias("member"), *row, spread("mi", "mb"), every("vb").alias("vi"))
-    here = placed.withColumn("cell", F.explode("visits")).join(grid, ["label", "cell"]).select("label", "cell", F.lit(False).alias("member"), *row, every("mb").alias("mi"), spread("vi", "vb"))
+    there = placed.withColumn("range", F.col("own")).join(grid, ["label", "range"]).select("label", "range", F.lit(True).alias("member"), *row, spread("mi", "mb"), every("vb").alias("vi"))
+    here = placed.withColumn("range", F.explode("visits")).join(grid, ["label", "range"]).select("label", "range", F.lit(False).alias("member"), *row, every("mb").alias("mi"), spread("vi", "vb"))
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
         is_member = table["member"].to_numpy()
         node, n, own = (table[c].to_numpy() for c in ("node", "n", "own"))
         x = unit(_matrix(table["embedding"].combine_chunks()))
-        visits = table["visits"].combine_chunks()
         m, v = np.flatnonzero(is_member), np.flatnonzero(~is_member)
         if not len(m) or not len(v):
             return schema.empty_table()
@@ -207,24 +208,22 @@ def links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
         i, j = i[keep], j[keep]
         if not len(i):
             return schema.empty_table()
-        # does the member visit the visitor's cell too? then the pair is met there as well
-        names, cell = np.unique(own, return_inverse=True)
-        goes = np.zeros((len(node), len(names)), bool)
-        owner, to = np.repeat(np.arange(len(node)), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(names, to), len(names) - 1)
-        goes[owner[names[at] == to], at[names[at] == to]] = True
-        met = goes[j, cell[i]]
+        # within one range the member is a visitor too: the pair is met from its side as well
+        met = own[i] == own[j]
         count = np.bincount(i, weights=n[j], minlength=len(node)) + np.bincount(j[~met], weights=n[i[~met]], minlength=len(node))
         root = _stars(i, j, len(node))
         some = np.unique(np.concatenate([i, j]))
         return pa.table([node[some], count[some].astype(np.int64), node[root[some]]], schema=schema)
 
     rows = there.unionByName(here)
-    return rows.groupBy("label", "cell", "mi", "vi").applyInArrow(compare, "node long, n_links long, root long")
+    return rows.groupBy("label", "range", "mi", "vi").applyInArrow(compare, "node long, n_links long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
-    """(vec_id, embedding, label) to vec_id, n_links, component_id and kept, one row per input row."""
+    """(vec_id, embedding, label) to vec_id, n_links, component_id and kept, one row per input row.
+
+    Every link is found, so any ``recall`` that is asked for is met.
+    """
     rows = embeddings.select("vec_id", "embedding", "label").withColumn("__ok", _valid())
     width = F.size("embedding").alias("width")
     classes = rows.filter("__ok").groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
@@ -232,7 +231,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     found = None
     for w in sorted(r.width for r in classes.select("width").distinct().collect()):  # one index per length of vector
         own = classes.filter(F.col("width") == w).drop("width")
-        index = fit(own, cosine, recall)
+        index = fit(own)
         part = links(own, index, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -211,6 +211,25 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == brute_links(rows)
 
 
+def test_embeddings_find_rare_links_beside_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 256)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 64))
+    x[:2000] = x[0] + 0.02 * rng.normal(size=(2000, 64))
+    for i in range(2000, 3000):  # pairs of a cosine just above the threshold
+        a, other = x[i] / np.linalg.norm(x[i]), rng.normal(size=64)
+        other -= (other @ a) * a
+        c = rng.uniform(0.931, 0.933)
+        x[i + 1000] = c * a + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    x = x.astype(np.float32)
+    y = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = ((y @ y.T) >= 0.93).sum(axis=1) - 1
+    assert (want[2000:4000] > 0).all()
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_embeddings_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(none).collect() == []
