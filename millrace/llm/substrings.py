@@ -111,7 +111,8 @@ def repeated_spans(docs: DataFrame, first: DataFrame, size: int = SIZE) -> DataF
     counted = anchors.groupBy("anchor").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b"), F.max("again").alias("again"))
     shared = materialize(counted.filter("a != b or again").select("anchor"))
     release(spark)
-    of_text = anchors.select("anchor", "text_id").join(shared, "anchor").groupBy("text_id").agg(F.array_distinct(F.collect_list("anchor")).alias("anchors"))
+    # a set: copies of a text have the same anchors, and a buffer holds those of one text however many copies there are
+    of_text = anchors.select("anchor", "text_id").join(shared, "anchor").groupBy("text_id").agg(F.collect_set("anchor").alias("anchors"))
     wanted = materialize(of_text.join(first, "text_id"))
     release(spark)
     edges = materialize(docs.join(wanted, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "anchors").mapInArrow(*_edges(size)))

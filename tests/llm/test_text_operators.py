@@ -72,6 +72,16 @@ def test_substring_spans_name_their_source(spark):
     assert [(s["doc_id"], s["start"], s["n_words"], s["source"]) for s in spans] == [(2, 0, 30, 1)]
 
 
+def test_copies_of_a_text_do_not_fill_one_buffer(spark, monkeypatch):
+    plans, write = [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a))[1])
+    base = prose(8, 60)
+    rows = [(i, base) for i in range(300)] + [(1000, f"{prose(9, 30)} {base}"), (1001, prose(10, 50))]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in got) == sorted(removed_words(rows, 20))
+    assert any("collect_set(anchor" in p for p in plans) and not any("collect_list(anchor" in p for p in plans)
+
+
 def test_substrings_of_nothing(no_documents):
     assert substrings.deduplicate(no_documents).collect() == []
 
