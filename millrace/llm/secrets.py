@@ -1,7 +1,7 @@
 """Secret scanning with a random forest against false positives, in column expressions and Spark's own trees.
 
-Generators propose high-recall candidates: values that are assigned to a name like token or password, long runs of
-mixed characters, and known key formats. A random forest then decides on each: by its length, shares of character
+Generators propose high-recall candidates: values of any length that are assigned to an identifier with a name like token or password in it,
+long runs of mixed characters, and known key formats. A random forest then decides on each: by its length, shares of character
 classes and changes between them, cover by dictionary words, the path it comes from, and the words on both sides. It is trained from
 labelled findings (value, before, after, path, label). Where none are given, ``weak_findings`` labels a bounded
 sample of the candidates by rules, and adds well-known kinds of false positives: the same values as digests or
@@ -41,9 +41,14 @@ DICTIONARY = (
     "with word work xxxx your"
 ).split()
 
-ASSIGNED = rf"(?i)(?<![A-Za-z])(?:{NAMES})[\"'\]]?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}[\"'`]?[^\s\"'`<>]{{6,400}}+"
-VALUE = rf"(?i)^(?:{NAMES})[\"'\]]?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}[\"'`]?"
-MIXED = rf"(?<![A-Za-z0-9+/_=-])(?:{KEYS}|(?=[A-Za-z+/_=-]{{0,60}}[0-9])(?=[0-9+/_=-]{{0,60}}[A-Za-z])[A-Za-z0-9+/_=-]{{16,400}}+)(?![A-Za-z0-9+/_=-])"
+# An identifier with such a name in it, up to the value. No part is tried twice, so the work is linear in runs of any length.
+NAMED = rf"(?>[A-Za-z0-9_-]*?(?:{NAMES}))[A-Za-z0-9_-]*+[\"'\]]?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}[\"'`]?"
+ASSIGNED = rf"(?i)(?<![A-Za-z0-9_-]){NAMED}[^\s\"'`<>]{{6,}}+"
+VALUE = rf"(?i)^{NAMED}"
+MIXED = rf"(?<![A-Za-z0-9+/_=-])(?:{KEYS}|(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{16,}}+)(?![A-Za-z0-9+/_=-])"
+CLOSING = r"(?<![.,;:!?)\]}])[.,;:!?)\]}]++$"
+# What may stand between such a name and the end of its identifier: further parts, but not the rest of a word like author.
+REST = r"(?:(?:[_-]|(?=[A-Z0-9]))[A-Za-z0-9_-]{0,40})?"
 
 SAMPLE = 4000
 THRESHOLD = 0.5
@@ -56,7 +61,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     out = located(located(out, "text", ASSIGNED, "assigned"), "text", MIXED, "mixed")
 
     def value_only(x):
-        value = F.regexp_replace(F.regexp_replace(x["value"], VALUE, ""), r"[.,;:!?)\]}]+$", "")
+        value = F.regexp_replace(F.regexp_replace(x["value"], VALUE, ""), CLOSING, "")
         start = x["start"] + F.length(F.regexp_extract(x["value"], VALUE, 0))
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
@@ -73,7 +78,7 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     n = F.greatest(F.length("value"), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    runs = F.length(F.regexp_replace(F.regexp_replace(kinds, "[^aA0]", "-"), r"(.)\1{1,400}+", "$1"))
+    runs = F.length(F.regexp_replace(F.regexp_replace(kinds, "[^aA0]", "-"), r"(.)\1++", "$1"))
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
     columns = {
         "f_length": F.length("value"),
@@ -84,11 +89,11 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_changes": (runs - 1) / n,
         "f_different": F.size(F.array_distinct(F.split("value", ""))) / n,
         "f_repeats": F.regexp_count("value", F.lit(r"(.)\1")) / n,
-        "f_hex": F.col("value").rlike("^(?:[0-9a-f]{1,400}|[0-9A-F]{1,400})$"),
+        "f_hex": F.col("value").rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"),
         "f_words": 1 - F.length(F.regexp_replace(F.lower("value"), f"(?:{words})", "")) / n,
         "f_vowels": share("[aeiouAEIOU]"),
         "f_key_format": F.col("value").rlike(f"^(?:{KEYS})$"),
-        "f_name_before": F.col("before").rlike(rf"(?i)(?:{NAMES})[^A-Za-z0-9]{{0,8}}$"),
+        "f_name_before": F.col("before").rlike(rf"(?i:{NAMES}){REST}[^A-Za-z0-9]{{0,8}}$"),
         "f_against_before": F.col("before").rlike(rf"(?i)(?:{AGAINST})[^A-Za-z0-9]{{0,8}}$"),
         "f_word_before": F.col("before").rlike(r"[A-Za-z]\s{1,4}$"),
         "f_assigned": F.col("before").rlike(r"[:=][\x20\t]{0,3}[\"'`]?$"),
@@ -106,7 +111,7 @@ def weak_findings(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
     place = F.pmod(F.xxhash64("row", "start"), F.lit(1 << 20)) / float(1 << 20)
     few = found.filter(place * total < sample).select("value", "before", "after", "path")
     random = (F.regexp_count("value", F.lit("[0-9]")) >= 3) & (F.size(F.array_distinct(F.split("value", ""))) >= 9) & (F.length("value") >= 16)
-    named = F.col("before").rlike(rf"(?i)(?:{NAMES})[\"'\]]?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}[\"'`]?$")
+    named = F.col("before").rlike(rf"(?i:{NAMES}){REST}[\"'\]]?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}[\"'`]?$")
     against = F.col("before").rlike(rf"(?i)(?:{AGAINST})[^A-Za-z0-9]{{0,8}}$") | ~random
     label = F.when(F.col("value").rlike(f"^(?:{KEYS})$") | (random & named), 1.0).when(against, 0.0)
     marked = few.withColumn("label", label).filter("label is not null")

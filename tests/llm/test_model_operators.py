@@ -115,6 +115,19 @@ def test_secrets_from_labelled_findings(spark):
     assert [r["doc_id"] for r in secrets.scan(docs, findings).collect()] == [1]
 
 
+def test_long_secrets_and_names_within_names_are_candidates(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(5000))
+    late = "".join(rng.choice("abcdefgh") for _ in range(100)) + "1x2y3z"
+    values = {1: long, 2: long, 3: "hunter2!x", 4: "Tr0ub4dor&3", 5: "hunter2!x", 6: late, 7: "hunter2!x"}
+    texts = {1: f"a {long} b", 2: f'token = "{long}"', 3: "dbPassword=hunter2!x", 4: "clientSecret: Tr0ub4dor&3", 5: "x DB_PASSWORD_PROD=hunter2!x y", 6: f"a {late} b", 7: "--db-pwd2 = hunter2!x."}
+    texts |= {8: "password" * 20_000 + " x", 9: "key=" + "." * 200_000 + "a", 10: "keyboard is here"}
+    docs = spark.createDataFrame([(k, v, None) for k, v in texts.items()], "doc_id long, text string, path string")
+    found = {(r["doc_id"], r["start"], r["end"], r["value"]) for r in secrets.candidates(docs).collect()}
+    assert {(k, texts[k].index(v), texts[k].index(v) + len(v), v) for k, v in values.items()} <= found
+    assert not {8, 10} & {r[0] for r in found}
+
+
 def test_secrets_of_nothing(spark, no_documents, crowded):
     path = F.col("source").alias("path")
     assert secrets.scan(no_documents.select("doc_id", "text", path)).collect() == []
