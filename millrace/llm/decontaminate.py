@@ -11,8 +11,11 @@ Words are compared in lower case and without signs, so changed case, punctuation
 The items go out to the tasks in blocks of ``block_items``: a larger benchmark takes more passes, no larger broadcast.
 Documents are read once per block, nothing is shuffled, and a document is never compared with another.
 
-Defined cases: null or empty texts have no words and no hits; an item with fewer than ``min_words`` words is
-never found, it would match by chance; repeated documents and repeated items each give their own rows, also under one id; empty
+An item with fewer than ``min_words`` words is searched in letters where its script has no spaces between words: each such letter
+counts as a word, in the item and in the documents, and so do the budget, ``end_word`` and ``n_words``. With under ten
+of these units the budget is 0, and the item's whole run must stand in the document unchanged.
+
+Defined cases: null or empty texts have no words and no hits; repeated documents and repeated items each give their own rows, also under one id; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -33,6 +36,8 @@ RATE = 0.1
 MIN_WORDS = 5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
+#: Letters of scripts that put no spaces between words.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
 SCHEMA = "doc_id long, item_id long, distance int, budget int, end_word long, n_words long"
 
 
@@ -41,6 +46,11 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL\pN\x20\x09-\x0D]+", "")
 
 
+def lettered(texts: pa.Array) -> pa.Array:
+    """``plain``, with every letter of an unspaced script as a word of its own."""
+    return pc.replace_substring_regex(plain(texts), UNSPACED, r" \1 ")
+
+
 def myers(pattern: list[int], text: list[int]) -> list[int]:
     """For every end in ``text`` the fewest edits that turn ``pattern`` into words that end there.
 
@@ -75,8 +85,9 @@ def pieces(n: int, budget: int) -> list[tuple[int, int]]:
 class Items:
     """A block of test items: their words' hashes, and the pieces by the hash of their first words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], rate: float, min_words: int):
-        w = words(plain(pa.array(texts, pa.string())))
+    def __init__(self, ids: list[int], texts: list[str | None], rate: float, min_words: int, view=plain):
+        self.view = view
+        w = words(view(pa.array(texts, pa.string())))
         self.ids = ids
         self.words = [w.hashes[w.first[k] : w.first[k + 1]].tolist() for k in range(len(ids))]
         self.budget = [int(rate * len(own)) for own in self.words]
@@ -101,9 +112,25 @@ class Items:
         return maybe, h[maybe]
 
 
+def all_items(ids: list[int], texts: list[str | None], rate: float, min_words: int) -> list[Items]:
+    """The items by how they are searched: long ones in words, short ones in letters, each with as long a probe as it allows."""
+    w, short = words(plain(pa.array(texts, pa.string()))), words(lettered(pa.array(texts, pa.string())))
+    groups: dict[tuple, list[int]] = defaultdict(list)
+    for k, (n, units) in enumerate(zip(np.diff(w.first).tolist(), np.diff(short.first).tolist(), strict=True)):
+        if n >= min_words:
+            groups[min_words, plain].append(k)
+        elif units:
+            groups[min(min_words, *(x for _, x in pieces(units, int(rate * units)))), lettered].append(k)
+    return [Items([ids[k] for k in ks], [texts[k] for k in ks], rate, least, view) for (least, view), ks in groups.items()]
+
+
+def search_all(groups: list[Items], batch: pa.RecordBatch) -> list[dict]:
+    return [hit for items in groups for hit in search(items, batch)]
+
+
 def search(items: Items, batch: pa.RecordBatch) -> list[dict]:
     """Matches of a batch of documents; ``at`` is the row."""
-    w = words(plain(batch.column("text")))
+    w = words(items.view(batch.column("text")))
     places, text = in_one_text(w.first, items.probe)
     maybe, keys = items.hits(w.hashes, places)
     stretches: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
@@ -157,9 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, rate, min_words)
+            items = all_items(*shared.value, rate, min_words)
             for batch in slices(batches):
-                if found := search(items, batch):
+                if found := search_all(items, batch):
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
         part = rows.mapInArrow(find, SCHEMA)
@@ -173,10 +200,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words:
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, rate, min_words)
+            items = all_items(*shared.value, rate, min_words)
             for batch in slices(batches):
                 stay = np.ones(batch.num_rows, bool)
-                stay[[hit["at"] for hit in search(items, batch)]] = False
+                stay[[hit["at"] for hit in search_all(items, batch)]] = False
                 yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(keep, docs.schema)

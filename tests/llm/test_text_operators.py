@@ -188,6 +188,16 @@ def test_decontamination_equals_brute_force(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _, _ in want} and clean.columns == ["doc_id", "text", "at"]
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = random.Random(4)
+    long = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(12))
+    items = [(1, long + "。"), (2, "two words"), (3, thai), (4, "日本"), (5, "!!"), (6, prose(3, 20))]
+    docs = [(1, f"前文{long}后文"), (2, f"文{long[:10]}错{long[11:20]}{long[21:]}"), (3, f"{long[:8]}错错错错错{long[13:]}"), (4, "here are Two words."), (5, "two, other words; swords two"), (6, f"ก{thai}ก"), (7, "一日\n本一"), (8, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"], r["budget"]) for r in got} == {(1, 1, 0, 4), (2, 1, 2, 4), (4, 2, 0, 0), (6, 3, 0, 1), (7, 4, 0, 0)} and len(got) == 5
+
+
 def test_myers_distance():
     rng = random.Random(1)
     for _ in range(50):
