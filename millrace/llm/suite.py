@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, langid, mixing, pii, secrets, substrings, tokens, warc
+from . import decontaminate, embeddings, jaccard, langid, lloyd, mixing, pii, secrets, substrings, tokens, warc
 
 QUERIES = {
     "op10_secrets": secrets.op10_secrets,
+    "op13_lloyd": lloyd.op13_lloyd,
     "op1_pii": pii.op1_pii,
     "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokens.op3_tokens,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op13_lloyd": lloyd.SQL,
     "op2_substrings": substrings.SQL,
     "op4_jaccard": jaccard.SQL,
     "op6_warc": warc.SQL,
