@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, langid, lloyd, mixing, pii, secrets, substrings, tokens, warc
+from . import decontaminate, divergence, embeddings, jaccard, langid, lloyd, mixing, pii, secrets, substrings, tokens, warc
 
 QUERIES = {
     "op10_secrets": secrets.op10_secrets,
+    "op12_divergence": divergence.op12_divergence,
     "op13_lloyd": lloyd.op13_lloyd,
     "op1_pii": pii.op1_pii,
     "op2_substrings": substrings.op2_substrings,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op12_divergence": divergence.SQL,
     "op13_lloyd": lloyd.SQL,
     "op2_substrings": substrings.SQL,
     "op4_jaccard": jaccard.SQL,
