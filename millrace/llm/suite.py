@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, embeddings, jaccard, langid, lloyd, mixing, pii, secrets, substrings, tokens, warc
+from . import decontaminate, divergence, embeddings, jaccard, langid, lloyd, mixing, pii, secrets, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op10_secrets": secrets.op10_secrets,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_divergence": divergence.op12_divergence,
     "op13_lloyd": lloyd.op13_lloyd,
     "op1_pii": pii.op1_pii,
