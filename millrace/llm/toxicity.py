@@ -11,13 +11,13 @@ are divided by the norm of a unit of that length.
 Machine. Units map to their kernel values with a few hundred landmark units, times the inverse root of the landmarks' own kernel
 matrix (Nystrom); there a linear machine with squared hinge loss is fitted. Its training rows are labelled sentences: all sentences
 of clean documents are clean, and of a toxic document those with a unit above the margin are toxic. As only the documents are labelled,
-the choice is made anew after each fit, starting from units that toxic documents' sentences hold significantly more often. A
+the choice is made anew after each fit, starting from units with four letters that toxic documents' sentences hold significantly more often. A
 sentence is as toxic as its worst unit, a document as its worst sentence. Documents left out of the fit calibrate the score (Platt).
 
 As the kernel is a product over triples, landmarks and weights fold into one weight per triple. Scoring looks these
 up, for each distinct unit of a batch once, and needs neither a shuffle nor a landmark.
 
-``fit`` learns from at most about ``train_docs`` labelled documents of each class with at most ``train_chars`` characters (all of them
+``fit`` learns from at most about ``train_docs`` toxic and twice as many clean labelled documents with at most ``train_chars`` characters (all of them
 where there are fewer; picked by a hash of the id). That bounds what comes to the driver; every text is scored whole.
 
 Defined cases: a text that is null, empty or has no unit scores as a text of clean units does at best, near 0; without documents of both
@@ -55,9 +55,11 @@ THRESHOLD = 0.7
 CLEAN_WEIGHT = 60.0
 #: Disguised copies of each toxic unit in the fit.
 VARIANTS = 10
-#: Standard errors by which toxic documents' sentences must hold a unit more often to be taken as toxic at first: chance exceeds it in
-#: fewer than one of a million units, so toxic labels on texts without a sign of it are left aside.
-SIGNIFICANT = 5.0
+#: Standard errors by which toxic documents' sentences must hold four letters more often for units with them to be taken as toxic at first:
+#: chance exceeds it in fewer than one of a million, so toxic labels on texts without a sign of it are left aside.
+SIGNIFICANT = 6.0
+#: How many times as many of their sentences must hold it.
+ODDS = 10.0
 #: Where a sentence ends.
 SENTENCE = r"(?<=[.!?…。！？])\s+|\n+"
 
@@ -213,19 +215,26 @@ def disguised(keys: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def _machine(landmarks: np.ndarray, positive: np.ndarray, times: np.ndarray, negative: np.ndarray, often: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Triple weights and offset of a machine fitted in the landmarks' Nystrom space."""
     basis = features(landmarks)
-    values, vectors = np.linalg.eigh(basis.astype(np.float64) @ basis.T)
-    good = values > 1e-6 * values.max()
-    to_space = basis.T.astype(np.float64) @ (vectors[:, good] / np.sqrt(values[good]))  # triples to Nystrom features
+    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+    good = values > 1e-5 * values.max()
+    to_space = basis.T @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)  # triples to Nystrom features
     keys = np.concatenate([positive, negative])
     to_space[0] = 0
     x = np.ones((len(keys), to_space.shape[1] + 1))
-    x[:, :-1] = sum(weight * to_space[triple] for triple, weight in triples(keys)) / norms(keys)[:, None]
+    for part in np.array_split(np.arange(len(keys)), len(keys) // 2000 + 1):
+        x[part, :-1] = sum(np.float32(weight) * to_space[triple] for triple, weight in triples(keys[part])) / norms(keys[part])[:, None]
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     weight = np.concatenate([times / times.sum(), CLEAN_WEIGHT * often / often.sum()])
     w = _linear(x, y, weight, ridge)
     return to_space @ w[:-1], float(w[-1])
 
 
+def pieces(keys: np.ndarray) -> list[np.ndarray]:
+    """Each unit's first, second, ... four letters in a row, 0 where it ends before."""
+    cut = [((keys >> np.uint64(5 * i)) & np.uint64(0xFFFFF)).astype(np.int64) for i in range(LONGEST - 3)]
+    return [np.where(piece >> 15 > 0, piece, 0) for piece in cut]
+
+
 def _best(at: np.ndarray, value: np.ndarray, n: int, least: float) -> np.ndarray:
     out = np.full(n, least)
     np.maximum.at(out, at, value)
@@ -258,21 +267,27 @@ def train(
     at1, at0 = at[: len(toxic[2])], at[len(toxic[2]) :]
     (docs1, doc1), (docs0, doc0) = (np.unique(side[0], return_inverse=True) for side in (toxic, clean))
     fit1, fit0 = docs1 % 4 > 0, docs0 % 4 > 0  # a quarter of the documents calibrates
-    n_names, held = len(names), []
+    n_names, sentence1 = len(names), np.unique(toxic[1], return_inverse=True)[1]
+    cut = pieces(names)
+    held, n = [], []
     for row_doc, sentence, row_at, fitted in ((doc1, toxic[1], at1, fit1), (doc0, clean[1], at0, fit0)):
-        _, sentence = np.unique(sentence[fitted[row_doc]], return_inverse=True)
-        pairs = np.unique(sentence.astype(np.int64) * n_names + row_at[fitted[row_doc]])
-        held.append((np.bincount(pairs % n_names, minlength=n_names), max(int(sentence.max(initial=0)) + 1, 1)))
-    (held1, n1), (held0, n0) = held
-    share = (held1 + held0) / (n1 + n0)
-    value = (held1 - n1 * share) / np.sqrt(n1 * share * (1 - share) + 1)  # how much more often toxic documents' sentences hold the unit
+        row = np.flatnonzero(fitted[row_doc])
+        _, sentence = np.unique(sentence[row], return_inverse=True)
+        some = np.unique(np.concatenate([sentence << 20 | piece[row_at[row]] for piece in cut]))
+        held.append(np.bincount(some & 0xFFFFF, minlength=1 << 20))
+        n.append(max(int(sentence.max(initial=0)) + 1, 1))
+    share = (held[0] + held[1]) / sum(n)
+    excess = (held[0] - n[0] * share) / np.sqrt(n[0] * share * (1 - share) + 1)  # by how many errors toxic sentences hold a piece more often
+    excess[(held[0] / n[0] < ODDS * (held[1] + 1) / n[1]) | (np.arange(len(excess)) == 0)] = -np.inf
+    value = np.max([excess[piece] for piece in cut], axis=0)
+    held0 = np.bincount(at0[fit0[doc0]], minlength=n_names)
     negative = np.flatnonzero(held0)
     weights, offset, chosen = np.zeros(N_TRIPLES), 0.0, None
-    least = SIGNIFICANT if (value > SIGNIFICANT).any() else value.max() / 2
+    least = min(SIGNIFICANT, value.max() / 2)
     for _ in range(rounds):
         rows = np.flatnonzero(fit1[doc1] & (value[at1] > least))  # toxic sentences, by the units that make them so
-        found = np.unique(np.column_stack([toxic[1][rows], at1[rows]]), axis=0)
-        positive, times = np.unique(found[:, 1], return_counts=True)
+        found = np.unique(sentence1[rows] * n_names + at1[rows])
+        positive, times = np.unique(found % n_names, return_counts=True)
         times = np.sqrt(times)
         if not len(positive) or (chosen is not None and np.array_equal(chosen, positive)):
             break
@@ -306,16 +321,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_chars: int = 20_000, label: str = "toxic") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_chars: int = 20_000, label: str = "toxic") -> Machine:
     """Learn from the labelled documents: (doc_id, text) and (doc_id, ``label`` 0 or 1)."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Machine(None, 0.0, 0.0, 0.0)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("y") == 1, min(1.0, train_docs / sizes[1])).otherwise(min(1.0, train_docs / sizes[0]))
+    share = F.when(F.col("y") == 1, min(1.0, train_docs / sizes[1])).otherwise(min(1.0, 2 * train_docs / sizes[0]))
     sample = known.filter(place < share).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")  # about 2 train_docs rows
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")  # about 3 train_docs rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -326,12 +341,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_chars:
 
     doc = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("doc")
     sentences = texts.select(doc, "y", F.explode(F.split("text", SENTENCE)).alias("text")).withColumn("sentence", F.xxhash64("text"))
-    rows = sentences.mapInArrow(cut, "doc long, y int, sentence long, unit long").distinct().toPandas()
-    rows = rows.sort_values(["y", "doc", "sentence", "unit"])
-    sides = [tuple(rows.loc[rows["y"] == y, c].to_numpy() for c in ("doc", "sentence", "unit")) for y in (1, 0)]
+    rows = sentences.mapInArrow(cut, "doc long, y int, sentence long, unit long").distinct()
+    sides = []
+    for y in (1, 0):  # units of so many texts of at most train_chars characters
+        table = rows.filter(F.col("y") == y).drop("y").toArrow()
+        doc, sentence, unit = (table.column(c).to_numpy() for c in ("doc", "sentence", "unit"))
+        order = np.lexsort((unit, sentence, doc))
+        sides.append((doc[order], sentence[order], unit[order].view(np.uint64)))
+        del table
     if not len(sides[0][0]) or not len(sides[1][0]):
         return Machine(None, 0.0, 0.0, 0.0)
-    return train(*((doc, sentence, unit.view(np.uint64)) for doc, sentence, unit in sides))
+    return train(*sides)
 
 
 def rate(docs: DataFrame, model: Machine, name: str = "score", column: str = "text") -> DataFrame:
