@@ -202,6 +202,26 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
+def _pieces(number: int, doc_id: pa.Array, counts: np.ndarray) -> pa.StructArray:
+    """Whole documents as pieces, numbered from ``number``."""
+    n = pa.array(counts, pa.int64())
+    return pa.StructArray.from_arrays([pa.array(number + np.arange(len(counts))), doc_id, pa.array(np.zeros(len(counts), np.int64)), n, n], fields=[pa.field(*f) for f in PIECE])
+
+
+def _at_blocks(pieces: pa.StructArray) -> tuple[pa.StructArray, np.ndarray]:
+    """The pieces cut where blocks end, and the block of each."""
+    number, doc_id, offset, ids, of = (pieces.field(i) for i in range(len(PIECE)))
+    n = ids.to_numpy()
+    end = np.cumsum(n)
+    first, last = (end - n) // BLOCK, (end - 1) // BLOCK  # a piece has one id at least
+    row = np.repeat(np.arange(len(n)), last - first + 1)
+    block = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
+    begin, stop = np.maximum((end - n)[row], block * BLOCK), np.minimum(end[row], (block + 1) * BLOCK)
+    at = pa.array(row)
+    columns = [number.take(at), doc_id.take(at), pa.array(offset.to_numpy()[row] + begin - (end - n)[row]), pa.array(stop - begin), of.take(at)]
+    return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in PIECE]), block
+
+
 def chunks(docs: DataFrame, tokenizer: str, bits: bool = False, partitions: int | None = None) -> DataFrame:
     """(doc_id, text) to the rows of the chunk files, in ascending doc_id order over shards and chunks."""
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
@@ -213,34 +233,26 @@ def chunks(docs: DataFrame, tokenizer: str, bits: bool = False, partitions: int
 
         shard, chunk, number = TaskContext.get().partitionId(), 0, 0
         encoder = WordEncoder.of(tokenizer)
-        left, pieces = np.zeros(0, np.uint32), []  # ids and piece rows that don't fill a block yet
+        left, held = np.zeros(0, np.uint32), _pieces(0, pa.array([], pa.int64()), np.zeros(0, np.int64))  # what doesn't fill a block yet
 
-        def put(ids: np.ndarray, pieces: list[tuple]) -> pa.RecordBatch:
+        def put(ids: np.ndarray, pieces: pa.StructArray) -> pa.RecordBatch:
             nonlocal chunk
             chunk += 1
-            docs = [{name: v for (name, _), v in zip(PIECE, p, strict=True)} for p in pieces]
-            return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": chunk - 1, "n_ids": len(ids), "chunk_bytes": pack(ids, bits), "docs": docs}], schema=schema)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chunk - 1]), pa.array([len(ids)]), pa.array([pack(ids, bits)]), docs], schema=schema)
 
         for batch in _batches(batches):
             ids, counts = encoder.encode(batch.column("text"))
             flat = np.concatenate([left, ids])
-            # pieces of documents over the block borders
-            todo = [*pieces]
-            for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
-                todo.append((number, doc, 0, n, n))
-                number += 1
-            at, pieces, room = 0, [], BLOCK
-            for num, doc, offset, n, of in todo:
-                while n >= room:
-                    pieces.append((num, doc, offset, room, of))
-                    yield put(flat[at : at + BLOCK], pieces)
-                    at, offset, n, pieces, room = at + BLOCK, offset + room, n - room, [], BLOCK
-                if n:
-                    pieces.append((num, doc, offset, n, of))
-                    room -= n
-            left = flat[at:].copy()
-        if pieces:
-            yield put(left, pieces)
+            cut, block = _at_blocks(pa.concat_arrays([held, _pieces(number, batch.column("doc_id"), counts)]))
+            number += len(counts)
+            full = len(flat) // BLOCK
+            edges = np.searchsorted(block, np.arange(full + 1))
+            for i in range(full):
+                yield put(flat[i * BLOCK : (i + 1) * BLOCK], cut.slice(edges[i], edges[i + 1] - edges[i]))
+            left, held = flat[full * BLOCK :].copy(), pa.concat_arrays([cut.slice(edges[full])])
+        if len(held):
+            yield put(left, held)
 
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("n_ids", pa.int64()), ("chunk_bytes", pa.binary()), ("docs", pa.list_(pa.struct(PIECE)))])
     return dealt.mapInArrow(write, CHUNK_SCHEMA)
@@ -256,13 +268,15 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, at, out = unpack(row["chunk_bytes"]).astype("<u4").tobytes(), 0, []
-                for d in row["docs"]:
-                    part = ids[4 * at : 4 * (at + d["ids"])]
-                    out.append({"shard": row["shard"], "place": row["chunk"] * BLOCK + at, "ids_bytes": part} | d)
-                    at += d["ids"]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            shard, chunk, held = (batch.column(c) for c in ("shard", "chunk", "docs"))
+            for i, packed in enumerate(batch.column("chunk_bytes")):
+                ids, docs = unpack(packed.as_py()).astype("<u4"), held[i].values
+                n = docs.field("ids").to_numpy()
+                ends = np.append(0, np.cumsum(n))
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                place = pa.array(chunk[i].as_py() * BLOCK + ends[:-1])
+                of = [docs.field(name) for name, _ in PIECE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard[i].as_py(), np.int32)), place, data, *of], schema=schema)
 
     schema = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("ids_bytes", pa.binary()), *PIECE])
     files = spark.read.schema(CHUNK_SCHEMA).parquet(path)
