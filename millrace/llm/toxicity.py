@@ -56,8 +56,8 @@ CLEAN_WEIGHT = 60.0
 #: Disguised copies of each toxic unit in the fit.
 VARIANTS = 10
 #: Standard errors by which toxic documents' sentences must hold four letters more often for units with them to be taken as toxic at first:
-#: chance exceeds it in fewer than one of a million, so toxic labels on texts without a sign of it are left aside.
-SIGNIFICANT = 6.0
+#: chance exceeds it in few of a hundred thousand, so toxic labels on texts without a sign of it are left aside.
+SIGNIFICANT = 4.0
 #: How many times as many of their sentences must hold it.
 ODDS = 10.0
 #: Where a sentence ends.
