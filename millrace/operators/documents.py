@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import docs
+from ..functions import variants
 from ..functions.hashing import ABSENT, canonical_json, record_id
+from ..functions.variants import let
+
+#: Levels that an edit of whole documents is compiled for at most; what lies deeper is reported.
+MOST_LEVELS = 16
 
 
 def json_path(path: str) -> str:
-    return "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in docs.parse_path(path))
+    return "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in variants.parse_path(path))
 
 
 def get_path(doc: Column, path: str, type_: str = "string") -> Column:
@@ -72,11 +76,76 @@ def match_profile(df: DataFrame, rules: Sequence[tuple[str, Mapping[str, str]]])
     return df.withColumn("profile", choice)
 
 
-def flatten_paths(df: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
-    """One row per leaf of every document: ``path``, ``type``, ``value``."""
-    # the outer form keeps the planner from computing the leaves once more as a filter
-    leaves = df.select(*keys, F.explode_outer(docs.paths_of(F.col(doc))).alias("leaf"))
-    return leaves.where(F.col("leaf").isNotNull()).select(*keys, "leaf.*")
+def levels_of(df: DataFrame, doc: str) -> int:
+    """Levels of the deepest document, at most ``MOST_LEVELS``: one scan, a number per task."""
+    return min(df.agg(F.max(variants.nesting(F.col(doc)))).first()[0] or 0, MOST_LEVELS)
+
+
+def _rewritten(df: DataFrame, doc: str, levels: int | None, how: Callable[[Column, int], Column]) -> DataFrame:
+    """``doc`` as a variant after ``how``, and ``problem``: ``parse_error``, or ``too_deep`` where levels were left as they are."""
+    deep = levels_of(df, doc) if levels is None else levels
+    v = F.try_parse_json(doc)
+    problem = F.when(F.col(doc).isNull(), None).when(v.isNull(), "parse_error").when(variants.nesting(F.col(doc)) > deep, "too_deep")
+    conf, name = df.sparkSession.conf, "spark.sql.analyzer.maxIterations"
+    rounds = conf.get(name)
+    try:  # the analyzer takes some rounds for every level of an expression
+        conf.set(name, str(max(int(rounds), 25 * deep)))
+        return df.withColumns({doc: let(v, lambda x: how(x, deep)), "problem": problem})
+    finally:
+        conf.set(name, rounds)
+
+
+def clean_documents(df: DataFrame, doc: str, lower_keys: bool = True, drop_empty: bool = True, levels: int | None = None) -> DataFrame:
+    """Trimmed (lower-case) keys, collapsed text, "no value" words as null. ``levels`` spares the scan that finds it."""
+    return _rewritten(df, doc, levels, lambda v, n: variants.clean(v, n, lower_keys, drop_empty))
+
+
+def drop_nulls(df: DataFrame, doc: str, compact_arrays: bool = False, levels: int | None = None) -> DataFrame:
+    """Documents without null fields, and the paths of these as ``dropped``.
+
+    Null array elements stay in place, and are not reported, unless ``compact_arrays``.
+    """
+    out = _rewritten(df, doc, levels, lambda v, n: variants.drop_nulls(v, n, compact_arrays))
+    return out.withColumns({"dropped": F.coalesce(F.col(doc)["dropped"], F.array().cast("array<string>")), doc: F.col(doc)["doc"]})
+
+
+def coerce_numbers(df: DataFrame, doc: str, levels: int | None = None) -> DataFrame:
+    """Texts that look like numbers become numbers; a leading zero keeps them text."""
+    return _rewritten(df, doc, levels, variants.coerce_numbers)
+
+
+def edit_documents(df: DataFrame, doc: str, edits: Sequence[Mapping]) -> DataFrame:
+    """Apply ``set`` (to, value), ``delete`` (from), ``rename`` and ``copy`` (from, to) in order; a missing source changes nothing."""
+    v = F.try_parse_json(doc)
+    problem = F.when(F.col(doc).isNotNull() & v.isNull(), "parse_error")
+    return df.withColumns({doc: variants.edit(v, edits), "problem": problem})
+
+
+def flatten_paths(df: DataFrame, keys: Sequence[str], doc: str, levels: int | None = None) -> DataFrame:
+    """One row per leaf of every document: ``path``, ``type``, ``value``; null and unreadable documents have none.
+
+    Level by level every object and array gives a row per child, and leaves pass on. What still is an object or array after
+    the last level is given as its JSON text, of type ``object`` or ``array``.
+    """
+    spark = df.sparkSession
+    rows = df.select(*keys, F.try_parse_json(doc).alias("__v"), F.lit("").alias("__path"))
+    for _ in range(levels_of(df, doc) if levels is None else levels):
+        children = spark.tvf.variant_explode_outer(F.col("__v").outer())
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        inner = F.col("pos").isNotNull()
+        rows = rows.lateralJoin(children).select(
+            *keys, F.when(inner, F.col("value")).otherwise(F.col("__v")).alias("__v"), F.when(inner, F.concat("__path", step)).otherwise(F.col("__path")).alias("__path")
+        )
+    kinds = {"OBJECT<>": None, "ARRAY<VOID>": None, "VOID": "null", "BOOLEAN": "boolean", "STRING": "string"}
+    schema = F.schema_of_variant("__v")
+    kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").otherwise("number")
+    for name, value in kinds.items():
+        kind = F.when(schema == name, value).otherwise(kind)
+    # an empty array and one of nulls have the same schema; the first has no leaf
+    kind = F.when((schema == "ARRAY<VOID>") & (F.size(variants.items(F.col("__v"))) > 0), "array").otherwise(kind)
+    text = F.when(kind.isin("object", "array"), F.to_json("__v")).otherwise(variants.text_of(F.col("__v")))
+    leaves = rows.where(F.col("__path") != "").select(*keys, variants.bare_path(F.col("__path")).alias("path"), kind.alias("type"), text.alias("value"))
+    return leaves.where(F.col("type").isNotNull())
 
 
 # --- expansion --------------------------------------------------------------------------------
@@ -103,11 +172,6 @@ def expand_records(df: DataFrame, payload: str) -> DataFrame:
     return rows.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that loops over array elements do not compute it again per element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _array_of(c: Column) -> Column:
     return F.when(_is(c, "ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
 

@@ -134,11 +134,13 @@ def fields(spark, sf):
 
 @query(
     "infer_fields",
-    f"""select path, label, type, case path when 'tags[0]' then 2 * n when 'user.gone' then 0 else n end as filled
-    from ({FIELDS_SQL}), (select count(*) as n from events)""",
+    f"""select path, label, type, case path when 'tags[0]' then 2 * n when 'user.gone' then 0 else n end as filled,
+    case path when ' Type ' then '  ' || event_type || '  x ' when 'Id' then event_id::varchar when 'tags[0]' then event_type when 'user.id' then user_id::varchar
+      when 'note' then case event_type when 'error' then ' N/A ' when 'view' then '  ' else ' a   b ' end when 'value' then value::varchar end as sample
+    from ({FIELDS_SQL}), (select count(*) as n from events), (select * from events order by event_id limit 1)""",
 )
 def _(spark, sf):
-    return fields(spark, sf).select("path", "label", "type", "filled")
+    return fields(spark, sf).select("path", "label", "type", "filled", "sample")
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import docs, hashing, text
+from ..functions import hashing, text
 from ..operators import documents
+from ..session import spread
 from .registry import query, table
 
 
@@ -23,7 +24,7 @@ def event_docs(spark, sf):
         ),
         {"ignoreNullFields": "false"},
     )
-    return table(spark, sf, "events").withColumn("doc", doc)
+    return spread(table(spark, sf, "events"), "event_id").withColumn("doc", doc)
 
 
 def variants(spark, sf):
@@ -52,7 +53,7 @@ def _(spark, sf):
 
 def _edited(*edits):
     def run(spark, sf):
-        return event_docs(spark, sf).select("event_id", F.parse_json(docs.edit_document(F.col("doc"), edits)).alias("v"))
+        return documents.edit_documents(event_docs(spark, sf).select("event_id", "doc"), "doc", edits).withColumnRenamed("doc", "v")
 
     return run
 
@@ -79,9 +80,9 @@ query("op_copy", "select event_id, user_id::varchar as old, user_id::varchar as
 
 @query("drop_nulls", "select event_id, 'user.gone' as dropped, 3::bigint as tags from events")
 def _(spark, sf):
-    out = event_docs(spark, sf).select("event_id", docs.drop_nulls(F.col("doc")).alias("r"))
-    tags = F.size(documents.get_path(F.parse_json("r.doc"), "tags", "array<string>")).cast("bigint")
-    return out.select("event_id", F.array_join("r.dropped", ",").alias("dropped"), tags.alias("tags"))
+    out = documents.drop_nulls(event_docs(spark, sf).select("event_id", "doc"), "doc", levels=2)
+    tags = F.size(documents.get_path(F.col("doc"), "tags", "array<string>")).cast("bigint")
+    return out.select("event_id", F.array_join("dropped", ",").alias("dropped"), tags.alias("tags"))
 
 
 @query(
@@ -114,9 +115,9 @@ def _(spark, sf):
     """select event_id, event_type || ' x' as type, case when event_type in ('error', 'view') then null else 'a b' end as note from events""",
 )
 def _(spark, sf):
-    out = event_docs(spark, sf).select("event_id", F.parse_json(docs.clean_document(F.col("doc"))).alias("v"))
+    out = documents.clean_documents(event_docs(spark, sf).select("event_id", "doc"), "doc", levels=2)
     return out.select(
-        "event_id", documents.get_path(F.col("v"), "type").alias("type"), documents.get_path(F.col("v"), "note").alias("note")
+        "event_id", documents.get_path(F.col("doc"), "type").alias("type"), documents.get_path(F.col("doc"), "note").alias("note")
     )
 
 
@@ -241,7 +242,7 @@ def _(spark, sf):
 @query("coerce_numbers", "select event_id, value as value, '0' || user_id as code from events")
 def _(spark, sf):
     doc = F.to_json(F.struct(F.col("value").cast("string").alias("value"), F.concat(F.lit("0"), F.col("user_id").cast("string")).alias("code")))
-    out = table(spark, sf, "events").select("event_id", F.parse_json(docs.coerce_numbers(doc)).alias("v"))
+    out = documents.coerce_numbers(table(spark, sf, "events").select("event_id", doc.alias("v")), "v")
     return out.select(
         "event_id", documents.get_path(F.col("v"), "value", "double").alias("value"), documents.get_path(F.col("v"), "code").alias("code")
     )

@@ -69,6 +69,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows, by hash of ``keys``, of a scan that gives fewer tasks than there are cores; a scan with enough tasks is left as it is.
+
+    For work that is heavy per row: a small compressed file is one task, however many cores wait.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which NULL equals NULL; the columns of ``left``, then the others of ``right``."""
     renamed = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})

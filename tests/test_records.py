@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import docs, hashing, text
+from millrace.functions import hashing, text, variants
 from millrace.operators import aggregates, audit, compliance, contracts, dedupe, documents, joins
 from millrace.plans import report
 from millrace.sources import readers, sinks
@@ -46,18 +46,6 @@ def test_hmac_matches_python(spark):
         assert got == hmac.new(secret, "subject é".encode(), hashlib.sha256).hexdigest()
 
 
-def test_edits_and_nulls(spark):
-    doc = json.dumps({"a": {"b": [1, {"c": None}]}, "n": None})
-    edits = [{"kind": "copy", "from": "a.b[0]", "to": "x.y"}, {"kind": "rename", "from": "nope", "to": "z"}, {"kind": "delete", "from": "a.b[0]"}]
-    assert json.loads(one(spark, lambda c: docs.edit_document(c, edits), doc)) == {"a": {"b": [{"c": None}]}, "n": None, "x": {"y": 1}}
-    kept = one(spark, docs.drop_nulls, json.dumps({"a": [None, 1], "n": None}))
-    assert json.loads(kept["doc"]) == {"a": [None, 1]} and kept["dropped"] == ["n"]
-    packed = one(spark, lambda c: docs.drop_nulls(c, True), json.dumps({"a": [None, 1]}))
-    assert json.loads(packed["doc"]) == {"a": [1]} and packed["dropped"] == ["a[0]"]
-    with pytest.raises(ValueError):
-        docs.edit_document(F.lit(""), [{"kind": "move"}])
-
-
 def test_expand_mixed_shapes_and_broken_payloads(spark):
     payloads = [
         '{"prices": [[1, 10.5], [2, 11]], "market_caps": [[1, 100]], "total_volumes": []}',

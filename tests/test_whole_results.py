@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import docs, hashing, text
+from millrace.functions import hashing, text
 from millrace.operators import aggregates, audit, compliance, contracts, documents, features, forecast, joins, positions, telemetry
 from millrace.plans import report
 from millrace.sources import readers, sinks
@@ -56,7 +56,7 @@ def test_unreadable_documents_are_counted_and_returned(spark, tmp_path):
     counts = sinks.insert_records(rows, str(tmp_path / "records"), ["seq"]).first()
     assert (counts["inserted"], counts["deduped"], counts["rejected"]) == (1, 0, 2)
     assert {r["reason"] for r in sinks.rejected_records(rows).collect()} == {"no_record_id"}
-    cleaned = rows.select("seq", docs.drop_nulls(F.col("doc")).alias("d")).select("seq", "d.*")
+    cleaned = documents.drop_nulls(rows, "doc")
     assert {r["seq"]: r["problem"] for r in cleaned.collect()} == {1: None, 2: "parse_error", 3: "parse_error"}
 
 
