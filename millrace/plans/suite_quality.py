@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import compliance, contracts, features, quarantine
 from ..functions.hashing import record_id
 from ..session import materialize, scratch
+from ..operators.dedupe import first_per_key
 from ..sources import readers, sinks
 from .registry import query, table
 from .suite_tables import RUNS_SQL, runs, stamp
@@ -45,7 +46,7 @@ def records(spark, sf):
 
 @query("src_records", f"with {RECORD_SQL} select record_id, profile_id, timestamp from records order by timestamp desc, record_id limit 200")
 def _(spark, sf):
-    unique = sinks.new_records(records(spark, sf), None, ["timestamp", "id"])
+    unique = first_per_key(records(spark, sf), list(sinks.RECORD_KEY), ["timestamp", "id"])
     return readers.scan(unique, {}, "timestamp", "record_id", 200).select("record_id", "profile_id", "timestamp")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets
 from ..operators.dedupe import first_per_key
-from ..session import with_scalar
+from ..session import materialize, with_scalar
+from . import keyindex
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+RECORD_KEY = ["record_id", "profile_id"]
 
 
 # text formats keep milliseconds only unless told otherwise
@@ -30,13 +27,6 @@ def append_results(df: DataFrame, path: str, run_id: str, partition: str = "prof
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def new_records(df: DataFrame, stored: DataFrame | None, order: Sequence[str]) -> DataFrame:
-    """Records whose (record_id, profile_id) is not stored yet, one per key."""
-    key = ["record_id", "profile_id"]
-    unique = first_per_key(df, key, order)
-    return unique if stored is None else unique.join(stored.select(*key), key, "left_anti")
-
-
 def rejected_records(df: DataFrame) -> DataFrame:
     """Records that can't be stored, with the reason."""
     reason = F.when(F.col("record_id").isNull(), "no_record_id").when(F.col("profile_id").isNull(), "no_profile_id")
@@ -46,18 +36,20 @@ def rejected_records(df: DataFrame) -> DataFrame:
 def insert_records(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
     """Insert the new records; returns one row with inserted, deduplicated and rejected counts.
 
-    Rows without a key, such as unreadable documents, are rejected (``rejected_records`` returns them). The
-    counts are read back from the written batch, so the input is computed once for the insert and once for its own count.
+    Rows without a key, such as unreadable documents, are rejected (``rejected_records`` returns them). Of the stored
+    rows only those that may have a key of the batch are read, by the Bloom filters of ``keyindex``.
     """
-    spark = df.sparkSession
-    stored = spark.read.parquet(path) if exists(spark, path) else None
-    batch = uuid.uuid4().hex
-    fresh = new_records(df, stored, order).withColumn("batch", F.lit(batch))
-    fresh.write.mode("append").parquet(path)
-    inserted = spark.read.parquet(path).where(F.col("batch") == batch).agg(F.count("*").alias("inserted"))
     keyed = F.col("record_id").isNotNull() & F.col("profile_id").isNotNull()
     total = df.agg(F.count_if(keyed).alias("__n"), F.count_if(~keyed).alias("rejected"))
-    return with_scalar(inserted, total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"), "rejected")
+    fresh = materialize(keyindex.unseen(first_per_key(df.where(keyed), RECORD_KEY, order), path, RECORD_KEY))
+    if not fresh.isEmpty():
+        keyindex.append(fresh, path, RECORD_KEY)
+    return with_scalar(fresh.agg(F.count("*").alias("inserted")), total).select("inserted", (F.col("__n") - F.col("inserted")).alias("deduped"), "rejected")
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records that were inserted."""
+    return keyindex.rows_of(spark, path)
 
 
 def upsert_runs(stored: DataFrame, incoming: DataFrame, seq: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import folds
 from ..operators.aggregates import index_projection
 from ..operators.joins import watchlist
-from ..sources.sinks import exists
+from ..sources.keyindex import exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing, text, variants
 from millrace.operators import aggregates, audit, compliance, contracts, dedupe, documents, joins
 from millrace.plans import report
-from millrace.sources import readers, sinks
+from millrace.sources import keyindex, readers, sinks
 from millrace.streaming import jobs
 
 
@@ -186,6 +186,34 @@ def test_second_insert_adds_nothing(spark, tmp_path):
     assert tuple(sinks.insert_records(df, path, ["n"]).first()) == (0, 3, 0)
 
 
+def test_inserts_read_what_may_hold_their_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyindex, "PER_CELL", 50)
+    monkeypatch.setattr(keyindex, "CELLS", 2)
+    path, key = str(tmp_path / "records"), sinks.RECORD_KEY
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("concat('r', id) as record_id", "concat('p', id % 3) as profile_id", "id as n")
+    looked = []
+    for lo, hi in ((0, 1000), (1000, 5000), (5000, 20_000)):
+        assert tuple(sinks.insert_records(rows(lo, hi), path, ["n"]).first()) == (hi - lo, 0, 0)
+        few = rows(500, 505).unionByName(rows(90_000, 90_005))
+        found = keyindex.candidates(few.select(*key), path, key)
+        looked.append(found.count())
+        assert few.join(found.select(*key), key, "left_semi").count() == 5  # no key is missed
+    assert looked[-1] < 20_000 / 10 and looked[-1] <= looked[0] + 1000, looked  # rows read do not follow the table
+    again = rows(0, 20_000).unionByName(rows(30_000, 30_010)).unionByName(spark.createDataFrame([(None, "p", 1)], "record_id string, profile_id string, n long"))
+    assert tuple(sinks.insert_records(again, path, ["n"]).first()) == (10, 20_000, 1)
+    assert sorted(r["n"] for r in sinks.stored_records(spark, path).collect()) == [*range(20_000), *range(30_000, 30_010)]
+    assert sinks.stored_records(spark, path).columns == ["record_id", "profile_id", "n"]
+
+
+def test_an_index_without_its_rows_is_skipped(spark, tmp_path):
+    path = str(tmp_path / "records")
+    df = spark.createDataFrame([("r1", "", 1)], "record_id string, profile_id string, n int")
+    sinks.insert_records(df, path, ["n"])
+    stale = spark.createDataFrame([("gone", 1, 0, bytearray(b"\xff" * 4096))], "batch string, cells long, cell long, bitmap binary")
+    stale.write.mode("append").parquet(f"{path}/{keyindex.INDEX}")
+    assert tuple(sinks.insert_records(df.unionByName(df.selectExpr("'r2' as record_id", "profile_id", "n")), path, ["n"]).first()) == (1, 1, 0)
+
+
 def test_stream_restart_has_no_repeats(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
     rows = spark.range(10).selectExpr("id", "timestamp'2024-01-01' + make_dt_interval(0, 0, id) as ts")
