@@ -23,17 +23,43 @@ def record_id(doc: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(canonical_json(doc), 256))
 
 
-def event_id(tenant: Column, kind: Column, when: Column, payload: Column) -> Column:
-    """First eight bytes (16 hex digits) of the hash over tenant, type, time and payload."""
-    seed = F.concat_ws("|", *[F.coalesce(part, F.lit(ABSENT)) for part in (F.trim(tenant), F.trim(kind), when)], F.coalesce(payload, F.lit("null")))
+def measured(part: Column) -> Column:
+    """A part of a joined text after its length, so that no two lists of parts join to the same text."""
+    return F.coalesce(F.concat(F.length(part).cast("string"), F.lit(":"), part), F.lit(ABSENT))
+
+
+def event_id(tenant: Column, kind: Column, when: Column, payload: Column, plain: bool = False) -> Column:
+    """First eight bytes (16 hex digits) of the hash over tenant, type, time and payload.
+
+    ``plain`` joins the parts without their lengths, for ids that must equal older ones; there ``a|b`` and ``c`` equal ``a`` and ``b|c``.
+    """
+    parts = [F.trim(tenant), F.trim(kind), when, F.coalesce(payload, F.lit("null"))]
+    seed = F.concat_ws("|", *[F.coalesce(p, F.lit(ABSENT)) if plain else measured(p) for p in parts])
     return F.substring(F.sha2(seed, 256), 1, 16)
 
 
+def _key(tenant: Column, scope: Column, digest: Column) -> Column:
+    owner = F.regexp_replace(F.lower(F.trim(tenant)), "[^a-z0-9_-]", "")
+    area = F.lower(F.trim(scope))
+    owner = F.coalesce(F.nullif(owner, F.lit("")), F.lit("local"))
+    return F.when(area.rlike(r"\A[a-z0-9_-]+\z"), F.concat_ws(":", F.lit("v1"), owner, area, digest))
+
+
 def idempotency_key(tenant: Column, scope: Column, parts: Sequence[Column]) -> Column:
-    """``v1:tenant:scope:hash``; every part is measured so that joined parts cannot collide."""
-    sized = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit(ABSENT)) for p in parts]
-    heads = [F.coalesce(c, F.lit(ABSENT)) for c in (tenant, scope)]
-    return F.concat_ws(":", F.lit("v1"), *heads, F.sha2(F.concat_ws("|", *sized), 256))
+    """``v1:tenant:scope:hash``; every part is measured so that joined parts cannot collide.
+
+    The tenant keeps its lower-case letters, digits, ``_`` and ``-``, and is ``local`` without any; a scope with other
+    characters, or none, gives NULL.
+    """
+    return _key(tenant, scope, F.sha2(F.concat_ws("|", *[measured(p) for p in parts]), 256))
+
+
+def idempotency_key_of_map(tenant: Column, scope: Column, named: Column) -> Column:
+    """``idempotency_key`` of a map of texts: names in lower case and sorted, each before its value; blank names are left out."""
+    tidy = F.transform(F.map_entries(named), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    entries = F.sort_array(F.filter(tidy, lambda e: e["key"] != ""))
+    parts = F.flatten(F.transform(entries, lambda e: F.array(measured(e["key"]), measured(e["value"]))))
+    return _key(tenant, scope, F.sha2(F.coalesce(F.array_join(parts, "|"), F.lit("")), 256))
 
 
 # fixed values: offset and prime of the 64-bit FNV-1a hash

@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ABSENT
-from ..session import materialize, on_same
+from ..session import join_small, materialize, on_same
 from .dedupe import first_per_key
 from .folds import settle
 from .positions import with_position, with_previous
@@ -24,6 +24,32 @@ def append(log: DataFrame, incoming: DataFrame, key: Sequence[str], order: Seque
     return first_per_key(incoming, key, order).join(log.select(*key), list(key), "left_anti")
 
 
+def with_evicted(log: DataFrame, maximum: int, ts: str, tie: Sequence[str]) -> DataFrame:
+    """Add ``evicted``: true for the oldest records beyond the ``maximum`` newest ones; no bound below 1.
+
+    Records are ordered by time and ``tie``; an unreadable time is the oldest. Records are counted per hour first, which tells for whole
+    hours whether they stay; only the hour that holds the bound is put in order, by a range shuffle.
+    """
+    if maximum < 1:
+        return log.withColumn("evicted", F.lit(False))
+    when = F.coalesce(F.try_to_timestamp(F.col(ts).cast("string")), F.timestamp_seconds(F.lit(0)))
+    rows = log.withColumn("__when", when).withColumn("__hour", F.floor(F.unix_micros("__when") / 3_600_000_000))
+    newer = Window.orderBy(F.col("__hour").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per hour
+    hours = rows.groupBy("__hour").agg(F.count("*").alias("__n")).withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0)))
+    rows = materialize(join_small(rows, hours, ["__hour"]))
+    cut = (F.col("__newer") < maximum) & (F.col("__newer") + F.col("__n") > maximum)
+    whole = rows.where(~cut).withColumn("evicted", F.col("__newer") >= maximum)
+    order = [F.col("__when").desc(), *[F.col(c).desc() for c in tie]]
+    edge = with_position(rows.where(cut), [], order, "__idx").withColumn("evicted", F.col("__newer") + F.col("__idx") >= maximum)
+    return whole.select(*log.columns, "evicted").unionByName(edge.select(*log.columns, "evicted"))
+
+
+def append_bounded(log: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str], maximum: int, ts: str) -> DataFrame:
+    """The log after an append that keeps its ``maximum`` newest records."""
+    grown = log.unionByName(append(log, incoming, key, order))
+    return with_evicted(grown, maximum, ts, key).where(~F.col("evicted")).drop("evicted")
+
+
 def verify_events(df: DataFrame, tenant: str, event: str, ts: str, action: str) -> DataFrame:
     """Rows with a missing field, an unreadable time or a repeated (tenant, event) id."""
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))

@@ -255,12 +255,41 @@ def _row_map(header: Column, cells: Column) -> Column:
     return F.map_from_arrays(F.slice(header, 1, n), F.slice(cells, 1, n))
 
 
-def rows_to_table(df: DataFrame, doc: str, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Ragged objects as a table: the given columns, NULL where absent; without a list, all fields as the map ``fields``."""
-    rows = df.select(*keys, F.from_json(doc, "map<string,string>").alias("fields"))
-    if columns is None:
-        return rows
-    return rows.select(*keys, *[F.try_element_at("fields", F.lit(c)).alias(c) for c in columns])
+def field_names(df: DataFrame, doc: str, limit: int) -> list[str] | None:
+    """The names of all fields of the objects, sorted; None if there are more than ``limit``.
+
+    Names are counted in Spark, one row per name and task before the shuffle; at most ``limit`` + 1 come to the driver.
+    """
+    names = df.select(F.explode(F.map_keys(F.from_json(doc, "map<string,string>"))).alias("name")).distinct().limit(limit + 1).collect()
+    return None if len(names) > limit else sorted(r["name"] for r in names)
+
+
+def column_names(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """A column for each name: as it is, or numbered where another column is called so, as Spark reads names without regard to case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        column, n = name, 2
+        while column.lower() in used:
+            column, n = f"{name}_{n}", n + 1
+        used.add(column.lower())
+        out.append(column)
+    return out
+
+
+def rows_to_table(df: DataFrame, doc: str, keys: Sequence[str], columns: Sequence[str] | None = None, widest: int = 2000) -> DataFrame:
+    """Ragged objects as a table with a text column per field, NULL where a row lacks it.
+
+    Without ``columns`` they are the sorted union of all fields, found by a first scan. A union wider than ``widest`` has no
+    sensible schema: the fields come as the map ``fields`` then. With ``columns`` the fields that are not named come as the map
+    ``others``, so that none is lost.
+    """
+    rows = df.withColumn("__fields", F.from_json(doc, "map<string,string>"))
+    names = field_names(df, doc, widest) if columns is None else list(columns)
+    if names is None:
+        return rows.select(*keys, F.col("__fields").alias("fields"))
+    extra = [] if columns is None else [F.map_filter("__fields", lambda k, _: ~k.isin(*names)).alias("others")]
+    cells = [F.try_element_at("__fields", F.lit(n)).alias(c) for n, c in zip(names, column_names(names, [*keys, "others"]), strict=True)]
+    return rows.select(*keys, *cells, *extra)
 
 
 # --- enrichment -------------------------------------------------------------------------------
@@ -320,4 +349,6 @@ def with_record_id(df: DataFrame, doc: str) -> DataFrame:
 
 
 def partition_key(tenant: Column, name: Column, ts: Column) -> Column:
-    return F.concat_ws("/", *[F.coalesce(part, F.lit(ABSENT)) for part in (tenant, name, F.date_format(ts, "yyyy-MM-dd"))])
+    """``tenant/name/day``; a slash or percent sign within a part is written as in URLs, so that parts can't shift."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return F.concat_ws("/", *[F.coalesce(part, F.lit(ABSENT)) for part in (safe(tenant), safe(name), F.date_format(ts, "yyyy-MM-dd"))])

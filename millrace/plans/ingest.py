@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import record_id
 from ..operators import contracts, documents, quarantine
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -28,16 +29,15 @@ def run(payloads: DataFrame, payload: str, profile: Profile) -> tuple[DataFrame,
     """Records and quarantined rows of a payload frame.
 
     Expand, check, map, coerce and identify are projections: nothing is shuffled before the records
-    are deduplicated by a sink. Both outputs share the checked frame; write or persist it first
-    when the source is costly to read twice.
+    are deduplicated by a sink. The checked rows are written once, next to the checkpoints, and both outputs start from there.
     """
-    rows = documents.expand_records(payloads.where(F.try_parse_json(payload).isNotNull()), payload)
+    rows = documents.expand_records(payloads, payload)
     found = contracts.validate_rules(F.col("record"), profile.rules)
     if profile.schema:
         found = F.concat(found, contracts.validate_contract(profile.schema, F.col("record")))
     not_object = F.when(~F.schema_of_variant("record").startswith("OBJECT"), F.lit("not_an_object"))
     checked = rows.withColumn("violations", F.concat(found, F.array_compact(F.array(not_object))))
-    good, bad = quarantine.split(checked)
+    good, bad = quarantine.split(materialize(checked))
     mapped = documents.map_fields(F.col("record"), profile.mapping, profile.types) if profile.mapping else F.col("record")
     out = good.withColumn("data", mapped).drop("record")
     if profile.static:

@@ -22,6 +22,22 @@ def _(spark, sf):
     return audit.append(log, rows.drop("value"), ["user_id", "event_type"], ["event_id"])
 
 
+@query(
+    "audit_evict",
+    """with log as (select user_id, event_id, case when event_type <> 'error' then ts end as ts from events where value > 20
+      union all select user_id, event_id, case when event_type <> 'error' then ts end from events where value <= 20),
+    ranked as (select *, row_number() over (order by coalesce(ts, timestamp '1970-01-01') desc, user_id desc, event_id desc) as k from log)
+    select user_id, event_id, ts is not null as dated from ranked where k <= 4321""",
+)
+def _(spark, sf):
+    """The newest 4321 records: the bound is the feature."""
+    when = F.when(F.col("event_type") == "error", "yesterday").otherwise(F.col("ts").cast("string")).alias("when")
+    rows = table(spark, sf, "events").select("user_id", "event_id", "value", when)
+    log, incoming = rows.where("value > 20").drop("value"), rows.drop("value")
+    out = audit.append_bounded(log, incoming, ["user_id", "event_id"], ["when"], 4321, "when")
+    return out.select("user_id", "event_id", (F.col("when") != "yesterday").alias("dated"))
+
+
 @query(
     "audit_verify_events",
     """with a as (select user_id, case when event_type = 'view' then -1 else event_id end as id, event_type, event_id from events),

@@ -185,7 +185,7 @@ def _(spark, sf):
             F.when(F.col("event_type") == "error", F.col("user_id")).alias("user"),
         )
     )
-    return documents.rows_to_table(table(spark, sf, "events").withColumn("doc", ragged), "doc", ["event_id"], ["k", "kind", "user"])
+    return documents.rows_to_table(table(spark, sf, "events").withColumn("doc", ragged), "doc", ["event_id"])
 
 
 @query("enrich_static", "select event_id, 'eu' as region, 'static' as source from events")
@@ -255,24 +255,32 @@ def _(spark, sf):
 
 @query(
     "event_id",
-    """select event_id as source_id, substr(sha256(user_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '|' || props), 1, 16) as event_id
+    """select event_id as source_id, substr(sha256(strlen(user_id::varchar) || ':' || user_id || '|' || strlen(event_type) || ':' || event_type ||
+      '|27:' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '|' || strlen(props) || ':' || props), 1, 16) as event_id,
+      substr(sha256(user_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '|' || props), 1, 16) as plain_id
     from events""",
 )
 def _(spark, sf):
     when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    ident = hashing.event_id(F.col("user_id").cast("string"), F.col("event_type"), when, F.col("props"))
-    return table(spark, sf, "events").select(F.col("event_id").alias("source_id"), ident.alias("event_id"))
+    parts = F.col("user_id").cast("string"), F.col("event_type"), when, F.col("props")
+    ids = hashing.event_id(*parts).alias("event_id"), hashing.event_id(*parts, plain=True).alias("plain_id")
+    return table(spark, sf, "events").select(F.col("event_id").alias("source_id"), *ids)
 
 
 @query(
     "idempotency_key",
-    """select event_id, 'v1:' || user_id || ':' || event_type || ':' ||
-    sha256(length(event_id::varchar) || ':' || event_id || '|' || length(props) || ':' || props) as key from events""",
+    """select event_id, 'v1:t_' || user_id || ':' || event_type || ':' ||
+    sha256(length(event_id::varchar) || ':' || event_id || '|' || length(props) || ':' || props) as key,
+    case when event_type <> 'view' then 'v1:local:' || event_type || ':' || sha256('4:kind|' || length(event_type) || ':' || event_type || '|4:user|' || length(user_id::varchar) || ':' || user_id) end as named
+    from events""",
 )
 def _(spark, sf):
     parts = [F.col("event_id").cast("string"), F.col("props")]
-    key = hashing.idempotency_key(F.col("user_id").cast("string"), F.col("event_type"), parts)
-    return table(spark, sf, "events").select("event_id", key.alias("key"))
+    key = hashing.idempotency_key(F.concat(F.lit(" T_:"), F.col("user_id").cast("string")), F.upper("event_type"), parts)
+    fields = F.create_map(F.lit(" User"), F.col("user_id").cast("string"), F.lit("KIND "), F.col("event_type"), F.lit(" "), F.lit("x"))
+    scope = F.when(F.col("event_type") == "view", "no scope").otherwise(F.col("event_type"))
+    named = hashing.idempotency_key_of_map(F.lit(" : "), scope, fields)
+    return table(spark, sf, "events").select("event_id", key.alias("key"), named.alias("named"))
 
 
 @query("partition_key", "select event_id, user_id || '/' || event_type || '/' || strftime(ts, '%Y-%m-%d') as key from events")

@@ -189,13 +189,13 @@ def _(spark, sf):
 
 @query(
     "sink_manifest",
-    """select 'n_nationkey=' || n_nationkey as folder, strlen(n_name || chr(10) || n_regionkey || chr(10))::bigint as bytes,
-    sha256(n_name || chr(10) || n_regionkey || chr(10)) as sha256 from nation""",
+    """select 's_suppkey=' || s_suppkey as folder, strlen(s_name || chr(10) || s_nationkey || chr(10))::bigint as bytes,
+    sha256(s_name || chr(10) || s_nationkey || chr(10)) as sha256 from supplier""",
 )
 def _(spark, sf):
     path = scratch(spark, "manifest")
-    text = F.concat("n_name", F.lit("\n"), F.col("n_regionkey").cast("string")).alias("value")
-    table(spark, sf, "nation").select("n_nationkey", text).write.partitionBy("n_nationkey").text(path)
+    text = F.concat("s_name", F.lit("\n"), F.col("s_nationkey").cast("string")).alias("value")
+    table(spark, sf, "supplier").select("s_suppkey", text).write.partitionBy("s_suppkey").text(path)
     files = sinks.manifest(spark, path, "*.txt")
     return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "bytes", "sha256")
 

@@ -1,6 +1,7 @@
 """Nothing is lost in silence: NULL keys, unreadable rows, long inputs, colliding keys, hot values."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,51 @@ def test_backtest_takes_a_model_function(spark):
     cfg = forecast.ForecastConfig(horizon=1)
     last = lambda df, keys, c: df.withColumn("path", F.array("value"))
     assert {r["mae"] for r in forecast.backtest(points, ["k"], last, cfg).collect()} == {1.0}
+
+
+def test_tables_have_the_union_of_all_fields(spark):
+    docs_ = ['{"b": 1, "a": "x"}', '{"A": null, "k": {"z": [1]}}', "[1]", "{broken", None]
+    rows = spark.createDataFrame(list(enumerate(docs_)), "k int, doc string").repartition(3)
+    table = documents.rows_to_table(rows, "doc", ["k"])
+    assert table.columns == ["k", "A", "a_2", "b", "k_2"]  # names that Spark would take for the same are numbered
+    assert sorted(tuple(r) for r in table.collect())[:2] == [(0, None, "x", "1", None), (1, None, None, None, '{"z":[1]}')]
+    assert documents.rows_to_table(rows, "doc", ["k"], widest=3).columns == ["k", "fields"]
+    named = documents.rows_to_table(rows, "doc", ["k"], ["b", "none"]).where("k = 0").first()
+    assert (named["b"], named["none"], named["others"]) == ("1", None, {"a": "x"})
+    assert documents.rows_to_table(rows.limit(0), "doc", ["k"]).columns == ["k"]
+
+
+def test_eviction_drops_the_oldest(spark):
+    rng = random.Random(2)
+    hours = [f"2024-01-01 {rng.choice([3, 3, 3, 7, 11]):02d}:{rng.randrange(3):02d}:00" for _ in range(300)] + ["soon", None, "2024-01-01 03:00:00"]
+    rows = [(f"t{i % 3}", i // 2, ts) for i, ts in enumerate(hours)]
+    log = spark.createDataFrame(rows, "tenant string, id int, ts string").repartition(4)
+
+    def age(r):
+        return (r[2] if r[2] and r[2] != "soon" else "1970", r[0], r[1])
+
+    for most in (1, 37, 150, 302, 303, 500):
+        kept = audit.with_evicted(log, most, "ts", ["tenant", "id"]).where("not evicted").drop("evicted")
+        want = sorted(rows, key=age)[-most:]
+        assert sorted(map(age, kept.collect())) == sorted(map(age, want)), most
+    assert audit.with_evicted(log, 0, "ts", ["tenant", "id"]).where("evicted").isEmpty()
+    more = spark.createDataFrame([("t9", 1, "2025-01-01 00:00:00"), ("t9", 1, "2025-01-01 00:00:00")], log.schema)
+    after = audit.append_bounded(log, more, ["tenant", "id"], ["ts"], 10, "ts")
+    assert after.count() == 10 and after.where("tenant = 't9'").count() == 1
+
+
+def test_joined_parts_never_collide(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a/b", "c"), ("a", "b/c"), ("a%2Fb", "c"), ("1:a", "c")], "x string, y string")
+    x, y, day = F.col("x"), F.col("y"), F.lit("2024-01-01").cast("timestamp")
+    made = rows.select(
+        hashing.event_id(x, y, F.lit("t"), F.lit("p")).alias("e"),
+        hashing.event_id(x, y, F.lit("t"), F.lit("p"), plain=True).alias("old"),
+        documents.partition_key(x, y, day).alias("k"),
+        hashing.idempotency_key_of_map(x, F.lit("s"), F.create_map(x, y)).alias("m"),
+    ).collect()
+    assert len({r["e"] for r in made}) == len({r["k"] for r in made}) == len({r["m"] for r in made}) == 6
+    assert made[0]["old"] == made[1]["old"]
+    same = spark.createDataFrame([({" B": "1", "a": None, "": "x"},), ({"A ": None, "b": "1"},)], "m map<string,string>")
+    keys = {r["k"] for r in same.select(hashing.idempotency_key_of_map(F.lit(" ACME!"), F.lit(" Pay "), F.col("m")).alias("k")).collect()}
+    assert len(keys) == 1 and keys.pop().startswith("v1:acme:pay:")
+    assert spark.range(1).select(hashing.idempotency_key(F.lit(None).cast("string"), F.lit("a b"), [F.lit("p")])).first()[0] is None
