@@ -136,7 +136,7 @@ def _(spark, sf):
 
 def payloads(spark, sf):
     """The orders of every customer as one payload in each of the known shapes."""
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(
+    o = spread(table(spark, sf, "orders"), "o_custkey").groupBy("o_custkey").agg(
         F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("o")
     )
     key, price = F.col("o.o_orderkey"), F.col("o.o_totalprice")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compliance, contracts, features, quarantine
 from ..functions.hashing import record_id
-from ..session import materialize, scratch
+from ..session import materialize, scratch, spread
 from ..operators.dedupe import first_per_key
 from ..sources import readers, sinks
 from .registry import query, table
@@ -314,7 +314,7 @@ def _(spark, sf):
             F.when(F.col("event_type") == "click", 1).alias("extra"),
         )
     )
-    rows = table(spark, sf, "events").withColumn("v", F.parse_json(doc))
+    rows = spread(table(spark, sf, "events"), "event_id").withColumn("v", F.parse_json(doc))
     problems = F.sort_array(contracts.validate_contract(SCHEMA, F.col("v")))
     return rows.select("event_id", F.array_join(problems, ",").alias("problems"))
 
