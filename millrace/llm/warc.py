@@ -5,7 +5,12 @@ that name it in WARC-Refers-To, and ``write_warc`` writes records as gzipped WAR
 keeps the source's status line, all of its HTTP headers and its payload digest, and names its conversion;
 the conversion block is the page's text. Identifiers derive from the source's, so reruns agree.
 
-Row by row in the JVM: nothing is shuffled, and a page is never held twice.
+Nothing is shuffled. A page is read once from left to right (``read_page``), a slice of pages at a time; every search goes on from where
+the last one ended, so the time follows the page's length whatever it holds. Digests and records are made in the JVM.
+
+Text: comments, scripts and styles are left out, to the end of the page if they don't end; a tag ends at the first ``>`` outside of quoted
+values, and what looks like a tag without an end is text. All HTML5 character references are decoded, with Python's table; decoded white
+space is a space. Outlinks are the ``href`` values of ``a`` tags, in double quotes, single quotes or none.
 
 Defined cases: null html is an empty payload, and an empty text gives an empty conversion block; a null url
 becomes ``urn:page:<page_id>``, a null page_id reads ``null``; line breaks inside urls are percent-encoded and
@@ -15,28 +20,33 @@ records with the same identifiers; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from .wordhash import slices
 
 DATE = "2024-01-01T00:00:00Z"
 
-# Tags that end a line of text, and the named character references that are decoded.
-BLOCK_TAGS = (
+# Tags that end a line of text.
+BLOCK_TAGS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
-    "header hr html li main nav ol option p pre section table td th title tr ul"
+    "header hr html li main nav ol option p pre section table td th title tr ul".split()
 )
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·",
-    "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "deg": "°",
-}
-
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script(?:[\x20\t\r\n/][^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:[\x20\t\r\n/][^>]*)?>.*?(?:</style[^>]*>|\z)"
-BLOCK = r"(?i)</?(?:" + BLOCK_TAGS.replace(" ", "|") + r")(?:[\x20\t\r\n/][^>]*)?>"
-TAG = r"</?[A-Za-z!?][^>]*>"
-REFERENCE = r"^(#[0-9]{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8});"
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
+
+OPENING = re.compile(r"<(?:!--|/?([A-Za-z][^\x20\t\r\n/>]*)|[!?/])")
+QUOTED = re.compile(r"=[\x20\t\r\n\x0C]*([\"'])")
+HREF = re.compile(r"""[\x20\t\r\n\x0C"'/]href[\x20\t\r\n\x0C]*=[\x20\t\r\n\x0C]*(?:"([^"]*)"|'([^']*)'|([^\x20\t\r\n\x0C"'>][^\x20\t\r\n\x0C>]*))""", re.I)
+ENDS = {"script": re.compile(r"</script", re.I), "style": re.compile(r"</style", re.I), "title": re.compile(r"</title", re.I)}
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
 ODD_SPACE = r"[\x20\t\r\n\x0B\x0C]{2,}|[\t\r\n\x0B\x0C]"
-LINK = r'(?i)<a[\x20\t\r\n][^>]*?href="([^"]*)"'
+SPACES, BREAKS = re.compile(ODD_SPACE), re.compile(r"\x20*\n[\x20\n]*")
 
 METADATA_ID, CONVERSION_ID = "metadata:", "conversion:"
 
@@ -54,29 +64,90 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
 
 
-def _reference(piece: Column) -> Column:
-    """A piece of text that followed an ampersand, with the reference at its start decoded."""
-    name = F.regexp_extract(piece, REFERENCE, 1)
-    rest = F.substr(piece, F.length(name) + 2)
-    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
-    point = F.when(name.rlike("^#[0-9]"), F.substr(name, F.lit(2)).cast("int")).otherwise(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int"))
-    valid = name.startswith("#") & ((point.between(32, 0xD7FF)) | point.between(0xE000, 0xFFFF))
-    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.when(valid, F.concat(char, rest)).when(named[name].isNotNull(), F.concat(named[name], rest)).otherwise(F.concat(F.lit("&"), piece))
-
-
-def with_text(df: DataFrame, html: str, name: str) -> DataFrame:
-    """Add the visible text: hidden parts removed, one line per block, references decoded, white space collapsed.
-
-    The steps are columns of their own, so that none is evaluated more than once.
-    """
-    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), ODD_SPACE, " ")
-    out = df.withColumn(name, F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, ""))
-    out = out.withColumn("__pieces", F.when(F.contains(name, F.lit("&")), F.split(name, "&")))
-    references = F.transform(F.slice("__pieces", 2, F.size("__pieces")), _reference)
-    out = out.withColumn(name, F.coalesce(F.concat(F.element_at("__pieces", 1), F.array_join(references, "")), F.col(name)))
-    text = F.regexp_replace(F.regexp_replace(name, r"\x20*\n[\x20\n]*", "\n"), r"\x20{2,}", " ")
-    return out.withColumn(name, F.trim(text, F.lit(" \n"))).drop("__pieces")
+class _Next:
+    """Places of a mark in a text, asked for from ascending places: each stretch is searched once."""
+
+    def __init__(self, text: str, mark: str):
+        self.text, self.mark, self.at = text, mark, -1
+
+    def after(self, place: int) -> int:
+        """The first one at or after ``place``; the text's length if there is none."""
+        if self.at < place:
+            found = self.text.find(self.mark, place)
+            self.at = len(self.text) if found < 0 else found
+        return self.at
+
+
+def _decoded(reference: re.Match) -> str:
+    return "".join(" " if c.isspace() else c for c in unescape(reference.group()))
+
+
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """Text, title and outlinks of a page."""
+    close, quotes = _Next(page, ">"), {q: _Next(page, q) for q in "\"'"}
+    parts, links, title, at = [], [], None, 0
+    size, last = len(page), page.rfind(">")
+
+    def tag_end(begin: int) -> int:
+        end = first = close.after(begin)
+        quoted = QUOTED.search(page, begin, end) if end < size else None
+        while quoted:
+            other = quotes[quoted.group(1)].after(quoted.end())
+            if other > last:  # also where the value never ends
+                return first
+            if other > end:
+                end = page.find(">", other)
+            quoted = QUOTED.search(page, other + 1, end)
+        return end
+
+    while True:
+        opening = OPENING.search(page, at)
+        if opening is None:
+            break
+        begin, name = opening.start(), (opening.group(1) or "").lower()
+        if opening.group() == "<!--":
+            parts.append(page[at:begin])
+            found = page.find("-->", opening.end())
+            at = size if found < 0 else found + 3
+            continue
+        end = tag_end(opening.end())
+        if end == size:  # no tag ends from here on
+            break
+        parts.append(page[at:begin])
+        at = end + 1
+        ends = page[begin + 1] != "/"
+        if name in ("script", "style") and ends:
+            found = ENDS[name].search(page, at)
+            at = size if found is None else min(close.after(found.start()) + 1, size)
+            continue
+        if name == "title" and ends and title is None:
+            found = ENDS["title"].search(page, at)
+            title = page[at : found.start()] if found else ""
+        if name == "a" and ends:
+            href = HREF.search(page, opening.end(), end)
+            if href:
+                links.append(next(g for g in href.groups() if g is not None))
+        if name in BLOCK_TAGS:
+            parts.append("\0")
+    parts.append(page[at:])
+    text = SPACES.sub(" ", "".join(parts)).replace("\0", "\n")
+    text = REFERENCE.sub(_decoded, text)
+    text = re.sub(r"\x20{2,}", " ", BREAKS.sub("\n", text))
+    return text.strip(" \n"), title or "", links
+
+
+def with_text(records: DataFrame, column: str) -> DataFrame:
+    """``records`` with text, title and outlinks of the pages in ``column``, without that column."""
+    kept = [f for f in records.schema.fields if f.name not in (column, "text", "title", "outlinks")]
+    schema = StructType([*kept, StructField("text", StringType()), StructField("title", StringType()), StructField("outlinks", ArrayType(StringType()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column):
+            text, title, links = zip(*(read_page(page) for page in batch.column(column).to_pylist()), strict=True)
+            made = [pa.array(text, pa.string()), pa.array(title, pa.string()), pa.array(links, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], schema.fieldNames())
+
+    return records.select(*[f.name for f in kept], column).mapInArrow(read, schema)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -105,8 +176,8 @@ def derive(records: DataFrame) -> DataFrame:
     """Two rows per response record, metadata and conversion, each with its whole record as text."""
     one_line = lambda c: F.regexp_replace(c, ODD_SPACE, " ")
     status, headers = F.substring_index("http_header", "\r\n", 1), F.expr("slice(split(http_header, '\\r\\n'), 2, size(split(http_header, '\\r\\n')))")
-    base = with_text(records, "payload", "text").withColumn("source_digest", digest(F.col("payload")))
-    base = base.withColumn("text_digest", digest(F.col("text")))
+    used = records.select("page_id", "record_id", "target_uri", "date", "http_header", "payload", digest(F.col("payload")).alias("source_digest"))
+    base = with_text(used, "payload").withColumn("text_digest", digest(F.col("text")))
     metadata_id, conversion_id = (_urn(F.concat(F.lit(x), F.col("record_id"))) for x in (METADATA_ID, CONVERSION_ID))
     lines = F.concat(
         F.array(
@@ -114,10 +185,10 @@ def derive(records: DataFrame) -> DataFrame:
             F.concat(F.lit("source-payload-digest: "), F.col("source_digest")),
             F.concat(F.lit("conversion: "), conversion_id),
             F.concat(F.lit("conversion-digest: "), F.col("text_digest")),
-            F.concat(F.lit("title: "), one_line(F.regexp_extract("payload", TITLE, 1))),
+            F.concat(F.lit("title: "), one_line(F.col("title"))),
         ),
         F.transform(headers, lambda h: F.concat(F.lit("source-header: "), h)),
-        F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda u: F.concat(F.lit("outlink: "), one_line(u))),
+        F.transform("outlinks", lambda u: F.concat(F.lit("outlink: "), one_line(u))),
     )
     block = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     both = F.array(
@@ -147,10 +218,16 @@ def _sql() -> str:
     b32 = lambda c: "'sha1:' || translate(" + " || ".join(f"to_base(('0x' || sha1({c})[{5 * i + 1}:{5 * i + 5}])::bigint, 32, 4)" for i in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
     urn = lambda c: f"'<urn:uuid:' || md5({c})[1:8] || '-' || md5({c})[9:12] || '-' || md5({c})[13:16] || '-' || md5({c})[17:20] || '-' || md5({c})[21:32] || '>'"
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    named = "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in ENTITIES.items()) + "}"
+    whites = lambda v: "".join(" " if c.isspace() else c for c in v)
+    entities = ", ".join(f"({q(k[:-1])}, {q(whites(v))})" for k, v in html5.items() if k.endswith(";"))
+    hidden = q(r"(?is)<!--.*?(?:-->|\z)|<script(?:[\x20\t\r\n/][^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:[\x20\t\r\n/][^>]*)?>.*?(?:</style[^>]*>|\z)")
+    block = q(r"(?i)</?(?:" + "|".join(sorted(BLOCK_TAGS)) + r")(?:[\x20\t\r\n/][^>]*)?>")
+    tag, reference, title = q(r"</?[A-Za-z!?][^>]*>"), q(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), q(r"(?is)<title[^>]*>(.*?)</title")
+    link = q(r"""(?i)<a(?:[\x20\t\r\n][^>]*?)?[\x20\t\r\n"'/]href[\x20\t\r\n]*=[\x20\t\r\n]*("[^"]*"|'[^']*'|[^\x20\t\r\n"'>][^\x20\t\r\n>]*)""")
+    bare = lambda u: f"case when {u}[1] in (chr(34), chr(39)) then {u}[2:-2] else {u} end"
     crlf = "chr(13) || chr(10)"
     point = "(case when n like '#x%' or n like '#X%' then ('0x' || n[3:])::bigint when n like '#%' then n[2:]::bigint else 0 end)"
-    fixed = f"(case when {point} between 32 and 55295 or {point} between 57344 and 65535 then chr({point}::int) || p[length(n) + 2:] when {named}[n] is not null then {named}[n] || p[length(n) + 2:] else '&' || p end)"
+    fixed = f"(case when {point} between 32 and 55295 or {point} between 57344 and 1114111 then chr({point}::int) || p[length(n) + 2:] when names[n] is not null then names[n] || p[length(n) + 2:] else '&' || p end)"
     space = q(ODD_SPACE)
     record = " || ".join(
         f"'{n}: ' || {v} || {crlf}"
@@ -158,21 +235,22 @@ def _sql() -> str:
                      ("Content-Type", "case when warc_type = 'metadata' then 'application/warc-fields' else 'text/plain; charset=utf-8' end"), ("Content-Length", "strlen(block)::varchar"))
     )
     return f"""
-with page as (
+with entities as (select map_from_entries(list((n, c))) as names from (values {entities}) e(n, c)),
+page as (
   select page_id, coalesce(page_id::varchar, 'null') as page, coalesce(html, '') as payload,
     coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'urn:page:' || coalesce(page_id::varchar, 'null')) as target_uri from pages),
 source as (select *, {urn("'response:' || page || ':' || target_uri")} as refers_to, {b32("payload")} as source_digest,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, {q(HIDDEN)}, '', 'g'), {space}, ' ', 'g'), {q(BLOCK)}, chr(10), 'g'), {q(TAG)}, '', 'g') as t0 from page),
-pieces as (select *, string_split(t0, '&') as ps from source),
-decoded as (select *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: list_transform([regexp_extract(p, {q(REFERENCE)}, 1)], lambda n: {fixed})[1]), '') as t1 from pieces),
+    regexp_replace(payload, {hidden}, '', 'g') as shown from page),
+pieces as (select *, string_split(regexp_replace(regexp_replace(regexp_replace(shown, {space}, ' ', 'g'), {block}, chr(10), 'g'), {tag}, '', 'g'), '&') as ps from source),
+decoded as (select *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: list_transform([regexp_extract(p, {reference}, 1)], lambda n: {fixed})[1]), '') as t1 from pieces, entities),
 texts as (select *, trim(regexp_replace(regexp_replace(t1, '\\x20*\\n[\\x20\\n]*', chr(10), 'g'), '\\x20{{2,}}', ' ', 'g'), ' ' || chr(10)) as text from decoded),
 ids as (select *, {urn("'metadata:' || refers_to")} as mid, {urn("'conversion:' || refers_to")} as cid from texts),
 two as (
   select page_id, refers_to, target_uri, source_digest, 'metadata' as warc_type, mid as record_id,
     'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-payload-digest: ' || source_digest || {crlf} || 'conversion: ' || cid || {crlf} ||
-    'conversion-digest: ' || {b32("text")} || {crlf} || 'title: ' || regexp_replace(regexp_extract(payload, {q(TITLE)}, 1), {space}, ' ', 'g') || {crlf} ||
+    'conversion-digest: ' || {b32("text")} || {crlf} || 'title: ' || regexp_replace(regexp_extract(shown, {title}, 1), {space}, ' ', 'g') || {crlf} ||
     'source-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header: Content-Length: ' || strlen(payload)::varchar || {crlf} ||
-    array_to_string(list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda u: 'outlink: ' || regexp_replace(u, {space}, ' ', 'g') || {crlf}), '') as block from ids
+    array_to_string(list_transform(regexp_extract_all(shown, {link}, 1), lambda u: 'outlink: ' || regexp_replace({bare("u")}, {space}, ' ', 'g') || {crlf}), '') as block from ids
   union all
   select page_id, refers_to, target_uri, source_digest, 'conversion', cid, text from ids),
 dug as (select *, {b32("block")} as block_digest from two)

@@ -298,6 +298,28 @@ def test_derived_records_refer_to_their_source(derived):
     assert by[2, "conversion"]["target_uri"] == "http://b.example/%0D%0AX: y" and by[2, "conversion"]["block"] == "plain & text <ok>"
 
 
+def test_references_and_links_of_every_form():
+    text = lambda page: warc.read_page(page)[0]
+    assert text("caf&eacute; &frac12; &#128512; &#x1F600;&#9;x &copy 2 &notit; &bogus; &amp;lt; a&nbsp;b") == "café ½ 😀 😀 x © 2 ¬it; &bogus; &lt; a b"
+    assert text("&#xD800;|&#x110000;|&;|&#;") == "\ufffd|\ufffd|&;|&#;"
+    page = """<a href='http://a/b'>1</a><A\nHREF = "x y">2</a><a class=k href=http://c>3</a><a data-href=no>4</a><a title="1>0" href="d">5</a>
+    <!-- <a href=no> --><script>"<a href=no>"</script><abbr href=no>6</abbr><a href="">7</a><a href="e>f" id='g>'>8</a><a href=un"odd>9</a>"""
+    got, title, links = warc.read_page(page)
+    assert links == ["http://a/b", "x y", "http://c", "d", "", "e>f", 'un"odd'] and got.split() == ["12345", "6789"]
+    assert warc.read_page("<p>a <b it's>c</b> 1 < 2 <a href='open>d</a><i")[0] == "a c 1 < 2 d<i"
+    assert warc.read_page("x<title>one</title><title>two</title>")[1] == "one" and warc.read_page("<title>open")[1] == ""
+    assert text("a<script>b</SCRIPT >c<style>d") == "ac" and text("a<!--b") == "a" and text("a</p>b<br/>c<brx>d") == "a\nb\ncd"
+
+
+@pytest.mark.parametrize("piece", ["<title>", "<a ", "<a href=\"", "<script>", "<!--", "<", "&", "&#1", "<p x='>", "</script", "<a href=x>", "= ' ", "<b a=\"'>"])
+def test_long_pages_take_time_by_their_length(piece):
+    import time
+
+    begin = time.process_time()
+    warc.read_page(piece * (2_000_000 // len(piece)))
+    assert time.process_time() - begin < 10
+
+
 def test_warc_files_read_back(spark, derived, tmp_path):
     import gzip
 
