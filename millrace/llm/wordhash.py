@@ -2,6 +2,9 @@
 
 A batch's texts are one run of bytes. With prefix sums of ``byte * BASE**place`` (modulo 2**64) the sum of any
 word is a difference, shifted back by the inverse power; windows of words come from the words' hashes likewise. Nothing is done row by row.
+
+Sums modulo a power of two have known collisions between words of hundreds of letters, whatever the base. Words of more than
+``SUMMED`` bytes are therefore hashed one by one with xxHash; such words are rare.
 """
 
 from __future__ import annotations
@@ -12,12 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 5
 #: Bytes of text that are hashed at a time, unless one text is longer.
 BATCH_BYTES = 1_000_000
 
 
+#: Longest word whose hash is a sum of its bytes.
+SUMMED = 128
+
+
 @dataclass
 class Words:
     """The words of a batch in order: hashes, first and last-but-one bytes in ``raw``, and each text's first word (and the end)."""
@@ -73,6 +81,8 @@ def words(texts: pa.Array) -> Words:
     up, down = _powers(len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     hashes = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(end - begin > SUMMED):
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]].tobytes(), BASE)
     return Words(hashes, begin, end, np.searchsorted(begin, offsets), raw)
 
 

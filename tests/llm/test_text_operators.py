@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import decontaminate, jaccard, mixing, substrings, tokens
+from millrace.llm import decontaminate, jaccard, mixing, substrings, tokens, wordhash
 
 from .conftest import SCHEMA, prose, tricky_rows
 
@@ -72,6 +73,18 @@ def test_substring_spans_name_their_source(spark):
     assert [(s["doc_id"], s["start"], s["n_words"], s["source"]) for s in spans] == [(2, 0, 30, 1)]
 
 
+@pytest.mark.parametrize("size", [128, 256, 1024, 4096])
+def test_long_words_that_differ_are_not_equal(spark, size):
+    """The Thue-Morse word and its complement collide in every sum of byte times power modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    pair = [a, a.translate(str.maketrans("ab", "ba"))]
+    hashes = wordhash.words(pa.array(pair)).hashes
+    assert hashes[0] != hashes[1]
+    rest = " ".join(f"w{i}" for i in range(19))
+    frame = spark.createDataFrame([(i, f"{rest} {w}", None, None, 0) for i, w in enumerate(pair)], SCHEMA)
+    assert {r["n_removed"] for r in substrings.deduplicate(frame).collect()} == {0}
+
+
 def test_copies_of_a_text_do_not_fill_one_buffer(spark, monkeypatch):
     plans, write = [], substrings.materialize
     monkeypatch.setattr(substrings, "materialize", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a))[1])
