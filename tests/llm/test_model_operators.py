@@ -83,12 +83,39 @@ def test_personal_data_of_nothing(spark, crowded, no_documents):
     assert len(got) == len(tricky_rows()) and not any(r["spans"] for r in got)
 
 
+def test_overlaps_drop_only_what_a_better_span_meets(spark):
+    rng = random.Random(3)
+    spans_of = lambda size: [(k, s, s + rng.randrange(2, 9)) for k in range(4) for s in range(rng.randrange(8), size, 9)]
+    texts = {1: ([(0, 0, 10, 0.9), (3, 8, 20, 0.7), (2, 18, 30, 0.8)], []), 2: ([(0, 0, 5, 0.8), (1, 3, 9, 0.8), (2, 9, 12, 0.8)], [(3, 11, 14)])}
+    for row in range(3, 40):
+        texts[row] = ([(*x, rng.choice([0.6, 0.7, 0.8, 0.9])) for x in spans_of(120)], [x for x in spans_of(120) if rng.random() < 0.2])
+    good = spark.createDataFrame([(row, *x) for row, (c, _) in texts.items() for x in c], "row long, rank int, start int, end int, score double")
+    base = spark.createDataFrame([(row, *x) for row, (_, b) in texts.items() for x in b], "row long, rank int, start int, end int")
+    got = sorted((r.row, r.rank, r.start, r.end) for r in pii.unbeaten(good, base).collect())
+    meet = lambda x, y: x[1] < y[2] and y[1] < x[2]
+    better = lambda x, y: (x[3], -x[1], -x[0]) > (y[3], -y[1], -y[0])
+    want = sorted(
+        (row, *x[:3]) for row, (c, b) in texts.items() for x in c
+        if not any(meet(x, y) for y in b) and not any(meet(x, y) and better(y, x) for y in c)
+    )
+    assert got == want
+    assert [x[1] for x in got if x[0] == 1] == [0, 2]
+
+
 def test_located_spans(spark):
     rows = spark.createDataFrame([("a1b22 é333😀4",), ("",), ("none",)], "t string")
     got = [[tuple(x) for x in r["s"]] for r in spans.located(rows, "t", "[0-9]+", "s").collect()]
     assert got == [[(1, 2, "1"), (3, 5, "22"), (7, 10, "333"), (11, 12, "4")], [], []]
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 40_000])
+def test_located_spans_of_many_matches(spark, n):
+    text = " é".join(str(i) for i in range(n))
+    rows = spark.createDataFrame([(text,)], "t string")
+    got = spans.located(rows, "t", "[0-9]+", "s").first()["s"]
+    assert [tuple(x) for x in got] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+
+
 # --- secrets ------------------------------------------------------------------------------------
 
 
