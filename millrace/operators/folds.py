@@ -274,22 +274,28 @@ def trend_matrix(alpha: float, beta: float):
     return lambda start, n: np.linalg.matrix_power(keep, n)
 
 
-def seasonal_step(alpha: float, beta: float, gamma: float, p: int, horizon: int) -> Step:
-    """Level, trend and the seasonal terms of the next ``horizon`` rows, after each row."""
+def seasonal_step(alpha: float, beta: float, gamma: float, p: int, ahead: int) -> Step:
+    """Level, trend and the seasonal terms of the next ``ahead`` rows (at most ``p``), after each row.
+
+    A row's term is the one that the row ``p`` before it has set, so the terms ahead are the series of set terms, lagged.
+    """
 
     def step(v, start, state, params):
-        level, trend, season = state[0], state[1], list(state[2:])
-        outs = [[] for _ in range(2 + horizon)]
-        for i, x in enumerate(v.tolist(), start):
-            before, s = level, season[i % p]
+        level, trend = state[0], state[1]
+        # the terms set by the p rows before the block, then by its own
+        terms = [state[2 + (start + i) % p] for i in range(p)]
+        levels, trends = [], []
+        for i, x in enumerate(v.tolist()):
+            before, s = level, terms[i]
             level = alpha * (x - s) + (1 - alpha) * (level + trend)
             trend = beta * (level - before) + (1 - beta) * trend
-            season[i % p] = gamma * (x - level) + (1 - gamma) * s
-            outs[0].append(level)
-            outs[1].append(trend)
-            for j in range(horizon):
-                outs[2 + j].append(season[(i + 1 + j) % p])
-        return [level, trend, *season], outs
+            terms.append(gamma * (x - level) + (1 - gamma) * s)
+            levels.append(level)
+            trends.append(trend)
+        n = len(levels)
+        end = [terms[n + (phase - start - n) % p] for phase in range(p)]
+        every = np.asarray(terms)
+        return [level, trend, *end], [levels, trends, *[every[j : j + n] for j in range(1, ahead + 1)]]
 
     return step
 

@@ -145,11 +145,11 @@ def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastCon
         F.array().cast("array<double>").alias("params"),
         F.lit(0).cast("bigint").alias("first"),
     )
-    ahead = [f"s{j}" for j in range(1, cfg.horizon + 1)]
+    ahead = [f"s{j}" for j in range(min(cfg.horizon, p))]  # later steps repeat the season
     folded = folds.linear_fold(
         indexed,
         keys,
-        folds.seasonal_step(cfg.alpha, cfg.beta, cfg.gamma, p, cfg.horizon),
+        folds.seasonal_step(cfg.alpha, cfg.beta, cfg.gamma, p, len(ahead)),
         folds.SeasonalMatrix(cfg.alpha, cfg.beta, cfg.gamma, p),
         start,
         p + 2,
@@ -157,7 +157,7 @@ def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastCon
         carry=_kept(indexed),
         block=cfg.fold_block,
     )
-    path = _steps(cfg, lambda j: F.col("level") + j * F.col("trend") + F.col(f"s{j}"))
+    path = _steps(cfg, lambda j: F.col("level") + j * F.col("trend") + F.col(f"s{(j - 1) % p}"))
     return folded.where(F.col("idx") >= 2 * p - 1).select(
         *keys, "idx", "value", *_kept(indexed), "level", "trend", path.alias("path")
     )
