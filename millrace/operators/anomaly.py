@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small, on_same
+from ..session import join_small, materialize, on_same
 
 from . import folds
 from .positions import BLOCK_ROWS, block_window, own_rows, with_halo, with_running
@@ -43,6 +43,8 @@ class AnomalyConfig:
 
 FINDING = ("idx", "ts", "value", "score", "method", "direction")
 TINY = 1e-12
+# when a detector flags a row, with what score and direction
+Terms = tuple[Column, Column, Column]
 
 
 def _sign(x: Column) -> Column:
@@ -68,10 +70,14 @@ def _findings(df: DataFrame, keys: Sequence[str], method: str, score: Column, di
     )
 
 
+def zscore_terms(cfg: AnomalyConfig) -> Terms:
+    z = F.try_divide(F.col("value") - F.col("__mean"), F.col("__std"))
+    return (F.col("__n") >= 3) & (F.col("__std") > TINY) & (F.abs(z) >= cfg.threshold), F.abs(z), _sign(z)
+
+
 def zscore(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    z = (F.col("value") - F.col("__mean")) / F.col("__std")
-    hit = stats.where((F.col("__n") >= 3) & (F.col("__std") > TINY)).where(F.abs(z) >= cfg.threshold)
-    return _findings(hit, keys, "rolling_zscore", F.abs(z), _sign(z))
+    hit, score, direction = zscore_terms(cfg)
+    return _findings(stats.where(hit), keys, "rolling_zscore", score, direction)
 
 
 def medians(ordered: np.ndarray, low: int, n: int) -> np.ndarray:
@@ -79,9 +85,13 @@ def medians(ordered: np.ndarray, low: int, n: int) -> np.ndarray:
     return (ordered[:, low + (n - 1) // 2] + ordered[:, low + n // 2]) / 2
 
 
-def order_statistics(v: np.ndarray, own: int, window: int) -> np.ndarray:
-    """Count, median, MAD and Tukey quartiles of the window before each of the last ``own`` values."""
-    out = np.full((5, own), np.nan)
+ORDER = ("n", "med", "mad", "q1", "q3")
+MOMENTS = ("mean", "std")
+
+
+def order_statistics(v: np.ndarray, own: int, window: int, moments: bool = False) -> np.ndarray:
+    """``ORDER``: count, median, MAD and Tukey quartiles of the window before each of the last ``own`` values; and ``MOMENTS``."""
+    out = np.full((7 if moments else 5, own), np.nan)
     out[0] = 0
     offset = len(v) - own
 
@@ -92,7 +102,9 @@ def order_statistics(v: np.ndarray, own: int, window: int) -> np.ndarray:
         gaps = np.sort(np.abs(windows - med[:, None]), axis=1)
         half = n // 2
         low, high = (medians(ordered, 0, half), medians(ordered, n - half, half)) if half else (med, med)
-        out[:, at] = [np.full(len(med), n), med, medians(gaps, 0, n), low, high]
+        out[:5, at] = [np.full(len(med), n), med, medians(gaps, 0, n), low, high]
+        if moments:
+            out[5:, at] = [windows.mean(axis=1), windows.std(axis=1)]
 
     # only the head of a series has shorter windows
     head = min(max(window - offset, 0), own)
@@ -105,45 +117,66 @@ def order_statistics(v: np.ndarray, own: int, window: int) -> np.ndarray:
     return out
 
 
-def robust_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    """Order statistics of the ``window`` rows before each row, sorted block-wise with numpy.
-
-    A block is one row with its values and the ``window`` values before it.
-    """
-    window = cfg.window
-    haloed = with_halo(indexed, before=window, block_rows=cfg.fold_block)
+def window_blocks(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    """Blocks as ``folds.pack_blocks`` makes them, with ``head``: the up to ``window`` values before the block."""
+    haloed = with_halo(indexed, before=cfg.window, block_rows=cfg.fold_block)
     rows = F.sort_array(F.collect_list(F.struct("idx", "value", "ts", "__own")))
     packed = haloed.groupBy(*keys, "__blk").agg(rows.alias("r"))
-    own = F.filter("r", lambda x: x["__own"])
-    blocks = packed.select(*keys, F.col("r.value").alias("v"), own.alias("own")).where(F.size("own") > 0)
+    own, head = F.filter("r", lambda x: x["__own"]), F.filter("r", lambda x: ~x["__own"])
+    split = packed.select(*keys, F.col("__blk").alias("blk"), own.alias("own"), head["value"].alias("head")).where(F.size("own") > 0)
+    return split.select(
+        *keys, "blk", F.col("own")[0]["idx"].alias("start"), F.size("own").cast("bigint").alias("n"), F.col("own.value").alias("v"), F.col("own.ts").alias("ts"), "head"
+    )
 
-    def run(v: pd.Series, n: pd.Series) -> pd.DataFrame:
-        stats = [order_statistics(np.asarray(a, dtype=float), int(k), window) for a, k in zip(v, n, strict=True)]
-        return pd.DataFrame({c: [s[i] for s in stats] for i, c in enumerate(("n", "med", "mad", "q1", "q3"))})
 
-    kind = "struct<n:array<double>,med:array<double>,mad:array<double>,q1:array<double>,q3:array<double>>"
-    done = blocks.withColumn("s", F.pandas_udf(run, kind)("v", F.size("own")))
-    zipped = F.arrays_zip("own", *[F.col(f"s.{c}").alias(c) for c in ("n", "med", "mad", "q1", "q3")])
+def block_statistics(blocks: DataFrame, keys: Sequence[str], cfg: AnomalyConfig, moments: bool = False) -> DataFrame:
+    """Statistics of the ``window`` rows before each row, sorted block-wise with numpy, from ``window_blocks``."""
+    window, names = cfg.window, (*ORDER, *MOMENTS) if moments else ORDER
+
+    def run(head: pd.Series, v: pd.Series) -> pd.DataFrame:
+        every = [(np.concatenate([np.asarray(h, dtype=float), np.asarray(a, dtype=float)]), len(a)) for h, a in zip(head, v, strict=True)]
+        stats = [order_statistics(a, n, window, moments) for a, n in every]
+        return pd.DataFrame({c: [s[i] for s in stats] for i, c in enumerate(names)})
+
+    kind = "struct<" + ",".join(f"{c}:array<double>" for c in names) + ">"
+    done = blocks.withColumn("s", F.pandas_udf(run, kind)("head", "v"))
+    zipped = F.arrays_zip("v", "ts", *[F.col(f"s.{c}").alias(c) for c in names])
     # the outer form keeps the planner from sorting once more to filter empty blocks
-    return done.select(*keys, F.explode_outer(zipped).alias("z")).where("z is not null").select(
-        *keys, "z.own.idx", "z.own.ts", "z.own.value", *[F.col(f"z.{c}").alias(f"__{c}") for c in ("n", "med", "mad", "q1", "q3")]
+    return done.select(*keys, "start", F.posexplode_outer(zipped).alias("p", "z")).where("z is not null").select(
+        *keys, (F.col("start") + F.col("p")).alias("idx"), "z.ts", F.col("z.v").alias("value"), *[F.col(f"z.{c}").alias(f"__{c}") for c in names]
     )
 
 
-def mad(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+def robust_window(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    """Order statistics of the ``window`` rows before each row.
+
+    A block is one row with its values and the ``window`` values before it.
+    """
+    return block_statistics(window_blocks(indexed, keys, cfg), keys, cfg)
+
+
+def mad_terms(cfg: AnomalyConfig) -> Terms:
     # 0.6745 is the normal quantile that makes the MAD comparable to a deviation
-    z = F.lit(0.6745) * (F.col("value") - F.col("__med")) / F.col("__mad")
-    hit = stats.where((F.col("__n") >= 5) & (F.col("__mad") > TINY)).where(F.abs(z) >= cfg.threshold)
-    return _findings(hit, keys, "rolling_mad", F.abs(z), _sign(z))
+    z = F.try_divide(F.lit(0.6745) * (F.col("value") - F.col("__med")), F.col("__mad"))
+    return (F.col("__n") >= 5) & (F.col("__mad") > TINY) & (F.abs(z) >= cfg.threshold), F.abs(z), _sign(z)
 
 
-def iqr(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+def mad(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    hit, score, direction = mad_terms(cfg)
+    return _findings(stats.where(hit), keys, "rolling_mad", score, direction)
+
+
+def iqr_terms(cfg: AnomalyConfig) -> Terms:
     spread, x = F.col("__q3") - F.col("__q1"), F.col("value")
     low, high = F.col("__q1") - 1.5 * spread, F.col("__q3") + 1.5 * spread
     unit = F.greatest(F.lit(TINY), spread)
-    hit = stats.where(F.col("__n") >= 8).where((x < low) | (x > high))
     score = F.when(x < low, (low - x) / unit).otherwise((x - high) / unit)
-    return _findings(hit, keys, "rolling_iqr", score, F.when(x < low, "low").otherwise("high"))
+    return (F.col("__n") >= 8) & ((x < low) | (x > high)), score, F.when(x < low, "low").otherwise("high")
+
+
+def iqr(stats: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    hit, score, direction = iqr_terms(cfg)
+    return _findings(stats.where(hit), keys, "rolling_iqr", score, direction)
 
 
 def counts(indexed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -198,9 +231,14 @@ def _usable(warm: DataFrame) -> DataFrame:
     return warm.where((F.col("warm") >= 3) & (F.col("sd") >= TINY))
 
 
-def cusum(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+def _cusum_limits(cfg: AnomalyConfig) -> tuple[Column, Column]:
     k = F.lit(cfg.cusum_k) if cfg.cusum_k else 0.5 * F.col("sd")
     h = F.lit(cfg.cusum_h) if cfg.cusum_h else 5.0 * F.col("sd")
+    return k, h
+
+
+def cusum(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
+    k, h = _cusum_limits(cfg)
     start = _usable(warmup_stats(indexed, keys, cfg)).select(
         *keys, F.array(F.lit(0.0), F.lit(0.0)).alias("state"), F.array("mu", k, h).alias("params"), F.col("warm").alias("first")
     )
@@ -222,14 +260,17 @@ def cusum(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFr
     return _findings(sides, keys, "cusum", F.col("side.score"), F.col("side.direction"))
 
 
-def ewma_control(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
-    warm = _usable(warmup_stats(indexed, keys, cfg))
+def ewma_control(
+    indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig, blocks: DataFrame | None = None, warm: DataFrame | None = None
+) -> DataFrame:
+    """``blocks`` and ``warm`` are the written packed rows and warm-up statistics, where the caller has them."""
+    warm = _usable(warmup_stats(indexed, keys, cfg) if warm is None else warm)
     alpha = cfg.ewma_alpha
     start = warm.select(
         *keys, F.array("last").alias("state"), F.array("mu").alias("params"), F.col("warm").alias("first")
     )
     folded = folds.linear_fold(
-        indexed, keys, folds.level_step(alpha), folds.level_matrix(alpha), start, 1, ["level"], block=cfg.fold_block
+        indexed, keys, folds.level_step(alpha), folds.level_matrix(alpha), start, 1, ["level"], block=cfg.fold_block, written=blocks
     )
     limit = cfg.control_l * F.col("sd") * (alpha / (2.0 - alpha)) ** 0.5
     off = F.col("level") - F.col("mu")
@@ -278,15 +319,44 @@ AUTO_ORDER = (
 )
 
 
+def _every(rows: DataFrame, keys: Sequence[str], found: Sequence[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """The findings of several detectors (method, hit, score, direction) over the same rows, in one pass."""
+    one = lambda method, hit, score, direction: F.when(
+        hit, F.struct(score.alias("score"), F.lit(method).alias("method"), direction.alias("direction"))
+    )
+    hits = F.array_compact(F.array(*[one(*f) for f in found]))
+    return rows.select(*keys, "idx", "ts", "value", F.explode(hits).alias("__f")).select(*keys, "idx", "ts", "value", "__f.*")
+
+
+def alarms(blocks: DataFrame, keys: Sequence[str], cfg: AnomalyConfig, warm: DataFrame) -> DataFrame:
+    """CUSUM and Page-Hinkley in one fold over written blocks; series without a usable warm-up have no CUSUM."""
+    k, h = _cusum_limits(cfg)
+    ready = _usable(warm).select(*keys, F.array("mu", k, h, F.col("warm").cast("double")).alias("params"))
+    never = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(float(1 << 52)))
+    opening = blocks.where("start = 0").select(*keys, F.array(F.lit(0.0), F.lit(0.0), F.col("v")[0], F.lit(0.0)).alias("state"))
+    start = on_same(opening, ready, keys, "left").select(
+        *keys, "state", F.coalesce("params", never).alias("params"), F.lit(0).cast("bigint").alias("first")
+    )
+    # sums start from zero, and a block's first value is as good a first guess of its running mean as any
+    guess = F.array(F.lit(0.0), F.lit(0.0), F.col("v")[0], F.lit(0.0))
+    step = folds.alarm_step(cfg.ph_delta, cfg.ph_lambda)
+    folded = folds.reset_fold(blocks, keys, step, start, ["up", "down", "drift"], guess, written=blocks)
+    found = (("cusum", "up", "high"), ("cusum", "down", "low"), ("page_hinkley", "drift", "change"))
+    return _every(folded, keys, [(m, F.col(c) > 0, F.col(c), F.lit(d)) for m, c, d in found])
+
+
 def detect_auto(indexed: DataFrame, keys: Sequence[str], cfg: AnomalyConfig) -> DataFrame:
     """All detectors merged per point: highest score and its direction, sorted list of methods.
 
-    Equal scores keep the detector that comes first in ``AUTO_ORDER``.
+    Equal scores keep the detector that comes first in ``AUTO_ORDER``. The series is shuffled once, into blocks with the
+    values before them; all detectors but the seasonal one read these.
     """
     keys = list(keys)
-    robust = robust_window(indexed, keys, cfg)
-    found = [zscore(prior_window(indexed, keys, cfg), keys, cfg), mad(robust, keys, cfg), iqr(robust, keys, cfg)]
-    found += [cusum(indexed, keys, cfg), ewma_control(indexed, keys, cfg), page_hinkley(indexed, keys, cfg)]
+    blocks = materialize(window_blocks(indexed, keys, cfg))
+    warm = materialize(warmup_stats(indexed, keys, cfg))
+    windowed = {"rolling_zscore": zscore_terms(cfg), "rolling_mad": mad_terms(cfg), "rolling_iqr": iqr_terms(cfg)}
+    found = [_every(block_statistics(blocks, keys, cfg, moments=True), keys, [(m, *terms) for m, terms in windowed.items()])]
+    found += [alarms(blocks, keys, cfg, warm), ewma_control(indexed, keys, cfg, blocks, warm)]
     if cfg.season_length > 1:
         found.append(seasonal(indexed, keys, cfg))
     merged = found[0]

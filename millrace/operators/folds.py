@@ -123,18 +123,23 @@ def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
-def _started(indexed: DataFrame, keys: list[str], initial: DataFrame, carry: Sequence[str], block: int) -> DataFrame:
+def _started(
+    indexed: DataFrame, keys: list[str], initial: DataFrame, carry: Sequence[str], block: int, written: DataFrame | None
+) -> DataFrame:
     """Packed blocks with their start state; rows before ``first`` are cut off the opening block.
 
-    The start states meet the blocks, not the rows, so the join moves one row per block.
+    The start states meet the blocks, not the rows, so the join moves one row per block. ``written`` are the blocks
+    themselves, where the caller has written them for several folds; otherwise the blocks are packed and written here.
     """
-    packed = join_small(pack_blocks(indexed, keys, carry, block), initial, keys)
+    blocks = pack_blocks(indexed, keys, carry, block) if written is None else written
+    packed = join_small(blocks.select(*keys, "blk", "start", "n", "v", *carry), initial, keys)
     skip = F.greatest(F.col("first") - F.col("start"), F.lit(0)).cast("int")
     cut = lambda c: F.when(skip > 0, F.slice(c, skip + 1, F.greatest(F.size(c) - skip, F.lit(0)))).otherwise(F.col(c))
     kept = packed.where(F.col("start") + F.col("n") > F.col("first"))
-    return kept.withColumns(
+    started = kept.withColumns(
         {c: cut(c) for c in ("v", *carry)} | {"start": F.col("start") + skip, "n": F.col("n") - skip}
     )
+    return materialize(started) if written is None else started
 
 
 def linear_fold(
@@ -148,13 +153,14 @@ def linear_fold(
     carry: Sequence[str] = ("ts",),
     block: int = BLOCK,
     fan: int = FAN,
+    written: DataFrame | None = None,
 ) -> DataFrame:
     """Fold every series; ``initial`` has keys, ``state`` (before the first row), ``params`` and ``first``.
 
     ``first`` is the position the fold starts at; earlier rows are left out.
     """
     keys = list(keys)
-    packed = materialize(_started(indexed, keys, initial, carry, block))
+    packed = _started(indexed, keys, initial, carry, block, written)
     opening = F.col("start") == F.col("first")
     fold = _fold_udf(step)
     zero = F.array_repeat(F.lit(0.0), width)
@@ -223,10 +229,11 @@ def reset_fold(
     guess: Column | None = None,
     carry: Sequence[str] = ("ts",),
     block: int = BLOCK,
+    written: DataFrame | None = None,
 ) -> DataFrame:
     """Fold with resets; ``guess`` is the entry state tried first for blocks after the opening one."""
     keys = list(keys)
-    packed = materialize(_started(indexed, keys, initial, carry, block))
+    packed = _started(indexed, keys, initial, carry, block, written)
     opening = F.col("start") == F.col("first")
     guessed = F.col("state") if guess is None else F.when(opening, F.col("state")).otherwise(guess)
     entries = packed.select(*keys, "blk", guessed.alias("entry"))
@@ -357,3 +364,17 @@ def drift_step(delta: float, limit: float) -> Step:
         return [mean, excess], [scores]
 
     return step
+
+
+def alarm_step(delta: float, limit: float) -> Step:
+    """CUSUM and Page-Hinkley over the same values. state: that of CUSUM, then that of Page-Hinkley; params: mu, k, h
+    and the position CUSUM starts at. Page-Hinkley starts at the second row."""
+    drift = drift_step(delta, limit)
+
+    def step(v, start, state, params):
+        warm, second = min(max(int(params[3]) - start, 0), len(v)), min(max(1 - start, 0), len(v))
+        sums, sides = cusum_step(v[warm:], start + warm, state[:2], params)
+        drifted, (scores,) = drift(v[second:], start + second, state[2:], [])
+        return [*sums, *drifted], [*[[0.0] * warm + side for side in sides], [0.0] * second + scores]
+
+    return step

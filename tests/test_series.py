@@ -165,6 +165,21 @@ def test_order_statistics_equal_loop(points, walks):
     assert got[("hot", 0)][0] == 0
 
 
+@pytest.mark.parametrize("block", [40, 4096])
+def test_auto_equals_the_detectors_one_by_one(points, block):
+    cfg = replace(CFG, fold_block=block)
+    singles: dict = {}
+    for place, method in enumerate(anomaly.AUTO_ORDER):
+        for r in anomaly.detect(points, KEYS, method, cfg).collect():
+            singles.setdefault((r["series"], r["idx"]), []).append((r["score"], -place, r["direction"], method))
+    got = {(r["series"], r["idx"]): r for r in anomaly.detect_auto(points, KEYS, cfg).collect()}
+    assert got.keys() == singles.keys() and got
+    for key, found in singles.items():
+        assert got[key]["score"] == pytest.approx(max(found)[0])
+        assert got[key]["method"] == ",".join(sorted({f[3] for f in found}))
+        assert got[key]["direction"] == max(found)[2]
+
+
 def test_constant_series_is_silent(spark):
     flat = spark.range(40).selectExpr("'s' as series", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id) as ts", "5.0D as value")
     pts = series.positioned(flat, KEYS)
