@@ -88,7 +88,7 @@ def _first_values(indexed: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return rows.where(F.size("__h") == n).select(*keys, F.col("__h.value").alias("h"))
 
 
-def ses_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
+def ses_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig, blocks: DataFrame | None = None) -> DataFrame:
     start = _first_values(indexed, keys, 1).select(
         *keys, F.col("h").alias("state"), F.array().cast("array<double>").alias("params"), F.lit(0).cast("bigint").alias("first")
     )
@@ -102,11 +102,12 @@ def ses_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> D
         ["level"],
         carry=_kept(indexed),
         block=cfg.fold_block,
+        written=blocks,
     )
     return folded.select(*keys, "idx", "value", *_kept(indexed), "level", _steps(cfg, lambda j: F.col("level")).alias("path"))
 
 
-def holt_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
+def holt_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig, blocks: DataFrame | None = None) -> DataFrame:
     h = F.col("h")
     start = _first_values(indexed, keys, 2).select(
         *keys,
@@ -125,13 +126,14 @@ def holt_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) ->
         ["level", "trend"],
         carry=_kept(indexed),
         block=cfg.fold_block,
+        written=blocks,
     )
     return folded.select(
         *keys, "idx", "value", *_kept(indexed), "level", "trend", _steps(cfg, lambda j: F.col("level") + j * F.col("trend")).alias("path")
     )
 
 
-def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig) -> DataFrame:
+def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig, blocks: DataFrame | None = None) -> DataFrame:
     """Additive seasons; the start values come from the first two seasons, shorter series have none."""
     p = cfg.season_length
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / p
@@ -156,6 +158,7 @@ def holt_winters_trace(indexed: DataFrame, keys: Sequence[str], cfg: ForecastCon
         ["level", "trend", *ahead],
         carry=_kept(indexed),
         block=cfg.fold_block,
+        written=blocks,
     )
     path = _steps(cfg, lambda j: F.col("level") + j * F.col("trend") + F.col(f"s{(j - 1) % p}"))
     return folded.where(F.col("idx") >= 2 * p - 1).select(
@@ -198,11 +201,19 @@ TRACES = {
 }
 
 
+FOLDED = ("ses", "holt", "holt_winters_add")
+
+
 Model = Callable[[DataFrame, Sequence[str], ForecastConfig], DataFrame]
 
 
-def trace(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig) -> DataFrame:
-    """The path that a model forecasts from every row. ``model`` is a name in ``TRACES`` or a function that adds ``path``."""
+def trace(
+    indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig, blocks: DataFrame | None = None
+) -> DataFrame:
+    """The path that a model forecasts from every row. ``model`` is a name in ``TRACES`` or a function that adds ``path``.
+
+    ``blocks`` are the written packed rows (with ``ahead``, where ``indexed`` has it) for the models that fold them.
+    """
     if callable(model):
         return model(indexed, keys, cfg).select(*keys, "idx", "value", *_kept(indexed), "path")
     if model not in TRACES:
@@ -210,7 +221,8 @@ def trace(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: Fore
     if model in ("seasonal_naive", "holt_winters_add") and cfg.season_length <= 0:
         empty = indexed.limit(0)
         return empty.select(*keys, "idx", "value", *_kept(indexed), F.array(F.col("value")).alias("path"))
-    return TRACES[model](indexed, keys, cfg).select(*keys, "idx", "value", *_kept(indexed), "path")
+    given = {"blocks": blocks} if model in FOLDED else {}
+    return TRACES[model](indexed, keys, cfg, **given).select(*keys, "idx", "value", *_kept(indexed), "path")
 
 
 def forecast(indexed: DataFrame, keys: Sequence[str], model: str | Model, cfg: ForecastConfig) -> DataFrame:
@@ -267,13 +279,14 @@ def forecast_auto(indexed: DataFrame, keys: Sequence[str], cfg: ForecastConfig)
     """All models with forecast, errors and rank; models without an error (skipped, short) rank last.
 
     Each model is one pass: the trace rows carry their own future, so errors and the last path come
-    out of a single aggregation per model.
+    out of a single aggregation per model. The models that fold read the same written blocks.
     """
     keys = list(keys)
     ready = materialize(with_future(indexed, keys, cfg))
+    blocks = materialize(folds.pack_blocks(ready, keys, ["ahead"], cfg.fold_block))
     parts = []
     for model in MODELS:
-        traced = with_errors(trace(ready, keys, model, cfg), cfg)
+        traced = with_errors(trace(ready, keys, model, cfg, blocks), cfg)
         parts.append(
             traced.groupBy(*keys)
             .agg(*averages(), F.max("idx").alias("__last"), F.max_by("path", "idx").alias("path"))

@@ -76,11 +76,11 @@ for _key, _model in {
 @query(
     "backtest",
     f"""with recursive {PTS}, {T_HOLT}, {_errors("holt")}
-    select series, idx + 1 as train_rows, round(mae, 6) as mae, round(rmse, 6) as rmse from b_holt""",
+    select series, idx + 1 as train_rows, round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape from b_holt""",
 )
 def _(spark, sf):
     origins = forecast.backtest(event_points(spark, sf), KEYS, "holt", CFG)
-    return origins.select("series", "train_rows", r6("mae"), r6("rmse"))
+    return origins.select("series", "train_rows", r6("mae"), r6("rmse"), r6("mape"))
 
 
 def _metric(metric):
@@ -104,8 +104,8 @@ _UNION = " union all ".join(f"select '{m}' as model, * from m_{m}" for m in fore
 @query(
     "fc_auto",
     f"""with recursive {_AUTO} select series, model, row_number() over (partition by series order by mae, model) as rank, origins,
-    round(mae, 6) as mae, round(rmse, 6) as rmse from ({_UNION})""",
+    round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape from ({_UNION})""",
 )
 def _(spark, sf):
     ranked = forecast.forecast_auto(event_points(spark, sf), KEYS, CFG)
-    return ranked.select("series", "model", "rank", "origins", r6("mae"), r6("rmse"))
+    return ranked.select("series", "model", "rank", "origins", r6("mae"), r6("rmse"), r6("mape"))
