@@ -1,15 +1,16 @@
-"""N-gram Jaccard join over a MinHash LSH forest.
+"""N-gram Jaccard join by banded MinHash LSH, in place of an LSH forest, and exact verification.
 
-Texts are sets of shingles of five words; two are linked if the Jaccard similarity of their sets is at least 0.8. The
-forest has ``TREES`` prefix tries of MinHash values. Two texts meet where they share a prefix in some tree; prefixes
-are shortened from ``DEEPEST`` values until texts at the threshold meet with the target recall, the least recall of
-any link. Whatever meets is verified on the whole shingle sets.
+Texts are sets of shingles of five words; two are linked if the Jaccard similarity of their sets is at least 0.8. There
+are ``TREES`` bands of MinHash values. Two texts meet where all values of a band agree; the length of the bands is the
+longest, from ``DEEPEST`` values down, at which texts at the threshold meet with the target recall, the least recall of
+any link. A formula gives it, not the data. Whatever meets is verified on the whole shingle sets.
 
 Texts with the same words are one class and compared once. Classes that meet directly or by others are a
 neighbourhood. Small neighbourhoods are verified whole, many to a task. In large ones every shared prefix is a group of
-its own, cut into blocks of about ``BLOCK`` classes, a task for each pair of blocks; a pair is counted at the
-first prefix that it shares. So no task holds more than two blocks, no pair of texts is ever a row, and a
-group of copies costs no more than one text. Tasks return numbers of links and the links' components as
+its own, cut into blocks of about ``BLOCK`` units of weight, a task for each pair of blocks; a pair is counted at the
+first prefix that it shares. A class weighs one unit and one more for each ``UNIT`` bytes of its text, as the shingles of
+a task's texts lie in memory together. So no task holds more than about two blocks (a text above a block's weight fills one alone),
+no pair of texts is ever a row, and a group of copies costs no more than one text. Tasks return numbers of links and the links' components as
 stars; components are joined over all tasks.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; null and empty texts have no shingle,
@@ -38,6 +39,7 @@ TREES = 32
 DEEPEST = 10
 RECALL = 0.9999
 BLOCK = 512
+UNIT = 8192
 
 
 def depth_for(similarity: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
@@ -162,23 +164,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.xxhash64(whole()).alias("text_id"), whole().alias("text"))
     plain = F.trim(F.regexp_replace("text", ODD_SPACE, " "))
-    slim = materialize(rows.withColumn("plain", plain).select("doc_id", "text_id", F.when(F.col("plain") != "", F.sha2("plain", 256)).alias("same")))
-    classes = slim.filter("same is not null").groupBy("same").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("text_id", "doc_id").alias("text_id"))
+    slim = materialize(rows.withColumn("plain", plain).select("doc_id", "text_id", F.when(F.col("plain") != "", F.sha2("plain", 256)).alias("same"), F.octet_length("text").alias("bytes")))
+    weight = (F.min_by("bytes", "doc_id") / UNIT + 1).cast("long").alias("weight")
+    classes = slim.filter("same is not null").groupBy("same").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("text_id", "doc_id").alias("text_id"), weight)
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
 
     # where classes meet
     sign = _signatures(depth_for(similarity, recall), TREES)
-    signed = rows.mapInArrow(*sign).join(classes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"])
-    signed = materialize(signed.select("node", "keys").dropDuplicates(["node"]))
-    at = signed.select("node", F.explode("keys").alias("key"))
-    shared = at.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1")
-    met = materialize(at.join(materialize(shared), "key"))
+    signed = rows.mapInArrow(*sign).join(classes.select("doc_id", "text_id", "node", "weight"), ["doc_id", "text_id"])
+    signed = materialize(signed.select("node", "weight", "keys").dropDuplicates(["node"]))
+    at = signed.select("node", "weight", F.explode("keys").alias("key"))
+    shared = at.groupBy("key").agg(F.count("*").alias("texts"), F.sum("weight").alias("m"), F.min("node").alias("head")).filter("texts > 1")
+    met = materialize(at.drop("weight").join(materialize(shared.drop("texts")), "key"))
     release(spark)
     near = components(met.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+    near = near.join(classes.drop("same"), "node")
+    sizes = near.groupBy("root").agg(F.sum("weight").alias("size"))
     near = materialize(near.join(sizes, "root"))
     small, large = near.filter(F.col("size") <= BLOCK), near.filter(F.col("size") > BLOCK)
-    bins = max(2 * small.count() // BLOCK, 1)
+    bins = max(2 * (small.agg(F.sum("weight")).first()[0] or 0) // BLOCK, 1)
 
     # what is verified together
     zero, none = F.lit(0), F.lit(None).cast("array<long>")
@@ -186,7 +190,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     blocks = met.join(large.select("node"), "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     blocks = blocks.join(signed, "node").select("node", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "keys", F.lit(True).alias("forest"))
-    texts = rows.join(near.join(classes, "node").select("doc_id", "text_id", "node", "n"), ["doc_id", "text_id"]).select("node", "n", "text")
+    texts = rows.join(near.select("doc_id", "text_id", "node", "n"), ["doc_id", "text_id"]).select("node", "n", "text")
     groups = whole_ones.unionByName(blocks).join(materialize(texts), "node")
     verify, schema = _verify(similarity)
     found = materialize(groups.groupBy("forest", "key", "p", "q").applyInArrow(verify, schema))

@@ -128,8 +128,10 @@ def test_jaccard_equals_brute_force(crowded, monkeypatch, block):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == classes([r[:2] for r in tricky_rows()])
 
 
-def test_jaccard_loses_no_link_of_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("unit", [8192, 400])
+def test_jaccard_loses_no_link_of_a_large_group(spark, monkeypatch, unit):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "UNIT", unit)
     rng = random.Random(5)
     base, rows = prose(50, 150).split(), []
     for i in range(70):
@@ -148,7 +150,7 @@ def test_one_document_of_each_class_stays(crowded):
     assert ids == Counter([1, 4, 5, 6, 7, 8, 9, 10, 12, 12, None, 15, 16, 17])
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
+def test_bands_are_as_long_as_the_recall_allows():
     assert jaccard.depth_for(0.8, 0.9999) == 6 and jaccard.depth_for(0.8, 0.5) > 6
     assert 1 - (1 - 0.8**6) ** jaccard.TREES >= 0.9999
 
