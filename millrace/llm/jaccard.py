@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     met = materialize(at.drop("weight").join(materialize(shared.drop("texts")), "key"))
     release(spark)
     near = components(met.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    near = near.join(classes.drop("same"), "node")
+    near = near.join(classes.select("node", "weight"), "node")
     sizes = near.groupBy("root").agg(F.sum("weight").alias("size"))
     near = materialize(near.join(sizes, "root"))
     small, large = near.filter(F.col("size") <= BLOCK), near.filter(F.col("size") > BLOCK)
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     blocks = met.join(large.select("node"), "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     blocks = blocks.join(signed, "node").select("node", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "keys", F.lit(True).alias("forest"))
-    texts = rows.join(near.select("doc_id", "text_id", "node", "n"), ["doc_id", "text_id"]).select("node", "n", "text")
+    texts = rows.join(near.drop("weight").join(classes, "node").select("doc_id", "text_id", "node", "n"), ["doc_id", "text_id"]).select("node", "n", "text")
     groups = whole_ones.unionByName(blocks).join(materialize(texts), "node")
     verify, schema = _verify(similarity)
     found = materialize(groups.groupBy("forest", "key", "p", "q").applyInArrow(verify, schema))
