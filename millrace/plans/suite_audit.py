@@ -241,7 +241,9 @@ def _(spark, sf):
     e = table(spark, sf, "events")
     roots = e.where("event_type <> 'error'").groupBy("user_id").agg(F.min("event_id").alias("root"))
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    took = F.round(F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")) * 1_000_000).cast("bigint")
+    micros = F.round(F.col("value") * 1_000_000).cast("bigint")
+    # errors end before they start, those of value 0 too
+    took = F.when(F.col("event_type") == "error", -1 - F.abs(micros)).otherwise(micros)
     spans = e.join(roots, "user_id").select(
         F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("trace_id"),
         F.col("event_id").cast("string").alias("span_id"),

@@ -28,3 +28,7 @@ def differs(spark, folder, name, events):
 def test_zero_values_of_metrics(spark, tmp_path):
     kinds = ("purchase", "view", "click", "signup", "error", "other")
     assert not differs(spark, tmp_path, "validate_metric", [(i, 1, k, v) for i, (k, v) in enumerate((k, v) for k in kinds for v in (0.0, 2.5, None))])
+
+
+def test_error_spans_of_no_length_are_left_out(spark, tmp_path):
+    assert not differs(spark, tmp_path, "normalize_spans", [(i, i % 2, k, v) for i, (k, v) in enumerate((k, v) for k in ("view", "error", "click") for v in (0.0, 3.25))])
