@@ -186,7 +186,8 @@ class OnlineDetectors(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a micro-batch's rows of a series come in any order; its size is set on the source
-        batch = pd.concat(list(rows)).sort_values("us")
+        # values of one time are one point, their mean, as in ``series.clean_series``
+        batch = pd.concat(list(rows)).groupby("us", as_index=False)["value"].mean()
         if self.state.exists():
             n, head, warm, acc = self.state.get()
             head, warm, acc = list(head), list(warm), list(acc)
@@ -229,7 +230,7 @@ class OnlineDetectors(StatefulProcessor):
 
 
 def anomalies(stream: DataFrame, series: str, ts: str, value: str, warm: int = 30, alpha: float = 0.2, control_l: float = 3.0, delta: float = 0.005, limit: float = 5.0) -> DataFrame:
-    """Online detection over rows that arrive in time order from batch to batch."""
+    """Online detection over rows that arrive in time order from batch to batch; rows of one time come in one batch."""
     rows = stream.select(
         F.col(series).cast("string").alias("series"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),

@@ -32,3 +32,9 @@ def test_zero_values_of_metrics(spark, tmp_path):
 
 def test_error_spans_of_no_length_are_left_out(spark, tmp_path):
     assert not differs(spark, tmp_path, "normalize_spans", [(i, i % 2, k, v) for i, (k, v) in enumerate((k, v) for k in ("view", "error", "click") for v in (0.0, 3.25))])
+
+
+def test_equal_times_of_a_streamed_series_are_averaged(spark, tmp_path):
+    # two and three values at one time, and a jump that the detectors report
+    events = [(i // 2 if i < 60 else i // 3 + 10, 1, "view", 10.0 + i % 7 + 40 * (i > 150)) for i in range(240)]
+    assert not differs(spark, tmp_path, "st_anomaly", events)
