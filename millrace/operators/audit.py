@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ABSENT
+from ..functions.variants import let
 from ..session import join_small, materialize, on_same
 from .dedupe import first_per_key
 from .folds import settle
@@ -17,6 +16,8 @@ from .positions import with_position, with_previous
 
 GENESIS = "GENESIS"
 CHAIN_BLOCK = 1 << 14
+#: Links that are appended one by one before they are added to those of the block.
+CHAIN_PIECE = 1 << 7
 
 
 def append(log: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -66,7 +67,19 @@ def verify_events(df: DataFrame, tenant: str, event: str, ts: str, action: str)
 
 
 def link(previous: Column, canonical: Column) -> Column:
-    return F.sha2(F.concat(previous, F.lit("\n"), canonical), 256)
+    """Hash of a record after the previous one; a record without a text is hashed as absent."""
+    return F.sha2(F.concat(previous, F.lit("\n"), F.coalesce(canonical, F.lit(ABSENT))), 256)
+
+
+def _links(texts: Column, entry: Column) -> Column:
+    """``entry`` and the hashes of the texts chained from it on.
+
+    An append copies the array, so links are appended to short pieces, and the pieces to the block.
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(texts) - 1) / F.lit(CHAIN_PIECE)).cast("int")), lambda i: F.slice(texts, i * CHAIN_PIECE + 1, F.lit(CHAIN_PIECE)))
+    grow = lambda links, text: F.concat(links, F.array(link(F.element_at(links, -1), text)))
+    add = lambda links, piece: F.concat(links, F.slice(F.aggregate(piece, F.array(F.element_at(links, -1)), grow), F.lit(2), F.size(piece)))
+    return F.aggregate(pieces, F.array(entry), add)
 
 
 def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canonical: Column, block: int = CHAIN_BLOCK) -> DataFrame:
@@ -82,27 +95,14 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
     packed = materialize(
         blocked.groupBy(*keys, "blk").agg(F.sort_array(F.collect_list(F.struct("idx", "__text"))).alias("rows"))
     )
-
-    def run(texts: pd.Series, entry: pd.Series) -> pd.Series:
-        out = []
-        for block_texts, previous in zip(texts, entry, strict=True):
-            hashes = []
-            for text in block_texts:
-                previous = hashlib.sha256(f"{previous}\n{text}".encode()).hexdigest()
-                hashes.append(previous)
-            out.append(hashes)
-        return pd.Series(out)
-
     entries = packed.where("blk = 0").select(*keys, "blk", F.lit(GENESIS).alias("entry"))
-    hashed = F.pandas_udf(run, "array<string>")(F.col("rows.__text"), F.col("entry"))
-    settled = settle(packed, keys, entries, hashed, F.element_at("__r", -1))
-    done = on_same(packed, settled, [*keys, "blk"]).withColumn("hashes", hashed)
-    links = done.select(*keys, "blk", "entry", F.posexplode("hashes").alias("__p", "hash"), "hashes").select(
-        *keys,
-        (F.col("blk") * block + F.col("__p")).alias("idx"),
-        F.when(F.col("__p") == 0, F.col("entry")).otherwise(F.get("hashes", F.col("__p") - 1)).alias("prev_hash"),
-        "hash",
-    )
+    hashed = _links(F.col("rows.__text"), F.col("entry"))
+    several = packed.where("blk > 0").limit(1).count() > 0
+    settled = settle(packed, keys, entries, hashed, F.element_at("__r", -1)) if several else entries
+    pairs = let(hashed, lambda h: F.transform(F.slice(h, F.lit(2), F.size(h) - 1), lambda x, i: F.struct(F.get(h, i).alias("prev_hash"), x.alias("hash"))))
+    # the outer form keeps the planner from hashing once more to filter empty blocks
+    links = on_same(packed, settled, [*keys, "blk"]).select(*keys, "blk", F.posexplode_outer(pairs).alias("__p", "__link"))
+    links = links.select(*keys, (F.col("blk") * block + F.col("__p")).alias("idx"), "__link.prev_hash", "__link.hash")
     return on_same(rows, links, [*keys, "idx"]).drop("__text")
 
 

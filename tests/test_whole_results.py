@@ -243,3 +243,17 @@ def test_joined_parts_never_collide(spark):
     keys = {r["k"] for r in same.select(hashing.idempotency_key_of_map(F.lit(" ACME!"), F.lit(" Pay "), F.col("m")).alias("k")).collect()}
     assert len(keys) == 1 and keys.pop().startswith("v1:acme:pay:")
     assert spark.range(1).select(hashing.idempotency_key(F.lit(None).cast("string"), F.lit("a b"), [F.lit("p")])).first()[0] is None
+
+
+def test_chains_of_many_pieces_need_no_python(spark):
+    texts = [None if i == 300 else f"é{i}" for i in range(700)]
+    log = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "tenant string, n int, body string")
+    chained = audit.chain_build(log, ["tenant"], ["n"], F.col("body"), block=400)
+    previous = "GENESIS"
+    for r in chained.orderBy("n").collect():
+        now = hashlib.sha256(f"{previous}\n{hashing.ABSENT if r['body'] is None else r['body']}".encode()).hexdigest()
+        assert (r["prev_hash"], r["hash"]) == (previous, now)
+        previous = now
+    assert "Python" not in chained._jdf.queryExecution().executedPlan().toString()
+    assert audit.chain_verify(chained.drop("idx"), ["tenant"], ["n"], F.col("body")).count() == 0
+    assert [r["n"] for r in audit.chain_verify(chained.drop("idx").withColumn("body", F.coalesce("body", F.lit("x"))), ["tenant"], ["n"], F.col("body")).collect()] == [300]
