@@ -18,7 +18,8 @@ def infer_fields(df: DataFrame, doc: str, order: Sequence[str]) -> DataFrame:
     """Path, label, strongest type, first sample and row count of every field.
 
     Positions in arrays are read as ``[0]``; elements of plain arrays have type ``array``. All
-    documents are read, and a partial aggregation keeps one row per path and task.
+    documents are read, and a partial aggregation keeps one row per path and task. The set of at most five types per path
+    also makes the planner aggregate by hash: with texts alone it sorts all leaves of a task first.
     """
     leaves = flatten_paths(df, order, doc)
     in_array = F.col("path").rlike(r"\[\d+\]$")
@@ -26,17 +27,17 @@ def infer_fields(df: DataFrame, doc: str, order: Sequence[str]) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in TYPE_RANK.items() for x in kv])[kind]
     rows = leaves.select(
         F.regexp_replace("path", r"\[\d+\]", "[0]").alias("path"),
-        kind.alias("type"),
         rank.alias("rank"),
         "value",
         F.struct(*order, F.col("path").alias("p")).alias("__o"),
     )
     fields = rows.groupBy("path").agg(
-        F.max_by("type", "rank").alias("type"),
+        F.array_max(F.collect_set("rank")).alias("rank"),
         F.min_by("value", F.when(F.col("value").isNotNull(), F.col("__o"))).alias("sample"),
         F.count("value").alias("filled"),
     )
-    return fields.withColumn("label", label_of(F.col("path")))
+    names = F.create_map(*[F.lit(x) for kind, rank in TYPE_RANK.items() for x in (rank, kind)])
+    return fields.select("path", F.try_element_at(names, F.col("rank")).alias("type"), "sample", "filled", label_of(F.col("path")).alias("label"))
 
 
 def auto_map(fields: DataFrame) -> DataFrame:
