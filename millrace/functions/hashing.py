@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .variants import let
+
 
 #: Stands for a NULL part of an identifier: no text part contains it, so a NULL never equals or shifts another part.
 ABSENT = "\0"
@@ -64,27 +66,35 @@ def idempotency_key_of_map(tenant: Column, scope: Column, named: Column) -> Colu
 
 # fixed values: offset and prime of the 64-bit FNV-1a hash
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
+#: The low 32 bits.
+HALF = (1 << 32) - 1
 
 
 def fnv1a_64(text: Column) -> Column:
     """The unsigned 64-bit FNV-1a hash of the text's bytes, as a decimal.
 
-    The product takes up to 104 bits. The prime is 2**40 + 435, so it is made of two products whose high parts
-    are cut off at 64 bits before they grow beyond 38 digits.
+    The hash is kept as two longs of 32 bits. The prime is 2**40 + 435: its high part moves the low half by eight bits into the
+    high one, and no product with 435 exceeds 41 bits.
     """
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(text), 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
-    whole = 1 << 64
+    halves = F.struct(F.lit(FNV_OFFSET >> 32).alias("high"), F.lit(FNV_OFFSET & HALF).alias("low"))
+    decimal = lambda c: c.cast("decimal(20,0)")
 
     def step(h: Column, b: Column) -> Column:
-        low = (h % big(256)).cast("int")
-        mixed = (h - low.cast("decimal(38,0)") + low.bitwiseXOR(b).cast("decimal(38,0)")).cast("decimal(38,0)")
-        high = ((mixed % big(1 << 24)).cast("decimal(8,0)") * F.lit(str(1 << 40)).cast("decimal(13,0)")).cast("decimal(38,0)")
-        rest = (mixed.cast("decimal(20,0)") * F.lit("435").cast("decimal(3,0)")).cast("decimal(38,0)")
-        return ((high + rest).cast("decimal(38,0)") % big(whole)).cast("decimal(38,0)")
-
-    hashed = F.aggregate(bytes_, big(FNV_OFFSET), step)
-    return F.when(F.octet_length(text) > 0, hashed).otherwise(big(FNV_OFFSET))
+        def times_prime(low: Column) -> Column:
+            high = h["high"] * 435 + F.shiftright(low * 435, 32) + F.shiftleft(low, 8)
+            return F.struct(high.bitwiseAND(F.lit(HALF)).alias("high"), (low * 435).bitwiseAND(F.lit(HALF)).alias("low"))
+
+        return let(h["low"].bitwiseXOR(b), times_prime)
+
+    number = lambda h: (decimal(h["high"]) * F.lit(str(1 << 32)).cast("decimal(10,0)") + decimal(h["low"])).cast("decimal(38,0)")
+    hashed = F.aggregate(_bytes(text), halves, step, number)
+    return F.when(F.octet_length(text) > 0, hashed).otherwise(F.lit(str(FNV_OFFSET)).cast("decimal(38,0)"))
+
+
+def _bytes(text: Column) -> Column:
+    """The bytes of a text as longs."""
+    digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, F.lit(1))).cast("bigint") - 1
+    return let(F.hex(text), lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: digit(h, i) * 16 + digit(h, i + 1)))
 
 
 def shard_for(tenant: Column, job: Column, shards: int) -> Column:

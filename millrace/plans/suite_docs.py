@@ -299,7 +299,7 @@ def _(spark, sf):
 def _(spark, sf):
     tenant, job = F.concat(F.lit(" "), F.col("user_id").cast("string")), F.concat(F.upper("event_type"), F.lit(" "))
     shard = hashing.shard_for(tenant, job, 16)
-    return table(spark, sf, "events").groupBy(shard.alias("shard")).agg(F.count("*").alias("rows"))
+    return spread(table(spark, sf, "events"), "event_id").groupBy(shard.alias("shard")).agg(F.count("*").alias("rows"))
 
 
 # --- scalar clean-up, seen through the tables ---------------------------------------------------
