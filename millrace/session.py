@@ -69,13 +69,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files for a task of heavy work.
+PIECE = 4 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows, by hash of ``keys``, of a scan that gives fewer tasks than there are cores; a scan with enough tasks is left as it is.
+    """Deal the rows of files, by hash of ``keys``, to as many tasks as there are cores, or one for ``PIECE`` bytes of the files if that is more.
 
-    For work that is heavy per row: a small compressed file is one task, however many cores wait.
+    For work that is heavy per row. The tasks of a scan tell little: a row group is read by one of them whole, however many are planned.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    sc = df.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    size = sum(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(max(sc.defaultParallelism, -(-size // PIECE)), *keys)
 
 
 def on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

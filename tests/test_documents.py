@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import variants
 from millrace.functions.text import NULL_WORDS
 from millrace.operators import documents, profiler
@@ -185,3 +186,22 @@ def test_edits(spark):
     assert read(documents.edit_documents(rows, "doc", several))[0] == {1: {"a": {"b": [{"c": None}]}, "x": {"y": 1}}}
     with pytest.raises(ValueError):
         documents.edit_documents(rows, "doc", [{"kind": "move"}])
+
+
+def test_field_lists_are_not_sorted_row_by_row(spark):
+    rows = spark.createDataFrame([(1, '{"a": null, "b": "x"}'), (2, '{"a": 4, "b": 5}'), (3, '{"a": "z"}')], "i int, doc string")
+    fields = profiler.infer_fields(rows, "doc", ["i"])
+    assert "SortAggregate" not in fields._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["type"], r["sample"], r["filled"]) for r in fields.collect()} == {("a", "number", "4", 2), ("b", "number", "x", 2)}
+
+
+def test_heavy_scans_are_dealt_by_bytes_not_by_splits(spark, tmp_path, monkeypatch):
+    spark.range(10_000).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    files = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(session, "PIECE", 2_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:  # one row group is read by one task, however many splits are planned
+        assert files.rdd.getNumPartitions() > 4
+        assert sum(n > 0 for n in session.spread(files, "id").rdd.glom().map(len).collect()) > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
