@@ -120,8 +120,15 @@ def late_split(stream: DataFrame, ts: str, delay_seconds: int, path: str, checkp
     return start(stream, checkpoint, each, every=every)
 
 
+# Spark joins the frames of several keys to one; texts of pandas' own type become several chunks there, which it can't write, so they are objects
+
+
 class Heartbeats(StatefulProcessor):
-    """Online when a sender is heard after silence, offline when the silence exceeds the timeout."""
+    """Online when a sender is heard after silence, offline when the silence exceeds the timeout.
+
+    A sender that is heard of has one timer. Later beats leave it where it is; when it expires it is set anew if the silence is
+    still too short. So a beat costs no look at the timers.
+    """
 
     def __init__(self, timeout_seconds: float):
         self.timeout = timeout_seconds * 1000.0
@@ -131,13 +138,13 @@ class Heartbeats(StatefulProcessor):
         self.seen = handle.getValueState("seen", "last_ms double")
 
     def _rows(self, key, changes) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"key": [key] * len(changes), "at_ms": [int(a) for a, _ in changes], "state": [s for _, s in changes]}
-        )
+        rows = {"key": [key] * len(changes), "at_ms": [int(a) for a, _ in changes], "state": [s for _, s in changes]}
+        return pd.DataFrame(rows).astype({"key": object, "at_ms": "int64", "state": object})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         beats = sorted(float(x) for pdf in rows for x in pdf["at_ms"])
-        last = self.seen.get()[0] if self.seen.exists() else None
+        known = self.seen.get()
+        last = None if known is None else known[0]
         changes = []
         for at in beats:
             if last is None:
@@ -145,24 +152,28 @@ class Heartbeats(StatefulProcessor):
             elif at - last > self.timeout:
                 changes += [(last + self.timeout, "offline"), (at, "online")]
             last = at if last is None else max(last, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(last + self.timeout))
+        if known is None:
+            self.handle.registerTimer(int(last + self.timeout))
         self.seen.update((last,))
         yield self._rows(key[0], changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.seen.get()[0]
-        self.seen.clear()
-        yield self._rows(key[0], [(last + self.timeout, "offline")])
+        due = int(last + self.timeout)
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            yield self._rows(key[0], [])
+        else:
+            self.seen.clear()
+            yield self._rows(key[0], [(due, "offline")])
 
     def close(self) -> None:
         pass
 
 
 def heartbeat(stream: DataFrame, key: str, ts: str, timeout_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Changes between online and offline per sender: ``key``, ``at_ms``, ``state``."""
-    beats = event_time(stream, ts, delay).select(
+    """Changes between online and offline per sender: ``key``, ``at_ms``, ``state``. A beat without a time tells nothing and is left out."""
+    beats = event_time(stream.where(F.col(ts).isNotNull()), ts, delay).select(
         F.col(key).cast("string").alias("key"), ts, F.unix_millis(ts).cast("double").alias("at_ms")
     )
     return beats.groupBy("key").transformWithStateInPandas(
@@ -223,7 +234,7 @@ class OnlineDetectors(StatefulProcessor):
         self.state.update((n + len(xs), [float(h) for h in head], [float(w) for w in warm], [float(a) for a in acc]))
         out = pd.DataFrame(found, columns=["idx", "us", "value", "method", "score", "direction"])
         out.insert(0, "series", key[0])
-        yield out.astype({"idx": "int64", "us": "int64", "value": "float64", "score": "float64"})
+        yield out.astype({"series": object, "idx": "int64", "us": "int64", "value": "float64", "method": object, "score": "float64", "direction": object})
 
     def close(self) -> None:
         pass

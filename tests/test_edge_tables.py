@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 
 from millrace.plans import suite
+from millrace.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
 
@@ -38,3 +39,23 @@ def test_equal_times_of_a_streamed_series_are_averaged(spark, tmp_path):
     # two and three values at one time, and a jump that the detectors report
     events = [(i // 2 if i < 60 else i // 3 + 10, 1, "view", 10.0 + i % 7 + 40 * (i > 150)) for i in range(240)]
     assert not differs(spark, tmp_path, "st_anomaly", events)
+
+
+def test_heartbeats_without_a_time_and_over_many_slices(spark, tmp_path):
+    day = 86_400
+    beats = [(0, 1), (3_600, 1), (day, 1), (9 * day, 1), (9 * day + 3_600, 1), (17 * day, 2), (17 * day, 1), (17 * day + 43_200, 1), (25 * day, 3)]
+    rows = [(s + i / 1000, u, "view", 1.0) for i, (s, u) in enumerate(beats)]
+    assert not differs(spark, tmp_path, "st_heartbeat", rows)
+
+
+def test_a_heartbeat_without_a_time_is_left_out(spark, tmp_path):
+    rows = spark.createDataFrame([("a", START), ("a", None), ("b", None)], "user string, ts timestamp_ntz")
+    rows.write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        out = jobs.heartbeat(jobs.file_stream(spark, f"{tmp_path}/in", rows.schema), "user", "ts", 60)
+        jobs.start(out, f"{tmp_path}/checkpoint", jobs.batch_writer(f"{tmp_path}/out")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert [(r["key"], r["state"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", "online")]
