@@ -98,7 +98,8 @@ def chain_build(df: DataFrame, keys: Sequence[str], order: Sequence[str], canoni
     entries = packed.where("blk = 0").select(*keys, "blk", F.lit(GENESIS).alias("entry"))
     hashed = _links(F.col("rows.__text"), F.col("entry"))
     several = packed.where("blk > 0").limit(1).count() > 0
-    settled = settle(packed, keys, entries, hashed, F.element_at("__r", -1)) if several else entries
+    last = lambda rows: rows.withColumn("exit", F.element_at(hashed, -1))
+    settled = settle(packed, keys, on_same(packed, entries, [*keys, "blk"]), last) if several else entries
     pairs = let(hashed, lambda h: F.transform(F.slice(h, F.lit(2), F.size(h) - 1), lambda x, i: F.struct(F.get(h, i).alias("prev_hash"), x.alias("hash"))))
     # the outer form keeps the planner from hashing once more to filter empty blocks
     links = on_same(packed, settled, [*keys, "blk"]).select(*keys, "blk", F.posexplode_outer(pairs).alias("__p", "__link"))

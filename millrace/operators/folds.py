@@ -9,20 +9,22 @@ series in one task does not scale to a hot series, so the series is packed into
   folded from a zero state. Chaining the (A, b) pairs gives every entry state; where a series has
   more than ``FAN`` blocks the pairs are first combined in groups, and those groups again.
 * **Recurrences with resets** (CUSUM, Page-Hinkley) and hash chains do not combine that way. Each
-  block is folded from a guessed entry state; blocks whose predecessor ended in another state than
-  guessed are folded again, until nothing changes. Resets make neighbouring paths meet after a few
-  rows, so two or three rounds are usual; every round settles at least one more block per series,
-  and the settled result equals the row-by-row fold exactly.
+  stretch of ``STRETCH`` blocks is folded from a guessed entry state, its blocks one after the other;
+  stretches whose predecessor ended in another state than guessed are folded again, until nothing
+  changes. Where resets make neighbouring paths meet two or three rounds are usual; the mean of Page-Hinkley
+  never meets without an alarm, and then every round settles one more stretch per series.
+  The settled result equals the row-by-row fold exactly.
 
 A block is one row with an array of values, bounded by ``BLOCK``; Python sees one block at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ from ..session import join_small, materialize, on_same, scratch
 
 BLOCK = 4096
 FAN = 4096
-RESULT = "struct<state:array<double>,out:array<array<double>>>"
+# blocks that one task folds one after the other in a round of ``settle``
+STRETCH = 256
 
 # step(values, start, state, params) -> (state after the block, list of output columns)
 Step = Callable[[np.ndarray, int, list, list], tuple[list, list]]
@@ -54,30 +57,59 @@ def pack_blocks(indexed: DataFrame, keys: Sequence[str], carry: Sequence[str] =
     )
 
 
-def _fold_udf(step: Step):
-    def run(v: pd.Series, start: pd.Series, state: pd.Series, params: pd.Series) -> pd.DataFrame:
-        states, outs = [], []
-        for values, s, st, prm in zip(v, start, state, params, strict=True):
-            end, out = step(np.asarray(values, dtype=float), int(s), [float(x) for x in st], [float(x) for x in prm])
-            states.append([float(x) for x in end])
-            outs.append([np.asarray(o, dtype=float).tolist() for o in out])
-        return pd.DataFrame({"state": states, "out": outs})
+def _blocks_of(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[tuple]:
+    """Per block of a batch its arrays ``columns``, then start, entry state and parameters."""
+    for row in range(batch.num_rows):
+        start, entry, params = (batch.column(c)[row].as_py() for c in ("start", "entry", "params"))
+        yield [batch.column(c)[row].values for c in columns], start, entry, params
 
-    return F.pandas_udf(run, RESULT)
 
+def _states(entered: DataFrame, keys: Sequence[str], step: Step, more: Sequence[str] = ()) -> DataFrame:
+    """``entry`` and ``exit`` state of every block: a small row per block, the fold's output columns stay where they are.
+
+    A block with a NULL ``entry`` goes on from the block before it, so its task must have both, in order.
+    """
+    kept = [*keys, "blk", *more]
+    state = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for batch in batches:
+            entries, exits = [], []
+            for (v,), start, entry, params in _blocks_of(batch, ["v"]):
+                entries.append(end if entry is None else entry)
+                end = [float(x) for x in step(v.to_numpy(zero_copy_only=False), start, entries[-1], params)[0]]
+                exits.append(end)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(entries, state), pa.array(exits, state)], [*kept, "entry", "exit"])
+
+    read = [*kept, *[c for c in ("start", "v", "entry", "params") if c not in kept]]
+    return entered.select(*read).mapInArrow(run, f"{_ddl(entered, kept)}, entry array<double>, exit array<double>")
 
-def _unpack(folded: DataFrame, keys: Sequence[str], carry: Sequence[str], outputs: Sequence[str]) -> DataFrame:
-    """Back to one row per point, with the fold's output columns."""
-    zipped = F.arrays_zip(*[F.col(c) for c in ("v", *carry)], *[F.col("__r.out")[i].alias(o) for i, o in enumerate(outputs)])
-    # the outer form keeps the planner from folding once more to filter empty blocks
-    rows = folded.select(*keys, "start", F.posexplode_outer(zipped).alias("__p", "__row")).where("__p is not null")
-    return rows.select(
-        *keys,
-        (F.col("start") + F.col("__p")).alias("idx"),
-        F.col("__row.v").alias("value"),
-        *[F.col(f"__row.{c}").alias(c) for c in carry],
-        *[F.col(f"__row.{o}").alias(o) for o in outputs],
-    )
+
+def _rows(entered: DataFrame, keys: Sequence[str], carry: Sequence[str], outputs: Sequence[str], step: Step) -> DataFrame:
+    """One row per point with the fold's output columns, from blocks with their ``entry``.
+
+    A block goes out as flat columns before the next is folded, so Python holds the output of one block only, however many a task has.
+    """
+    keys, carry, outputs = list(keys), list(carry), list(outputs)
+    names = [*keys, "idx", "value", *carry, *outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (arrays, start, entry, params) in enumerate(_blocks_of(batch, ["v", *carry])):
+                v, n = arrays[0], len(arrays[0])
+                if not n:
+                    continue
+                _, out = step(v.to_numpy(zero_copy_only=False), start, entry, params)
+                at = pa.array(np.full(n, row))
+                idx = pa.array(np.arange(start, start + n, dtype="int64"))
+                filled = [pa.array(np.asarray(o, dtype=float)) for o in out[: len(outputs)]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], idx, *arrays, *filled], names)
+
+    types = dict(entered.dtypes)
+    carried = [f"`{c}` {types[c][len('array<') : -1]}" for c in carry]
+    schema = ", ".join([_ddl(entered, keys), "idx bigint", "value double", *carried, *[f"`{o}` double" for o in outputs]])
+    return entered.select(*keys, "start", "v", *carry, "entry", "params").mapInArrow(run, schema)
 
 
 def _chain(spans: DataFrame, keys: list[str], matrix: Callable[[int, int], np.ndarray], fan: int, longest: int) -> DataFrame:
@@ -162,39 +194,38 @@ def linear_fold(
     keys = list(keys)
     packed = _started(indexed, keys, initial, carry, block, written)
     opening = F.col("start") == F.col("first")
-    fold = _fold_udf(step)
     zero = F.array_repeat(F.lit(0.0), width)
     longest, followers = packed.agg(F.max("blk"), F.count_if(~opening)).first()
     if not followers:
         entered = packed.withColumn("entry", F.col("state"))
     else:
-        local = packed.withColumn("__r", fold("v", "start", F.when(opening, F.col("state")).otherwise(zero), "params"))
-        spans = local.select(*keys, "blk", "start", "n", F.col("__r.state").alias("b"))
-        entered = on_same(packed, _chain(spans, keys, matrix, fan, longest), [*keys, "blk"]).withColumn(
+        local = packed.withColumn("entry", F.when(opening, F.col("state")).otherwise(zero))
+        spans = _states(local, keys, step, ["start", "n"]).select(*keys, "blk", "start", "n", F.col("exit").alias("b"))
+        entered = join_small(packed, _chain(spans, keys, matrix, fan, longest), [*keys, "blk"]).withColumn(
             "entry", F.when(opening, F.col("state")).otherwise(F.col("entry"))
         )
-    return _unpack(entered.withColumn("__r", fold("v", "start", "entry", "params")), keys, carry, outputs)
+    return _rows(entered, keys, carry, outputs, step)
 
 
-def settle(
-    packed: DataFrame, keys: Sequence[str], entries: DataFrame, run: Column, exit_state: Column
-) -> DataFrame:
-    """Fold blocks until every block's entry state is the state its predecessor ended in.
+def settle(packed: DataFrame, keys: Sequence[str], entered: DataFrame, states: Callable[[DataFrame], DataFrame], stretch: int = 1) -> DataFrame:
+    """Fold blocks until every block's entry state is the state its predecessor ended in; returns keys, ``blk`` and that ``entry``.
 
-    ``packed`` has keys and ``blk``; ``entries`` has keys, ``blk`` and the guessed ``entry``.
-    ``run`` computes the result column ``__r`` from a packed row and its entry, ``exit_state`` is
-    read from it. Blocks without an entry yet wait for their predecessor. The rounds keep states
+    ``packed`` has keys and ``blk``; ``entered`` are those of its rows that are folded first, with a guessed ``entry``.
+    ``stretch`` blocks are folded one after the other in a round; only the first of them has an entry, the others have NULL.
+    ``states`` gives keys, ``blk``, ``entry`` and ``exit`` of packed rows with their entry.
+    Blocks without an entry yet wait for their predecessor. The rounds keep states
     only, one row per block; the caller folds once more from the settled ``entry`` for the output.
     """
     keys = list(keys)
     at = [*keys, "blk"]
+    run = F.floor(F.col("blk") / F.lit(stretch)).cast("bigint")
 
     spark, path, rounds = packed.sparkSession, scratch(packed.sparkSession, "rounds"), 0
 
-    def fold(todo: DataFrame) -> DataFrame:
+    def fold(rows: DataFrame) -> DataFrame:
         """Fold some blocks and append their states as the next round; returns that round alone."""
         nonlocal rounds
-        folded = on_same(packed, todo, at).withColumn("__r", run).select(*at, "entry", exit_state.alias("exit"))
+        folded = states(rows).select(*at, "entry", "exit")
         folded.write.parquet(f"{path}/round={rounds}")
         rounds += 1
         return spark.read.schema(folded.schema).parquet(f"{path}/round={rounds - 1}")
@@ -205,10 +236,11 @@ def settle(
         return every.groupBy(*at).agg(F.max_by("entry", "round").alias("entry"))
 
     waiting = packed.select(*at)
-    done = fold(entries)
+    done = fold(entered)
     while True:
         # only what was folded in the last round can pass on something new
-        passed = done.select(*keys, (F.col("blk") + 1).alias("blk"), F.col("exit").alias("__new"))
+        ends = done.where(F.pmod(F.col("blk") + 1, F.lit(stretch)) == 0)
+        passed = ends.select(*keys, (F.col("blk") + 1).alias("blk"), F.col("exit").alias("__new"))
         known = settled()
         todo = materialize(
             on_same(on_same(passed, waiting, at), known, at, "left")
@@ -217,7 +249,10 @@ def settle(
         )
         if todo.limit(1).count() == 0:
             return settled()
-        done = fold(todo)
+        # what is to be folded again is small and written: it goes to the blocks, which stay where they are
+        again = todo.withColumn("__run", run).withColumnRenamed("blk", "__at")
+        rows = on_same(packed.withColumn("__run", run), again, [*keys, "__run"])
+        done = fold(rows.withColumn("entry", F.when(F.col("blk") == F.col("__at"), F.col("entry"))))
 
 
 def reset_fold(
@@ -230,17 +265,24 @@ def reset_fold(
     carry: Sequence[str] = ("ts",),
     block: int = BLOCK,
     written: DataFrame | None = None,
+    stretch: int = STRETCH,
 ) -> DataFrame:
-    """Fold with resets; ``guess`` is the entry state tried first for blocks after the opening one."""
+    """Fold with resets; ``guess`` is the entry state tried first for stretches after the opening one."""
     keys = list(keys)
     packed = _started(indexed, keys, initial, carry, block, written)
     opening = F.col("start") == F.col("first")
     guessed = F.col("state") if guess is None else F.when(opening, F.col("state")).otherwise(guess)
-    entries = packed.select(*keys, "blk", guessed.alias("entry"))
-    fold = _fold_udf(step)
-    run = fold("v", "start", "entry", "params")
-    settled = settle(packed, keys, entries, run, F.col("__r.state"))
-    return _unpack(on_same(packed, settled, [*keys, "blk"]).withColumn("__r", run), keys, carry, outputs)
+    run = F.floor(F.col("blk") / F.lit(stretch)).cast("bigint")
+    heads = opening | (F.pmod("blk", F.lit(stretch)) == 0)
+    entered = packed.withColumn("entry", F.when(heads, guessed))
+
+    def states(rows: DataFrame) -> DataFrame:
+        """The blocks of a stretch one after the other in one task, which holds the state of the last."""
+        dealt = rows.select(*keys, "blk", "start", "v", "entry", "params").withColumn("__run", run)
+        return _states(dealt.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "blk"), keys, step)
+
+    settled = settle(packed, keys, entered, states, stretch)
+    return _rows(join_small(packed, settled, [*keys, "blk"]), keys, carry, outputs, step)
 
 
 # --- the recurrences -------------------------------------------------------------------------

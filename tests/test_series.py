@@ -140,6 +140,28 @@ def test_reset_folds_equal_loops(points, walks, block):
     assert all(ph[k][0] == pytest.approx(want_ph[k]) for k in ph)
 
 
+def _drift_start(points):
+    return points.where("idx = 0").select(
+        "series", F.array(F.col("value"), F.lit(0.0)).alias("state"), F.array().cast("array<double>").alias("params"), F.lit(1).cast("bigint").alias("first")
+    )
+
+
+@pytest.mark.parametrize("stretch", [1, 3])
+def test_stretches_of_blocks_equal_loop(points, walks, stretch):
+    out = folds.reset_fold(points, KEYS, folds.drift_step(0.005, 5.0), _drift_start(points), ["score"], F.array(F.col("v")[0], F.lit(0.0)), block=40, stretch=stretch)
+    got = {k: v[0] for k, v in keyed(out.where("score > 0"), "score").items()}
+    want = {(name, i): s for name, xs in by_series(walks).items() for i, s in loop_drift(xs).items()}
+    assert got == {k: pytest.approx(s) for k, s in want.items()} and got
+
+
+def test_rounds_do_not_follow_the_number_of_blocks(points, monkeypatch):
+    rounds, plain = [], folds._states
+    monkeypatch.setattr(folds, "_states", lambda *a: rounds.append(1) or plain(*a))
+    # without an alarm no guess of the mean comes true: a round for each of 20 blocks before
+    folds.reset_fold(points, KEYS, folds.drift_step(0.005, 1e9), _drift_start(points), ["score"], F.array(F.col("v")[0], F.lit(0.0)), block=20)
+    assert len(rounds) == 1
+
+
 def test_ewma_control_equals_loop(points, walks):
     got = {(r["series"], r["idx"]) for r in anomaly.ewma_control(points, KEYS, CFG).collect()}
     want = set()
