@@ -6,9 +6,10 @@ addresses in disguise. Boosted trees score these candidates by their format (dig
 on the plain form) and context (cues in the words before, characters on both sides). A candidate is added if its
 score reaches its kind's threshold, it overlaps no base span, and no better candidate that reached its own overlaps it.
 
-There are no labelled spans, so ``fit`` makes them from at most about ``SAMPLE`` base spans per kind, each with its
+There are no labelled spans, so they are made from all base spans, each with its
 context: as they stand and in the generators' disguises as positives, damaged so that they fail
-their check (and, for telephone numbers, with digits missing) as negatives, together with matches that fail. A fifth is held out, and sets for
+their check (and, for telephone numbers, with digits missing) as negatives, together with all matches that fail. Spans that look alike to the trees
+are one training row with their number as its weight, so the fit does not grow with the texts. A fifth is held out, and sets for
 every kind the lowest threshold at which ``PRECISION`` of the held-out spans at or above it are positive.
 
 Texts are read once; what goes on is one row of spans and candidates per document. Spans are shuffled only to sort out
@@ -60,7 +61,6 @@ CUES = {
 }
 AGAINST = r"(?i)(?:version|\bv|isbn|issn|order|invoice|serial|part|page|rev|build|license|id|hash|date)[^0-9\n]{0,12}$"
 
-SAMPLE = 2000
 PRECISION = 0.98
 BEFORE, AFTER = 40, 8
 
@@ -130,18 +130,15 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return out.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(name) for name, c in columns.items()]), list(columns)
 
 
-def labelled(slim: DataFrame, sample: int) -> DataFrame:
-    """(kind, value, before, after, label) from a bounded sample of base spans and failed matches."""
+def labelled(slim: DataFrame) -> DataFrame:
+    """(kind, value, before, after, label) from all base spans and failed matches."""
     parts = []
     for kind in KINDS:
         for part, label in (("base", 1.0), ("fail", 0.0)):
-            parts.append(slim.select("row", F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.explode(f"{part}_{kind}").alias("x")).select("row", "kind", "label", "x.*"))
-    every = parts[0]
+            parts.append(slim.select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.explode(f"{part}_{kind}").alias("x")).select("kind", "x.value", "x.before", "x.after", "label"))
+    rows = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    sizes = every.groupBy("kind", "label").agg(F.count("*").alias("__n"))  # at most eight rows
-    place = F.pmod(F.xxhash64("row", "start", "kind"), F.lit(1 << 20)) / float(1 << 20)
-    rows = every.join(F.broadcast(sizes), ["kind", "label"]).filter(place * F.col("__n") < sample).select("kind", "value", "before", "after", "label")
+        rows = rows.unionByName(p)
     value, kind, good = F.col("value"), F.col("kind"), F.col("label") == 1.0
     disguised = (
         F.when(kind == "email", F.regexp_replace(F.regexp_replace(value, "@", " (at) "), r"\.", " (dot) "))
@@ -163,18 +160,25 @@ def labelled(slim: DataFrame, sample: int) -> DataFrame:
     )
 
 
-def scored(slim: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame | None:
+def training(slim: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The different rows that ``labelled`` shows to the trees, each with ``held`` and its number as ``weight``; and the features' names."""
+    seen, names = features(labelled(slim))
+    held = (F.pmod(F.xxhash64("before", "kind"), F.lit(5)) == 0).alias("held")
+    return seen.groupBy("kind", "label", held, *names).agg(F.count("*").cast("double").alias("weight")), names
+
+
+def scored(slim: DataFrame, precision: float = PRECISION) -> DataFrame | None:
     """The candidates with score and threshold of their kind; None where there is nothing to learn from."""
-    train, names = features(labelled(slim, sample))
-    train = materialize(train.orderBy(F.xxhash64("kind", "value", "before", "after"), "label"))
+    train, names = training(slim)
+    train = materialize(train.orderBy("kind", "label", "held", *names))
     seen = {r.label for r in train.select("label").distinct().collect()}
     if len(seen) < 2:
         return None
     vectors = VectorAssembler(inputCols=names, outputCol="features")
-    held = F.pmod(F.xxhash64("before", "kind"), F.lit(5)) == 0
-    fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, seed=1).fit(vectors.transform(train.filter(~held)))
+    held = F.col("held")
+    fitted = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=12, maxDepth=3, seed=1).fit(vectors.transform(train.filter(~held)))
     rate = lambda df: fitted.transform(vectors.transform(df)).withColumn("score", vector_to_array("probability")[1])
-    bins = rate(train.filter(held)).groupBy("kind", F.round("score", 2).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    bins = rate(train.filter(held)).groupBy("kind", F.round("score", 2).alias("bin")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n"))
     above = Window.partitionBy("kind").orderBy(F.desc("bin"))  # at most a hundred bins a kind
     reached = bins.withColumn("share", F.sum("good").over(above) / F.sum("n").over(above)).filter((F.col("share") >= precision) & (F.col("bin") >= 0.5))
     least = reached.groupBy("kind").agg(F.min("bin").alias("least"))
