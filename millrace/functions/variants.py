@@ -24,8 +24,11 @@ NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once, so that its uses in ``body`` don't compute it again."""
-    return F.transform(F.array(value), body)[0]
+    """Bind ``value`` once, so that its uses in ``body`` don't compute it again.
+
+    As the last step of a fold over nothing, which starts from ``value``: no array is built, and no type of an element is looked up per row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def nesting(text: Column) -> Column:

@@ -3,45 +3,47 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variants import let
 from .documents import get_path
 from .positions import with_position, with_previous
 
 
-def _list(*tokens: Column) -> Column:
-    return F.array_compact(F.array(*tokens)) if tokens else F.array().cast("array<string>")
+def tokens(*found: Column) -> Column:
+    """The tokens that are not NULL; none is blank. Unlike a filter with a lambda, this is compiled."""
+    return F.array_remove(F.array(*[F.coalesce(t, F.lit("")) for t in found]), "") if found else F.array().cast("array<string>")
 
 
 def kind_of(v: Column) -> Column:
     """JSON type name of a variant; NULL where there is no value at all."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t.startswith("OBJECT"), "object")
+    return let(
+        F.schema_of_variant(v),
+        lambda t: F.when(t.startswith("OBJECT"), "object")
         .when(t.startswith("ARRAY"), "array")
         .when(t == "STRING", "string")
         .when(t == "BOOLEAN", "bool")
         .when(t == "VOID", "null")
-        .when(t.isNotNull(), "number")
+        .when(t.isNotNull(), "number"),
     )
 
 
 def validate_rules(doc: Column, rules: Sequence[tuple[str, str, bool]]) -> Column:
-    """Sorted violations of (path, type, required) rules over a variant document."""
-    found = []
-    for path, want, required in rules:
-        v = get_path(doc, path, "variant")
-        got = kind_of(v)
-        wrong = F.lit(False) if want in ("", "any") else (got != want)
-        found.append(
-            F.when(got.isNull(), F.lit(f"missing:{path}") if required else F.lit(None)).when(
-                wrong, F.concat(F.lit(f"type_mismatch:{path}:{want}:"), got)
-            )
+    """Sorted violations of (path, type, required) rules over a variant document; each path is read once."""
+
+    def problem(path: str, want: str, required: bool) -> Column:
+        wrong = lambda got: F.lit(False) if want in ("", "any") else (got != want)
+        return let(
+            kind_of(get_path(doc, path, "variant")),
+            lambda got: F.when(got.isNull(), F.lit(f"missing:{path}") if required else F.lit(None)).when(
+                wrong(got), F.concat(F.lit(f"type_mismatch:{path}:{want}:"), got)
+            ),
         )
-    return F.sort_array(_list(*found))
+
+    return F.sort_array(tokens(*[problem(*rule) for rule in rules]))
 
 
 # --- JSON Schema contracts --------------------------------------------------------------------
@@ -52,24 +54,17 @@ KEYWORDS = (
     "type const enum minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf items minItems maxItems "
     "required properties additionalProperties minProperties maxProperties propertyNames allOf anyOf oneOf not"
 ).split()
+NUMERIC = {"number", "integer", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"}
 ANNOTATIONS = "$schema $id $comment title description default examples format deprecated readOnly writeOnly".split()
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def validate_contract(schema: Mapping, doc: Column, at: str = "$") -> Column:
     """Problems of a variant document against a JSON Schema, compiled once into one expression.
 
     Covers the keywords in ``KEYWORDS``. Any other keyword that is no annotation raises: a rule that
     is not checked must not look like one that holds. Every node of the document is read once.
     """
-    unknown = set(schema) - set(KEYWORDS) - set(ANNOTATIONS)
-    if unknown:
-        raise ValueError(f"{at}: schema keywords without a check: {sorted(unknown)}")
-    return bound(doc, lambda d: _validate_node(schema, d, at))
+    return let(doc, lambda d: _validate_node(schema, d, at))
 
 
 def _bad_name(schema: Mapping, name: Column) -> Column:
@@ -89,13 +84,24 @@ def _bad_name(schema: Mapping, name: Column) -> Column:
 
 
 def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
-    t = F.schema_of_variant(doc)
+    """Problems of a bound document: its type and its number are found once, then all checks use them."""
+    unknown = set(schema) - set(KEYWORDS) - set(ANNOTATIONS)
+    if unknown:
+        raise ValueError(f"{at}: schema keywords without a check: {sorted(unknown)}")
+    number = lambda t: F.when(
+        t.startswith("BIGINT") | t.startswith("DOUBLE") | t.startswith("FLOAT") | t.startswith("DECIMAL"), F.try_variant_get(doc, "$", "double")
+    )
+    if not NUMERIC & {*schema, *([schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", []))}:
+        return let(F.schema_of_variant(doc), lambda t: _problems(schema, doc, t, F.lit(None).cast("double"), at))
+    return let(F.schema_of_variant(doc), lambda t: let(number(t), lambda n: _problems(schema, doc, t, n, at)))
+
+
+def _problems(schema: Mapping, doc: Column, t: Column, number: Column, at: str) -> Column:
     is_object, is_array, is_text = t.startswith("OBJECT"), t.startswith("ARRAY"), t == "STRING"
-    number = F.when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(doc, "$", "double"))
     text = F.when(is_text, F.try_variant_get(doc, "$", "string"))
     size = F.when(is_array, F.size(F.try_variant_get(doc, "$", "array<variant>")))
     flag = lambda bad, word: F.when(bad, F.lit(f"{at}:{word}"))
-    tokens, nested = [], []
+    found, nested = [], []
 
     if "type" in schema:
         allowed = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -111,13 +117,13 @@ def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
         fits = F.lit(False)
         for name in allowed:
             fits = fits | F.coalesce(tests[name], F.lit(False))
-        tokens.append(flag(~fits, "type"))
+        found.append(flag(~fits, "type"))
     plain = F.to_json(doc)
     literal = lambda x: F.to_json(F.parse_json(F.lit(json.dumps(x))))
     if "const" in schema:
-        tokens.append(flag(~plain.eqNullSafe(literal(schema["const"])), "const"))
+        found.append(flag(~plain.eqNullSafe(literal(schema["const"])), "const"))
     if "enum" in schema:
-        tokens.append(flag(~F.coalesce(plain.isin(*[literal(x) for x in schema["enum"]]), F.lit(False)), "enum"))
+        found.append(flag(~F.coalesce(plain.isin(*[literal(x) for x in schema["enum"]]), F.lit(False)), "enum"))
     bounds = {
         "minLength": lambda x: F.length(text) < x,
         "maxLength": lambda x: F.length(text) > x,
@@ -130,21 +136,21 @@ def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
         "minItems": lambda x: size < x,
         "maxItems": lambda x: size > x,
     }
-    tokens += [flag(test(schema[word]), word) for word, test in bounds.items() if word in schema]
+    found += [flag(test(schema[word]), word) for word, test in bounds.items() if word in schema]
     present = lambda name: F.try_variant_get(doc, f"$['{name}']", "variant")
     for name in schema.get("required", []):
-        tokens.append(F.when(is_object & present(name).isNull(), F.lit(f"{at}.{name}:required")))
+        found.append(F.when(is_object & present(name).isNull(), F.lit(f"{at}.{name}:required")))
     keys = F.when(is_object, F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>")))
     for word, bad in (("minProperties", lambda n: F.size(keys) < n), ("maxProperties", lambda n: F.size(keys) > n)):
         if word in schema:
-            tokens.append(flag(is_object & bad(schema[word]), word))
+            found.append(flag(is_object & bad(schema[word]), word))
     if "propertyNames" in schema:
         wrong = F.filter(keys, lambda k: _bad_name(schema["propertyNames"], k))
-        tokens.append(flag(is_object & (F.size(wrong) > 0), "propertyNames"))
+        found.append(flag(is_object & (F.size(wrong) > 0), "propertyNames"))
     known = schema.get("properties", {})
     for name, sub in known.items():
-        child = present(name)
-        nested.append(F.when(is_object & child.isNotNull(), validate_contract(sub, child, f"{at}.{name}")))
+        inner = lambda c: F.when(c.isNotNull(), _validate_node(sub, c, f"{at}.{name}"))  # noqa: B023
+        nested.append(let(F.when(is_object, present(name)), inner))
     extra = schema.get("additionalProperties", True)
     if extra is not True:
         fields = F.when(is_object, F.try_variant_get(doc, "$", "map<string,variant>"))
@@ -152,20 +158,21 @@ def _validate_node(schema: Mapping, doc: Column, at: str) -> Column:
         if extra is False:
             nested.append(F.transform(F.map_keys(others), lambda k: F.concat(F.lit(f"{at}."), k, F.lit(":additional"))))
         else:
-            nested.append(F.flatten(F.transform(F.map_values(others), lambda x: validate_contract(extra, x, f"{at}.*"))))
+            nested.append(F.flatten(F.transform(F.map_values(others), lambda x: _validate_node(extra, x, f"{at}.*"))))
     if "items" in schema:
         items = F.when(is_array, F.try_variant_get(doc, "$", "array<variant>"))
-        nested.append(F.flatten(F.transform(items, lambda x: validate_contract(schema["items"], x, f"{at}[]"))))
-    passing = lambda sub: F.size(validate_contract(sub, doc, at)) == 0
-    nested += [validate_contract(sub, doc, at) for sub in schema.get("allOf", [])]
+        nested.append(F.flatten(F.transform(items, lambda x: _validate_node(schema["items"], x, f"{at}[]"))))
+    passing = lambda sub: F.size(_validate_node(sub, doc, at)) == 0
+    nested += [_validate_node(sub, doc, at) for sub in schema.get("allOf", [])]
     for word, bad in (("anyOf", lambda n: n < 1), ("oneOf", lambda n: n != 1)):
         if word in schema:
             hits = sum((passing(sub).cast("int") for sub in schema[word]), F.lit(0))
-            tokens.append(flag(bad(hits), word))
+            found.append(flag(bad(hits), word))
     if "not" in schema:
-        tokens.append(flag(passing(schema["not"]), "not"))
+        found.append(flag(passing(schema["not"]), "not"))
     empty = F.array().cast("array<string>")
-    return F.concat(_list(*tokens), *[F.coalesce(n, empty) for n in nested])
+    # flattened, as concat of several lists costs more per row
+    return F.flatten(F.array(tokens(*found), *[F.coalesce(n, empty) for n in nested])) if nested else tokens(*found)
 
 
 # --- typed envelopes --------------------------------------------------------------------------
@@ -213,7 +220,7 @@ def _needed(*names: str) -> list[Column]:
 def validate_event() -> Column:
     """Problems of event envelope rows: identifiers, type, times, the ids it refers to, and its hashes in either case."""
     links = ("trace_id", "span_id", "parent_event_id", "correlation_id")
-    return _list(
+    return tokens(
         _text_rule("id", OPAQUE_ID),
         _text_rule("tenant", OPAQUE_ID),
         _text_rule("type", EVENT_TYPE),
@@ -227,7 +234,7 @@ def validate_event() -> Column:
 def validate_source() -> Column:
     """Problems of source rows: identity, state, bounded texts and limits, schema and configuration hashes."""
     ref = F.trim("external_ref")
-    return _list(
+    return tokens(
         _text_rule("id", OPAQUE_ID),
         _text_rule("tenant", OPAQUE_ID),
         _text_rule("kind", SOURCE_KIND),
@@ -250,7 +257,7 @@ def validate_source() -> Column:
 def validate_case() -> Column:
     """Problems of case rows; list members are checked as well as the scalar fields."""
     members = F.coalesce(F.exists("related_events", lambda x: ~x.rlike(OPAQUE_ID)), F.lit(False))
-    return _list(
+    return tokens(
         _text_rule("id", OPAQUE_ID),
         _text_rule("tenant", OPAQUE_ID),
         F.when(F.coalesce(F.trim("title") == "", F.lit(True)), F.lit("title:required")),
@@ -265,7 +272,7 @@ def validate_case() -> Column:
 
 def validate_artifact() -> Column:
     """Problems of stored-object rows (key, hash, size, capture time)."""
-    return _list(
+    return tokens(
         _text_rule("id", OPAQUE_ID),
         _text_rule("tenant", OPAQUE_ID),
         _text_rule("sha256", SHA256),
@@ -283,7 +290,7 @@ def validate_metric() -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.struct(F.get(c, i - 1).alias("a"), F.get(c, i).alias("b"))
     )
     climbs = lambda c, bad: has(c) & (F.size(c) > 1) & F.exists(steps(c), bad)
-    return _list(
+    return tokens(
         F.when(~F.coalesce(kind.isin("gauge", "counter", "histogram", "summary"), F.lit(False)), F.lit("type:invalid")),
         _text_rule("tenant", OPAQUE_ID),
         *_needed("observed"),

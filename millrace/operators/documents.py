@@ -155,21 +155,28 @@ def _is(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
-def expand_records(df: DataFrame, payload: str) -> DataFrame:
+def expand_records(df: DataFrame, payload: str, unreadable: str | None = None) -> DataFrame:
     """One row per record of each payload, as variant column ``record`` with its ``pos``.
 
     Recognised, in this order: ``prices`` with optional ``market_caps`` and ``total_volumes`` pair
     lists; an object whose values are all objects; ``hourly`` with parallel arrays; a header row
     followed by array rows; an array; ``{results: [...]}``; a single object.
+
+    With ``unreadable`` a payload that is no JSON gives a row, too: without ``pos`` and ``record``, its text in that column.
     """
     rest = [c for c in df.columns if c != payload]
     v = F.try_parse_json(payload)
     fields = F.when(_is(v, "OBJECT"), F.from_json(payload, "map<string,variant>"))
     parsed = F.struct(v.alias("v"), fields.alias("m"), _array_of(v).alias("a"))
-    records = let(parsed, lambda p: _records(p["v"], p["m"], p["a"]))
+    records = let(parsed, lambda p: F.when(p["v"].isNotNull(), _records(p["v"], p["m"], p["a"])))
     # the outer form keeps the planner from computing the records once more as a filter
-    rows = df.where(v.isNotNull()).select(*rest, F.posexplode_outer(records).alias("pos", "record"))
-    return rows.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = df.select(*rest, F.col(payload).alias("__text"), F.posexplode_outer(records).alias("pos", "record"))
+    found = F.col("pos").isNotNull()
+    columns = [*rest, F.col("pos").cast("bigint").alias("pos"), "record"]
+    if unreadable is None:
+        return rows.where(found).select(*columns)
+    # a payload without rows is an empty list or no JSON: only such texts are read once more
+    return rows.where(found | F.try_parse_json("__text").isNull()).select(*columns, F.when(~found, F.col("__text")).alias(unreadable))
 
 
 def _array_of(c: Column) -> Column:

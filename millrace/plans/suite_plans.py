@@ -32,12 +32,11 @@ ORDERS = ingest.Profile(
 def _(spark, sf):
     good, bad = ingest.run(payloads(spark, sf), "payload", ORDERS)
     price = F.get_json_object("payload", "$.p").cast("double")
-    sides = good.select("shape", F.lit("record").alias("side"), "record_id", F.col("data.measures.price").alias("p")).unionByName(
-        bad.select("shape", F.lit("quarantine").alias("side"), F.lit(None).cast("string").alias("record_id"), price.alias("p"))
-    )
-    return sides.groupBy("shape", "side").agg(
-        F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"), F.round(F.sum("p"), 2).alias("total")
+    digest = F.unhex(F.substring_index("record_id", ":", -1))  # the ids' hashes are counted as bytes
+    sides = good.select("shape", F.lit("record").alias("side"), digest.alias("id"), F.col("data.measures.price").alias("p")).unionByName(
+        bad.select("shape", F.lit("quarantine").alias("side"), F.lit(None).cast("binary").alias("id"), price.alias("p"))
     )
+    return sides.groupBy("shape", "side").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.round(F.sum("p"), 2).alias("total"))
 
 
 def _inputs(spark, sf):
