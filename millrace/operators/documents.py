@@ -150,9 +150,8 @@ def flatten_paths(df: DataFrame, keys: Sequence[str], doc: str, levels: int | No
 
 # --- expansion --------------------------------------------------------------------------------
 
-
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+#: Casts of a variant: rows of cells, lists by name, and names with whether the value is an object (NULL: it is none).
+ROWS, LISTS, KINDS = "array<array<variant>>", "map<string,array<variant>>", "map<string,struct<>>"
 
 
 def expand_records(df: DataFrame, payload: str, unreadable: str | None = None) -> DataFrame:
@@ -165,10 +164,7 @@ def expand_records(df: DataFrame, payload: str, unreadable: str | None = None) -
     With ``unreadable`` a payload that is no JSON gives a row, too: without ``pos`` and ``record``, its text in that column.
     """
     rest = [c for c in df.columns if c != payload]
-    v = F.try_parse_json(payload)
-    fields = F.when(_is(v, "OBJECT"), F.from_json(payload, "map<string,variant>"))
-    parsed = F.struct(v.alias("v"), fields.alias("m"), _array_of(v).alias("a"))
-    records = let(parsed, lambda p: F.when(p["v"].isNotNull(), _records(p["v"], p["m"], p["a"])))
+    records = let(F.try_parse_json(payload), lambda v: F.when(v.isNotNull(), _records(v, F.col(payload))))
     # the outer form keeps the planner from computing the records once more as a filter
     rows = df.select(*rest, F.col(payload).alias("__text"), F.posexplode_outer(records).alias("pos", "record"))
     found = F.col("pos").isNotNull()
@@ -179,30 +175,34 @@ def expand_records(df: DataFrame, payload: str, unreadable: str | None = None) -
     return rows.where(found | F.try_parse_json("__text").isNull()).select(*columns, F.when(~found, F.col("__text")).alias(unreadable))
 
 
-def _array_of(c: Column) -> Column:
-    return F.when(_is(c, "ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
-
-
-def _records(v: Column, m: Column, a: Column) -> Column:
-    """Records of one parsed payload: ``m`` its fields if an object, ``a`` its elements if an array."""
-    field = lambda name: F.try_element_at(m, F.lit(name))
-    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    lists = F.struct(*[_array_of(field(n)).alias(n) for n in ("prices", "market_caps", "total_volumes")])
-    hourly = F.try_variant_get(field("hourly"), "$", "map<string,variant>")
-    clock = _array_of(F.try_element_at(hourly, F.lit("time")))
-    objects = (F.size(m) > 0) & F.forall(F.map_values(m), lambda x: _is(x, "OBJECT"))
-    header = F.try_variant_get(F.get(a, F.lit(0)), "$", "array<string>")
-    result_key = F.get(F.filter(F.map_keys(m), lambda k: F.lower(k) == "results"), F.lit(0))
-    results = _array_of(F.try_element_at(m, result_key))
-    return (
-        F.when(has(_array_of(field("prices"))), let(lists, _quotes))
-        .when(F.coalesce(objects, F.lit(False)), _by_id(m))
-        .when(has(clock), let(hourly, _by_hour))
-        .when(has(a) & _is(F.get(a, F.lit(0)), "ARRAY") & _is(F.get(a, F.lit(1)), "ARRAY"), let(header, lambda h: _named(h, a)))
-        .when(a.isNotNull(), a)
-        .when(results.isNotNull(), results)
-        .otherwise(F.array(v))
-    )
+def _records(v: Column, text: Column) -> Column:
+    """Records of one parsed payload. Shapes are told by single paths and by ``KINDS``, which copy no values; only the shape found is opened."""
+    found = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
+    row = lambda path: F.try_variant_get(v, path, "array<struct<>>").isNotNull()
+    lists = F.struct(*[F.try_variant_get(v, f"$.{n}", ROWS).alias(n) for n in ("prices", "market_caps", "total_volumes")])
+    table = F.struct(F.try_variant_get(v, "$[0]", "array<string>").alias("header"), F.try_variant_get(v, "$", ROWS).alias("rows"))
+
+    def of_object(kinds: Column) -> Column:
+        objects = (F.size(kinds) > 0) & F.forall(F.map_values(kinds), lambda x: x.isNotNull())
+        return (
+            F.when(found("$.prices[0]"), let(lists, _quotes))
+            .when(objects, let(variants.fields(v), _by_id))
+            .when(found("$.hourly.time[0]"), let(F.try_variant_get(v, "$.hourly", LISTS), _by_hour))
+            .otherwise(F.coalesce(let(_named_results(F.map_keys(kinds)), lambda names: _results(v, names, text)), F.array(v)))
+        )
+
+    of_array = F.when(row("$[0]") & row("$[1]"), let(table, _named)).otherwise(variants.items(v))
+    return let(F.try_variant_get(v, "$", KINDS), lambda kinds: F.when(kinds.isNotNull(), of_object(kinds)).otherwise(F.coalesce(of_array, F.array(v))))
+
+
+def _named_results(names: Column) -> Column:
+    return F.filter(names, lambda k: F.lower(k) == "results")
+
+
+def _results(v: Column, names: Column, text: Column) -> Column:
+    """The list under the name found; of several spellings the first in the text counts."""
+    first = F.when(F.size(names) == 1, F.get(names, 0)).otherwise(F.get(_named_results(F.json_object_keys(text)), 0))
+    return F.when(F.size(names) > 0, variants.items(F.try_element_at(variants.fields(v), first)))
 
 
 def _quotes(lists: Column) -> Column:
@@ -210,15 +210,14 @@ def _quotes(lists: Column) -> Column:
     prices, caps, vols = lists["prices"], lists["market_caps"], lists["total_volumes"]
     filled = lambda c: F.nullif(F.greatest(F.size(c), F.lit(0)), F.lit(0))
     length = F.least(F.size(prices), filled(caps), filled(vols))
-    pair = lambda c, i: F.try_variant_get(c, f"$[{i}]", "variant")
     return F.transform(
         F.slice(prices, 1, length),
         lambda p, i: F.to_variant_object(
             F.struct(
-                pair(p, 0).alias("timestamp"),
-                pair(p, 1).alias("price"),
-                pair(F.get(caps, i), 1).alias("market_cap"),
-                pair(F.get(vols, i), 1).alias("volume"),
+                F.get(p, 0).alias("timestamp"),
+                F.get(p, 1).alias("price"),
+                F.get(F.get(caps, i), 1).alias("market_cap"),
+                F.get(F.get(vols, i), 1).alias("volume"),
             )
         ),
     )
@@ -226,35 +225,36 @@ def _quotes(lists: Column) -> Column:
 
 def _by_id(m: Column) -> Column:
     """One record per key, in key order, with the key as ``crypto_id``."""
-    text = lambda k: F.try_variant_get(F.parse_json(F.to_json(F.array(k))), "$[0]", "variant")
-    entries = F.sort_array(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
+    keys, entries = F.map_keys(m), F.map_entries(m)
+    # a variant has its fields by UTF-16 units, which is the order of the bytes but for rare letters; variants can't be sorted along
+    texts = F.sort_array(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
+    parsed = F.transform(texts, lambda e: F.struct(e["key"].alias("key"), F.parse_json(e["value"]).alias("value")))
     return F.transform(
-        entries,
+        F.when(F.sort_array(keys) == keys, entries).otherwise(parsed),
         lambda e: F.to_variant_object(
             F.map_concat(
-                F.create_map(F.lit("crypto_id"), text(e["key"])),
-                F.map_filter(F.from_json(e["value"], "map<string,variant>"), lambda n, _: n != "crypto_id"),
+                F.create_map(F.lit("crypto_id"), e["key"].cast("variant")),
+                F.map_filter(variants.fields(e["value"]), lambda n, _: n != "crypto_id"),
             )
         ),
     )
 
 
-def _by_hour(hourly: Column) -> Column:
+def _by_hour(lists: Column) -> Column:
     """One record per position of the ``time`` list, from all lists of that length."""
-    arrays = F.transform_values(hourly, lambda _, x: _array_of(x))
     steps = lambda ls: F.size(F.try_element_at(ls, F.lit("time")))
-    same = lambda ls: F.map_filter(ls, lambda _, x: F.coalesce(F.size(x) == steps(ls), F.lit(False)))
+    same = F.map_filter(lists, lambda _, x: F.coalesce(F.size(x) == steps(lists), F.lit(False)))
     rows = lambda ls: F.transform(
         F.sequence(F.lit(0), steps(ls) - 1), lambda i: F.to_variant_object(F.transform_values(ls, lambda _, x: F.get(x, i)))
     )
-    return let(arrays, lambda ls: let(same(ls), rows))
+    return let(same, rows)
 
 
-def _named(header: Column, rows: Column) -> Column:
+def _named(table: Column) -> Column:
     """Array rows after a header row as objects."""
-    body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: _is(x, "ARRAY"))
-    cells = lambda x: F.try_variant_get(x, "$", "array<variant>")
-    return F.transform(body, lambda x: F.to_variant_object(_row_map(header, cells(x))))
+    header, rows = table["header"], table["rows"]
+    body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: x.isNotNull())
+    return F.transform(body, lambda cells: F.to_variant_object(_row_map(header, cells)))
 
 
 def _row_map(header: Column, cells: Column) -> Column:

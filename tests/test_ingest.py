@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, variants
-from millrace.operators import contracts
+from millrace.operators import contracts, documents
 from millrace.plans import ingest
 
 PROFILE = ingest.Profile(
@@ -54,3 +54,29 @@ def test_checks_read_a_value_once(spark):
 def test_let_builds_no_array(spark):
     df = spark.range(1).select(variants.let(F.col("id") + 1, lambda x: x * x + x).alias("x"))
     assert df.first()[0] == 2 and analyzed(df, "transform(") == 0
+
+
+def test_expansion_keeps_odd_shapes(spark):
+    cases = {
+        '{"b": {"crypto_id": "z", "x": 1e3}, "a": {}}': ['{"crypto_id":"a"}', '{"crypto_id":"b","x":1000.0}'],
+        '{"\\uffee": {"k": 2}, "\\ud83d\\ude00": {"k": 1}}': ['{"crypto_id":"￮","k":2}', '{"crypto_id":"\U0001f600","k":1}'],
+        '{"prices": [[1, null], 3, [7]], "total_volumes": {"a": 1}}': [f'{{"market_cap":null,"price":null,"timestamp":{t},"volume":null}}' for t in (1, "null", 7)],
+        '{"prices": [], "a": {"b": 1}}': ['{"a":{"b":1},"prices":[]}'],
+        '{"results": [1], "Results": [2]}': ["1"],
+        '{"Results": [2], "results": [1]}': ["2"],
+        '{"results": {"a": 1}, "RESULTS": [3]}': ['{"RESULTS":[3],"results":{"a":1}}'],
+        '[["a", "b"], [1], [1, 2, 3], null, 5]': ['{"a":1}', '{"a":1,"b":2}'],
+        '[["a"], 5]': ['["a"]', "5"],
+        '{"hourly": {"time": [null], "t": [2], "s": "x"}, "n": 1}': ['{"t":2,"time":null}'],
+        "null": ["null"],
+        "{}": ["{}"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, payload string")
+    rows = documents.expand_records(df, "payload").select("id", "pos", F.to_json("record").alias("r")).orderBy("id", "pos").collect()
+    assert {i: [r["r"] for r in rows if r["id"] == i] for i in range(len(cases))} == dict(enumerate(cases.values()))
+
+
+def test_expansion_parses_a_payload_once(spark):
+    df = spark.createDataFrame([('{"a": 1}',)], "payload string")
+    plan = documents.expand_records(df, "payload")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(payload") == 1 and "from_json" not in plan.lower()  # a filter, the records and a map before
